@@ -10,7 +10,7 @@ from strandlake.llm import langid, ngram_join, packing, quality
 from strandlake.llm.common import table, written
 
 #: Least quality score, and least score of the language told, of documents that stay.
-QUALITY, LANGUAGE = 0.5, 0.6
+QUALITY, LANGUAGE = 0.5, 0.51
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
