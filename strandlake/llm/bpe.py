@@ -6,7 +6,7 @@ its two children. The root so is the leftmost pair of lowest rank; a merge
 rewrites three leaves and their paths. Pre-tokens of like length share one
 two-dimensional array of trees, so that a step merges in all of them at once.
 
-Each task keeps the ids of the pre-tokens it has met, in a table of bounded
+Each worker keeps the ids of the pre-tokens it has met lately, in tables of bounded
 size. Null texts are empty: no ids, the empty string. Any other columns are
 left alone; repeated rows are encoded each.
 """
@@ -25,8 +25,8 @@ from strandlake.llm import vocab as V
 from strandlake.session import ship
 
 NONE = np.int64(1) << 60
-#: Pre-tokens whose ids a task keeps.
-KEPT = 150_000
+#: Pre-tokens whose ids a worker keeps in each of two generations.
+KEPT = 250_000
 
 
 class PairTrees:
@@ -142,7 +142,8 @@ class Encoder:
     def __init__(self, path: str):
         self.v = V.load(path)
         self.trees = PairTrees(self.v)
-        self.known: dict[str, tuple[str, int]] = {}
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
         self.ends = np.array([len(self.v.bytes.get(i, b"")) for i in range(self.v.size)], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.ends)[:-1]))
         self.blob = np.frombuffer(b"".join(self.v.bytes.get(i, b"") for i in range(self.v.size)), np.uint8)
@@ -172,21 +173,21 @@ class Encoder:
 
     def batch(self, texts: list[str]) -> Iterator[tuple[str, int]]:
         """(decimal ids joined by commas, number of ids) of each text."""
-        split = [[(special, [piece] if special else self.v.pretokens(piece)) for piece, special in self.v.pieces(t)] for t in texts]
-        new = {w for t in split for special, ws in t if not special for w in ws}
-        if len(self.known) + len(new) > KEPT:
-            self.known = {}
-        new = [w for w in new if w not in self.known]
+        split = [[([piece] if special else self.v.pretokens(piece), special) for piece, special in self.v.pieces(t)] for t in texts]
+        young = self.young
+        new: list[str] = []
+        for w in set().union(*(ws for t in split for ws, special in t if not special)).difference(young):
+            if (known := self.old.get(w)) is None:
+                new.append(w)
+            else:
+                young[w] = known
         for w, ids in zip(new, self.words(new)):
-            self.known[w] = ",".join(map(str, ids)), len(ids)
-        known = self.known
+            young[w] = ",".join(map(str, ids))
         for t in split:
-            parts, n = [], 0
-            for special, ws in t:
-                got = [(str(self.v.special[ws[0]]), 1)] if special else [known[w] for w in ws]
-                parts += [g[0] for g in got]
-                n += sum(g[1] for g in got)
-            yield ",".join(parts), n
+            joined = ",".join([",".join([str(self.v.special[ws[0]])] if special else [young[w] for w in ws]) for ws, special in t])
+            yield joined, joined.count(",") + 1 if joined else 0
+        if len(young) > KEPT:  # what was used since the last change stays for one generation more
+            self.old, self.young = young, {}
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
@@ -254,7 +255,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
             rows = []
             for part in steps(pdf["text"].fillna("").tolist()):
                 for joined, n in e.batch(part):
-                    text = e.decode(np.array(joined.split(","), dtype=np.int64)) if n else ""
+                    text = e.decode(np.fromstring(joined, np.int64, sep=",")) if n else ""
                     rows.append((n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], **{k: [r[i] for r in rows] for i, k in enumerate(("n_tokens", "ids_sha256", "decoded_sha256"))}})
 
