@@ -28,6 +28,7 @@ from strandlake.llm.common import Forest, connected_components, written
 from strandlake.session import ship
 
 BLOCK = 512
+CELL_ROWS = 2000
 RECALL = 0.998
 SEED = 20240229
 
@@ -57,31 +58,44 @@ def _signatures(bits: int, tables: int):
 
 
 def _compared(threshold: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table, same = int(pdf["tbl"].iloc[0]), bool((pdf["i"] == pdf["j"]).all())
-        pdf = pdf.sort_values(["block", "rep"], ignore_index=True)
-        x = np.frombuffer(b"".join(pdf["vector"]), np.float64).reshape(len(pdf), -1)
-        x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
-        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
-        sigs, reps, copies = np.array(pdf["sigs"].tolist()), pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
-        left = np.arange(len(pdf)) if same else np.flatnonzero(pdf["block"] == pdf["i"].iloc[0])
-        right = left if same else np.flatnonzero(pdf["block"] == pdf["j"].iloc[0])
-        near = (x[left] @ x[right].T) / norm[left][:, None] / norm[right][None, :] >= threshold
-        if same:
+    def cell(x, sigs, reps, copies, table: int, left: np.ndarray, right: np.ndarray, out: tuple[list, list, list]) -> None:
+        """Links between two blocks of a bucket, or within one (left is right)."""
+        near = x[left] @ x[right].T >= threshold
+        if left is right:
             near &= np.arange(len(left))[:, None] < np.arange(len(left))[None, :]
         a, b = np.nonzero(near)
-        a, b = left[a], right[b]
-        fresh = ~(sigs[a, :table] == sigs[b, :table]).any(1)
-        a, b = a[fresh], b[fresh]
-        links = np.bincount(a, copies[b], len(pdf)) + np.bincount(b, copies[a], len(pdf))
-        forest = Forest(len(pdf))
-        edges = [(reps[p], reps[q]) for p, q in zip(a.tolist(), b.tolist()) if forest.join(p, q)]
-        has = np.flatnonzero(links)
-        return pd.DataFrame({
-            "src": np.array([*reps[has], *(e[0] for e in edges)], np.int64),
-            "dst": pd.array([*[None] * len(has), *(e[1] for e in edges)], dtype="Int64"),
-            "links": np.array([*links[has], *[0] * len(edges)], np.int64),
-        })
+        if not len(a):
+            return
+        fresh = ~(sigs[left[a], :table] == sigs[right[b], :table]).any(1)
+        a, b = left[a[fresh]], right[b[fresh]]
+        rows, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        links = np.bincount(at, np.concatenate((copies[b], copies[a])), len(rows))
+        forest = Forest(len(rows))
+        out[0].extend(reps[rows].tolist()), out[1].extend([None] * len(rows)), out[2].extend(links.astype(np.int64).tolist())
+        for p, q in zip(at[: len(a)].tolist(), at[len(a) :].tolist()):
+            if forest.join(p, q):
+                out[0].append(int(reps[rows[p]])), out[1].append(int(reps[rows[q]])), out[2].append(0)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: tuple[list, list, list] = ([], [], [])
+        for _, own in pdf.groupby("dim"):
+            own = own.sort_values(["label", "tbl", "sig", "i", "j", "block", "rep"], ignore_index=True)
+            x = np.frombuffer(b"".join(own["vector"]), np.float64).reshape(len(own), -1)
+            x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
+            x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            sigs, reps, copies = np.array(own["sigs"].tolist()), own["rep"].to_numpy(), own["copies"].to_numpy()
+            label, tbl, sig, i, j, block = (own[c].to_numpy() for c in ("label", "tbl", "sig", "i", "j", "block"))
+            new = np.ones(len(own), bool)
+            new[1:] = (label[1:] != label[:-1]) | (tbl[1:] != tbl[:-1]) | (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            cuts = [*np.flatnonzero(new).tolist(), len(own)]
+            for a, b in zip(cuts, cuts[1:]):
+                if i[a] == j[a]:
+                    left = right = np.arange(a, b)
+                else:
+                    middle = a + int(np.searchsorted(block[a:b], j[a]))  # blocks i come first
+                    left, right = np.arange(a, middle), np.arange(middle, b)
+                cell(x, sigs, reps, copies, int(tbl[a]), left, right, out)
+        return pd.DataFrame({"src": np.array(out[0], np.int64), "dst": pd.array(out[1], dtype="Int64"), "links": np.array(out[2], np.int64)})
 
     return run
 
@@ -112,9 +126,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     entries = entries.join(full, key).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     entries = entries.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = written(entries.select(*key, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rep"), "vec-cells")
+    # a task takes as many whole cells as make about CELL_ROWS rows
+    shares = max(1, cells.count() // CELL_ROWS)
     found = (
-        cells.join(signed.select("rep", "copies", "sigs", "vector"), "rep")
-        .groupBy(*key, "i", "j").applyInPandas(_compared(threshold), "src long, dst long, links long")
+        cells.withColumn("share", F.pmod(F.xxhash64(*key, "i", "j"), F.lit(shares))).join(signed.select("rep", "copies", "sigs", "vector"), "rep")
+        .groupBy("share").applyInPandas(_compared(threshold), "src long, dst long, links long")
     )
     found = written(found, "vec-found")
     linked = found.where("dst is null").groupBy(F.col("src").alias("rep")).agg(F.sum("links").alias("links"))
