@@ -10,7 +10,8 @@ Documents are sets of word shingles. Two documents link when
    Linked sets share a token in their prefixes of that order, at positions that
    leave room for the overlap needed.
 3. Similar representatives are partitioned into groups: all that share their
-   most popular prefix token, cut at a bounded number of tokens.
+   most popular prefix token, cut at a bounded number of tokens. Those without a
+   token of more than ``POPULAR`` documents are groups of one.
 4. Rows of the matrix: a group's prefix tokens and, for every token bin, the
    largest count among its members. A query goes to a group only if a shared
    prefix token leaves room and the sum of bin minima reaches the overlap
@@ -45,7 +46,8 @@ SLICES = 64
 BINS = 64
 #: Tokens of a group's members, and of the queries that one task counts against them.
 GROUP_TOKENS = 400_000
-BLOOM_BITS = 1 << 23
+#: Documents that may share a prefix token before they are grouped by it.
+POPULAR = 32
 
 SETS = "doc_id long, n_shingles int, class_id binary, tokens array<long>, roomy int, bins binary"
 
@@ -147,44 +149,91 @@ def _most_bins(bins: pd.Series) -> bytes:
     return out.tobytes()
 
 
+def _bits_of(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of each key in a bitmap of so many bits, a power of two."""
+    a = mix64(keys)
+    return (a & np.uint64(size - 1)).astype(np.int64), (mix64(a + np.uint64(1)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def _bitmap(keys: DataFrame, n: int) -> bytes:
+    """Bloom filter of the column ``key`` (long) or ``class_id``; 16 bits a key, and 16 MB at most whatever the corpus."""
+    size = 1 << min(27, max(16, (16 * max(n, 1) - 1).bit_length()))
+    by_class = "class_id" in keys.columns
+
+    def mark(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = [np.zeros(0, np.int64)]
+        for pdf in frames:
+            key = np.frombuffer(b"".join(pdf["class_id"]), np.uint64)[::2] if by_class else pdf["key"].to_numpy(np.int64).view(np.uint64)
+            at.append(np.unique(np.concatenate(_bits_of(key, size))))
+        at = np.unique(np.concatenate(at))
+        part = at // (1 << 16)
+        for k in np.unique(part).tolist():
+            bits = np.zeros(1 << 16, bool)
+            bits[at[part == k] % (1 << 16)] = True
+            yield pd.DataFrame({"part": [k], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in frames:
+            for k, raw in zip(pdf["part"].tolist(), pdf["bits"]):
+                bits = np.frombuffer(raw, np.uint8)
+                total[k] = total[k] | bits if k in total else bits
+        yield pd.DataFrame({"part": list(total), "bits": [b.tobytes() for b in total.values()]})
+
+    marked = keys.mapInPandas(mark, "part int, bits binary")
+    out = np.zeros((size >> 16, 1 << 13), np.uint8)
+    for r in marked.repartition(max(1, min(64, size >> 16)), "part").mapInPandas(merge, "part int, bits binary").collect():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def _held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    a, b = _bits_of(keys, 8 * len(bits))
+    return (bits[a >> 3] >> (a & 7).astype(np.uint8) & bits[b >> 3] >> (b & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _entries(seen):
+    """Prefix tokens, with their positions, that another document may have too."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.frombuffer(seen.value, np.uint8)
+        for pdf in frames:
+            sizes = pdf["tokens"].map(len).to_numpy(np.int64)
+            if not len(sizes):
+                continue
+            token = np.concatenate(pdf["tokens"].tolist()).astype(np.int64)
+            row = np.repeat(np.arange(len(pdf)), sizes)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = _held(bits, token.view(np.uint64))
+            row, pos, token = row[keep], pos[keep], token[keep]
+            yield pd.DataFrame({"rep": pdf["rep"].to_numpy()[row], "n": pdf["n"].to_numpy()[row], "roomy": pdf["roomy"].to_numpy()[row], "pos": pos.astype(np.int32), "token": token})
+
+    return run
+
+
 def _chosen(width: int, bloom):
-    """(class_id, tokens) of the documents that some group needs, by a Bloom filter of fixed size; its false hits go in the join that follows."""
+    """(class_id, tokens) of the documents that some group needs, by a Bloom filter; its false hits go in the join that follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, seen = np.frombuffer(bloom.value, np.uint8), set()
         for batch in batches:
             for _, data, off in text_steps(batch):
                 ids, sets = [], []
-                for s in shingle_sets(data, off, width):
-                    key = _class_id(s)
-                    a = np.frombuffer(key, np.uint64) % np.uint64(BLOOM_BITS)
-                    if len(s) and key not in seen and all(bits[int(x) >> 3] >> (int(x) & 7) & 1 for x in a):
+                all_sets = [s for s in shingle_sets(data, off, width) if len(s)]
+                keys = [_class_id(s) for s in all_sets]
+                hits = _held(bits, np.frombuffer(b"".join(keys), np.uint64)[::2]) if keys else ()
+                for s, key, hit in zip(all_sets, keys, hits):
+                    if hit and key not in seen:
                         ids.append(key)
                         sets.append(s.tobytes())
                         if len(seen) < 100_000:  # repeats within a partition are the same set
                             seen.add(key)
                 if ids:
-                    yield pa.RecordBatch.from_pydict({"class_id": pa.array(ids, pa.binary()), "set": pa.array(sets, pa.large_binary()).cast(pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"class_id": pa.array(ids, pa.binary()), "set": pa.array(sets, pa.binary())})
 
     return run
 
 
-def _bloom_bits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(BLOOM_BITS, bool)
-    for pdf in frames:
-        if len(pdf):
-            bits[(np.frombuffer(b"".join(pdf["class_id"]), np.uint64) % np.uint64(BLOOM_BITS)).astype(np.int64)] = True
-    yield pd.DataFrame({"bits": [np.packbits(bits, bitorder="little").tobytes()]})
-
-
-def _or_bits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for pdf in frames:
-        for raw in pdf["bits"]:
-            out |= np.frombuffer(raw, np.uint8)
-    yield pd.DataFrame({"bits": [out.tobytes()]})
-
-
 def _opened(num: int, den: int):
     """Links of one group: members against each other, and queries whose bound opens it against its members; a forest of them."""
 
@@ -231,21 +280,22 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
         some.groupBy("class_id").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "join-classes"
     )
     first = some.select("class_id", F.col("doc_id").alias("rep"), "n_shingles", "tokens", "roomy", "bins")
-    reps = first.join(classes, ["class_id", "rep"]).dropDuplicates(["class_id"])
+    # a row of an id and a set that repeats counts once
+    reps = first.join(classes, ["class_id", "rep"]).groupBy("class_id", "rep").agg(*[F.first(c).alias(c) for c in ("n_shingles", "tokens", "roomy", "bins")])
     reps = written(reps, "join-reps")
 
-    entries = reps.select("rep", F.col("n_shingles").alias("n"), "roomy", F.posexplode("tokens").alias("pos", "token"))
     counts = written(reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "join-df")
+    seen = spark.sparkContext.broadcast(_bitmap(counts.select(F.col("token").alias("key")), counts.count()))
+    entries = reps.select("rep", F.col("n_shingles").alias("n"), "roomy", "tokens").mapInPandas(_entries(seen), "rep long, n int, roomy int, pos int, token long")
     shared = written(entries.join(counts, "token"), "join-shared")
-    # the partition: each representative joins the others of its most popular prefix token
-    home = shared.groupBy("rep").agg(F.max(F.struct("df", "token")).alias("top")).select("rep", F.col("top.token").alias("home"))
-    home = written(home.join(reps.select("rep", "n_shingles"), "rep"), "join-home")
-    weight = home.groupBy("home").agg(F.sum("n_shingles").alias("w"))
-    home = written(
-        home.join(written(weight, "join-weight"), "home")
-        .select("rep", F.concat_ws("-", "home", F.pmod(F.xxhash64("rep"), F.ceil(F.col("w") / GROUP_TOKENS))).alias("grp")),
-        "join-groups",
+    # the partition: a representative with popular prefix tokens joins the others of the most popular; any other is a group of its own
+    home = shared.groupBy("rep").agg(F.max(F.when(F.col("df") > POPULAR, F.struct("df", "token"))).alias("top"), F.first("n").alias("n"))
+    home = written(home.select("rep", "n", F.col("top.token").alias("home")), "join-home")
+    weight = home.where("home is not null").groupBy("home").agg(F.sum("n").alias("w"))
+    grp = F.when(F.col("w").isNull(), F.concat(F.lit("="), F.col("rep").cast("string"))).otherwise(
+        F.concat_ws("-", "home", F.pmod(F.xxhash64("rep"), F.ceil(F.col("w") / GROUP_TOKENS)))
     )
+    home = written(home.join(written(weight, "join-weight"), "home", "left").select("rep", grp.alias("grp")), "join-groups")
     # rows of the matrix, and the queries that they let through
     tagged = written(shared.join(home, "rep"), "join-tagged")
     matrix = written(
@@ -273,10 +323,10 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
         asks.join(busy, "grp").select("rep", "grp", F.lit(True).alias("query"), F.pmod(F.xxhash64("rep"), "turns").cast("int").alias("turn"))
     )
     roles = written(roles.join(reps.select("rep", "class_id"), "rep"), "join-roles")
-    parts = roles.select("class_id").distinct().mapInPandas(_bloom_bits, "bits binary")
-    bits = parts.repartition(1).mapInPandas(_or_bits, "bits binary").first()["bits"]
-    chosen = docs.select("text").mapInArrow(_chosen(width, spark.sparkContext.broadcast(bits)), "class_id binary, set binary")
-    chosen = written(chosen.dropDuplicates(["class_id"]), "join-chosen")
+    wanted = written(roles.select("class_id").distinct(), "join-wanted")
+    bits = spark.sparkContext.broadcast(_bitmap(wanted.select(F.xxhash64("class_id").alias("key"), "class_id"), wanted.count()))
+    chosen = docs.select("text").mapInArrow(_chosen(width, bits), "class_id binary, set binary")
+    chosen = written(chosen.groupBy("class_id").agg(F.first("set").alias("set")), "join-chosen")
     edges = (
         roles.join(chosen, "class_id").select("grp", "turn", "query", "rep", "set")
         .groupBy("grp", "turn").applyInPandas(_opened(num, den), "src long, dst long")
