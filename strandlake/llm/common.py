@@ -183,9 +183,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         )
         hook = both.groupBy("node").agg(F.min(drawn("other")).alias("m")).select("node", F.least(F.col("m"), drawn("node"))["id"].alias("up"))
         hook = written(hook, "cc-hook")
+        then, far = hook.select(F.col("node").alias("up"), F.col("up").alias("next")), hook
         for _ in range(2):
-            then = hook.select(F.col("node").alias("up"), F.col("up").alias("next"))
-            hook = written(hook.join(then, "up").select("node", F.col("next").alias("up")), "cc-hook")
+            far = far.join(then, "up").select("node", F.col("next").alias("up"))
+        hook = written(far, "cc-hook")
         if labels is None:
             labels = hook.select("node", F.col("up").alias("root"))
         else:
@@ -200,7 +201,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if e.isEmpty():
             break
     least = written(labels.groupBy("root").agg(F.min("node").alias("component")), "cc-least")
-    return written(labels.join(least, "root").select("node", "component"), "cc-components")
+    return labels.join(least, "root").select("node", "component")
 
 
 class Forest:

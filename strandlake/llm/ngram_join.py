@@ -290,7 +290,7 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     shared = written(entries.join(counts, "token"), "join-shared")
     # the partition: a representative with popular prefix tokens joins the others of the most popular; any other is a group of its own
     home = shared.groupBy("rep").agg(F.max(F.when(F.col("df") > POPULAR, F.struct("df", "token"))).alias("top"), F.first("n").alias("n"))
-    home = written(home.select("rep", "n", F.col("top.token").alias("home")), "join-home")
+    home = home.select("rep", "n", F.col("top.token").alias("home"))
     weight = home.where("home is not null").groupBy("home").agg(F.sum("n").alias("w"))
     grp = F.when(F.col("w").isNull(), F.concat(F.lit("="), F.col("rep").cast("string"))).otherwise(
         F.concat_ws("-", "home", F.pmod(F.xxhash64("rep"), F.ceil(F.col("w") / GROUP_TOKENS)))
@@ -298,17 +298,13 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     home = written(home.join(written(weight, "join-weight"), "home", "left").select("rep", grp.alias("grp")), "join-groups")
     # rows of the matrix, and the queries that they let through
     tagged = written(shared.join(home, "rep"), "join-tagged")
-    matrix = written(
-        tagged.where("pos < roomy").groupBy("token", "grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n")),
-        "join-matrix",
-    )
+    matrix = tagged.where("pos < roomy").groupBy("token", "grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     size = "greatest(least_n, cast(ceil(n * {0} / {1}) as int))".format(num, den)
     room = f"n - pos >= ceil({num} * (n + {size}) / {num + den}) and n >= least_n and most_n * {den} >= n * {num}"
     asks = (
         tagged.select("token", "rep", "n", "pos", F.col("grp").alias("own")).join(matrix, "token").where(f"grp <> own and {room}")
         .groupBy("rep", "grp").agg(F.max("n").alias("n"), F.min("least_n").alias("least_n"))
     )
-    asks = written(asks, "join-asks")
     lean = reps.select("rep", "bins")
     bins = written(home.join(lean, "rep").groupBy("grp").agg(_most_bins("bins").alias("most")), "join-bins")
     asks = asks.join(lean, "rep").join(bins, "grp").where(_near(num, den)("bins", "most", "n", "least_n")).select("rep", "grp")
@@ -323,10 +319,9 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
         asks.join(busy, "grp").select("rep", "grp", F.lit(True).alias("query"), F.pmod(F.xxhash64("rep"), "turns").cast("int").alias("turn"))
     )
     roles = written(roles.join(reps.select("rep", "class_id"), "rep"), "join-roles")
-    wanted = written(roles.select("class_id").distinct(), "join-wanted")
-    bits = spark.sparkContext.broadcast(_bitmap(wanted.select(F.xxhash64("class_id").alias("key"), "class_id"), wanted.count()))
+    bits = spark.sparkContext.broadcast(_bitmap(roles.select("class_id"), roles.count()))
     chosen = docs.select("text").mapInArrow(_chosen(width, bits), "class_id binary, set binary")
-    chosen = written(chosen.groupBy("class_id").agg(F.first("set").alias("set")), "join-chosen")
+    chosen = chosen.groupBy("class_id").agg(F.first("set").alias("set"))
     edges = (
         roles.join(chosen, "class_id").select("grp", "turn", "query", "rep", "set")
         .groupBy("grp", "turn").applyInPandas(_opened(num, den), "src long, dst long")
