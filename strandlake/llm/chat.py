@@ -34,7 +34,7 @@ from strandlake.session import ship
 
 ROLES = ("system", "user", "assistant")
 STATES = 2 * len(ROLES)  # 2 r: first line of a turn of role r; 2 r + 1: a later line
-BLOCK = 512
+SHARE_ROWS = 1000
 
 #: Speaker markers by role and style: fixed values.
 MARKERS = {
@@ -150,18 +150,26 @@ def _raw_lines(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
     return lines, np.array(truth, np.int64)
 
 
+def _each(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """The blocks of a share."""
+    for _, own in pdf.groupby(["conv", "nth"], sort=False):
+        yield own
+
+
 def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
-    lines, truth = _raw_lines(pdf)
-    obs = observe(lines, False)
-    code = np.concatenate((truth * SYMBOLS + obs, STATES * SYMBOLS + truth[:-1] * STATES + truth[1:], [STATES * (SYMBOLS + STATES) + truth[0]]))
-    k, n = np.unique(code, return_counts=True)
+    codes = []
+    for own in _each(pdf):
+        lines, truth = _raw_lines(own)
+        obs = observe(lines, False)
+        codes += [truth * SYMBOLS + obs, STATES * SYMBOLS + truth[:-1] * STATES + truth[1:], [STATES * (SYMBOLS + STATES) + truth[0]]]
+    k, n = np.unique(np.concatenate(codes).astype(np.int64), return_counts=True)
     return pd.DataFrame({"code": k, "n": n.astype(np.int64)})
 
 
 def train(blocks: DataFrame) -> Hmm:
     """Model from the blocks of conversations that aren't held out; counts are of fixed size."""
     learn = blocks.where(F.crc32(F.col("conv").cast("binary")) % 4 != 2)
-    rows = learn.groupBy("conv", "block").applyInPandas(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+    rows = learn.groupBy("share").applyInPandas(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(STATES * (SYMBOLS + STATES + 1))
     for r in rows:
         total[r["code"]] = r["n"]
@@ -178,16 +186,21 @@ def parse(conversations: DataFrame) -> DataFrame:
     """
     ship(conversations.sparkSession)
     blocks = written(transcripts(conversations), "chat-blocks")
-    hmm = train(blocks)
     spans = blocks.groupBy("conv", "block").agg(F.count("*").alias("n"))
     order = Window.partitionBy("conv").orderBy("block")
     spans = written(spans.select("conv", "block", F.row_number().over(order).cast("int").alias("nth")), "chat-spans")
-    rows = written(blocks.join(spans, ["conv", "block"]).drop("block"), "chat-lines")
+    # a task takes as many whole blocks as make about SHARE_ROWS rows
+    share = F.pmod(F.xxhash64("conv", "nth"), F.lit(max(1, blocks.count() // SHARE_ROWS)))
+    rows = written(blocks.join(spans, ["conv", "block"]).drop("block").withColumn("share", share), "chat-lines")
+    hmm = train(rows)
 
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
-        obs, nth = observe(_raw_lines(pdf)[0], False), int(pdf["nth"].iloc[0])
-        best = hmm.first_block(obs) if nth == 1 else hmm.block(obs)
-        return pd.DataFrame({"conv": [pdf["conv"].iloc[0]], "nth": [nth], "best": [best.tobytes()]})
+        out = []
+        for own in _each(pdf):
+            obs, nth = observe(_raw_lines(own)[0], False), int(own["nth"].iloc[0])
+            best = hmm.first_block(obs) if nth == 1 else hmm.block(obs)
+            out.append((own["conv"].iloc[0], nth, best.tobytes()))
+        return pd.DataFrame(out, columns=["conv", "nth", "best"])
 
     def chained(pdf: pd.DataFrame) -> pd.DataFrame:
         """Entry and exit state of each block on the best path."""
@@ -207,26 +220,25 @@ def parse(conversations: DataFrame) -> DataFrame:
     many = written(spans.groupBy("conv").agg(F.max("nth").alias("blocks")), "chat-many")
     rows = rows.join(many, "conv")
     long = rows.where("blocks > 1")
-    ends = long.groupBy("conv", "nth").applyInPandas(scored, "conv string, nth int, best binary").groupBy("conv").applyInPandas(chained, "conv string, nth int, entry int, leave int")
+    ends = long.groupBy("share").applyInPandas(scored, "conv string, nth int, best binary").groupBy("conv").applyInPandas(chained, "conv string, nth int, entry int, leave int")
     rows = rows.join(written(ends, "chat-ends"), ["conv", "nth"], "left")
 
     def traced(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines, truth = _raw_lines(pdf)
-        nth, one = int(pdf["nth"].iloc[0]), pd.isna(pdf["leave"].iloc[0])
-        states = hmm.trace(observe(lines, False), None if nth == 1 else int(pdf["entry"].iloc[0]), None if one else int(pdf["leave"].iloc[0]))
-        cuts = [k for k, s in enumerate(states) if s % 2 == 0 or k == 0] + [len(states)]
         out = []
-        for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            role, opens = ROLES[states[a] // 2], states[a] % 2 == 0
-            body = "\n".join([unmarked(lines[a]) if opens else lines[a], *lines[a + 1 : b]]).rstrip("\n")
-            out.append((part, role, opens, b - a, f"<|{role}|>\n{body}\n" if opens else f"{body}\n", int((truth[a:b] // 2 == states[a] // 2).sum())))
-        frame = pd.DataFrame(out, columns=["part", "role", "opens", "n_lines", "rendered", "right"])
-        frame.insert(0, "nth", nth)
-        frame.insert(0, "conv", pdf["conv"].iloc[0])
-        return frame
+        for own in _each(pdf):
+            lines, truth = _raw_lines(own)
+            conv, nth, one = own["conv"].iloc[0], int(own["nth"].iloc[0]), pd.isna(own["leave"].iloc[0])
+            states = hmm.trace(observe(lines, False), None if nth == 1 else int(own["entry"].iloc[0]), None if one else int(own["leave"].iloc[0]))
+            cuts = [k for k, s in enumerate(states) if s % 2 == 0 or k == 0] + [len(states)]
+            for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                role, opens = ROLES[states[a] // 2], states[a] % 2 == 0
+                body = "\n".join([unmarked(lines[a]) if opens else lines[a], *lines[a + 1 : b]]).rstrip("\n")
+                right = int((truth[a:b] // 2 == states[a] // 2).sum())
+                out.append((conv, nth, part, role, opens, b - a, f"<|{role}|>\n{body}\n" if opens else f"{body}\n", right))
+        return pd.DataFrame(out, columns=["conv", "nth", "part", "role", "opens", "n_lines", "rendered", "right"])
 
     schema = "conv string, nth int, part int, role string, opens boolean, n_lines int, rendered string, right int"
-    parts = written(rows.groupBy("conv", "nth").applyInPandas(traced, schema), "chat-parts")
+    parts = written(rows.groupBy("share").applyInPandas(traced, schema), "chat-parts")
     opened = parts.groupBy("conv", "nth").agg(F.sum(F.col("opens").cast("int")).alias("turns"))
     before = Window.partitionBy("conv").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     bases = written(opened.select("conv", "nth", F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("base")), "chat-bases")
