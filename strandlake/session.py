@@ -35,6 +35,6 @@ def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]").appName("strandlake")
         .config("spark.sql.shuffle.partitions", str(cpus)).config("spark.driver.memory", memory)
-        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+        .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true").getOrCreate()
     )
