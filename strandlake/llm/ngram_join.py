@@ -45,7 +45,7 @@ SKETCH_BITS = 20
 SLICES = 64
 BINS = 64
 #: Tokens of a group's members, and of the queries that one task counts against them.
-GROUP_TOKENS = 400_000
+GROUP_TOKENS = 100_000
 #: Documents that may share a prefix token before they are grouped by it.
 POPULAR = 32
 
