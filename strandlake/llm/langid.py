@@ -5,7 +5,7 @@ linear support vector machine for each family tells it from the others; within a
 family one machine for each pair of languages votes, and the language with most
 votes, then the largest sum of margins, wins. Machines are trained here, by
 accelerated gradient descent on the squared hinge loss, from a bounded sample of
-labelled documents (``PER_LANG`` a language).
+labelled documents (about ``PER_LANG`` a language, half as many again at most).
 
 A text that is null or has no letter is ``und`` with score 0. The score is the
 smaller of the logistic values of the family's margin and of the language's least
@@ -168,7 +168,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Machines from at most ``per_lang`` documents of each language, none of them held out."""
+    """Machines from about ``per_lang`` documents of each language, 1.5 times as many at most, none of them held out."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
