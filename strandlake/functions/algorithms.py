@@ -161,3 +161,110 @@ def cpg_islands(seq: str, window: int = 200, least: int = 200, gc: float = 50.0,
         else:
             out.append([k, k + window - 1])
     return [(a, b) for a, b in out if b - a + 1 >= least]
+
+
+def traceback(a: str, b: str, match: int = 1, mismatch: int = -1, gap: int = -2) -> tuple[int, str]:
+    """(score, CIGAR) of a best global alignment of read ``a`` to reference ``b``; ties go to the diagonal, then to the insertion."""
+    t = np.frombuffer(b.encode("utf-32-le"), np.uint32)
+    at = np.arange(len(t) + 1) * gap
+    rows = [at.copy()]
+    for ch in a:
+        row = rows[-1]
+        new = np.concatenate(([row[0] + gap], np.maximum(row[:-1] + np.where(t == ord(ch), match, mismatch), row[1:] + gap)))
+        rows.append(np.maximum.accumulate(new - at) + at)
+    i, j, ops = len(a), len(b), []
+    while i or j:
+        if i and j and rows[i][j] == rows[i - 1][j - 1] + (match if a[i - 1] == b[j - 1] else mismatch):
+            ops.append("M")
+            i, j = i - 1, j - 1
+        elif i and rows[i][j] == rows[i - 1][j] + gap:
+            ops.append("I")
+            i -= 1
+        else:
+            ops.append("D")
+            j -= 1
+    cigar, k = "", len(ops)
+    while k:
+        n = 1
+        while n < k and ops[k - 1 - n] == ops[k - 1]:
+            n += 1
+        cigar += f"{n}{ops[k - 1]}"
+        k -= n
+    return int(rows[-1][-1]), cigar
+
+
+@F.pandas_udf(T.StructType().add("score", T.LongType()).add("cigar", T.StringType()))
+def global_cigar(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([traceback(x, y) for x, y in zip(a, b)], columns=["score", "cigar"])
+
+
+def length_adjustment(query: int, subjects: int, count: int, k: float = 0.711, h: float = 1.31) -> int:
+    """Largest whole l with l <= ln(k (query - l)(subjects - count l)) / h that leaves k (query - l)(subjects - count l) > max(query, subjects)."""
+
+    def fits(x: int) -> bool:
+        m, n = query - x, subjects - count * x
+        return m > 0 and n > 0 and k * m * n > max(query, subjects) and x <= np.log(k * m * n) / h
+
+    lo, hi = 0, min(query, subjects // max(count, 1))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if fits(mid) else (lo, mid - 1)
+    return lo
+
+
+def effective_space(query: int, subjects: int, count: int, k: float = 0.711, h: float = 1.31) -> int:
+    """Search space after the adjustment of both lengths."""
+    x = length_adjustment(query, subjects, count, k, h)
+    return (query - x) * (subjects - count * x)
+
+
+def bit_score(raw, lam: float = 1.374, k: float = 0.711):
+    return (raw * lam - float(np.log(k))) / float(np.log(2))
+
+
+def expect(bits, space: float):
+    """Hits of this bit score or better that chance gives in a search space."""
+    return F.lit(float(space)) * F.pow(F.lit(2.0), -bits)
+
+
+def patristic(edges: list[tuple[str, str, float]]) -> dict[tuple[str, str], float]:
+    """Distance along a tree of every pair of leaves, the smaller name first."""
+    near: dict[str, list[tuple[str, float]]] = {}
+    for a, b, n in edges:
+        near.setdefault(a, []).append((b, n))
+        near.setdefault(b, []).append((a, n))
+    leaves = sorted(x for x, to in near.items() if len(to) == 1)
+    out = {}
+    for x in leaves:
+        todo, seen = [(x, 0.0)], {x}
+        while todo:
+            at, far = todo.pop()
+            if at > x and len(near[at]) == 1:
+                out[x, at] = far
+            for b, n in near[at]:
+                if b not in seen:
+                    seen.add(b)
+                    todo.append((b, far + n))
+    return out
+
+
+def zero_negative(edges: list[tuple[str, str, float]]) -> list[tuple[str, str, float]]:
+    return [(a, b, max(n, 0.0)) for a, b, n in edges]
+
+
+def rerooted(edges: list[tuple[str, str, float]], leaf: str) -> list[tuple[str, str, float]]:
+    """The same tree with a root in the middle of the edge to this leaf; edges are (parent, child, length)."""
+    near: dict[str, list[tuple[str, float]]] = {}
+    for a, b, n in edges:
+        near.setdefault(a, []).append((b, n))
+        near.setdefault(b, []).append((a, n))
+    (other, n), = near[leaf]
+    out, todo, seen = [("root", leaf, n / 2), ("root", other, n / 2)], [other], {leaf, other}
+    while todo:
+        at = todo.pop()
+        for b, n in near[at]:
+            if b not in seen:
+                seen.add(b)
+                out.append((at, b, n))
+                todo.append(b)
+    return out

@@ -72,3 +72,15 @@ def remap(ids: DataFrame, mapping: DataFrame, key: str, to: str) -> tuple[DataFr
 def bitmap_count(ids: DataFrame, key: str) -> DataFrame:
     """Distinct ids by compressed bitmaps, one for each bucket of 32768 ids: (bucket, n)."""
     return ids.groupBy(F.bitmap_bucket_number(key).alias("bucket")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(key))).alias("n"))
+
+
+def sparse_rank(ids: DataFrame, key: str, width: int = 1 << 20) -> DataFrame:
+    """(key, rank) of distinct ids of 0 or more, rank from 0 in order of id.
+
+    Ranks are taken within ranges of ``width`` ids; only the ranges' counts, a row for each, go through one window.
+    """
+    bucketed = ids.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn("_b", F.floor(F.col(key) / width))
+    counts = bucketed.groupBy("_b").agg(F.count("*").alias("_n"))
+    before = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
+    return bucketed.withColumn("_in", inside).join(before, "_b").select(key, (F.col("_before") + F.col("_in")).cast("long").alias("rank"))
