@@ -21,18 +21,29 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, width: int, a_lo: str = "
     return left.join(right, [key, "_bin"]).where((F.col(a_lo) <= F.col(b_hi)) & (F.col(b_lo) <= F.col(a_hi)) & (F.col("_bin") == first)).drop("_bin")
 
 
-def islands(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi", gap: int = 0) -> DataFrame:
-    """Union of closed intervals by key; those at most ``gap`` apart are joined. (key, lo, hi, n)"""
-    w = Window.partitionBy(key).orderBy(lo, hi)
-    before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.coalesce((F.col(lo) > before + gap).cast("int"), F.lit(1))
+def _merged(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("lo", "hi")
+    before = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.coalesce((F.col("lo") > before + gap).cast("int"), F.lit(1))
     run = F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        df.withColumn("_open", opens).withColumn("_run", run).groupBy(key, "_run")
-        .agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count("*").alias("n")).drop("_run")
+        df.withColumn("_open", opens).withColumn("_run", run).groupBy(*keys, "_run")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("_run")
     )
 
 
+def islands(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi", gap: int = 0, width: int | None = None) -> DataFrame:
+    """Union of closed intervals by key; those at most ``gap`` apart are joined. (key, lo, hi, n)
+
+    Intervals of one start are one row before any window. With ``width``, those that start in one range of so many
+    places are merged first, each range a task, and only the ranges' islands by key: for keys that hold many rows.
+    """
+    rows = df.groupBy(key, F.col(lo).alias("lo")).agg(F.max(hi).alias("hi"), F.count("*").alias("n"))
+    if width is not None:
+        rows = _merged(rows.withColumn("_range", F.floor(F.col("lo") / width)), [key, "_range"], gap).drop("_range")
+    return _merged(rows, [key], gap)
+
+
 def coverage(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
     """Depth by sweep line: (key, lo, hi, depth) of every stretch with constant depth above 0."""
     ends = df.select(key, F.col(lo).alias("at"), F.lit(1).alias("d")).unionByName(df.select(key, (F.col(hi) + 1).alias("at"), F.lit(-1).alias("d")))

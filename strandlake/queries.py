@@ -251,7 +251,7 @@ ISLAND_SQL = f"(SELECT o_custkey, min(lo) AS lo, max(hi) AS hi, count(*) AS n FR
 
 @query(f"SELECT o_custkey, lo, hi, n FROM {ISLAND_SQL}")
 def interval_islands(spark, d):
-    return I.islands(spans(spark, d), "o_custkey")
+    return I.islands(spans(spark, d), "o_custkey", width=128)
 
 
 @query(f"SELECT * FROM (SELECT o_custkey, hi + 1 AS gap_lo, lead(lo) OVER (PARTITION BY o_custkey ORDER BY lo) - 1 AS gap_hi FROM {ISLAND_SQL}) WHERE gap_lo <= gap_hi")

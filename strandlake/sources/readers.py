@@ -6,7 +6,7 @@ Every reader returns typed columns; a line that can't be read keeps its text in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -108,31 +108,122 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return recs.select(F.regexp_extract(title, r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace(title, r"^\S*", "")).alias("title"), seq.alias("seq"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, n, line): every line with its number from 0 in its file.
+
+    Lines are numbered within the blocks that the source cuts files into, each a task of its own;
+    only the blocks' counts, a row for each, are added up by file. So a file of any size is read in parallel.
+    """
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line")
+    )
+    base = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = rows.groupBy("file", "block").agg(F.count("*").alias("lines")).select("file", "block", base.alias("base"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1
+    return rows.withColumn("k", inside).join(bases, ["file", "block"]).select("file", "block", (F.col("base") + F.col("k")).alias("n"), "line")
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, qual) of four-line records; a file is one partition's text, ``wholetext``."""
-    rows = spark.read.text(path, wholetext=True)
-    lines = F.filter(F.split("value", "\r?\n"), lambda x: x != "")
-    rec = rows.select(lines.alias("l")).select("l", F.explode(F.sequence(F.lit(0), (F.size("l") / 4).cast("int") - 1)).alias("k"))
-    at = lambda n: F.get("l", F.col("k") * 4 + n)
-    return rec.select(F.regexp_replace(at(0), "^@", "").alias("name"), at(1).alias("seq"), at(3).alias("qual"))
+    """(name, seq, qual) of four-line records; blank lines at the end of a file are no record."""
+    at = lambda k: F.max(F.when(F.col("n") % 4 == k, F.col("line")))
+    rec = numbered_lines(spark, path).groupBy("file", F.floor(F.col("n") / 4).alias("rec")).agg(at(0).alias("name"), at(1).alias("seq"), at(3).alias("qual"))
+    return rec.where("name <> ''").select(F.regexp_replace("name", "^@", "").alias("name"), "seq", "qual")
 
 
 def read_wiggle(spark: SparkSession, path: str) -> DataFrame:
-    """(chrom, pos, span, value) of fixedStep and variableStep tracks; rows take the declaration before them."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line"), F.input_file_name().alias("file"))
-    rows = rows.where((F.length("line") > 0) & ~F.col("line").rlike("^(#|track|browser)"))
-    head = F.col("line").rlike("^(fixed|variable)Step")
-    run = F.expr("sum(cast(head as int)) over (partition by file order by n)")
-    rows = rows.withColumn("head", head).withColumn("run", run)
-    heads = rows.where("head").select("file", "run", F.col("line").alias("decl"))
+    """(chrom, pos, span, value) of fixedStep and variableStep tracks; rows take the declaration before them, which may lie in an earlier block."""
+    rows = numbered_lines(spark, path).where((F.length("line") > 0) & ~F.col("line").rlike("^(#|track|browser)"))
+    rows = rows.withColumn("head", F.col("line").rlike("^(fixed|variable)Step"))
+    here = F.last(F.when(F.col("head"), F.struct("n", F.col("line").alias("decl"))), ignorenulls=True)
+    last = rows.where("head").groupBy("file", "block").agg(F.max(F.struct("n", F.col("line").alias("decl"))).alias("last"))
+    blocks = rows.select("file", "block").distinct().join(last, ["file", "block"], "left")
+    before = F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", before.alias("carried"))
+    inside = Window.partitionBy("file", "block").orderBy("n")
+    nth = F.row_number().over(Window.partitionBy("file", "block", "d.n").orderBy("n")) - 1
+    rows = rows.withColumn("own", here.over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(blocks, ["file", "block"])
+    rows = rows.withColumn("d", F.coalesce("own", "carried")).where("not head and d is not null").withColumn("k", nth)
+    # values of one declaration go on from block to block
+    sizes = rows.groupBy("file", F.col("d.n").alias("dn"), "block").agg(F.count("*").alias("c"))
+    done = F.coalesce(F.sum("c").over(Window.partitionBy("file", "dn").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("file", "dn", "block", done.alias("done"))
+    data = rows.select("file", "block", F.col("d.n").alias("dn"), F.col("d.decl").alias("decl"), "k", "line").join(sizes, ["file", "dn", "block"]).withColumn("k", F.col("k") + F.col("done"))
     key = lambda k, d: F.coalesce(F.nullif(F.regexp_extract("decl", rf"\b{k}=(\S+)", 1), F.lit("")), F.lit(d))
-    data = rows.where("not head").join(heads, ["file", "run"]).withColumn("k", F.expr("row_number() over (partition by file, run order by n)") - 1)
     fixed = F.col("decl").startswith("fixed")
     parts = F.split(F.trim("line"), r"\s+")
     pos = F.when(fixed, key("start", "1").cast("long") + F.col("k") * key("step", "1").cast("long")).otherwise(F.get(parts, F.lit(0)).try_cast("long"))
     return data.select(key("chrom", "").alias("chrom"), pos.alias("pos"), key("span", "1").cast("int").alias("span"), F.when(fixed, F.get(parts, F.lit(0))).otherwise(F.get(parts, F.lit(1))).try_cast("double").alias("value"))
 
 
+def read_gvf(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
+    """GFF3 rows of sequence changes, with the reference's sequence and the variant ones of their attributes."""
+    df = read_gff3(spark, path, mode)
+    return df.withColumns({"reference_seq": F.col("attrs")["Reference_seq"], "variant_seqs": F.split(F.col("attrs")["Variant_seq"], ",")})
+
+
+def read_bed15(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
+    """Microarray rows: twelve columns of blocks, then experiments and their scores as arrays."""
+    text = ["name", "strand", "item_rgb", "block_sizes", "block_starts", "exp_ids", "exp_scores"]
+    names = ["chrom", "start", "stop", "name", "score", "strand", "thick_start", "thick_stop", "item_rgb", "block_count", "block_sizes", "block_starts", "exp_count", "exp_ids", "exp_scores"]
+    df = _fields(spark, path, [(n, "string" if n in text or n == "chrom" else "double" if n == "score" else "long") for n in names], "^(#|track|browser)", mode=mode)
+    numbers = lambda c, kind: F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: x.try_cast(kind))
+    return df.withColumns({"block_sizes": numbers("block_sizes", "long"), "block_starts": numbers("block_starts", "long"), "exp_ids": numbers("exp_ids", "int"), "exp_scores": numbers("exp_scores", "double")})
+
+
+def _records(spark: SparkSession, path: str, sep: str) -> DataFrame:
+    """(head, lines) of records that the source cuts at ``sep``."""
+    recs = spark.read.option("lineSep", sep).text(path).where(F.length(F.trim("value")) > 0)
+    lines = F.split("value", "\r?\n")
+    return recs.select(F.get(lines, F.lit(0)).alias("head"), F.filter(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(1))), lambda x: F.length(F.trim(x)) > 0).alias("lines"))
+
+
+def read_glimmer3(spark: SparkSession, path: str) -> DataFrame:
+    """(seqid, name, start, stop, strand, frame, score) of gene predictions; start is before stop also in reverse."""
+    rec = _records(spark, path, "\n>").select(F.regexp_extract("head", r"^>?(\S*)", 1).alias("seqid"), F.explode("lines").alias("line"))
+    p = F.split(F.trim("line"), r"\s+")
+    a, b, frame = F.get(p, F.lit(1)).try_cast("long"), F.get(p, F.lit(2)).try_cast("long"), F.get(p, F.lit(3)).try_cast("int")
+    return rec.select("seqid", F.get(p, F.lit(0)).alias("name"), F.least(a, b).alias("start"), F.greatest(a, b).alias("stop"), F.when(frame < 0, "-").otherwise("+").alias("strand"), frame.alias("frame"), F.get(p, F.lit(4)).try_cast("double").alias("score"))
+
+
+def read_feature_table(spark: SparkSession, path: str) -> DataFrame:
+    """(seqid, type, spans, qualifiers) of five-column feature tables; a span whose start is after its stop is in reverse."""
+    rec = _records(spark, path, ">Feature ").withColumn("seqid", F.regexp_extract("head", r"^(\S+)", 1))
+    rows = rec.withColumn("rec", F.monotonically_increasing_id()).select("seqid", "rec", F.posexplode("lines").alias("n", "line"))
+    p = F.split("line", "\t")
+    number = lambda k: F.regexp_replace(F.get(p, F.lit(k)), "[<>^]", "").try_cast("long")
+    kind = F.nullif(F.get(p, F.lit(2)), F.lit(""))
+    rows = rows.select("seqid", "rec", "n", number(0).alias("a"), number(1).alias("b"), kind.alias("type"), F.get(p, F.lit(3)).alias("key"), F.get(p, F.lit(4)).alias("value"))
+    run = F.count("type").over(Window.partitionBy("rec").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    in_order = lambda test, *cols: F.transform(F.array_sort(F.collect_list(F.when(test, F.struct("n", *cols)))), lambda x: F.struct(*[x[c].alias(c) for c in cols]))
+    feats = rows.withColumn("run", run).where("run > 0").groupBy("seqid", "rec", "run").agg(
+        F.max("type").alias("type"), in_order(F.col("a").isNotNull(), "a", "b").alias("s"), in_order(F.col("key").isNotNull() & (F.col("key") != ""), "key", "value").alias("qualifiers")
+    )
+    spans = F.transform("s", lambda x: F.struct(F.least(x["a"], x["b"]).alias("start"), F.greatest(x["a"], x["b"]).alias("stop"), F.when(x["a"] > x["b"], "-").otherwise("+").alias("strand")))
+    return feats.select("seqid", "run", "type", spans.alias("spans"), "qualifiers")
+
+
+def read_ace(spark: SparkSession, path: str) -> DataFrame:
+    """(contig, bases, n_reads, seq, reads) of assembly files; reads are (read, strand, start), seq has pads as ``*``."""
+    recs = spark.read.option("lineSep", "\nCO ").text(path).where(~F.col("value").startswith("AS "))
+    p = F.split(F.regexp_extract("value", r"^([^\n]*)", 1), r"\s+")
+    seq = F.regexp_replace(F.regexp_extract("value", r"^[^\n]*\n((?:[A-Za-z*-]+[ \t\r]*\n)+)", 1), r"\s", "")
+    at = lambda x, k: F.get(F.split(x, r"\s+"), F.lit(k))
+    reads = F.transform(F.regexp_extract_all("value", F.lit(r"(?m)^AF (\S+ [UC] -?\d+)"), F.lit(1)), lambda x: F.struct(at(x, 0).alias("read"), F.when(at(x, 1) == "C", "-").otherwise("+").alias("strand"), at(x, 2).cast("long").alias("start")))
+    return recs.select(F.get(p, F.lit(0)).alias("contig"), F.get(p, F.lit(1)).try_cast("long").alias("bases"), F.get(p, F.lit(2)).try_cast("long").alias("n_reads"), seq.alias("seq"), reads.alias("reads"))
+
+
+def aligned_pair(a: Column, b: Column) -> Column:
+    """(a, b) of two rows of an alignment without the columns that are gaps in both."""
+    kept = F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), lambda c: (c["x"] != "-") | (c["y"] != "-"))
+    return F.struct(F.array_join(F.transform(kept, lambda c: c["x"]), "").alias("a"), F.array_join(F.transform(kept, lambda c: c["y"]), "").alias("b"))
+
+
+def feature_kind(c: Column, warn: list[str], refuse: list[str]) -> Column:
+    """okay, warn or disallowed of a feature's name, whatever its case."""
+    name = F.lower(c)
+    return F.when(name.isin(*[x.lower() for x in refuse]), "disallowed").when(name.isin(*[x.lower() for x in warn]), "warn").otherwise("okay")
+
+
 def guess_format(spark: SparkSession, path: str) -> str:
     """Name of a file's format, from its first lines."""
     head = [r["value"] for r in spark.read.text(path).limit(20).collect()]

@@ -51,6 +51,51 @@ def sam_lines(df: DataFrame) -> DataFrame:
     return df.select(_line(*[F.col(c) for c in ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")]))
 
 
+def agp_lines(df: DataFrame) -> DataFrame:
+    """Rows as ``read_agp`` gives them: columns 6 to 9 tell the component, or the gap."""
+    pairs = (("component", "gap_length"), ("comp_beg", "gap_type"), ("comp_end", "linkage"), ("orientation", "evidence"))
+    own = [F.coalesce(F.col(a).cast("string"), F.col(b).cast("string")) for a, b in pairs]
+    return df.select(_line(*[F.col(c) for c in ("object", "obj_beg", "obj_end", "part", "type")], *own))
+
+
+def gvf_lines(df: DataFrame) -> DataFrame:
+    return gff3_lines(df)
+
+
+def feature_table_lines(df: DataFrame) -> DataFrame:
+    """One five-column text a feature: spans, the first with the type, then qualifiers."""
+    at = lambda s: F.when(s["strand"] == "-", F.concat_ws("\t", s["stop"].cast("string"), s["start"].cast("string"))).otherwise(F.concat_ws("\t", s["start"].cast("string"), s["stop"].cast("string")))
+    spans = F.transform("spans", lambda s, i: F.when(i == 0, F.concat_ws("\t", at(s), F.col("type"))).otherwise(at(s)))
+    quals = F.transform("qualifiers", lambda q: F.concat(F.lit("\t\t\t"), F.concat_ws("\t", q["key"], q["value"])))
+    return df.select(F.array_join(F.concat(spans, quals), "\n").alias("value"))
+
+
+def mask_lines(spans: DataFrame, form: str = "interval") -> DataFrame:
+    """Masked stretches (seqid, lo, hi), from 0 and inclusive, of each sequence in order: interval (``>id`` and lines ``lo - hi``) or acclist (``id lo hi``, a row each)."""
+    if form == "acclist":
+        return spans.select(_line(F.col("seqid"), F.col("lo"), F.col("hi")))
+    if form != "interval":
+        raise ValueError(f"unknown form {form!r}; there are interval, acclist")
+    s = spans.groupBy("seqid").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("s"))
+    return s.select(F.concat_ws("\n", F.concat(F.lit(">"), "seqid"), F.array_join(F.transform("s", lambda x: F.concat_ws(" - ", x["lo"].cast("string"), x["hi"].cast("string"))), "\n")).alias("value"))
+
+
+def masked_fasta(seqs: DataFrame, spans: DataFrame, hard: bool = False) -> DataFrame:
+    """(id, title, seq) with masked stretches in lower case, or as N."""
+    s = spans.groupBy(F.col("seqid").alias("id")).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("s"))
+    part = lambda lo, hi: F.substr(F.col("seq"), lo + 1, hi - lo + 1)
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("t"))
+
+    def step(acc: Column, x: Column) -> Column:
+        lo = F.greatest(x["lo"].cast("long"), acc["at"])
+        body = part(lo, x["hi"].cast("long"))
+        return F.when(x["hi"] < acc["at"], acc).otherwise(F.struct((x["hi"].cast("long") + 1).alias("at"), F.concat(acc["t"], part(acc["at"], lo - 1), F.repeat(F.lit("N"), F.length(body)) if hard else F.lower(body)).alias("t")))
+
+    joined = seqs.join(s, "id", "left")
+    masked = F.aggregate(F.coalesce("s", F.array().cast("array<struct<lo:long,hi:long>>")), zero, step, lambda acc: F.concat(acc["t"], F.substr(F.col("seq"), acc["at"] + 1)))
+    return joined.select("id", "title", masked.alias("seq"))
+
+
 def write_lines(lines: DataFrame, path: str, mode: str = "errorifexists") -> None:
     lines.write.mode(mode).text(path)
 

@@ -51,6 +51,7 @@ def test_agp(spark, put):
     text = "#c\nchr1\t1\t100\t1\tF\tctg1\t1\t100\t+\nchr1\t101\t150\t2\tN\t50\tcontig\tyes\tmap\nchr1\t151\t260\t3\tF\tctg2\t1\t100\t+\nchr1\t261\t300\t4\tU\t40\tcontig\tno\tna\n"
     agp = R.read_agp(spark, put("a.agp", text))
     assert agp.where("part = 2").first().gap_length == 50
+    assert values(W.agp_lines(agp)) == sorted(text.split("\n")[1:-1])
     assert {(r.part, r.problem) for r in R.agp_problems(agp).collect()} == {(3, "component and object lengths differ"), (4, "gap of unknown length is not 100")}
 
 
@@ -104,3 +105,47 @@ def test_stream_of_jobs(spark, sf, tmp_path):
     q.awaitTermination(120)
     want = {r.event_type: r["count"] for r in whole.groupBy("event_type").count().collect()}
     assert {r.state: r.n for r in spark.table("job_states").collect()} == want
+
+
+def test_lines_of_files_that_are_cut_in_blocks(spark, tmp_path):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        (tmp_path / "q").mkdir()
+        want = []
+        for f in range(2):
+            recs = [(f"r{f}.{k}", "ACGT"[: k % 5] * (1 + k % 3), "@I+>"[: k % 5] * (1 + k % 3)) for k in range(40)]
+            want += recs
+            (tmp_path / "q" / f"{f}.fq").write_text("".join(f"@{n}\n{s}\n+\n{q}\n" for n, s, q in recs) + "\n\n")
+        lines = R.numbered_lines(spark, f"{tmp_path}/q")
+        assert lines.select("file", "block").distinct().count() > 4
+        assert sorted(map(tuple, R.read_fastq(spark, f"{tmp_path}/q").collect())) == sorted(want)
+        values_ = "\n".join(str(k) for k in range(60))
+        (tmp_path / "a.wig").write_text(f"fixedStep chrom=c1 start=10 step=5\n{values_}\nvariableStep chrom=c2 span=3\n7 0.5\n")
+        got = sorted(map(tuple, R.read_wiggle(spark, f"{tmp_path}/a.wig").collect()))
+        assert got == [("c1", 10 + 5 * k, 1, float(k)) for k in range(60)] + [("c2", 7, 3, 0.5)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_more_formats(spark, put):
+    gvf = R.read_gvf(spark, put("a.gvf", "##gvf-version 1\nc\ts\tSNV\t5\t5\t.\t+\t.\tID=1;Variant_seq=A,G;Reference_seq=C\n")).first()
+    assert (gvf.reference_seq, gvf.variant_seqs) == ("C", ["A", "G"])
+    bed = R.read_bed15(spark, put("a.bed15", "c\t1\t9\tn\t5\t+\t1\t9\t0\t2\t3,2,\t0,6,\t2\t0,1,\t-0.5,1.5,\n")).first()
+    assert (bed.block_sizes, bed.exp_ids, bed.exp_scores) == ([3, 2], [0, 1], [-0.5, 1.5])
+    genes = R.read_glimmer3(spark, put("g", ">s1 x\norf1 10 40 +1 5.5\norf2 90 60 -2 7\n>s2\norf1 1 9 +3 1\n")).collect()
+    assert sorted((g.seqid, g.name, g.start, g.stop, g.strand) for g in genes) == [("s1", "orf1", 10, 40, "+"), ("s1", "orf2", 60, 90, "-"), ("s2", "orf1", 1, 9, "+")]
+    table = ">Feature s1\n<1\t90\tgene\n\t\t\tgene\tx\n90\t50\tCDS\n40\t10\n\t\t\tproduct\tp q\n\t\t\tpseudo\n>Feature s2 t\n3\t>4\tgene\n"
+    df = R.read_feature_table(spark, put("t.tbl", table))
+    got = {(r.seqid, r.run): (r.type, [tuple(s) for s in r.spans], [tuple(q) for q in r.qualifiers]) for r in df.collect()}
+    assert got == {("s1", 1): ("gene", [(1, 90, "+")], [("gene", "x")]), ("s1", 2): ("CDS", [(50, 90, "-"), (10, 40, "-")], [("product", "p q"), ("pseudo", None)]), ("s2", 1): ("gene", [(3, 4, "+")], [])}
+    assert "90\t50\tCDS\n40\t10\n\t\t\tproduct\tp q\n\t\t\tpseudo" in values(W.feature_table_lines(df))
+    ace = R.read_ace(spark, put("a.ace", "AS 2 3\n\nCO c1 6 2 1 U\nACG\nT*A\n\nBQ\n20 20\n\nAF r1 U 1\nAF r2 C -3\nRD r1 3 0 0\nACG\n\nCO c2 2 1 0 U\nGG\n\nBQ\n9 9\n\nAF r3 U 1\n")).collect()
+    assert [(r.contig, r.bases, r.seq, [tuple(x) for x in r.reads]) for r in ace] == [("c1", 6, "ACGT*A", [("r1", "+", 1), ("r2", "-", -3)]), ("c2", 2, "GG", [("r3", "+", 1)])]
+    row = spark.range(1).select(R.aligned_pair(F.lit("A--C"), F.lit("A-GC")).alias("p"), R.feature_kind(F.lit("GAP"), ["gap"], ["x"]).alias("k"), R.feature_kind(F.lit("X"), ["gap"], ["x"]).alias("d")).first()
+    assert (tuple(row.p), row.k, row.d) == (("A-C", "AGC"), "warn", "disallowed")
+    seqs = spark.createDataFrame([("a", "t", "ACGTACGT"), ("b", "", "GG")], "id string, title string, seq string")
+    spans = spark.createDataFrame([("a", 1, 2), ("a", 2, 4), ("a", 7, 7)], "seqid string, lo long, hi long")
+    assert [r.seq for r in W.masked_fasta(seqs, spans).orderBy("id").collect()] == ["AcgtaCGt", "GG"] and W.masked_fasta(seqs, spans, hard=True).orderBy("id").first().seq == "ANNNNCGN"
+    assert values(W.mask_lines(spans)) == [">a\n1 - 2\n2 - 4\n7 - 7"] and values(W.mask_lines(spans, "acclist"))[0] == "a\t1\t2"
