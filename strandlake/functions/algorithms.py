@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -268,3 +270,44 @@ def rerooted(edges: list[tuple[str, str, float]], leaf: str) -> list[tuple[str,
                 out.append((at, b, n))
                 todo.append(b)
     return out
+
+
+#: Molecules of query and subject of each search program, and whether it translates either: fixed values.
+PROGRAMS = {
+    "blastn": ("nucleotide", "nucleotide", False, False), "blastp": ("protein", "protein", False, False), "blastx": ("nucleotide", "protein", True, False),
+    "tblastn": ("protein", "nucleotide", False, True), "tblastx": ("nucleotide", "nucleotide", True, True), "psiblast": ("protein", "protein", False, False),
+    "rpsblast": ("protein", "protein", False, False), "rpstblastn": ("nucleotide", "protein", True, False), "phiblastp": ("protein", "protein", False, False),
+    "deltablast": ("protein", "protein", False, False), "rmblastn": ("nucleotide", "nucleotide", False, False),
+}
+
+
+def center_star(seqs: list[str]) -> list[str]:
+    """Rows of one length of a multiple alignment: all are aligned to the sequence of best summed scores, and gaps once opened stay."""
+    if not seqs:
+        return []
+    total = [sum(global_alignment(a, b) for b in seqs) for a in seqs]
+    center = int(np.argmax(total))
+    ins, edits = [0] * (len(seqs[center]) + 1), []
+    for s in seqs:
+        ops = [op for n, op in re.findall(r"(\d+)([MID])", traceback(s, seqs[center])[1]) for _ in range(int(n))]
+        edits.append(ops)
+        j = run = 0
+        for op in [*ops, "M"]:
+            if op == "I":
+                run += 1
+            else:
+                ins[j] = max(ins[j], run)
+                j, run = j + 1, 0
+    out = []
+    for s, ops in zip(seqs, edits):
+        row, i, j, run = "", 0, 0, 0
+        for op in [*ops, "end"]:
+            if op == "I":
+                row, i, run = row + s[i], i + 1, run + 1
+                continue
+            row += "-" * (ins[j] - run)
+            if op != "end":
+                row, i = (row + s[i], i + 1) if op == "M" else (row + "-", i)
+            j, run = j + 1, 0
+        out.append(row)
+    return out

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import base64
 import re
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -124,3 +127,124 @@ def porter(word: str) -> str:
 @F.pandas_udf(T.StringType())
 def stem(s: pd.Series) -> pd.Series:
     return s.map(lambda w: None if w is None else porter(w))
+
+
+def approximate_end(text: str, pattern: str) -> tuple[int, int]:
+    """(edits, end) of the best place in a text for a pattern: fewest edits, then the first end, inclusive; end -1 before the text."""
+    t = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    at = np.arange(len(t) + 1)
+    row = np.zeros(len(t) + 1, np.int64)
+    for k, ch in enumerate(pattern):
+        new = np.concatenate(([k + 1], np.minimum(row[:-1] + (t != ord(ch)), row[1:] + 1)))
+        row = np.minimum.accumulate(new - at) + at  # a text letter left out costs one for each place passed
+    best = int(row.argmin())
+    return int(row[best]), best - 1
+
+
+def agrep(c: Column, pattern: str, most: int) -> Column:
+    """End of the best match of a pattern with at most so many edits; null where there is none."""
+
+    def run(s: pd.Series) -> pd.Series:
+        found = [None if x is None else approximate_end(x, pattern) for x in s]
+        return pd.Series([f[1] if f is not None and f[0] <= most else None for f in found], dtype="Int64")
+
+    return F.pandas_udf(run, "long")(c)
+
+
+def _quoted(x: str) -> str:
+    return re.sub(r"([^A-Za-z0-9_\s])", r"\\\1", x)
+
+
+def fgrep(c: Column, patterns: Sequence[str]) -> Column:
+    """Place from 0 of the first of these texts; -1 where none is."""
+    return F.regexp_instr(c, F.lit("|".join(f"(?:{_quoted(p)})" for p in patterns))) - 1
+
+
+def find_text(c: Column, what: str, ignore_case: bool = False, whole_word: bool = False) -> Column:
+    """Place from 0 of a text, perhaps whatever its case, or between characters that are none of a word; -1 where it is not."""
+    p = ("(?i)" if ignore_case else "") + (rf"(?<!\w){_quoted(what)}(?!\w)" if whole_word else _quoted(what))
+    return F.regexp_instr(c, F.lit(p)) - 1
+
+
+def wildcard(c: Column, include: Sequence[str] = ("*",), exclude: Sequence[str] = ()) -> Column:
+    """Whether a name fits one of the masks (``*`` any text, ``?`` any character) and none of the others."""
+    regex = lambda m: "^" + "".join(".*" if ch == "*" else "." if ch == "?" else _quoted(ch) for ch in m) + "$"
+    fits = lambda masks: c.rlike("|".join(regex(m) for m in masks)) if masks else F.lit(False)
+    return fits(include) & ~fits(exclude)
+
+
+def field_rule(value: Column, rule: Column) -> Column:
+    """Whether a value fits a rule's expression, in which ``\\|``, ``\\(`` and ``\\)`` stand for the bare characters; no rule accepts all."""
+    return rule.isNull() | F.coalesce(F.regexp_like(value, F.regexp_replace(rule, r"\\([|()])", "$1")), F.lit(False))
+
+
+def compare_dates(a: Column, b: Column) -> Column:
+    """before, same, after or unknown of (year, month, day, text) dates.
+
+    Two with years compare by the parts, of which a missing one differs from any other in a way unknown; two equal texts are the same.
+    """
+    out = F.when(a["year"].isNull() | b["year"].isNull(), F.when(a["year"].isNull() & b["year"].isNull() & (a["text"] == b["text"]), "same").otherwise("unknown"))
+    for part in ("year", "month", "day"):
+        x, y = a[part], b[part]
+        out = out.when(x < y, "before").when(x > y, "after").when(x.isNull() != y.isNull(), "unknown")
+    return out.otherwise("same")
+
+
+def ascii85(c: Column) -> Column:
+    """Ascii85 of a text's UTF-8 bytes."""
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else base64.a85encode(x.encode()).decode()), "string")(c)
+
+
+def fasta_id(c: Column) -> Column:
+    """Map of the ``type|value`` pairs of a bar-separated id; an id without bars is ``lcl``."""
+    p = F.filter(F.split(c, r"\|"), lambda x, i: (x != "") | (i % 2 == 1))
+    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(p) / 2).cast("int") - 1, F.lit(0))), lambda i: F.struct(F.get(p, 2 * i), F.get(p, 2 * i + 1)))
+    return F.when(F.locate("|", c) == 0, F.create_map(F.lit("lcl"), c)).otherwise(F.map_from_entries(pairs))
+
+
+def hgvs(c: Column) -> Column:
+    """(accession, kind, start, stop, ref, alt) of a change such as ``NM_1.2:c.76A>T`` or ``NC_1.1:g.5_9del``; parts that it lacks are null."""
+    p = r"^([^:]+):([cgmnpr])\.(-?\d+)(?:_(-?\d+))?(?:([ACGTU]+)>([ACGTU]+)|(delins|del|dup|ins|inv)([ACGTU]*))$"
+    g = lambda k: F.nullif(F.regexp_extract(c, p, k), F.lit(""))
+    return F.struct(g(1).alias("accession"), g(2).alias("kind"), g(3).cast("long").alias("start"), F.coalesce(g(4), g(3)).cast("long").alias("stop"), g(5).alias("ref"), F.coalesce(g(6), g(8)).alias("alt"), F.coalesce(g(7), F.when(g(6).isNotNull(), F.lit("sub"))).alias("op"))
+
+
+#: Read names of three platforms, with their coordinates as groups: fixed patterns.
+SPOT_NAMES = {
+    "illumina": (r"^(.*?)[:_](\d+)[:_](\d+)[:_](-?\d+)[:_](-?\d+)(?:[#/ ].*)?$", ("name", "lane", "tile", "x", "y")),
+    "abi": (r"^(?:(.*)_)?(\d+)_(\d+)_(\d+)$", ("name", "panel", "x", "y")),
+    "ion_torrent": (r"^([A-Z0-9]+):(\d+):(\d+)$", ("name", "row", "col")),
+}
+
+
+def spot_tokens(c: Column, platform: str) -> Column:
+    """(name, start, length) of each coordinate of a read's name, in order; none of a name in another form."""
+    pattern, names = SPOT_NAMES[platform]
+    whole, at, out = F.regexp_extract(c, pattern, 0), F.lit(0), []
+    for k, n in enumerate(names, 1):
+        g = F.regexp_extract(c, pattern, k)
+        start = F.when(F.length(g) == 0, at).otherwise(F.position(g, c) - 1) if k == 1 else _locate_from(c, g, at)
+        out.append(F.struct(F.lit(n).alias("name"), start.alias("start"), F.length(g).alias("length")))
+        at = start + F.length(g)
+    return F.when(whole == "", F.array().cast("array<struct<name:string,start:int,length:int>>")).otherwise(F.array(*out))
+
+
+def _locate_from(c: Column, what: Column, at: Column) -> Column:
+    """Place from 0 of a text at or after a place."""
+    return at + F.position(what, F.substr(c, at + 1)) - 1
+
+
+def extract_token(c: Column, tokens: Column, k: int) -> Column:
+    """Text of a token; empty where there is no such one."""
+    t = F.get(tokens, F.lit(k))
+    return F.coalesce(F.substr(c, t["start"] + 1, t["length"]), F.lit(""))
+
+
+def rewrite_name(c: Column, tokens: Column, template: str) -> Column:
+    """The template with ``$name`` put for each token's text."""
+    named = lambda n: lambda x: x["name"] == n
+    out = F.lit(template)
+    for n in sorted({n for _, names in SPOT_NAMES.values() for n in names}, key=lambda n: (-len(n), n)):
+        hit = F.filter(tokens, named(n))
+        out = F.replace(out, F.lit(f"${n}"), F.when(F.size(hit) > 0, extract_token(c, hit, 0)).otherwise(F.lit(f"${n}")))
+    return out

@@ -8,9 +8,11 @@ from strandlake.functions import algorithms as A
 from strandlake.functions import masking as M
 from strandlake.functions import reads as Q
 from strandlake.functions import seq as S
+from strandlake.functions import text as X
 from strandlake.operators import alignments as L
 from strandlake.operators import intervals as I
 from strandlake.operators import rows as R
+from strandlake.plans import registry as G
 from strandlake.queries import D_SQL, S_SQL, dna, query, spans, t, text_of
 from strandlake.sources import tables as B
 
@@ -277,3 +279,45 @@ def cache_newest(spark, d):
 @query(f"SELECT p_brand, CAST(sum(length(seq)) AS BIGINT) AS total, md5(string_agg(seq, '' ORDER BY p_partkey)) AS md5 FROM {D_SQL} GROUP BY 1")
 def reference_checksums(spark, d):
     return B.id_checksums(dna(spark, d), "p_brand", "p_partkey", "seq").select("p_brand", "total", "md5")
+
+
+# --- text and edits -------------------------------------------------------------
+
+
+@query(
+    "SELECT o_orderkey, CASE WHEN op = 'upsert' THEN q ELSE o_custkey END AS o_custkey FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(CASE WHEN l_returnflag = 'R' THEN 'delete' ELSE 'upsert' END, l_partkey * 1000000 + l_suppkey * 100 + l_linenumber) AS op, "
+    "arg_max(l_partkey, l_partkey * 1000000 + l_suppkey * 100 + l_linenumber) AS q FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1) ON l_orderkey = o_orderkey WHERE op IS DISTINCT FROM 'delete'"
+)
+def edited_orders(spark, d):
+    """Orders after the committed edits that lines stand for."""
+    e = t(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), (F.col("l_partkey") * 1000000 + F.col("l_suppkey") * 100 + F.col("l_linenumber")).alias("seq"), F.when(F.col("l_returnflag") == "R", "delete").otherwise("upsert").alias("op"),
+        (F.col("l_linestatus") == "F").alias("committed"), F.col("l_partkey").alias("o_custkey"),
+    )
+    o = t(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return G.apply_edits(o, e.join(o.select("o_orderkey"), "o_orderkey", "left_semi"), "o_orderkey")
+
+
+@query("SELECT doc_id, least(CASE WHEN instr(text, 'token') > 0 THEN instr(text, 'token') ELSE 1000000000 END, CASE WHEN instr(text, 'data') > 0 THEN instr(text, 'data') ELSE 1000000000 END) - 1 AS place FROM documents WHERE contains(text, 'token') OR contains(text, 'data')")
+def text_multi_search(spark, d):
+    place = X.fgrep(F.col("text"), ["token", "data"])
+    return t(spark, d, "documents").where(place >= 0).select("doc_id", place.alias("place"))
+
+
+@query("SELECT p_partkey, p_brand FROM part WHERE regexp_matches(p_type, '^.*S.*$') AND NOT regexp_matches(p_type, '^E.*$') AND p_name NOT LIKE '%x'")
+def text_wildcards(spark, d):
+    return t(spark, d, "part").where(X.wildcard(F.col("p_type"), ["*S*"], ["E*"]) & X.wildcard(F.col("p_name"), exclude=["*x"])).select("p_partkey", "p_brand")
+
+
+@query()
+def text_approximate_search(spark, d):
+    """Benchmark items by where a phrase stands in them with at most two edits."""
+    return t(spark, d, "documents").select("doc_id", X.agrep(F.col("text"), "tokens", 2).alias("at")).where("at is not null")
+
+
+@query("SELECT c_custkey, regexp_extract(c_name, '^([A-Za-z]+)', 1) AS name, CAST(length(c_name) AS BIGINT) AS n FROM customer")
+def spot_name_tokens(spark, d):
+    """Coordinates of read names, taken apart and put together again."""
+    name = F.concat(F.regexp_extract("c_name", "^([A-Za-z]+)", 1), F.lit(":3:17:"), F.length("c_name").cast("string"), F.lit(":-5"))
+    x = t(spark, d, "customer").withColumn("spot", name).withColumn("tok", X.spot_tokens(F.col("spot"), "illumina"))
+    return x.select("c_custkey", X.extract_token(F.col("spot"), F.col("tok"), 0).alias("name"), X.rewrite_name(F.col("spot"), F.col("tok"), "$x").cast("long").alias("n"))

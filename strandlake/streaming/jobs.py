@@ -46,3 +46,29 @@ def windowed_counts(events: DataFrame, ts: str, size: str, delay: str) -> DataFr
 def sync_log(log: DataFrame) -> DataFrame:
     """Last writer of each key: later time wins, then on one server the later record, then a write over any other event, then the larger server id."""
     return latest(log.withColumn("is_write", (F.col("op") == "write").cast("int")), "key", ["time", "record", "is_write", "server"]).drop("is_write")
+
+
+def due(entries: DataFrame, now_us: int) -> DataFrame:
+    """Entries (id, timeout_us) whose time has come, the earliest first."""
+    return entries.where(F.col("timeout_us") <= now_us).orderBy("timeout_us", "id")
+
+
+def without_batches(events: DataFrame, undone: DataFrame) -> DataFrame:
+    """Events of batches that were not undone."""
+    return events.join(undone.select("batch").distinct(), "batch", "left_anti")
+
+
+def append_once(path: str):
+    """Sink for ``foreachBatch``: a batch that is run again replaces its own files, so each counts once."""
+
+    def sink(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    return sink
+
+
+def mates(left: DataFrame, right: DataFrame, key: str, seconds: int, delay: str) -> DataFrame:
+    """Pairs of rows of two streams with one key and times (``ts``, ``ts2``) at most so far apart; state older than that and ``delay`` is dropped."""
+    a, b = left.withWatermark("ts", delay), right.withColumnRenamed(key, "_key2").withWatermark("ts2", delay)
+    far = F.expr(f"interval {seconds} seconds")
+    return a.join(b, (F.col(key) == F.col("_key2")) & (F.col("ts2") >= F.col("ts") - far) & (F.col("ts2") <= F.col("ts") + far)).drop("_key2")
