@@ -29,9 +29,9 @@ def base_code(b: Column) -> Column:
 
 def color_from_dna(seq: Column, primer: str = "A") -> Column:
     """Colours of successive pairs of bases, the first with the primer's; 4 where either base is unknown."""
-    codes = F.transform(letters(F.concat(F.lit(primer), seq)), base_code)
-    color = lambda i: F.when((F.get(codes, i) == 4) | (F.get(codes, i - 1) == 4), 4).otherwise(F.get(codes, i).bitwiseXOR(F.get(codes, i - 1)))
-    return F.when(F.length(seq) > 0, F.transform(F.sequence(F.lit(1), F.length(seq)), color)).otherwise(F.array().cast("array<int>"))
+    codes = lambda x: F.transform(letters(x), base_code)
+    before = codes(F.substr(F.concat(F.lit(primer), seq), F.lit(1), F.length(seq)))
+    return F.zip_with(before, codes(seq), lambda x, y: F.when((x == 4) | (y == 4), 4).otherwise(x.bitwiseXOR(y)))
 
 
 def dna_from_color(colors: Column, primer: str = "A") -> Column:

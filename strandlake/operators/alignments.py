@@ -12,17 +12,19 @@ _EATS_READ, _EATS_REF = ("M", "I", "S", "=", "X"), ("M", "D", "N", "=", "X")
 
 
 def aligned_columns(cigar: Column) -> Column:
-    """(r, q) of every reference place, from 0, that a CIGAR string covers; q is the place in the read, null in a deletion."""
-    ops = S.cigar_ops(cigar)
-    eaten = lambda upto, kinds: F.aggregate(F.filter(F.slice(ops, F.lit(1), upto), lambda o: o["op"].isin(*kinds)), F.lit(0), lambda s, o: s + o["n"])
+    """(r, q) of every reference place, from 0, that a CIGAR string covers; q is the place in the read, null in a deletion. One pass over its parts."""
+    zero = F.struct(F.lit(0).alias("r"), F.lit(0).alias("q"), F.array().cast("array<struct<op:string,n:int,r:int,q:int>>").alias("parts"))
 
-    def places(o: Column, i: Column) -> Column:
-        r, q = eaten(i, _EATS_REF), eaten(i, _EATS_READ)
-        at = F.when(o["n"] > 0, F.sequence(F.lit(0), o["n"] - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda k: F.struct((r + k).alias("r"), F.when(o["op"] != "D", q + k).alias("q")))
+    def step(acc: Column, o: Column) -> Column:
+        eats = lambda kinds: F.when(o["op"].isin(*kinds), o["n"]).otherwise(0)
+        part = F.struct(o["op"].alias("op"), o["n"].alias("n"), acc["r"].alias("r"), acc["q"].alias("q"))
+        return F.struct((acc["r"] + eats(_EATS_REF)).alias("r"), (acc["q"] + eats(_EATS_READ)).alias("q"), F.concat(acc["parts"], F.array(part)).alias("parts"))
 
-    none = F.array().cast("array<struct<r:int,q:int>>")
-    return F.flatten(F.transform(ops, lambda o, i: F.when(o["op"].isin("M", "=", "X", "D"), places(o, i)).otherwise(none)))
+    def places(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), p["n"] - 1), lambda k: F.struct((p["r"] + k).alias("r"), F.when(p["op"] != "D", p["q"] + k).alias("q")))
+
+    parts = F.aggregate(S.cigar_ops(cigar), zero, step, lambda acc: acc["parts"])
+    return F.flatten(F.transform(F.filter(parts, lambda p: p["op"].isin("M", "=", "X", "D") & (p["n"] > 0)), places))
 
 
 def chunked_reference(refs: DataFrame, width: int = 5000) -> DataFrame:
