@@ -174,7 +174,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
     if not counts:
         return Model(np.zeros((0, 1 << BITS)), [])
-    # hash draws of about twice as many as wanted, then the first of them by hash
+    # hash draws of somewhat more than wanted; of more than 1.5 times as many, every so manyth in order of content
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 1.2 * per_lang / n + 20 / n))])[F.col("lang")]
     got = rows.where(draw < share).mapInArrow(_sampled, "lang string, x binary").limit(4 * per_lang * len(counts)).collect()
