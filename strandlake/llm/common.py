@@ -145,9 +145,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.n
     """Sorted distinct 64-bit shingle hashes of each text; shorter texts are one shingle, wordless ones none."""
     h, at = word_hashes(data, offsets)
     keys = [np.uint64(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1) for k in range(width)]
-    full = np.zeros(max(0, len(h) - width + 1), np.uint64)
+    room = max(0, len(h) - width + 1)
+    full = np.zeros(room, np.uint64)
     for k in range(width):
-        full += mix64(h[k : len(h) - width + 1 + k] ^ keys[k])
+        full += mix64(h[k : k + room] ^ keys[k])
     full = mix64(full)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandlake.llm import bpe, chat, edit_counts, langid, near_vectors, ngram_join, packing, quality, sharding, topk_search, vocab
-from strandlake.llm.common import connected_components, held_out, held_out_py
+from strandlake.llm.common import connected_components, held_out, held_out_py, shingle_sets
 
 LONG = "lang " * 30_000
 ODD = [None, "", " \n\t ", "a", "Ein Wort", LONG, "x" * 5000, "tie tie tie", "tie tie tie", "日本語 テキスト ꟎", "<|endoftext|> x<|endoftext|>", "1234 5678!!", "a\x00b �"]
@@ -201,6 +201,23 @@ def test_keep_one_of_each_group(spark, docs, rows):
     assert got == Counter(dict.fromkeys([*want, None], 1))
 
 
+@pytest.mark.parametrize("width", [1, 3, 5])
+def test_shingles_of_a_step_of_few_words(width):
+    """A step of one text with fewer words than a shingle, or with a few more."""
+    for n in range(8):
+        text = " ".join(f"w{k}" for k in range(n)).encode()
+        (got,) = shingle_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), width)
+        assert len(got) == (max(1, n - width + 1) if n else 0)
+        # the same as in a step with a long text
+        more = text + b" ".join(b"v%d" % k for k in range(20))
+        assert got.tolist() == shingle_sets(np.frombuffer(more, np.uint8), np.array([0, len(text), len(more)]), width)[0].tolist()
+
+
+def test_keep_one_of_a_three_word_table(spark):
+    df = spark.createDataFrame([(7, "one two three")], "doc_id long, text string")
+    assert [r.doc_id for r in ngram_join.keep_one_of_each_group(df).collect()] == [7]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)]
