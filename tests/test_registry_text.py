@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandlake import domain_queries
 from strandlake.functions import algorithms as A
 from strandlake.functions import text as X
 from strandlake.plans import registry as G
@@ -73,6 +74,32 @@ def test_dates_ids_names(spark):
     assert one(spark, X.rewrite_name(name, tok, "$lane.$tile.$x.$y"), F.size(X.spot_tokens(F.lit("other"), "illumina")), X.extract_token(F.lit("R1:7:9"), X.spot_tokens(F.lit("R1:7:9"), "ion_torrent"), 2)) == ["2.3.44.-5", 0, "9"]
 
 
+def test_alternates_are_all_words_within_two_edits(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            left, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+        return row[-1]
+
+    rng = random.Random(6)
+    words = {"receive", "recieve", "a", "bc", "b", "cat", "cart", "chart"}
+    for n in [*range(1, 24), 40]:
+        word = "".join(rng.choice("abc") for _ in range(n))
+        for _ in range(8):
+            new = word
+            for _ in range(rng.randrange(1, 4)):
+                k = rng.randrange(len(new) + 1)
+                new = new[:k] + rng.choice(["", "x", "b"]) + new[k + rng.randrange(2) :]
+            words |= {word, new} - {""}
+    got = domain_queries.near_words(spark.createDataFrame([(w,) for w in sorted(words)], "w string")).collect()
+    want = {(a, b, edits(a, b)) for a in words for b in words if a != b and abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and ("receive", "recieve", 2) in want
+    kept = {(r.w, r.alternate) for r in got}
+    assert {("cat", "cart"), ("cart", "chart"), ("a", "bc")} <= kept
+
+
 def test_multiple_alignment():
     rng = random.Random(4)
     for n in range(6):
