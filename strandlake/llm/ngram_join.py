@@ -23,8 +23,8 @@ Documents are sets of word shingles. Two documents link when
 
 Defined results: null and wordless texts are empty sets that link with nothing;
 a text of fewer words than a shingle is one shingle; repeated rows are one class;
-rows without doc_id take part under no id and get a null component. Other
-columns are ignored. Set elements are 64-bit hashes.
+rows without doc_id take part under no id: they link others, and get a null
+component. Other columns are ignored. Set elements are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -276,10 +276,11 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
     levels = spark.sparkContext.broadcast(token_levels(docs, width).tobytes())
     sets = written(docs.mapInArrow(_prefixes(width, num, den, levels), SETS), "join-sets")
     some = sets.where("n_shingles > 0")
-    classes = written(
-        some.groupBy("class_id").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "join-classes"
-    )
-    first = some.select("class_id", F.col("doc_id").alias("rep"), "n_shingles", "tokens", "roomy", "bins")
+    # a class that only rows without doc_id hold is represented by a negative number made from its fingerprint
+    made = F.expr("xxhash64(class_id) | shiftleft(-1L, 63)")
+    classes = some.groupBy("class_id").agg(F.min("doc_id").alias("least"))
+    classes = written(classes.select("class_id", F.coalesce("least", made).alias("rep"), "least"), "join-classes")
+    first = some.select("class_id", F.coalesce("doc_id", made).alias("rep"), "n_shingles", "tokens", "roomy", "bins")
     # a row of an id and a set that repeats counts once
     reps = first.join(classes, ["class_id", "rep"]).groupBy("class_id", "rep").agg(*[F.first(c).alias(c) for c in ("n_shingles", "tokens", "roomy", "bins")])
     reps = written(reps, "join-reps")
@@ -326,11 +327,11 @@ def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 1
         roles.join(chosen, "class_id").select("grp", "turn", "query", "rep", "set")
         .groupBy("grp", "turn").applyInPandas(_opened(num, den), "src long, dst long")
     )
-    parent = connected_components(edges)
-    classes = written(
-        classes.join(parent.withColumnRenamed("node", "rep"), "rep", "left").select("class_id", F.coalesce("component", "rep").alias("component")),
-        "join-components",
-    )
+    parent = connected_components(edges).withColumnRenamed("node", "rep")
+    if not classes.where("least is null").isEmpty():  # made numbers link, but the smallest id is one of those given
+        parent = written(parent.join(classes.select("rep", "least"), "rep"), "join-parent")
+        parent = parent.join(parent.groupBy("component").agg(F.min("least").alias("named")), "component").select("rep", F.col("named").alias("component"))
+    classes = written(classes.join(parent, "rep", "left").select("class_id", F.coalesce("component", "rep").alias("component")), "join-components")
     return (
         sets.select("doc_id", "n_shingles", "class_id").join(classes, "class_id", "left")
         .select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

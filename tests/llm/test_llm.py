@@ -218,6 +218,18 @@ def test_keep_one_of_a_three_word_table(spark):
     assert [r.doc_id for r in ngram_join.keep_one_of_each_group(df).collect()] == [7]
 
 
+def test_rows_without_id_link_others(spark):
+    base = [f"w{k}" for k in range(60)]
+    change = lambda *at: " ".join("x" if k in at else w for k, w in enumerate(base))
+    rows = [(7, change()), (None, change(59)), (9, change(59, 0)), (-3, "some other text of words"), (None, "no other text is like it at all"), (None, "a near pair without any id x y z " * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    apart = {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df.where("doc_id is not null"), 3, 96, 100).collect()}
+    assert apart == {7: 7, 9: 9, -3: -3}
+    got = sorted((r.doc_id is None, r.doc_id, r.component_id) for r in ngram_join.jaccard_classes(df, 3, 96, 100).collect() if r.doc_id is not None)
+    assert got == [(False, -3, -3), (False, 7, 7), (False, 9, 7)]
+    assert {r.component_id for r in ngram_join.jaccard_classes(df, 3, 96, 100).where("doc_id is null").collect()} == {None}
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(300)] + [(1000, 1000 + k) for k in range(200)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(250)]
