@@ -8,8 +8,8 @@ accelerated gradient descent on the squared hinge loss, from a bounded sample of
 labelled documents (about ``PER_LANG`` a language, half as many again at most).
 
 A text that is null or has no letter is ``und`` with score 0. The score is the
-smaller of the logistic values of the family's margin and of the language's least
-margin in its pairs. Repeated rows are told each; null langs are not learned
+smaller of the logistic values of half the family's lead over the second family
+(with two families, its margin) and of the language's least margin in its pairs. Repeated rows are told each; null langs are not learned
 from; with no language to learn every text is ``und``.
 """
 
@@ -126,7 +126,8 @@ class Model:
         several = len(self.families) > 1
         fam = margins[:, : len(self.families)] if several else np.full((n, 1), np.inf)
         best = fam.argmax(1)
-        sure = fam[np.arange(n), best]
+        ranked = np.sort(fam, axis=1)
+        sure = (ranked[:, -1] - ranked[:, -2]) / 2 if several else np.full(n, np.inf)
         lang = np.full(n, "", object)
         for k, f in enumerate(self.families):
             rows = np.flatnonzero(best == k)

@@ -348,6 +348,19 @@ def test_langid(spark, sf1, docs):
     assert langid.told(empty(spark)).count() == 0
 
 
+def test_langid_scores_a_family_by_its_lead(monkeypatch):
+    model = langid.Model(np.zeros((0, 1 << langid.BITS)), [])
+    model.langs, model.families, model.pairs = ["en", "fi", "fr"], ["germanic", "romance", "uralic"], []
+    monkeypatch.setattr(model, "margins", lambda data, off: np.array([[-0.2, -1.5, -1.4], [-0.5, -0.5, -2.0]]))
+    lang, score = model.predict(np.zeros(0, np.uint8), np.array([0, 0, 0]))
+    assert lang[0] == "en" and score[0] > 0.9 and score[1] == 0.5
+    # with two families the lead is twice the margin, so the score is the margin's
+    model.langs, model.families = ["en", "fr"], ["germanic", "romance"]
+    monkeypatch.setattr(model, "margins", lambda data, off: np.array([[0.3, -0.3], [-0.1, 0.1]]))
+    lang, score = model.predict(np.zeros(0, np.uint8), np.array([0, 0, 0]))
+    assert list(lang) == ["en", "fr"] and np.allclose(score, 1 / (1 + np.exp(-langid.SHARP * np.array([0.3, 0.1]))))
+
+
 def test_near_vectors(spark, sf1, monkeypatch):
     v = spark.read.parquet(f"{sf1}/embeddings.parquet")
     real = v.collect()
