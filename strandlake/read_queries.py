@@ -271,11 +271,18 @@ def column_id_range(spark, d):
 
 @query("SELECT cache_key, subkey, version, touched_us FROM (SELECT user_id AS cache_key, event_type AS subkey, event_id AS version, epoch_us(ts) AS touched_us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 AND cache_key % 7 = 3")
 def cache_newest(spark, d):
+    """Newest versions of one key in seven; ``cache_newest_all`` asks for all keys."""
     e = t(spark, d, "events").select(F.col("user_id").alias("cache_key"), F.col("event_type").alias("subkey"), F.col("event_id").alias("version"), F.unix_micros(F.col("ts").cast("timestamp")).alias("touched_us"))
     keys = e.select("cache_key").where("cache_key % 7 = 3").distinct()
     return B.cache_get(e, keys)
 
 
+@query("SELECT cache_key, subkey, version, touched_us FROM (SELECT user_id AS cache_key, event_type AS subkey, event_id AS version, epoch_us(ts) AS touched_us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1")
+def cache_newest_all(spark, d):
+    e = t(spark, d, "events").select(F.col("user_id").alias("cache_key"), F.col("event_type").alias("subkey"), F.col("event_id").alias("version"), F.unix_micros(F.col("ts").cast("timestamp")).alias("touched_us"))
+    return B.cache_get(e, e.select("cache_key").distinct())
+
+
 @query(f"SELECT p_brand, CAST(sum(length(seq)) AS BIGINT) AS total, md5(string_agg(seq, '' ORDER BY p_partkey)) AS md5 FROM {D_SQL} GROUP BY 1")
 def reference_checksums(spark, d):
     return B.id_checksums(dna(spark, d), "p_brand", "p_partkey", "seq").select("p_brand", "total", "md5")

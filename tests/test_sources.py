@@ -149,3 +149,11 @@ def test_more_formats(spark, put):
     spans = spark.createDataFrame([("a", 1, 2), ("a", 2, 4), ("a", 7, 7)], "seqid string, lo long, hi long")
     assert [r.seq for r in W.masked_fasta(seqs, spans).orderBy("id").collect()] == ["AcgtaCGt", "GG"] and W.masked_fasta(seqs, spans, hard=True).orderBy("id").first().seq == "ANNNNCGN"
     assert values(W.mask_lines(spans)) == [">a\n1 - 2\n2 - 4\n7 - 7"] and values(W.mask_lines(spans, "acclist"))[0] == "a\t1\t2"
+
+
+def test_cache_newest_of_all_keys(spark, sf):
+    from strandlake import queries as own, read_queries  # noqa: F401  registers its queries
+
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    got = {(r.cache_key, r.subkey) for r in own.queries()["cache_newest_all"](spark, sf).collect()}
+    assert got == {tuple(r) for r in e.select("user_id", "event_type").collect()}
