@@ -120,3 +120,9 @@ def test_streams(spark, tmp_path):
     assert sorted(r.k for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 3, 4, 5]
     e = spark.createDataFrame([(1, 5, 1), (2, 9, 1), (3, 2, 2)], "id int, timeout_us long, batch int")
     assert [r.id for r in J.due(e, 5).collect()] == [3, 1] and [r.id for r in J.without_batches(e, e.where("id = 1")).collect()] == [3]
+
+
+def test_seeds_of_sequences_of_different_brands(spark, sf):
+    brand = {r.p_partkey: r.p_brand for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    got = domain_queries.seeded_similarity(spark, sf).collect()
+    assert any(brand[r.q] != brand[r.s] for r in got) and all(r.q < r.s for r in got)
