@@ -309,12 +309,21 @@ def text_top_terms(spark, d):
 
 @query("SELECT a.item_id AS a, b.item_id AS b, levenshtein(a.k, b.k) AS dist FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS k FROM benchmark) a JOIN (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS k FROM benchmark) b ON a.item_id < b.item_id AND substr(a.k, 1, 2) = substr(b.k, 1, 2)")
 def text_edit_distance(spark, d):
+    """Distances of items with the same first two characters, on printable ASCII; ``text_edit_distance_all`` has neither bound."""
     b = t(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("k"))
     x, y = b.select(F.col("item_id").alias("a"), F.col("k").alias("ka")), b.select(F.col("item_id").alias("b"), F.col("k").alias("kb"))
     pairs = x.join(y, (F.substring("ka", 1, 2) == F.substring("kb", 1, 2)) & (F.col("a") < F.col("b")))
     return pairs.select("a", "b", F.levenshtein("ka", "kb").cast("long").alias("dist"))
 
 
+@query()
+def text_edit_distance_all(spark, d):
+    """Distances in characters of all pairs of benchmark items, on whole texts."""
+    b = t(spark, d, "benchmark")
+    pairs = b.select(F.col("item_id").alias("a"), F.col("text").alias("ka")).join(b.select(F.col("item_id").alias("b"), F.col("text").alias("kb")), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", F.levenshtein("ka", "kb").cast("long").alias("dist"))
+
+
 @query("SELECT c_custkey, CAST(list_reduce(list_transform(string_split(c_name, ''), lambda x: CAST(ascii(x) AS HUGEINT)), lambda h, x: (h * 17 + x) % 2305843009213693952, CAST(0 AS HUGEINT)) AS BIGINT) AS h FROM customer")
 def text_hash17(spark, d):
     return t(spark, d, "customer").select("c_custkey", X.hash17(F.col("c_name")).alias("h"))

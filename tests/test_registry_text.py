@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandlake import domain_queries
+from strandlake import domain_queries, queries
 from strandlake.functions import algorithms as A
 from strandlake.functions import text as X
 from strandlake.plans import registry as G
@@ -126,3 +126,10 @@ def test_seeds_of_sequences_of_different_brands(spark, sf):
     brand = {r.p_partkey: r.p_brand for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
     got = domain_queries.seeded_similarity(spark, sf).collect()
     assert any(brand[r.q] != brand[r.s] for r in got) and all(r.q < r.s for r in got)
+
+
+def test_edit_distances_of_all_pairs_on_whole_texts(spark, tmp_path):
+    rows = [(1, "caf\u00e9"), (2, "cafe"), (3, "xcafe")]
+    spark.createDataFrame(rows, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = queries.queries()["text_edit_distance_all"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(1, 2, 1), (1, 3, 2), (2, 3, 1)}
