@@ -8,6 +8,8 @@ read back with column pruning.
 from __future__ import annotations
 
 import atexit
+import hashlib
+import re
 import tempfile
 import uuid
 import zlib
@@ -23,14 +25,16 @@ from strandlake.session import ship
 #: Text bytes that one vectorised step handles; a longer text is a step alone.
 STEP_BYTES = 1 << 20
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of its own only where that is unset."""
+    """The session's checkpoint folder; one of its own only where that is unset and driver and executors are one process."""
     ship(spark)
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="strandlake-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -40,21 +44,35 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for df in tables:
+        _delete(df._written_at)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    if spark is None:
+        return
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended; the folder is the cluster's to clean
+        return
 
 
 def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; the folder is the cluster's to clean
-            return
+    for path in list(_written):
+        _delete(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,18 +126,22 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2^64
-_powers: dict[str, np.ndarray] = {}
+_BASE = 0x5851F42D4C957F2D
+#: Bytes of a word that the polynomial hash takes; it has known collisions among much longer ones, which are digested instead.
+LONG_WORD = 64
+_UP = np.multiply.accumulate(np.array([1] + [_BASE] * (LONG_WORD - 1), np.uint64))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, STEP_BYTES + 1024)
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[key] = np.multiply.accumulate(p)
-    return _powers["up"], _powers["down"]
+def _hashed(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of the words at [s, e)."""
+    size = np.minimum(e - s, LONG_WORD)
+    first = np.cumsum(size) - size
+    place = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+    h = np.add.reduceat(_BYTE_LOWER[data[place + np.repeat(s, size)]] * _UP[place], first)
+    h = mix64(h + (e - s).astype(np.uint64))
+    for k in np.flatnonzero(e - s > LONG_WORD).tolist():
+        h[k] = int.from_bytes(hashlib.blake2b(_LOWER[data[s[k] : e[k]]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,13 +153,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     first[offsets] = True
     begin = word.copy()
     begin[1:] &= ~word[:-1] | first[1:-1]
-    end = word.copy()
+    end = word
     end[:-1] &= ~word[1:] | first[1:-1]
     s, e = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = _power(len(data))
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_LOWER[data] * up[: len(data)], out=total[1:])
-    h = mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+    h, a = np.empty(len(s), np.uint64), 0
+    while a < len(s):
+        b = max(a + 1, int(np.searchsorted(e, s[a] + STEP_BYTES, "right")))
+        h[a:b] = _hashed(data, s[a:b], e[a:b])
+        a = b
     return h, np.searchsorted(s, offsets)
 
 
@@ -176,29 +199,38 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct(),
         "cc-edges",
     )
+    if e.isEmpty():
+        return e.select(F.col("src").alias("node"), F.col("dst").alias("component"))
     drawn = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
-    labels = None
+    labels = base = None
     while True:
         both = e.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(
             e.select(F.col("dst").alias("node"), F.col("src").alias("other"))
         )
         hook = both.groupBy("node").agg(F.min(drawn("other")).alias("m")).select("node", F.least(F.col("m"), drawn("node"))["id"].alias("up"))
-        hook = written(hook, "cc-hook")
-        then, far = hook.select(F.col("node").alias("up"), F.col("up").alias("next")), hook
+        near = written(hook, "cc-hook")
+        then, far = near.select(F.col("node").alias("up"), F.col("up").alias("next")), near
         for _ in range(2):
             far = far.join(then, "up").select("node", F.col("next").alias("up"))
         hook = written(far, "cc-hook")
+        released(near)
         if labels is None:
-            labels = hook.select("node", F.col("up").alias("root"))
+            labels, table_of = hook.select("node", F.col("up").alias("root")), hook
         else:
             step = hook.select(F.col("node").alias("root"), "up")
             labels = written(labels.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "cc-labels")
+            released(base)
+            table_of = labels
         a = hook.select(F.col("node").alias("src"), F.col("up").alias("a"))
         b = hook.select(F.col("node").alias("dst"), F.col("up").alias("b"))
-        e = written(
+        left = written(
             e.join(a, "src").join(b, "dst").where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct(),
             "cc-edges",
         )
+        released(e)
+        if table_of is not hook:
+            released(hook)
+        e, base = left, table_of
         if e.isEmpty():
             break
     least = written(labels.groupBy("root").agg(F.min("node").alias("component")), "cc-least")

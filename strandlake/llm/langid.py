@@ -5,28 +5,35 @@ linear support vector machine for each family tells it from the others; within a
 family one machine for each pair of languages votes, and the language with most
 votes, then the largest sum of margins, wins. Machines are trained here, by
 accelerated gradient descent on the squared hinge loss, from a bounded sample of
-labelled documents (about ``PER_LANG`` a language, half as many again at most).
+labelled documents: ``PER_LANG`` at most of each of the ``MAX_LANGS`` languages that
+most rows name. Every machine is fitted in a task of its own from the rows that it
+tells apart (of other families a share, about as many as its own); only weights
+reach the driver.
 
 A text that is null or has no letter is ``und`` with score 0. The score is the
 smaller of the logistic values of half the family's lead over the second family
-(with two families, its margin) and of the language's least margin in its pairs. Repeated rows are told each; null langs are not learned
-from; with no language to learn every text is ``und``.
+(with two families, its margin) and of the language's least margin in its pairs.
+Repeated rows are told each. Null langs and texts without a letter are not learned
+from; with no language to learn every text is ``und``, with one language every text
+with a letter is that language with score 1.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import held_out, text_steps
+from strandlake.llm.common import held_out, released, text_steps, written
 from strandlake.session import ship
 
-PER_LANG = 500
+PER_LANG, MAX_LANGS = 500, 100
 BITS = 12
 GRAMS = (2, 3, 4)
 SHARP = 4.0
@@ -76,33 +83,33 @@ def _letters(part: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> np.ndar
 
 def fit_machine(x: np.ndarray, y: np.ndarray, cost: float = 30.0, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine; y is 1 or -1, both kinds weigh the same."""
-    x = np.hstack((x, np.ones((len(x), 1), x.dtype)))
-    c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    reach = 1 + 2 * cost * float((c * (x * x).sum(1)).sum())
-    w = ahead = np.zeros(x.shape[1])
+    c = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
+    y = y.astype(x.dtype)
+    # the bias is the last weight, of a feature that is always one
+    reach = 1 + 2 * cost * float(c @ (np.einsum("ij,ij->i", x, x) + 1))
+    w = ahead = np.zeros(x.shape[1] + 1)
     for t in range(rounds):
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        new = ahead - (ahead - 2 * cost * ((c * y * slack) @ x)) / reach
+        slack = np.maximum(0, 1 - y * (x @ ahead[:-1].astype(x.dtype) + x.dtype.type(ahead[-1])))
+        pull = c * y * slack
+        new = ahead - (ahead - 2 * cost * np.append(pull @ x, pull.sum())) / reach
         ahead, w = new + t / (t + 3) * (new - w), new
     return w[:-1], float(w[-1])
 
 
+def machines_of(langs: list[str]) -> tuple[list[str], list[tuple[str, str]]]:
+    """Families, and pairs of languages within one, that have a machine each (a single family has none)."""
+    families = sorted({family_of(v) for v in langs})
+    return families, [p for p in combinations(sorted(langs), 2) if family_of(p[0]) == family_of(p[1])]
+
+
 class Model:
     """Machines of families and of pairs within them, their weights side by side."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
-        self.langs = sorted(set(langs))
-        self.families = sorted({family_of(v) for v in self.langs})
-        own, fam = np.array(langs, object), np.array([family_of(v) for v in langs], object)
-        machines = []
-        if len(self.families) > 1:
-            machines += [fit_machine(x, np.where(fam == f, 1.0, -1.0)) for f in self.families]
-        self.pairs = [p for p in combinations(self.langs, 2) if family_of(p[0]) == family_of(p[1])]
-        for a, b in self.pairs:
-            some = (own == a) | (own == b)
-            machines.append(fit_machine(x[some], np.where(own[some] == a, 1.0, -1.0)))
-        self.weights = np.array([w for w, _ in machines]).reshape(len(machines), x.shape[1])
-        self.bias = np.array([b for _, b in machines])
+    def __init__(self, langs: list[str], weights: np.ndarray | None = None, bias: np.ndarray | None = None):
+        self.langs = sorted(langs)
+        self.families, self.pairs = machines_of(self.langs)
+        self.weights = np.zeros((0, 1 << BITS)) if weights is None else weights
+        self.bias = np.zeros(0) if bias is None else bias
 
     def margins(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Margins of all machines for each text, (n, machines)."""
@@ -162,32 +169,57 @@ def bags(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part, data, off in text_steps(batch):
+        for part, data, off in text_steps(batch, step=1 << 17):
             has = np.flatnonzero(_letters(part, data, off))
             x = bags(data, off)[has].astype(np.float32)
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("lang")).take(pa.array(has)), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
 
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
-    """Machines from about ``per_lang`` documents of each language, 1.5 times as many at most, none of them held out."""
+    """Machines from ``per_lang`` documents at most of each language, none of them held out."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
     if not counts:
-        return Model(np.zeros((0, 1 << BITS)), [])
-    # hash draws of somewhat more than wanted; of more than 1.5 times as many, every so manyth in order of content
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+        return Model([])
+    # hash draws of somewhat more than wanted, of which the lowest stay; rows of one draw in order of their texts
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     share = F.create_map(*[F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 1.2 * per_lang / n + 20 / n))])[F.col("lang")]
-    got = rows.where(draw < share).mapInArrow(_sampled, "lang string, x binary").limit(4 * per_lang * len(counts)).collect()
-    taken: dict[str, list[np.ndarray]] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], bytes(r["x"]))):
-        taken.setdefault(r["lang"], []).append(np.frombuffer(r["x"], np.float32))
-    langs, xs = [], []
-    for lang, own in sorted(taken.items()):
-        own = own[:: max(1, -(-len(own) // per_lang))] if len(own) > 1.5 * per_lang else own
-        langs += [lang] * len(own)
-        xs += own
-    return Model(np.array(xs, np.float64).reshape(len(xs), -1), langs)
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))
+    some = rows.withColumn("draw", draw).where(F.col("draw") / float(1 << 30) < share).withColumn("nth", nth).where(F.col("nth") <= per_lang)
+    bagged = written(some.select("lang", "text").mapInArrow(_sampled, "lang string, x binary"), "lang-bags")
+    sizes = {r["lang"]: r["count"] for r in bagged.groupBy("lang").count().collect()}  # one row a language, at most MAX_LANGS
+    families, pairs = machines_of(list(sizes))
+    if len(sizes) < 2:
+        return Model(list(sizes))
+    # the machines that a row helps to fit, and on which side; other families' rows are thinned to about a family's own number
+    size_of = {f: sum(n for v, n in sizes.items() if family_of(v) == f) for f in families}
+    several, whole = len(families) > 1, sum(sizes.values())
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs, at, machine, side = batch.column(0).to_pylist(), [], [], []
+            for k, (lang, x) in enumerate(zip(langs, batch.column(1))):
+                lot = zlib.crc32(x.as_buffer()) / 2.0**32
+                for m, f in enumerate(families if several else ()):
+                    own = family_of(lang) == f
+                    if own or lot < max(size_of[f], per_lang) / max(1, whole - size_of[f]):
+                        at.append(k), machine.append(m), side.append(1 if own else -1)
+                for m, p in enumerate(pairs):
+                    if lang in p:
+                        at.append(k), machine.append(len(families) * several + m), side.append(1 if lang == p[0] else -1)
+            for a in range(0, len(at), 512):
+                yield pa.RecordBatch.from_arrays([pa.array(machine[a : a + 512], pa.int32()), pa.array(side[a : a + 512], pa.int32()), batch.column(1).take(pa.array(at[a : a + 512]))], names=["machine", "side", "x"])
+
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["side", "x"], ignore_index=True)  # the same machine in whatever order rows arrive
+        w, b = fit_machine(np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(pdf), -1), pdf["side"].to_numpy())
+        return pd.DataFrame({"machine": [int(pdf["machine"].iloc[0])], "w": [w.tobytes()], "b": [b]})
+
+    got = bagged.mapInArrow(dealt, "machine int, side int, x binary").groupBy("machine").applyInPandas(fitted, "machine int, w binary, b double")
+    got = sorted(got.collect(), key=lambda r: r["machine"])  # weights alone
+    released(bagged)
+    return Model(list(sizes), np.array([np.frombuffer(r["w"]) for r in got]), np.array([r["b"] for r in got]))
 
 
 def _told(model: Model, part: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
