@@ -207,13 +207,14 @@ def encoder(path: str) -> Encoder:
 
 
 def steps(texts: list[str], chars: int = 1 << 19) -> Iterator[list[str]]:
-    """Runs of texts of about so many characters."""
-    run: list[str] = []
+    """Runs of at most 256 texts and, but for a text that is longer alone, so many characters."""
+    run, held = [], 0
     for t in texts:
-        run.append(t)
-        if sum(map(len, run[-1:])) > chars or len(run) >= 256:
+        if run and (held + len(t) > chars or len(run) >= 256):
             yield run
-            run = []
+            run, held = [], 0
+        run.append(t)
+        held += len(t)
     if run:
         yield run
 

@@ -25,12 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import vocab as V
-from strandlake.llm.common import mix64, written
+from strandlake.llm.common import STEP_BYTES, mix64, released, written
 from strandlake.session import ship
 
 DIMS, BITS, BINS = 4, 14, 256
@@ -76,6 +77,16 @@ def curve_keys(counts: np.ndarray) -> np.ndarray:
     return hilbert_key(np.clip((u * (1 << BITS)).astype(np.int64), 0, (1 << BITS) - 1))
 
 
+def runs(sizes: np.ndarray, most: int = 256, reach: int = STEP_BYTES):
+    """(start, stop) of runs of at most so many texts and, but for a text that is longer alone, so many bytes."""
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    at = 0
+    while at < len(sizes):
+        stop = min(len(sizes), at + most, max(at + 1, int(np.searchsorted(total, total[at] + reach, "right")) - 1))
+        yield at, stop
+        at = stop
+
+
 def _encoded(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = V.load(path)
@@ -84,14 +95,14 @@ def _encoded(path: str, end: int):
         part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             texts, ids = batch.column(1), batch.column(0)
-            for at in range(0, len(texts), 512):
-                run_ids = [np.array([*v.encode(t or ""), end], kind) for t in texts.slice(at, 512).to_pylist()]
+            for at, stop in runs(pc.fill_null(pc.binary_length(texts), 0).to_numpy()):
+                run_ids = [np.array([*v.encode(t or ""), end], kind) for t in texts.slice(at, stop - at).to_pylist()]
                 counts = np.zeros((len(run_ids), BINS))
                 for k, x in enumerate(run_ids):
                     counts[k] = np.bincount(bin_of[x], minlength=BINS)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(at, 512), pa.array(np.arange(row, row + len(run_ids)) + (part << 33), pa.int64()), pa.array(curve_keys(counts), pa.int64()),
+                        ids.slice(at, stop - at), pa.array(np.arange(row, row + len(run_ids)) + (part << 33), pa.int64()), pa.array(curve_keys(counts), pa.int64()),
                         pa.array([len(x) for x in run_ids], pa.int64()), pa.array([x.tobytes() for x in run_ids], pa.binary()),
                     ],
                     names=["doc_id", "row", "key", "n", "ids"],
@@ -111,13 +122,14 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = int(ends[-1]) if len(n) else at
 
 
-def _cut(length: int, wide: bool):
+def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, start, size, crc, whole, seq, off = [], [], [], [], [], [], []
             rows = zip(*(batch.column(k).to_pylist() for k in ("doc_id", "place", "n")), batch.column("ids"))
             for doc_id, place, n, raw in rows:
-                ids = np.frombuffer(raw.as_buffer(), "<u4" if wide else "<u2").astype("<u4")
+                raw = raw.as_buffer()
+                ids = np.frombuffer(raw, "<u2" if raw.size == 2 * n else "<u4").astype("<u4")
                 at = 0
                 while at < n:
                     s, o = divmod(place + at, length)
@@ -147,5 +159,4 @@ def pack(docs: DataFrame, length: int = 2048, path: str | None = None, end: int
     bases = spark.createDataFrame(base, "part int, base long")
     places = places.join(F.broadcast(bases), "part").select("row", (F.col("place") + F.col("base")).alias("place"))
     out = rows.select("doc_id", "row", "n", "ids").join(places, "row").select("doc_id", "place", "n", "ids")
-    wide = V.load(path).size > 1 << 16
-    return out.mapInArrow(_cut(length, wide), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return out.mapInArrow(_cut(length), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
