@@ -11,11 +11,15 @@ Documents are sets of word shingles. Two documents link when
    leave room for the overlap needed.
 3. Similar representatives are partitioned into groups: all that share their
    most popular prefix token, cut at a bounded number of tokens. Those without a
-   token of more than ``POPULAR`` documents are groups of one.
-4. Rows of the matrix: a group's prefix tokens and, for every token bin, the
-   largest count among its members. A query goes to a group only if a shared
-   prefix token leaves room and the sum of bin minima reaches the overlap
-   needed.
+   token of more than ``POPULAR`` documents are groups of one. Where a token's
+   documents had to be cut into several groups, links within them are found first,
+   and one document of each local component is compared with those of the
+   token's other groups, level by level; groups that so turn out to lie in one
+   component form a team, and no member of that component asks it.
+4. Rows of the matrix: a group's (or team's) prefix tokens and, for every token
+   bin, the largest count among its members. A query goes to a group only if a
+   shared prefix token leaves room and the sum of bin minima reaches the overlap
+   needed; to a team's groups only if the team let it through.
 5. Inside the group's task the union of all its tokens bounds the overlap
    again; only if the bound holds is the group opened and the query counted
    against every member. A spanning forest of the links found is returned, never
@@ -24,7 +28,9 @@ Documents are sets of word shingles. Two documents link when
 Defined results: null and wordless texts are empty sets that link with nothing;
 a text of fewer words than a shingle is one shingle; repeated rows are one class;
 rows without doc_id take part under no id: they link others, and get a null
-component. Other columns are ignored. Set elements are 64-bit hashes.
+component. Several rows of one doc_id with different texts are sets of their own;
+each gets the smallest id that it reaches, its own included. Other columns are
+ignored. Set elements are 64-bit hashes of words' hashes, classes 128-bit ones.
 """
 
 from __future__ import annotations
@@ -34,22 +40,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import Forest, connected_components, mix64, shingle_sets, text_steps, written
+from strandlake.llm.common import Forest, connected_components, mix64, released, shingle_sets, text_steps, written
 from strandlake.session import ship
 
 SKETCH_BITS = 20
 SLICES = 64
 BINS = 64
 #: Tokens of a group's members, and of the queries that one task counts against them.
-GROUP_TOKENS = 100_000
+GROUP_TOKENS = 40_000
 #: Documents that may share a prefix token before they are grouped by it.
 POPULAR = 32
 
-SETS = "doc_id long, n_shingles int, class_id binary, tokens array<long>, roomy int, bins binary"
+SETS = "doc_id long, dig long, n_shingles int, class_id binary, tokens array<long>, roomy int, bins binary"
 
 
 def needed_with(n, m, num: int, den: int):
@@ -117,8 +124,8 @@ def _prefixes(width: int, num: int, den: int, levels):
                     rows["bins"].append(bins.astype(np.uint16).tobytes())
                 kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(part.schema.get_field_index("doc_id")), *(pa.array(v, k) for v, k in zip(rows.values(), kinds))],
-                    names=["doc_id", *rows],
+                    [part.column(0), part.column(1), *(pa.array(v, k) for v, k in zip(rows.values(), kinds))],
+                    names=["doc_id", "dig", *rows],
                 )
 
     return run
@@ -268,82 +275,194 @@ def _opened(num: int, den: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+def _stars(num: int, den: int):
+    """Each member of a group that links with others, and its local component's first member."""
+    opened = _opened(num, den)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = opened(pdf.assign(query=False))
+        reps = sorted({*found["src"].tolist(), *found["dst"].tolist()})
+        at, forest = {r: k for k, r in enumerate(reps)}, Forest(len(reps))
+        for a, b in zip(found["src"].tolist(), found["dst"].tolist()):
+            forest.join(at[a], at[b])
+        root = [reps[forest.root(k)] for k in range(len(reps))]
+        pairs = [(r, t) for r, t in zip(reps, root) if r != t]
+        return pd.DataFrame({"src": np.array([r for r, _ in pairs], np.int64), "dst": np.array([t for _, t in pairs], np.int64)})
+
+    return run
+
+
+def _group(w: Column, level: int) -> Column:
+    return F.concat_ws("-", F.lit("" if not level else f"{level}"), "home", F.pmod(F.xxhash64("rep", F.lit(level)), F.ceil(w / GROUP_TOKENS)))
+
+
+def _needed_sets(docs: DataFrame, wanted: DataFrame, width: int) -> tuple[DataFrame, Broadcast]:
+    """(class_id, set) of the classes of ``wanted`` (and by chance some more), and the broadcast that it needs."""
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select("class_id"), wanted.count()))
+    chosen = docs.select("text").mapInArrow(_chosen(width, bits), "class_id binary, set binary")
+    return chosen.groupBy("class_id").agg(F.first("set").alias("set")), bits
+
+
+def _contracted(docs: DataFrame, cut: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links among the members (rep, class_id, home, n, grp) of tokens with several groups, and (rep, component) from them.
+
+    Each level compares within groups, keeps one member of each local component,
+    and deals those of a token out anew; a token stays while that halves them.
+    """
+    sets, bits = _needed_sets(docs, cut, width)
+    sets = written(cut.select("rep", "class_id").join(sets, "class_id").select("rep", "set"), "join-near-sets")
+    bits.destroy()
+    level, edges, k = cut.select("rep", "home", "n", "grp"), [], 0
+    while True:
+        found = written(level.join(sets, "rep").groupBy("grp").applyInPandas(_stars(num, den), "src long, dst long"), "join-stars")
+        edges.append(found)
+        before = level.groupBy("home").agg(F.count("*").alias("before"), F.countDistinct("grp").alias("groups"))
+        rest = level.join(found.select(F.col("src").alias("rep")), "rep", "left_anti").select("rep", "home", "n")
+        left = rest.groupBy("home").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+        more = left.join(before, "home").where("groups > 1 and c > 1 and c <= before / 2").select("home", "w")
+        k += 1
+        last, level = level, written(rest.join(more, "home").select("rep", "home", "n", _group(F.col("w"), k).alias("grp")), "join-level")
+        if k > 1:
+            released(last)
+        if level.isEmpty():
+            break
+    released(sets)
+    out = edges[0]
+    for e in edges[1:]:
+        out = out.unionByName(e)
+    out = written(out, "join-near")
+    released(*edges)
+    return out, written(connected_components(out).withColumnRenamed("node", "rep"), "join-near-components")
+
+
+def _classified(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, dig, n_shingles, component, kept, class_rows) of every row: ``dig`` is a hash of its text, ``kept`` tells the first row of its component."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("dig"), "text")
     levels = spark.sparkContext.broadcast(token_levels(docs, width).tobytes())
     sets = written(docs.mapInArrow(_prefixes(width, num, den, levels), SETS), "join-sets")
+    levels.destroy()
     some = sets.where("n_shingles > 0")
     # a class that only rows without doc_id hold is represented by a negative number made from its fingerprint
     made = F.expr("xxhash64(class_id) | shiftleft(-1L, 63)")
-    classes = some.groupBy("class_id").agg(F.min("doc_id").alias("least"))
-    classes = written(classes.select("class_id", F.coalesce("least", made).alias("rep"), "least"), "join-classes")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "dig")  # rows without id come last
+    classes = some.groupBy("class_id").agg(F.min("doc_id").alias("least"), F.min(row).alias("first"), F.count("*").alias("class_rows"))
+    classes = written(classes.select("class_id", F.coalesce("least", made).alias("rep"), "least", "first", "class_rows"), "join-classes")
     first = some.select("class_id", F.coalesce("doc_id", made).alias("rep"), "n_shingles", "tokens", "roomy", "bins")
-    # a row of an id and a set that repeats counts once
-    reps = first.join(classes, ["class_id", "rep"]).groupBy("class_id", "rep").agg(*[F.first(c).alias(c) for c in ("n_shingles", "tokens", "roomy", "bins")])
+    # an id's rows of one set count once
+    reps = first.join(classes.select("class_id", "rep"), ["class_id", "rep"]).groupBy("class_id", "rep").agg(*[F.first(c).alias(c) for c in ("n_shingles", "tokens", "roomy", "bins")])
+    # an id whose rows are different sets is told apart by numbers made from their fingerprints
     reps = written(reps, "join-reps")
+    shared_ids = written(reps.groupBy("rep").agg(F.count("*").alias("c")).where("c > 1").select("rep"), "join-shared-ids")
+    if not shared_ids.isEmpty():
+        named = F.when(F.col("c").isNotNull(), made).otherwise(F.col("rep")).alias("rep")
+        several = shared_ids.withColumn("c", F.lit(1))
+        renamed = [df.join(several, "rep", "left").select(named, *[c for c in df.columns if c != "rep"]) for df in (classes, reps)]
+        classes, reps = written(renamed[0], "join-classes"), written(renamed[1], "join-reps")
 
     counts = written(reps.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "join-df")
     seen = spark.sparkContext.broadcast(_bitmap(counts.select(F.col("token").alias("key")), counts.count()))
     entries = reps.select("rep", F.col("n_shingles").alias("n"), "roomy", "tokens").mapInPandas(_entries(seen), "rep long, n int, roomy int, pos int, token long")
     shared = written(entries.join(counts, "token"), "join-shared")
+    seen.destroy()
+    released(counts)
     # the partition: a representative with popular prefix tokens joins the others of the most popular; any other is a group of its own
     home = shared.groupBy("rep").agg(F.max(F.when(F.col("df") > POPULAR, F.struct("df", "token"))).alias("top"), F.first("n").alias("n"))
     home = home.select("rep", "n", F.col("top.token").alias("home"))
-    weight = home.where("home is not null").groupBy("home").agg(F.sum("n").alias("w"))
-    grp = F.when(F.col("w").isNull(), F.concat(F.lit("="), F.col("rep").cast("string"))).otherwise(
-        F.concat_ws("-", "home", F.pmod(F.xxhash64("rep"), F.ceil(F.col("w") / GROUP_TOKENS)))
-    )
-    home = written(home.join(written(weight, "join-weight"), "home", "left").select("rep", grp.alias("grp")), "join-groups")
+    weight = written(home.where("home is not null").groupBy("home").agg(F.sum("n").alias("w")), "join-weight")
+    grp = F.when(F.col("w").isNull(), F.concat(F.lit("="), F.col("rep").cast("string"))).otherwise(_group(F.col("w"), 0))
+    home = written(home.join(weight, "home", "left").select("rep", "n", "home", grp.alias("grp"), F.coalesce(F.col("w") > GROUP_TOKENS, F.lit(False)).alias("cut")), "join-groups")
+    near, teams = None, home.select("rep", "n", "grp", "cut", F.col("grp").alias("team"), F.lit(None).cast("string").alias("own"))
+    if not weight.where(F.col("w") > GROUP_TOKENS).isEmpty():
+        cut = written(home.where("cut").join(reps.select("rep", "class_id"), "rep"), "join-cut")
+        near, parent = _contracted(docs, cut, width, num, den)
+        own = home.where("cut").join(parent, "rep", "left").withColumn("own", F.concat(F.lit("c"), F.coalesce("component", "rep").cast("string")))
+        team = own.groupBy("grp").agg(F.min("own").alias("a"), F.max("own").alias("b")).select("grp", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("grp")).alias("team"))
+        own = own.join(team, "grp").select("rep", "n", "grp", "cut", "team", "own")
+        teams = written(own.unionByName(teams.where("not cut")), "join-teams")
     # rows of the matrix, and the queries that they let through
-    tagged = written(shared.join(home, "rep"), "join-tagged")
-    matrix = tagged.where("pos < roomy").groupBy("token", "grp").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
+    tagged = written(shared.join(teams.select("rep", "team", "own"), "rep"), "join-tagged")
+    released(shared)
+    matrix = tagged.where("pos < roomy").groupBy("token", "team").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
     size = "greatest(least_n, cast(ceil(n * {0} / {1}) as int))".format(num, den)
     room = f"n - pos >= ceil({num} * (n + {size}) / {num + den}) and n >= least_n and most_n * {den} >= n * {num}"
     asks = (
-        tagged.select("token", "rep", "n", "pos", F.col("grp").alias("own")).join(matrix, "token").where(f"grp <> own and {room}")
-        .groupBy("rep", "grp").agg(F.max("n").alias("n"), F.min("least_n").alias("least_n"))
+        tagged.select("token", "rep", "n", "pos", F.col("team").alias("from"), "own").join(matrix, "token").where(f"team <> from and (own is null or team <> own) and {room}")
+        .groupBy("rep", "team").agg(F.max("n").alias("n"), F.min("least_n").alias("least_n"))
     )
     lean = reps.select("rep", "bins")
-    bins = written(home.join(lean, "rep").groupBy("grp").agg(_most_bins("bins").alias("most")), "join-bins")
-    asks = asks.join(lean, "rep").join(bins, "grp").where(_near(num, den)("bins", "most", "n", "least_n")).select("rep", "grp")
+    bins = written(teams.join(lean, "rep").groupBy("grp", "team").agg(_most_bins("bins").alias("most")), "join-bins")
+    near_to = _near(num, den)
+    if near is None:
+        asks = asks.join(lean, "rep").join(bins, "team").where(near_to("bins", "most", "n", "least_n")).select("rep", "grp")
+    else:
+        of_team = bins.groupBy("team").agg(_most_bins("most").alias("most"))
+        asks = written(asks.join(lean, "rep").join(of_team, "team").where(near_to("bins", "most", "n", "least_n")).select("rep", "team", "n", "least_n", "bins"), "join-asks")
+        asks = asks.join(bins, "team").where(near_to("bins", "most", "n", "least_n")).select("rep", "grp")
     asks = written(asks, "join-open")
+    released(tagged)
 
     asked = asks.groupBy("grp").agg(F.count("*").alias("asked"))
-    members = home.groupBy("grp").agg(F.count("*").alias("members"))
-    busy = members.join(asked, "grp", "left").where("members > 1 or asked > 0")
+    members = teams.groupBy("grp").agg(F.count("*").alias("members"), F.first("cut").alias("cut"))
+    busy = members.join(asked, "grp", "left").where("members > 1 and not cut or asked > 0")
     busy = written(busy.select("grp", F.greatest(F.lit(1), F.ceil(F.coalesce("asked", F.lit(0)) / 512)).cast("int").alias("turns")), "join-busy")
-    roles = home.join(busy, "grp").select("rep", "grp", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
+    roles = teams.join(busy, "grp").select("rep", "grp", F.lit(False).alias("query"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"))
     roles = roles.unionByName(
         asks.join(busy, "grp").select("rep", "grp", F.lit(True).alias("query"), F.pmod(F.xxhash64("rep"), "turns").cast("int").alias("turn"))
     )
     roles = written(roles.join(reps.select("rep", "class_id"), "rep"), "join-roles")
-    bits = spark.sparkContext.broadcast(_bitmap(roles.select("class_id"), roles.count()))
-    chosen = docs.select("text").mapInArrow(_chosen(width, bits), "class_id binary, set binary")
-    chosen = chosen.groupBy("class_id").agg(F.first("set").alias("set"))
+    released(reps, bins, busy)
+    chosen, bits = _needed_sets(docs, roles, width)
     edges = (
         roles.join(chosen, "class_id").select("grp", "turn", "query", "rep", "set")
         .groupBy("grp", "turn").applyInPandas(_opened(num, den), "src long, dst long")
     )
-    parent = connected_components(edges).withColumnRenamed("node", "rep")
-    if not classes.where("least is null").isEmpty():  # made numbers link, but the smallest id is one of those given
-        parent = written(parent.join(classes.select("rep", "least"), "rep"), "join-parent")
-        parent = parent.join(parent.groupBy("component").agg(F.min("least").alias("named")), "component").select("rep", F.col("named").alias("component"))
-    classes = written(classes.join(parent, "rep", "left").select("class_id", F.coalesce("component", "rep").alias("component")), "join-components")
-    return (
-        sets.select("doc_id", "n_shingles", "class_id").join(classes, "class_id", "left")
-        .select("doc_id", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    edges = written(edges if near is None else edges.unionByName(near), "join-edges")
+    bits.destroy()
+    released(roles)
+    # made numbers link, but the smallest id is one of those given
+    parent = connected_components(edges).withColumnRenamed("node", "rep").join(classes.select("rep", "least", "first"), "rep")
+    parent = written(parent.select("rep", "component", "least", "first"), "join-parent")
+    whole = written(parent.groupBy("component").agg(F.min("least").alias("named"), F.min("first").alias("kept")), "join-whole")
+    parent = parent.join(whole, "component").select("rep", "named", "kept", F.lit(True).alias("linked"))
+    alone = F.col("linked").isNull()
+    classes = classes.join(parent, "rep", "left").select(
+        "class_id", "class_rows", F.when(alone, F.col("least")).otherwise(F.col("named")).alias("component"), F.when(alone, F.col("first")).otherwise(F.col("kept")).alias("kept")
+    )
+    classes = written(classes, "join-components")
+    return sets.select("doc_id", "dig", "n_shingles", "class_id").join(classes, "class_id", "left").select(
+        "doc_id", "dig", F.col("n_shingles").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"),
+        (F.col("kept").isNull() | (row == F.col("kept")) | ((F.col("dig") == F.col("kept.dig")) & F.col("doc_id").isNull() & F.col("kept.none"))).alias("kept"), F.coalesce("class_rows", F.lit(1)).alias("class_rows"),
     )
 
 
+def jaccard_classes(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs`` (doc_id, text)."""
+    return _classified(docs, width, num, den).select("doc_id", "n_shingles", "component_id")
+
+
 def keep_one_of_each_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of its component; of repeated ids one row stays; rows without id all stay."""
-    found = written(jaccard_classes(docs, width, num, den).where("doc_id <> component_id").select("doc_id").distinct(), "join-drop")
-    kept = docs.join(found, "doc_id", "left_anti")
-    # only repeated ids are looked at again
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """``docs`` with one row of each group of linked texts.
+
+    That is the row of smallest doc_id (rows without one come last); of several
+    rows of that id in the group the one whose text has the smallest hash, and of
+    equal texts the row whose columns have. Rows without words, and rows of one id
+    that are in different groups, all stay.
+    """
+    rows = _classified(docs, width, num, den).where("not kept or class_rows > 1").select("doc_id", "dig", "kept")
+    rows = written(rows, "join-drop")
+    dropped = rows.where("not kept").select("doc_id", "dig").distinct()
+    again = written(rows.where("kept").groupBy("doc_id", "dig").count().where("count > 1").select("doc_id", "dig"), "join-again")
+    own = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_dig": F.xxhash64(F.coalesce("text", F.lit("")))})
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.select(F.col("doc_id").alias("_id"), F.col("dig").alias("_dig"))
+        return left.join(right, left["_own_id"].eqNullSafe(right["_id"]) & (left["_own_dig"] == right["_dig"]), how)
+
+    kept = joined(own, dropped, "left_anti")
+    if not again.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("_own_id", "_own_dig").orderBy(F.xxhash64(*docs.columns)))
+        one = joined(kept, again, "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+        kept = joined(kept, again, "left_anti").unionByName(one)
+    return kept.drop("_own_id", "_own_dig")

@@ -213,6 +213,39 @@ def test_shingles_of_a_step_of_few_words(width):
         assert got.tolist() == shingle_sets(np.frombuffer(more, np.uint8), np.array([0, len(text), len(more)]), width)[0].tolist()
 
 
+def test_repeated_ids_of_different_texts_stay(spark):
+    """No row goes because another row has its id; of a group one row stays, of equal rows one."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a, 1), (2, a, 2), (2, b, 3), (3, c, 4), (4, b + " more", 5), (5, c, 6), (3, c, 7), (3, c, 7), (None, a, 8), (None, "d " * 9, 9), (None, "d " * 9, 10), (6, None, 11), (6, None, 11), (6, " ", 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, dig long")
+    got = Counter((r.doc_id, r.text) for r in ngram_join.keep_one_of_each_group(df).collect())
+    assert got == Counter({(1, a): 1, (2, b): 1, (3, c): 1, (None, "d " * 9): 1, (6, None): 2, (6, " "): 1})
+    # two texts of one id that link two others
+    e = " ".join(f"e{k}" for k in range(60))
+    rows = [(9, e + " x"), (9, e + " x y"), (10, e), (11, "apart from all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in ngram_join.jaccard_classes(df, 3, 90, 100).collect()) == [(9, 9), (9, 9), (10, 9), (11, 11)]
+    assert [r.doc_id for r in ngram_join.keep_one_of_each_group(df).orderBy("doc_id").collect()] == [9, 11]
+
+
+def test_jaccard_contraction(spark, monkeypatch):
+    """Clusters cut into many groups, some of one component and some of several, and outsiders that link to a few members."""
+    monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 600)
+    rng, rows = random.Random(12), []
+    for c in range(3):
+        base = [f"c{c}w{k}" for k in range(60)]
+        for _ in range(120):
+            w = list(base)
+            for _ in range(rng.choice((0, 1, 1, 2, 4))):
+                w[rng.randrange(60)] = f"x{rng.randrange(200)}"
+            rows.append((len(rows), " ".join(w)))
+    half = [f"c0w{k}" for k in range(30)]
+    rows += [(len(rows) + k, " ".join(half + [f"y{k}z{j % (5 + k)}" for j in range(30)])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(r) for r in ngram_join.jaccard_classes(df, 3, 90, 100).collect()} == brute_classes(rows, 3, 90, 100)
+    assert {tuple(r) for r in ngram_join.jaccard_classes(df, 5, 80, 100).collect()} == brute_classes(rows, 5, 80, 100)
+
+
 def test_keep_one_of_a_three_word_table(spark):
     df = spark.createDataFrame([(7, "one two three")], "doc_id long, text string")
     assert [r.doc_id for r in ngram_join.keep_one_of_each_group(df).collect()] == [7]
@@ -285,35 +318,52 @@ def test_statistics_do_not_depend_on_neighbours(rows):
         assert np.allclose(whole[k], quality.statistics(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0])
 
 
+def brute_topk(rows, k=10):
+    """From (vec_id, embedding) rows: repeated rows are candidates each, equal queries are one."""
+    data = [(i, np.floor(1024 * np.array(x, np.float64)).astype(np.int64)) for i, x in rows if i is not None and x is not None and all(v is not None and math.isfinite(v) for v in x)]
+    want, pooled = Counter(), defaultdict(list)
+    for q, x in {(i, tuple(v.tolist())) for i, v in data if i % 100 == 0}:
+        pooled[q] += [(-int(np.dot(x, v)), i) for i, v in data if i != q and len(v) == len(x)]
+    for q, s in pooled.items():
+        want.update((q, n + 1, i, -v) for n, (v, i) in enumerate(sorted(s)[:k]))
+    return want
+
+
 def test_topk(spark, sf):
     v = spark.read.parquet(f"{sf}/embeddings.parquet")
-    odd = [(9000, None, 1), (9001, [float("nan")] * 64, 1), (9002, [1.0, None] * 32, 1), (9100, [0.5] * 64, 1), (9100, [0.5] * 64, 1), (9101, [0.5] * 64, 1), (9200, [1.0, 2.0], 1), (9201, [3.0, -2.0], 1)]
-    v = v.unionByName(spark.createDataFrame(odd, "vec_id long, embedding array<float>, label int"))
-    data = {}
-    for r in v.collect():
-        if r.embedding is not None and all(x is not None and math.isfinite(x) for x in r.embedding):
-            data[r.vec_id] = np.floor(1024 * np.array(r.embedding, np.float64)).astype(np.int64)
-    want = set()
-    for q in data:
-        if q % 100 == 0:
-            s = sorted((-int(data[q] @ x), i) for i, x in data.items() if i != q and len(x) == len(data[q]))[:10]
-            want |= {(q, k + 1, i, -s) for k, (s, i) in enumerate(s)}
-    got = [tuple(r) for r in topk_search.search(v, v.where("vec_id % 100 = 0")).collect()]
-    assert set(got) == want and len(got) == len(want)
+    odd = [(9000, None, 1), (9001, [float("nan")] * 64, 1), (9002, [1.0, None] * 32, 1), (9100, [0.5] * 64, 1), (9100, [0.5] * 64, 1), (9101, [0.5] * 64, 1), (9101, [0.5] * 64, 1), (9101, [0.5] * 64, 1), (None, [0.5] * 64, 1), (9200, [1.0, 2.0], 1), (9201, [3.0, -2.0], 1), (9300, [], 1), (9400, [0.25] * 64, 1), (9400, [-0.25] * 64, 1)]
+    v = v.unionByName(spark.createDataFrame(odd, "vec_id long, embedding array<float>, label int")).withColumns({c: F.lit(1) for c in ("rng", "qry", "kth", "dim", "score", "query_id", "weights")})
+    want = brute_topk([(r.vec_id, r.embedding) for r in v.collect()])
+    got = Counter(map(tuple, topk_search.search(v, v.where("vec_id % 100 = 0")).collect()))
+    assert got == want
     assert topk_search.search(v.limit(0), v.limit(0)).count() == 0
 
 
-def test_topk_prunes_and_ties():
-    import pandas as pd
+def test_topk_prunes_clustered_vectors(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.standard_normal((30, 64))
+    x = centres[rng.integers(0, 30, 6000)] + 0.03 * rng.standard_normal((6000, 64))
+    rows = [(i, [float(a) for a in r]) for i, r in enumerate(x)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(map(tuple, topk_search.search(v, v.where("vec_id % 100 = 0")).collect()))
+    assert got == brute_topk(rows)
+    told = topk_search.search(v, v.where("vec_id % 100 = 0"), report=True).first()
+    assert told.blocks >= 60 * 6000 // topk_search.BLOCK and told.opened < told.blocks / 3
+
 
+def test_topk_blocks_and_ties():
     rng = np.random.default_rng(2)
-    x = np.floor(rng.integers(-3, 4, (1000, 4))).astype(np.float64)
-    f = pd.DataFrame({"vec_id": rng.permutation(1000), "weights": [r.tobytes() for r in x]})
-    got = topk_search._best(f.head(40), f, 7)
-    by = dict(zip(f["vec_id"], x))
-    for q, part in got.groupby("query_id"):
-        want = sorted((-int(by[q] @ by[i]), i) for i in by if i != q)[:7]
-        assert sorted(zip(-part["score"], part["vec_id"])) == want
+    x = rng.integers(-3, 4, (1000, 4)).astype(np.float64)
+    ids = rng.permutation(1000)
+    for start in (-np.inf, 9.0):
+        got, opened = topk_search.best_of(x[:40], ids[:40], np.full(40, start), x, ids, 7)
+        assert opened < 40 * -(-1000 // topk_search.BLOCK)  # many ties, and yet some blocks stay shut
+        by = defaultdict(list)
+        for n, i, s in got:
+            by[n].append((-s, i))
+        for n in range(40):
+            want = sorted((-int(x[n] @ x[j]), int(ids[j])) for j in range(1000) if j != n)
+            assert sorted(by[n]) == [w for w in want if -w[0] >= start][:7]
 
 
 def test_sharding(spark, docs, rows):
@@ -348,8 +398,43 @@ def test_langid(spark, sf1, docs):
     assert langid.told(empty(spark)).count() == 0
 
 
+def test_langid_with_few_languages_or_letters(spark):
+    """No letters to learn from, one language, and languages of one family."""
+    make = lambda rows: spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("x", "draw", "nth", "score")})
+    none = make([(t, "en") for t in (None, "", "123", " \n", "!!")] * 4)
+    assert {(r.lang_pred, r.score) for r in langid.told(none).collect()} == {("und", 0.0)}
+    assert langid.kept(none, langid.train(none), 0.5).count() == 0
+    one = make([("some words here", "en"), (None, "en"), ("more of them", "en"), ("x", "en")] * 5)
+    assert {(r.lang_pred, r.score) for r in langid.told(one).collect()} == {("en", 1.0), ("und", 0.0)}
+    many = make([(f"the house and the dog {k}", "en") for k in range(20)] + [(f"das Haus und der Hund {k}", "de") for k in range(20)])
+    assert {(r.lang_pred) for r in langid.told(many).where("doc_id < 20").collect()} == {"en"}
+    assert {(r.lang_pred) for r in langid.told(many).where("doc_id >= 20").collect()} == {"de"}
+    kept = langid.kept(many, langid.train(many), 0.5)
+    assert kept.columns == many.columns and kept.count() == 40
+
+
+def brute_margin(model, text):
+    """Margins of a text from its n-grams, one at a time."""
+    data = text.encode()
+    low = bytes(b + 32 if 65 <= b <= 90 else b for b in data)
+    x = np.zeros(1 << langid.BITS)
+    for n in langid.GRAMS:
+        for k in range(len(low) - n + 1):
+            code = int.from_bytes(low[k : k + n], "big")
+            x[((code + (n << 40)) * 0x9E3779B97F4A7C15 % 2**64) >> (64 - langid.BITS)] += langid.SCALE / (len(low) - n + 1)
+    return model.weights @ x + model.bias
+
+
+def test_langid_margins_against_brute_force(spark, sf1):
+    model = langid.train(spark.read.parquet(f"{sf1}/documents.parquet"))
+    texts = ["Le chat est ici.", "The cat sat", "a", "", "Ünïcode 日本", "x" * 300]
+    raw = [t.encode() for t in texts]
+    got = model.margins(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    assert np.allclose(got, [brute_margin(model, t) for t in texts])
+
+
 def test_langid_scores_a_family_by_its_lead(monkeypatch):
-    model = langid.Model(np.zeros((0, 1 << langid.BITS)), [])
+    model = langid.Model([])
     model.langs, model.families, model.pairs = ["en", "fi", "fr"], ["germanic", "romance", "uralic"], []
     monkeypatch.setattr(model, "margins", lambda data, off: np.array([[-0.2, -1.5, -1.4], [-0.5, -0.5, -2.0]]))
     lang, score = model.predict(np.zeros(0, np.uint8), np.array([0, 0, 0]))
