@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from strandlake.session import ship
 
 #: Text bytes that one vectorised step handles; a longer text is a step alone.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 _written: dict[str, SparkSession] = {}
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -46,9 +46,7 @@ class Vocabulary:
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.byte_id = np.array([next(i for c, i in ((c, vocab[c]) for c, x in bytes_of.items() if x == b)) for b in range(256)], np.int64)
         self.size = max(self.bytes) + 1
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.path = path
         self.pattern = regex.compile(PATTERN)
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._settled = regex.compile(f"[^\x00-{chr(ord(SETTLED) - 1)}]")
@@ -60,6 +58,14 @@ class Vocabulary:
             else None
         )
 
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        """The library's own, which few texts need."""
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def encode(self, text: str) -> list[int]:
         """ids as the tokenizers library gives them with add_special_tokens=False."""
         if self.fast is not None:
