@@ -1,22 +1,30 @@
 """Transcript parsing by a hidden Markov model, and canonical rendering of turns.
 
-A transcript is numbered lines of text. States are the roles, each as the first
-line of a turn or a later one. A line's observation joins its speaker marker (of
-several styles, or none) with line features: whether the line before was blank,
-whether this one is, how long it is and whether it asks. Start, transition and
-emission probabilities are counted over all transcripts with known roles that
-aren't held out; a Viterbi pass then finds the roles of any transcript.
+A transcript is text of which only the lines are known. States are the roles, each
+as the first line of a turn or a later one. A line's observation joins its speaker
+marker (of several styles, or none) with line features: whether the line before
+was blank, whether this one is (and then whether a marker follows), how long it is and
+whether it asks. Start, transition and emission probabilities are counted over transcripts with known
+roles that aren't held out; a Viterbi pass then finds the roles of any transcript
+(``parse_transcripts``), or of conversations that are written out as transcripts
+and parsed from their lines alone (``parse``).
+
+A turn opens with a marker, which isn't part of its text, or with one blank line,
+which isn't either; whether a blank line within a marked turn opens another is the
+model's belief, from the turns that it was trained on. All else is kept as it stands: the canonical form of a turn is
+``<|role|>``, a line end, the text, a line end.
 
 No task holds a whole conversation: lines are cut into blocks of bounded size;
 a block gives the best score from every entry state to every exit state, these
 matrices are chained along the conversation, and every block is then traced
-between the entry and exit states that the chain chose. Turns are rendered in
-parts, one for each block that a turn has lines in; parts joined in order are the
-canonical transcript.
-
-Null and empty texts are turns of one empty line. Equal rows are one turn. Rows
-with a null conv_id are one conversation; null turns come last. Ties between
-paths go to the first state. Roles that are null or unknown count as user.
+between the entry and exit states that the chain chose. ``parts`` are the lines of a
+turn within a block; ``whole_turns`` joins them, so that a turn is one row again.
+
+Conversations: null and empty texts are turns of one empty line. Equal rows are
+one turn. Rows with a null conv_id are one conversation; null turns come last.
+Roles that are null or unknown count as user. Transcripts: a null text is empty;
+rows of one id with different texts are transcripts of their own, equal rows one.
+Ties between paths go to the first state. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -43,28 +51,40 @@ MARKERS = {
     "assistant": ("Assistant: ", "BOT> ", "[assistant] ", "### Answer: "),
 }
 STYLES = 4
-_MARKER = re.compile("^(?:" + "|".join(f"(?P<{r}>" + "|".join(re.escape(m.strip()) for m in MARKERS[r]) + ")" for r in ROLES) + r")\s*", re.IGNORECASE)
+_MARKER = re.compile("(?:" + "|".join(f"(?P<{r}>" + "|".join(re.escape(m.strip()) for m in MARKERS[r]) + ")" for r in ROLES) + ") ?", re.IGNORECASE)
 SYMBOLS = (len(ROLES) + 1) * 2 * 2 * 3 * 2
+#: Observations of blank lines that a marker follows.
+BEFORE_MARKER = [((before * 2 + 1) * 3 + 1) * 2 for before in (0, 1)]
+
 
+def observe(lines: list[str], ahead: bool) -> np.ndarray:
+    """Observation of each line of a block: marker, blank line before, blank, length class (of a blank line, whether a marker follows), question.
 
-def observe(lines: list[str], blank_before: bool) -> np.ndarray:
-    """Observation of each line: marker, blank line before, blank, length class, question."""
+    ``ahead``: whether the next block begins with a marker, or there is none.
+    """
     out = np.zeros(len(lines), np.int64)
-    for k, line in enumerate(lines):
-        m = _MARKER.match(line)
+    marks, blank_before = [_MARKER.match(line) for line in lines], False
+    for k, (line, m) in enumerate(zip(lines, marks)):
         mark = ROLES.index(m.lastgroup) + 1 if m else 0
         blank, size = not line.strip(), len(line)
-        out[k] = (((mark * 2 + blank_before) * 2 + blank) * 3 + (0 if size < 80 else 1 if size < 400 else 2)) * 2 + line.rstrip().endswith("?")
+        length = int(marks[k + 1] is not None if k + 1 < len(lines) else ahead) if blank else 0 if size < 80 else 1 if size < 400 else 2
+        out[k] = (((mark * 2 + blank_before) * 2 + blank) * 3 + length) * 2 + line.rstrip().endswith("?")
         blank_before = blank
     return out
 
 
-def unmarked(line: str) -> str:
-    return _MARKER.sub("", line, count=1)
+def body_of(lines: list[str], opens: bool) -> list[str]:
+    """Lines of a part that are its turn's text."""
+    if not opens:
+        return lines
+    m = _MARKER.match(lines[0])
+    if m:
+        return [lines[0][m.end() :], *lines[1:]]
+    return lines if lines[0].strip() else lines[1:]
 
 
 class Hmm:
-    """Log probabilities from counts, with one added to every count that the model allows."""
+    """Log probabilities from counts, with a prior added to every count that the model allows."""
 
     def __init__(self, starts: np.ndarray, moves: np.ndarray, seen: np.ndarray):
         allowed = np.zeros((STATES, STATES), bool)
@@ -77,7 +97,13 @@ class Hmm:
             s = np.zeros(STATES)
             s[0::2] = starts[0::2] + 1.0
             self.start = np.log(s / s.sum())
-        self.emit = np.log((seen + 0.1) / (seen + 0.1).sum(1, keepdims=True))
+        # where nothing was counted, markers are taken to open a turn of their own role
+        mark = np.arange(SYMBOLS) // (SYMBOLS // (len(ROLES) + 1)) - 1
+        state = np.arange(STATES)[:, None]
+        prior = np.where(mark < 0, 0.1, np.where((state % 2 == 0) & (state // 2 == mark), 1.0, 0.001))
+        self.emit = np.log((seen + prior) / (seen + prior).sum(1, keepdims=True))
+        # a blank line just before a marker or the transcript's end belongs to the turn that ends there
+        self.emit[0::2, BEFORE_MARKER] -= 20.0
 
     def block(self, obs: np.ndarray) -> np.ndarray:
         """Best score from each state before the block to each state at its end."""
@@ -109,45 +135,58 @@ class Hmm:
         return out[::-1]
 
 
-def transcripts(conversations: DataFrame) -> DataFrame:
-    """Numbered blocks of raw transcript lines: (conv, block, pos, truth, text).
+def written_out(conversations: DataFrame) -> DataFrame:
+    """Raw lines of every turn as they stand in a transcript: (conv, at, tie, role, raw).
 
     Conversations are written in one of several marker styles; about one turn in
-    eight lacks its marker and follows a blank line instead. truth is the state
-    that the line was written from.
+    eight lacks its marker and follows a blank line instead.
     """
     role = F.when(F.col("role").isin(*ROLES), F.col("role")).otherwise("user")
     rows = conversations.select(
-        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit((1 << 62))).alias("turn"), role.alias("role"),
+        F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit((1 << 62))).alias("at"), role.alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     ).distinct()
     rows = rows.withColumn("tie", F.xxhash64("role", "text"))
-    # ranges of turns, and where a range is full ranges of its ties, so that no conversation or turn is one task
-    rows = written(rows.withColumn("range", F.floor(F.col("turn") / 64)), "chat-rows")
+    markers = F.create_map(*[x for r in ROLES for x in (F.lit(r), F.array(*map(F.lit, MARKERS[r])))])
+    marker = F.get(markers[F.col("role")], F.pmod(F.xxhash64("conv"), F.lit(STYLES)).cast("int"))
+    return rows.select("conv", "at", "tie", "role", F.concat(F.when(F.pmod("tie", F.lit(8)) == 0, "\n").otherwise(marker), "text").alias("raw"))
+
+
+def lines_of(transcripts: DataFrame) -> DataFrame:
+    """Raw lines of transcripts (conv_id, text), with no role."""
+    text = F.coalesce("text", F.lit(""))
+    rows = transcripts.select(F.concat_ws("/", F.coalesce(F.col("conv_id").cast("string"), F.lit("")), F.hex(F.xxhash64(text))).alias("conv"), text.alias("text")).distinct()
+    rows = rows.select("conv", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
+    return rows.select("conv", F.col("at").cast("long").alias("at"), F.lit(0).cast("long").alias("tie"), F.lit(None).cast("string").alias("role"), "raw")
+
+
+def in_blocks(rows: DataFrame, span: int) -> DataFrame:
+    """Rows with the block that they are in: ranges of ``at``, and where a range is full ranges of its ties, so that no conversation or turn is one task."""
+    rows = written(rows.withColumn("range", F.floor(F.col("at") / span)), "chat-rows")
     full = rows.groupBy("conv", "range").agg(F.count("*").alias("n"))
-    cut = F.greatest(F.lit(1), F.ceil(F.col("n") / 1024)).cast("double")
+    most = max(1024, span)
+    cut = F.greatest(F.lit(1), F.ceil(F.col("n") / most)).cast("double")
     wide = F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * cut).cast("long")
-    rows = rows.join(written(full, "chat-ranges"), ["conv", "range"]).withColumn("sub", F.when(F.col("n") > 1024, wide).otherwise(F.lit(0)))
-    rows = rows.withColumn("at", F.when(F.col("n") > 1024, F.col("turn")).otherwise(F.lit(-1)))
-    return rows.select("conv", F.struct("range", "at", "sub").alias("block"), "turn", "tie", "role", "text")
-
-
-def _raw_lines(pdf: pd.DataFrame) -> tuple[list[str], np.ndarray]:
-    """Lines of a block in order, and the state each was written from."""
-    pdf = pdf.sort_values(["turn", "tie", "role", "text"], kind="stable")
-    lines, truth = [], []
-    for conv, turn, tie, role, text in zip(pdf["conv"], pdf["turn"], pdf["tie"], pdf["role"], pdf["text"]):
-        style = sum(conv.encode()) % STYLES
-        body = text.split("\n")
-        r = ROLES.index(role)
-        if tie % 8:
-            body[0] = MARKERS[role][style] + body[0]
-        elif lines:
-            lines.append("")
-            truth.append(truth[-1] | 1)
-        lines += body
-        truth += [2 * r] + [2 * r + 1] * (len(body) - 1)
-    return lines, np.array(truth, np.int64)
+    cut_up = F.col("n") > most
+    rows = rows.join(written(full, "chat-ranges"), ["conv", "range"]).withColumn("sub", F.when(cut_up, wide).otherwise(F.lit(0)))
+    rows = rows.withColumn("own", F.when(cut_up, F.col("at")).otherwise(F.lit(-1)))
+    return rows.select("conv", F.struct("range", "own", "sub").alias("block"), "at", "tie", "role", "raw")
+
+
+def _raw_lines(pdf: pd.DataFrame) -> list[str]:
+    """Lines of a block in order."""
+    pdf = pdf.sort_values(["at", "tie", "role", "raw"], kind="stable")
+    return "\n".join(pdf["raw"]).split("\n")
+
+
+def _truth(pdf: pd.DataFrame) -> np.ndarray:
+    """The state that each line of a block was written from; a role is known for all rows."""
+    pdf = pdf.sort_values(["at", "tie", "role", "raw"], kind="stable")
+    n = pdf["raw"].str.count("\n").to_numpy() + 1
+    first = 2 * pdf["role"].map(ROLES.index).to_numpy()
+    out = np.repeat(first + 1, n)
+    out[np.cumsum(n) - n] -= 1
+    return out
 
 
 def _each(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -159,45 +198,49 @@ def _each(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
 def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
     codes = []
     for own in _each(pdf):
-        lines, truth = _raw_lines(own)
-        obs = observe(lines, False)
+        truth, obs = _truth(own), observe(_raw_lines(own), bool(own["ahead"].iloc[0]))
         codes += [truth * SYMBOLS + obs, STATES * SYMBOLS + truth[:-1] * STATES + truth[1:], [STATES * (SYMBOLS + STATES) + truth[0]]]
     k, n = np.unique(np.concatenate(codes).astype(np.int64), return_counts=True)
     return pd.DataFrame({"code": k, "n": n.astype(np.int64)})
 
 
-def train(blocks: DataFrame) -> Hmm:
-    """Model from the blocks of conversations that aren't held out; counts are of fixed size."""
-    learn = blocks.where(F.crc32(F.col("conv").cast("binary")) % 4 != 2)
-    rows = learn.groupBy("share").applyInPandas(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
+def _dealt(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with the number of their block in the conversation and a share, and (conv, nth) of all blocks."""
+    marked = F.col("raw").rlike("(?i)^(?:" + "|".join(re.escape(m.strip()) for r in ROLES for m in MARKERS[r]) + ")")
+    spans = blocks.groupBy("conv", "block").agg(F.min_by(marked, F.struct("at", "tie", "role", "raw")).alias("head"))
+    order = Window.partitionBy("conv").orderBy("block")
+    spans = written(spans.select("conv", "block", F.row_number().over(order).cast("int").alias("nth"), F.coalesce(F.lead("head").over(order), F.lit(True)).alias("ahead")), "chat-spans")
+    # a task takes as many whole blocks as make about SHARE_ROWS rows
+    share = F.pmod(F.xxhash64("conv", "nth"), F.lit(max(1, blocks.count() // SHARE_ROWS)))
+    return written(blocks.join(spans, ["conv", "block"]).drop("block").withColumn("share", share), "chat-lines"), spans
+
+
+def _trained(rows: DataFrame) -> Hmm:
+    learn = rows.where(F.crc32(F.col("conv").cast("binary")) % 4 != 2)
+    counts = learn.groupBy("share").applyInPandas(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(STATES * (SYMBOLS + STATES + 1))
-    for r in rows:
+    for r in counts:
         total[r["code"]] = r["n"]
     seen, moves, starts = np.split(total, [STATES * SYMBOLS, STATES * (SYMBOLS + STATES)])
     return Hmm(starts, moves.reshape(STATES, STATES), seen.reshape(STATES, SYMBOLS))
 
 
-def parse(conversations: DataFrame) -> DataFrame:
-    """Canonical turns of every conversation's transcript.
+def train(conversations: DataFrame) -> Hmm:
+    """Model from the conversations (conv_id, turn, role, text) that aren't held out; counts are of fixed size."""
+    ship(conversations.sparkSession)
+    return _trained(_dealt(in_blocks(written_out(conversations), 64))[0])
+
+
+def _parsed(rows: DataFrame, spans: DataFrame, hmm: Hmm) -> DataFrame:
+    """(conv, block, part, turn_no, role, opens, n_lines, n_body, body, right) of every part of a turn.
 
-    (conv_id, block, part, turn_no, role, opens, n_lines, rendered, right): parts
-    of turns in order of (block, part); ``opens`` tells whether the turn begins
-    here, ``right`` how many of its lines have the role they were written with.
+    ``n_lines`` counts its lines, ``n_body`` those that are its text; ``right`` those written from its role (null where none is known).
     """
-    ship(conversations.sparkSession)
-    blocks = written(transcripts(conversations), "chat-blocks")
-    spans = blocks.groupBy("conv", "block").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("conv").orderBy("block")
-    spans = written(spans.select("conv", "block", F.row_number().over(order).cast("int").alias("nth")), "chat-spans")
-    # a task takes as many whole blocks as make about SHARE_ROWS rows
-    share = F.pmod(F.xxhash64("conv", "nth"), F.lit(max(1, blocks.count() // SHARE_ROWS)))
-    rows = written(blocks.join(spans, ["conv", "block"]).drop("block").withColumn("share", share), "chat-lines")
-    hmm = train(rows)
 
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for own in _each(pdf):
-            obs, nth = observe(_raw_lines(own)[0], False), int(own["nth"].iloc[0])
+            obs, nth = observe(_raw_lines(own), bool(own["ahead"].iloc[0])), int(own["nth"].iloc[0])
             best = hmm.first_block(obs) if nth == 1 else hmm.block(obs)
             out.append((own["conv"].iloc[0], nth, best.tobytes()))
         return pd.DataFrame(out, columns=["conv", "nth", "best"])
@@ -226,24 +269,52 @@ def parse(conversations: DataFrame) -> DataFrame:
     def traced(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for own in _each(pdf):
-            lines, truth = _raw_lines(own)
+            lines = _raw_lines(own)
+            truth = _truth(own) // 2 if own["role"].notna().all() else None
             conv, nth, one = own["conv"].iloc[0], int(own["nth"].iloc[0]), pd.isna(own["leave"].iloc[0])
-            states = hmm.trace(observe(lines, False), None if nth == 1 else int(own["entry"].iloc[0]), None if one else int(own["leave"].iloc[0]))
+            states = hmm.trace(observe(lines, bool(own["ahead"].iloc[0])), None if nth == 1 else int(own["entry"].iloc[0]), None if one else int(own["leave"].iloc[0]))
             cuts = [k for k, s in enumerate(states) if s % 2 == 0 or k == 0] + [len(states)]
             for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                role, opens = ROLES[states[a] // 2], states[a] % 2 == 0
-                body = "\n".join([unmarked(lines[a]) if opens else lines[a], *lines[a + 1 : b]]).rstrip("\n")
-                right = int((truth[a:b] // 2 == states[a] // 2).sum())
-                out.append((conv, nth, part, role, opens, b - a, f"<|{role}|>\n{body}\n" if opens else f"{body}\n", right))
-        return pd.DataFrame(out, columns=["conv", "nth", "part", "role", "opens", "n_lines", "rendered", "right"])
+                opens = states[a] % 2 == 0
+                body = body_of(lines[a:b], opens)
+                right = None if truth is None else int((truth[a:b] == states[a] // 2).sum())
+                out.append((conv, nth, part, ROLES[states[a] // 2], opens, b - a, len(body), "\n".join(body), right))
+        return pd.DataFrame(out, columns=["conv", "nth", "part", "role", "opens", "n_lines", "n_body", "body", "right"]).astype({"right": "Int64"})
 
-    schema = "conv string, nth int, part int, role string, opens boolean, n_lines int, rendered string, right int"
+    schema = "conv string, nth int, part int, role string, opens boolean, n_lines int, n_body int, body string, right int"
     parts = written(rows.groupBy("share").applyInPandas(traced, schema), "chat-parts")
     opened = parts.groupBy("conv", "nth").agg(F.sum(F.col("opens").cast("int")).alias("turns"))
     before = Window.partitionBy("conv").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     bases = written(opened.select("conv", "nth", F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("base")), "chat-bases")
     within = F.sum(F.col("opens").cast("int")).over(Window.partitionBy("conv", "nth").orderBy("part"))
     return parts.withColumn("k", within).join(bases, ["conv", "nth"]).select(
-        F.when(F.col("conv") != "", F.col("conv").cast("long")).alias("conv_id"), F.col("nth").alias("block"), "part", (F.col("base") + F.col("k")).cast("long").alias("turn_no"),
-        "role", "opens", "n_lines", "rendered", "right",
+        "conv", F.col("nth").alias("block"), "part", (F.col("base") + F.col("k")).cast("long").alias("turn_no"), "role", "opens", "n_lines", "n_body", "body", "right"
     )
+
+
+def whole_turns(parts: DataFrame) -> DataFrame:
+    """(conv, turn_no, role, n_lines, rendered, right): the parts of every turn joined, in canonical form."""
+    own = F.array_sort(F.collect_list(F.struct("block", "part", "n_body", "body")))
+    turns = parts.groupBy("conv", "turn_no").agg(F.max_by("role", "opens").alias("role"), F.sum("n_lines").alias("n_lines"), F.sum("right").alias("right"), own.alias("own"))
+    text = F.array_join(F.transform(F.filter("own", lambda p: p["n_body"] > 0), lambda p: p["body"]), "\n")
+    return turns.select("conv", "turn_no", "role", "n_lines", F.concat(F.lit("<|"), "role", F.lit("|>\n"), text, F.lit("\n")).alias("rendered"), "right")
+
+
+def parse(conversations: DataFrame) -> DataFrame:
+    """Canonical turns of every conversation (conv_id, turn, role, text), parsed from its transcript's lines alone.
+
+    (conv_id, turn_no, role, n_lines, rendered, right); roles train the model and
+    tell how many lines are ``right``, but no line's role is looked at to parse it.
+    """
+    ship(conversations.sparkSession)
+    rows, spans = _dealt(in_blocks(written_out(conversations), 64))
+    return whole_turns(_parsed(rows, spans, _trained(rows))).select(F.when(F.col("conv") != "", F.col("conv").cast("long")).alias("conv_id"), "turn_no", "role", "n_lines", "rendered", "right")
+
+
+def parse_transcripts(transcripts: DataFrame, hmm: Hmm) -> DataFrame:
+    """Canonical turns (conv_id, conv, turn_no, role, n_lines, rendered) of raw transcripts (conv_id, text); ``conv`` tells an id's transcripts apart."""
+    ship(transcripts.sparkSession)
+    rows, spans = _dealt(in_blocks(lines_of(transcripts), 1024))
+    turns = whole_turns(_parsed(rows, spans, hmm))
+    own = F.regexp_extract("conv", "^(.*)/[0-9A-F]+$", 1)
+    return turns.select(F.when(own != "", own).alias("conv_id"), "conv", "turn_no", "role", "n_lines", "rendered")
