@@ -1,23 +1,29 @@
-"""Edit-aware token counts.
+"""Edit-aware token counts over segment trees that are kept per document.
 
-A document is a segment tree whose leaves are runs of pre-tokens with their
-characters and tokens; inner nodes hold sums. An edit (offset, number of
-characters removed, text put in) descends to the leaves that it touches, takes one
-more on either side as context, encodes that region alone, and goes on outwards
-while the region's first or last pre-token differs from the one the next leaf
-would give. The region's pre-tokens are put into its leaves and the sums above
-them updated; all other leaves stay.
+A document's tree has its pre-tokens as leaves, with their characters and tokens;
+inner nodes hold sums. ``with_trees`` makes the trees once, by encoding whole
+texts; their leaves are two plain arrays, which any table can store. ``edited``
+takes texts with such trees, applies edits and gives texts and trees back, so that
+the next edits start from there: only what an edit touches is encoded again.
+
+An edit (offset, number of characters removed, text put in) descends to the leaves
+that it touches and takes some pre-tokens more on either side as context, encodes
+that region alone, and goes on outwards while the region's first or last pre-token
+differs from the one it had. The region's pre-tokens are put into its leaves and
+the sums above them updated; all other leaves stay. A leaf can hold several
+pre-tokens; a region counts by pre-tokens all the same, and where a leaf gets more
+than ``FULL`` of them the tree is laid out anew from the sums it has, with no
+encoding.
 
 A null text is empty; null or absent edits change nothing; an edit is clipped to
 the text it finds. Edits of a document apply in the order given, each to the text
-as the ones before left it. Repeated rows are counted each.
+as the ones before left it. Repeated rows are counted each. A tree that doesn't
+fit its text (other numbers of characters, or null) is made anew, which counts as
+encoded. Other columns stay; columns named tree or after are replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +33,10 @@ from strandlake.session import ship
 
 KEPT = 150_000
 CONTEXT = 2
+FULL = 64
+
+TREE = "struct<chars:array<int>,toks:array<int>>"
+AFTER = "struct<text:string,chars:array<int>,toks:array<int>,n_edits:bigint,tokens_before:bigint,tokens_after:bigint,chars_after:bigint,chars_encoded:bigint>"
 
 
 class Counter:
@@ -52,23 +62,44 @@ class Counter:
         return out
 
 
+_counters: dict[str, Counter] = {}
+
+
+def counter_of(path: str) -> Counter:
+    if path not in _counters:
+        _counters[path] = Counter(path)
+    return _counters[path]
+
+
 class PretokenTree:
-    """Segment tree over the pre-tokens of one document."""
+    """Segment tree over the pre-tokens of one document, from its text and the leaves' arrays."""
 
-    def __init__(self, text: str, counter: Counter):
-        self.counter = counter
+    def __init__(self, text: str, chars: list[int], toks: list[int], counter: Counter):
+        self.counter, self.encoded = counter, 0  # characters encoded again by edits
+        self._lay(text, chars, toks)
+
+    @classmethod
+    def of(cls, text: str, counter: Counter) -> PretokenTree:
         words = counter.split(text)
-        self.leaves = [[w] for w in words]
-        self.width = 1 << max(0, (max(1, len(words)) - 1).bit_length())
-        self.chars, self.toks = [0] * (2 * self.width), [0] * (2 * self.width)
-        self.chars[self.width : self.width + len(words)] = map(len, words)
-        self.toks[self.width : self.width + len(words)] = counter.tokens(words)
-        for node in range(self.width - 1, 0, -1):
-            self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
-            self.toks[node] = self.toks[2 * node] + self.toks[2 * node + 1]
-        if not words:
-            self.leaves = [[]]
-        self.encoded = 0  # characters encoded again by edits
+        return cls(text, list(map(len, words)), counter.tokens(words), counter)
+
+    def _lay(self, text: str, chars: list[int], toks: list[int]) -> None:
+        self.base, self.size = text, max(1, len(chars))
+        self.width = 1 << (self.size - 1).bit_length()
+        self.start, at = [], 0
+        for n in chars:
+            self.start.append(at)
+            at += n
+        self.chars, self.toks = self._sums(chars), self._sums(toks)
+        self.own: dict[int, tuple[list[str], list[int]]] = {}  # leaves that edits have changed
+
+    def _sums(self, leaves: list[int]) -> list[int]:
+        level = [*leaves, *[0] * (self.width - len(leaves))]
+        levels = [level]
+        while len(level) > 1:
+            level = [a + b for a, b in zip(level[::2], level[1::2])]
+            levels.append(level)
+        return [0, *(n for level in reversed(levels) for n in level)]
 
     @property
     def n_chars(self) -> int:
@@ -78,8 +109,24 @@ class PretokenTree:
     def n_tokens(self) -> int:
         return self.toks[1]
 
-    def text(self) -> str:
-        return "".join(w for leaf in self.leaves for w in leaf)
+    def words(self, leaf: int) -> tuple[list[str], list[int]]:
+        """Pre-tokens of a leaf and their tokens."""
+        if leaf in self.own:
+            return self.own[leaf]
+        n = self.chars[self.width + leaf]
+        return ([self.base[self.start[leaf] : self.start[leaf] + n]], [self.toks[self.width + leaf]]) if n else ([], [])
+
+    def leaves(self) -> tuple[str, list[int], list[int]]:
+        """Text, and characters and tokens of all pre-tokens: what a table keeps."""
+        if not self.own:
+            n = self.size if self.chars[1] else 0
+            return self.base, self.chars[self.width : self.width + n], self.toks[self.width : self.width + n]
+        words, toks = [], []
+        for leaf in range(self.size):
+            w, t = self.words(leaf)
+            words += w
+            toks += t
+        return "".join(words), list(map(len, words)), toks
 
     def find(self, offset: int) -> tuple[int, int]:
         """Leaf that holds the character at ``offset``, and the characters before it."""
@@ -89,19 +136,19 @@ class PretokenTree:
             if offset >= before + self.chars[node]:
                 before += self.chars[node]
                 node += 1
-        return min(node - self.width, len(self.leaves) - 1), before
+        return min(node - self.width, self.size - 1), before
 
     def near(self, leaf: int, step: int) -> int:
         """The next leaf in that direction that holds characters, or past the end."""
         leaf += step
-        while 0 <= leaf < len(self.leaves) and not self.leaves[leaf]:
+        while 0 <= leaf < self.size and not self.chars[self.width + leaf]:
             leaf += step
         return leaf
 
-    def put(self, leaf: int, words: list[str]) -> None:
-        self.leaves[leaf] = words
+    def put(self, leaf: int, words: list[str], toks: list[int]) -> None:
+        self.own[leaf] = words, toks
         node = self.width + leaf
-        self.chars[node], self.toks[node] = sum(map(len, words)), sum(self.counter.tokens(words))
+        self.chars[node], self.toks[node] = sum(map(len, words)), sum(toks)
         node >>= 1
         while node:
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
@@ -113,40 +160,77 @@ class PretokenTree:
         removed = min(max(removed, 0), self.n_chars - offset)
         if not removed and not added:
             return
-        last = self.n_chars - 1
-        a, before = self.find(min(offset, max(last, 0)))
-        b, _ = self.find(min(max(offset + removed - 1, offset), max(last, 0)))
-        # context: some leaves, and as many characters as could become a special token
-        reach, first, end = self.counter.reach, before, None
-        for k in range(CONTEXT + reach):
-            p = self.near(a, -1)
-            if p < 0 or k >= CONTEXT and first - before >= reach:
-                break
-            a, before = p, before - sum(map(len, self.leaves[p]))
-        for k in range(CONTEXT + reach):
-            n = self.near(b, 1)
-            if n >= len(self.leaves) or k >= CONTEXT and (end or 0) >= reach:
-                break
-            b, end = n, (end or 0) + sum(map(len, self.leaves[n]))
+        last = max(self.n_chars - 1, 0)
+        a, before = self.find(min(offset, last))
+        b, _ = self.find(min(max(offset + removed - 1, offset), last))
+        words, toks = [], []
+        for leaf in range(a, b + 1):
+            w, t = self.words(leaf)
+            words, toks = words + w, toks + t
+        # the pre-tokens touched: words[lo:hi], with ``first`` characters of the document before them
+        lo, first = 0, before
+        while lo + 1 < len(words) and first + len(words[lo]) <= offset:
+            first += len(words[lo])
+            lo += 1
+        hi, end = lo, first
+        while hi < len(words) and (hi == lo or end < offset + removed):
+            end += len(words[hi])
+            hi += 1
+
+        def left() -> bool:
+            """One pre-token more on the left, from the next leaf if need be."""
+            nonlocal a, words, toks, lo, hi, first
+            if not lo:
+                p = self.near(a, -1)
+                if p < 0:
+                    return False
+                w, t = self.words(p)
+                a, words, toks, lo, hi = p, w + words, t + toks, len(w), hi + len(w)
+            lo -= 1
+            first -= len(words[lo])
+            return True
+
+        def right() -> bool:
+            nonlocal b, words, toks, hi, end
+            if hi == len(words):
+                n = self.near(b, 1)
+                if n >= self.size:
+                    return False
+                w, t = self.words(n)
+                b, words, toks = n, words + w, toks + t
+            end += len(words[hi])
+            hi += 1
+            return True
+
+        # context: some pre-tokens, and as many characters as could become a special token
+        more = 0
+        while (more < CONTEXT or offset - first < self.counter.reach) and left():
+            more += 1
+        more = 0
+        while (more < CONTEXT or end - offset - removed < self.counter.reach) and right():
+            more += 1
+        step = 1
         while True:
-            old = [w for leaf in self.leaves[a : b + 1] for w in leaf]
+            old = words[lo:hi]
             whole = "".join(old)
-            cut = offset - before
-            new = whole[:cut] + added + whole[cut + removed :]
-            words = self.counter.split(new)
+            new = whole[: offset - first] + added + whole[offset - first + removed :]
+            now = self.counter.split(new)
             self.encoded += len(new)
-            p, n = self.near(a, -1), self.near(b, 1)
-            left = p < 0 or self._settled(words, old)
-            right = n >= len(self.leaves) or self._settled(words[::-1], old[::-1])
-            if left and right:
+            grown = False
+            for settled, further in ((self._settled(now, old), left), (self._settled(now[::-1], old[::-1]), right)):
+                for _ in range(0 if settled else step):
+                    if not further():
+                        break
+                    grown = True
+            if not grown:
                 break
-            if not left:
-                a, before = p, before - sum(map(len, self.leaves[p]))
-            if not right:
-                b = n
-        for leaf in range(a, b + 1):
-            words, now = ([], words) if leaf > a else ([], words)
-            self.put(leaf, now)
+            step *= 2
+        words[lo:hi], toks[lo:hi] = now, self.counter.tokens(now)
+        per = max(1, -(-len(words) // (b - a + 1)))
+        for k, leaf in enumerate(range(a, b + 1)):
+            self.put(leaf, words[k * per : (k + 1) * per], toks[k * per : (k + 1) * per])
+        if per > FULL:
+            self._lay(*self.leaves())
 
     @staticmethod
     def _settled(new: list[str], old: list[str]) -> bool:
@@ -154,31 +238,51 @@ class PretokenTree:
         return bool(new) and bool(old) and new[0] == old[0] and not new[0].isspace()
 
 
+def with_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``docs`` with ``tree``: characters and tokens of every pre-token of ``text``."""
+    path = path or V.default_path()
+    ship(docs.sparkSession)
+
+    @F.pandas_udf(TREE)
+    def tree(texts: pd.Series) -> pd.DataFrame:
+        counter = counter_of(path)
+        words = [counter.split(t or "") for t in texts]
+        return pd.DataFrame({"chars": [list(map(len, w)) for w in words], "toks": [counter.tokens(w) for w in words]})
+
+    return docs.withColumn("tree", tree("text"))
+
+
+def edited(docs: DataFrame, path: str | None = None, edits: str = "edits") -> DataFrame:
+    """``docs`` (text, tree, edits: array<struct<offset,removed,added>>) with ``after``: the new text and tree, counts, and characters encoded."""
+    path = path or V.default_path()
+    ship(docs.sparkSession)
+
+    @F.pandas_udf(AFTER)
+    def after(texts: pd.Series, trees: pd.DataFrame, todo: pd.Series) -> pd.DataFrame:
+        counter, rows = counter_of(path), []
+        for text, chars, toks, own in zip(texts, trees["chars"], trees["toks"], todo):
+            text = text or ""
+            fits = chars is not None and toks is not None and len(chars) == len(toks) and sum(chars.tolist()) == len(text)
+            tree = PretokenTree(text, chars.tolist(), toks.tolist(), counter) if fits else PretokenTree.of(text, counter)
+            tree.encoded, before, n = 0 if fits else len(text), tree.n_tokens, 0
+            for e in own if own is not None else ():
+                if e is not None and e["offset"] is not None:
+                    tree.edit(int(e["offset"]), int(e["removed"] or 0), e["added"] or "")
+                    n += 1
+            rows.append((*tree.leaves(), n, before, tree.n_tokens, tree.n_chars, tree.encoded))
+        return pd.DataFrame(rows, columns=["text", "chars", "toks", "n_edits", "tokens_before", "tokens_after", "chars_after", "chars_encoded"])
+
+    return docs.withColumn("after", after(F.col("text"), F.col("tree"), F.col(edits)))
+
+
 def apply_edits(docs: DataFrame, path: str | None = None, edits: str = "edits") -> DataFrame:
-    """Counts before and after the edits of each row (doc_id, text, edits: array<struct<offset,removed,added>>).
+    """Counts before and after the edits of each row (doc_id, text, edits).
 
     (doc_id, n_edits, tokens_before, tokens_after, chars_after, chars_encoded, text_sha256)
     """
-    path = path or V.default_path()
-    ship(docs.sparkSession)
-    schema = "doc_id long, n_edits long, tokens_before long, tokens_after long, chars_after long, chars_encoded long, text_sha256 string"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter = Counter(path)
-        for pdf in frames:
-            rows = []
-            for doc_id, text, todo in zip(pdf["doc_id"], pdf["text"], pdf["edits"]):
-                tree = PretokenTree(text or "", counter)
-                before, n = tree.n_tokens, 0
-                for e in todo if todo is not None else ():
-                    if e is not None and e["offset"] is not None:
-                        tree.edit(int(e["offset"]), int(e["removed"] or 0), e["added"] or "")
-                        n += 1
-                rows.append((doc_id, n, before, tree.n_tokens, tree.n_chars, tree.encoded, hashlib.sha256(tree.text().encode()).hexdigest()))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(edits).alias("edits")).mapInPandas(run, schema)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(edits).alias("edits"))
+    counts = [F.col(f"after.{c}").alias(c) for c in ("n_edits", "tokens_before", "tokens_after", "chars_after", "chars_encoded")]
+    return edited(with_trees(own, path), path).select("doc_id", *counts, F.sha2(F.col("after.text").cast("binary"), 256).alias("text_sha256"))
 
 
 def standing_edits(docs: DataFrame) -> DataFrame:

@@ -105,12 +105,48 @@ def test_edits_at_random(tk):
     parts = ["a", " ", "  ", "\n", "'", "'ll", "l", "9", "!", "<|endoftext|>", "<|", "endof", "text", "|>", "Wort", "é"]
     for _ in range(150):
         text = "".join(rng.choices(parts, k=rng.randrange(0, 40)))
-        tree = edit_counts.PretokenTree(text, counter)
+        tree = edit_counts.PretokenTree.of(text, counter)
         for _ in range(6):
             o, n, add = rng.randrange(0, len(text) + 3), rng.randrange(0, 6), "".join(rng.choices(parts, k=rng.randrange(0, 4)))
             tree.edit(o, n, add)
             text = edited(text, [{"offset": o, "removed": n, "added": add}])
-            assert tree.text() == text and tree.n_tokens == len(ids_of(tk, text)) and tree.n_chars == len(text)
+            assert tree.leaves()[0] == text and tree.n_tokens == len(ids_of(tk, text)) and tree.n_chars == len(text)
+            chars, toks = tree.leaves()[1:]
+            if rng.random() < 0.3:  # as if stored and read again
+                tree = edit_counts.PretokenTree(text, chars, toks, counter)
+
+
+def test_edits_stay_small_after_a_large_one(tk):
+    """Leaves that a large edit fills are laid out anew, and a small edit there encodes little; so does one of many in one place."""
+    rng, counter = random.Random(6), edit_counts.Counter(vocab.default_path())
+    text = "word " * 500
+    tree = edit_counts.PretokenTree.of(text, counter)
+    added = " ".join(f"new{k % 97}" for k in range(20_000))
+    tree.edit(1000, 10, added)
+    text = edited(text, [{"offset": 1000, "removed": 10, "added": added}])
+    assert max(len(w) for w, _ in tree.own.values()) <= edit_counts.FULL if tree.own else True
+    for _ in range(300):
+        o, before = rng.choice((5000, rng.randrange(len(text)))), tree.encoded
+        tree.edit(o, 1, "q z")
+        text = edited(text, [{"offset": o, "removed": 1, "added": "q z"}])
+        assert tree.encoded - before < 200
+    assert tree.leaves()[0] == text and tree.n_tokens == len(ids_of(tk, text))
+
+
+def test_trees_are_kept(spark, docs, tk, tmp_path):
+    """Trees written, read again and edited twice: counts and texts as by whole encoding, and little encoded."""
+    edit_counts.with_trees(docs.select("doc_id", "text", "score")).write.parquet(f"{tmp_path}/one")
+    one = edit_counts.edited(edit_counts.standing_edits(spark.read.parquet(f"{tmp_path}/one")))
+    one.select("doc_id", F.col("after.text").alias("text"), F.struct("after.chars", "after.toks").alias("tree"), F.col("after.tokens_after").alias("n")).write.parquet(f"{tmp_path}/two")
+    two = edit_counts.edited(edit_counts.standing_edits(spark.read.parquet(f"{tmp_path}/two")))
+    for r in two.collect():
+        want = edited(r.text, r.edits)
+        assert r.after.text == want and r.after.tokens_before == r.n == len(ids_of(tk, r.text)) and r.after.tokens_after == len(ids_of(tk, want)) == sum(r.after.toks)
+        if len(want) > 3000 and max(map(len, want.split())) < 200:
+            assert r.after.chars_encoded < len(want) / 2
+    # a tree that doesn't fit is made anew
+    bad = spark.read.parquet(f"{tmp_path}/two").withColumn("text", F.concat("text", F.lit("!"))).withColumn("edits", F.lit(None).cast("array<struct<offset:int,removed:int,added:string>>"))
+    assert all(r.after.tokens_after == len(ids_of(tk, r.text)) and r.after.n_edits == 0 for r in edit_counts.edited(bad).collect())
 
 
 def test_bpe(spark, docs, rows, tk):
@@ -481,15 +517,60 @@ def test_near_vectors(spark, sf1, monkeypatch):
     assert near_vectors.near_duplicates(v.limit(0)).count() == 0
 
 
+def canonical(role, text):
+    return f"<|{role}|>\n{text}\n"
+
+
 def test_chat(spark, sf1):
-    conv = spark.read.parquet(f"{sf1}/conversations.parquet")
+    conv = spark.read.parquet(f"{sf1}/conversations.parquet").withColumns({c: F.lit(1) for c in ("raw", "at", "tie", "block", "share", "nth", "blocks", "best")})
     out = chat.parse(conv).collect()
     assert sum(r.right for r in out) / sum(r.n_lines for r in out) > 0.97
-    assert {r.conv_id for r in out} == {r.conv_id for r in conv.select("conv_id").distinct().collect()}
-    odd = [(1, None, None, None), (1, 0, "user", "Hi?\nmore"), (1, 1, "bot", ""), (None, 0, "assistant", "x" * 100_000), (1, 0, "user", "Hi?\nmore")]
+    want = defaultdict(list)
+    for r in conv.select("conv_id", "turn", "role", "text").distinct().collect():
+        role = r.role if r.role in chat.ROLES else "user"
+        want[r.conv_id].append((r.turn, canonical(role, r.text or "")))
+    got = defaultdict(list)
+    for r in sorted(out, key=lambda r: r.turn_no):
+        got[r.conv_id].append(r.rendered)
+    assert set(got) == set(want)
+    # whole conversations, turn by turn and character by character
+    same = [got[c] == [t for _, t in sorted(want[c])] for c in want if len({t for t, _ in want[c]}) == len(want[c])]
+    assert np.mean(same) > 0.9
+
+
+def test_chat_of_odd_rows(spark):
+    odd = [(1, None, None, None), (1, 0, "user", "Hi?\nmore"), (1, 1, "bot", ""), (None, 0, "assistant", "x" * 100_000), (1, 0, "user", "Hi?\nmore"), (1, 0, "system", "a tie")]
     got = chat.parse(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string")).collect()
     assert {r.conv_id for r in got} == {1, None}
-    assert chat.parse(conv.limit(0)).count() == 0
+    assert sum(r.n_lines for r in got if r.conv_id == 1) >= 5
+    assert next(r.rendered.count("x") for r in got if r.conv_id is None) == 100_000
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.parse(none).count() == 0
+
+
+def test_raw_transcripts(spark, sf1):
+    """Roles come back from lines alone, and every character of a turn stays."""
+    hmm = chat.train(spark.read.parquet(f"{sf1}/conversations.parquet"))
+    turns = {
+        "a": [("user", "Hello there, how are you?"), ("assistant", "  Well, thanks.\n    indented code\nmore\n"), ("user", "Good."), ("assistant", "User: is a word here")],
+        "b": [("system", "Be brief."), ("user", "What is 2 + 2?\n"), ("assistant", "4  ")],
+    }
+    styles = {"a": 0, "b": 3}
+    text = {k: "\n".join(chat.MARKERS[r][styles[k]] + t for r, t in v) for k, v in turns.items()}
+    rows = [("a", text["a"], 1), ("a", text["a"], 1), ("a", "[user] another of this id\n[assistant] yes", 2), ("b", text["b"], 3), ("c", None, 4), (None, "BOT> x\n\nand some more", 5), ("long", "\n".join(f"[{('user', 'assistant')[k % 2]}] line {k}\nmore of it\n" for k in range(4000)), 6)]
+    out = chat.parse_transcripts(spark.createDataFrame(rows, "conv_id string, text string, turn_no int"), hmm).collect()
+    by = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.conv, r.turn_no)):
+        by[r.conv_id, r.conv].append(r.rendered)
+    found = {tuple(v) for (i, _), v in by.items() if i == "a"}
+    assert found == {tuple(canonical(*t) for t in turns["a"]), (canonical("user", "another of this id"), canonical("assistant", "yes"))}
+    assert [v for (i, _), v in by.items() if i == "b"] == [[canonical(*t) for t in turns["b"]]]
+    assert len([v for (i, _), v in by.items() if i == "c"][0]) == 1
+    (none,) = [v for (i, _), v in by.items() if i is None]
+    assert "".join(none).startswith("<|assistant|>\nx\n") and "and some more" in "".join(none)
+    (long,) = [v for (i, _), v in by.items() if i == "long"]
+    assert long == [canonical(("user", "assistant")[k % 2], f"line {k}\nmore of it\n" if k < 3999 else f"line {k}\nmore of it\n") for k in range(4000)]
+    assert chat.parse_transcripts(spark.createDataFrame([], "conv_id string, text string"), hmm).count() == 0
 
 
 def test_chat_blocks_give_the_best_path():
@@ -502,12 +583,17 @@ def test_chat_blocks_give_the_best_path():
         def value(path, hmm=hmm, obs=obs):
             return hmm.start[path[0]] + sum(hmm.move[a, b] for a, b in zip(path, path[1:])) + sum(hmm.emit[s, o] for s, o in zip(path, obs))
 
-        whole = hmm.trace(obs, None, None)
+        # Viterbi by plain dictionaries of whole paths
+        best = {s: (hmm.start[s] + hmm.emit[s, obs[0]], [s]) for s in range(chat.STATES)}
+        for o in obs[1:]:
+            best = {s: max(((v + hmm.move[p, s] + hmm.emit[s, o], [*path, s]) for p, (v, path) in best.items()), key=lambda x: x[0]) for s in best}
+        top = max(v for v, _ in best.values())
+        assert math.isclose(value(hmm.trace(obs, None, None)), top)
         blocks = [hmm.first_block(obs[:17]), hmm.block(obs[17:40]), hmm.block(obs[40:])]
         score = np.zeros(chat.STATES)
         for b in blocks:
             score = (score[:, None] + b).max(0)
-        assert math.isclose(score.max(), value(whole))
+        assert math.isclose(score.max(), top)
 
 
 def test_long_conversation_in_blocks(spark):
@@ -515,10 +601,12 @@ def test_long_conversation_in_blocks(spark):
     for t in range(3000):
         rows.append((7, t, ("user", "assistant")[t % 2], "\n".join("word " * rng.randrange(1, 30) for _ in range(rng.randrange(1, 4)))))
     rows += [(k, *r[1:]) for k in range(8, 12) for r in rows[:40]]  # 7 is held out
-    out = chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id = 7").orderBy("block", "part").collect()
-    assert out[-1].block > 10 and sum(r.right for r in out) / sum(r.n_lines for r in out) > 0.95
-    opened = [r.turn_no for r in out if r.opens]
-    assert opened == list(range(1, len(opened) + 1))
+    out = chat.parse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("conv_id = 7").orderBy("turn_no").collect()
+    assert sum(r.right for r in out) / sum(r.n_lines for r in out) > 0.95
+    assert [r.turn_no for r in out] == list(range(1, len(out) + 1))
+    # every line of every turn is in the turns, in order
+    lines = [x for r in out for x in r.rendered.split("\n")[1:-1] if x.strip()]
+    assert lines == [x for r in rows[:3000] for x in r[3].split("\n")]
 
 
 def test_pipeline(spark, sf):
