@@ -29,14 +29,19 @@ def _draw(key: Column, shard: int, weight: float) -> Column:
     return F.lit(float(weight)) / -F.ln(u)
 
 
-def shard_of(key: Column, weights: Sequence[float]) -> Column:
-    """Shard 0 to len(weights) - 1 of a key; equal draws go to the lower shard."""
-    draws = [F.struct(_draw(key, k, w).alias("draw"), F.lit(-k).alias("k")) for k, w in enumerate(weights)]
-    return -F.array_max(F.array(*draws))["k"]
+def draws_of(key: Column, weights: Sequence[float]) -> Column:
+    """Each shard's draw of a key, with the shard's number."""
+    return F.array(*[F.struct(_draw(key, k, w).alias("draw"), F.lit(-k).alias("k")) for k, w in enumerate(weights)])
+
 
+def winner(draws: Column) -> Column:
+    """Shard of the largest draw; equal draws go to the lower shard."""
+    return -F.array_max(draws)["k"]
 
-def shard_and_grown(key: Column, weights: Sequence[float], new_weight: float) -> tuple[Column, Column]:
-    return shard_of(key, weights), shard_of(key, [*weights, new_weight])
+
+def shard_of(key: Column, weights: Sequence[float]) -> Column:
+    """Shard 0 to len(weights) - 1 of a key."""
+    return winner(draws_of(key, weights))
 
 
 def with_slots(df: DataFrame, shard: str = "shard") -> DataFrame:
@@ -54,9 +59,9 @@ def shard_documents(docs: DataFrame, shards: int = 16, weights: Sequence[float]
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of ``docs``."""
     weights = list(weights or [1.0] * shards)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    now, grown = shard_and_grown(F.col("doc_id"), weights, sum(weights) / len(weights))
-    placed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.lit("key").alias("law"), now.cast("int").alias("shard"), grown.cast("int").alias("grown_shard"),
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"),
+        draws_of(F.col("doc_id"), [*weights, sum(weights) / len(weights)]).alias("draws"),
     )
+    placed = rows.select("doc_id", "size", "text_crc32", "law", winner(F.slice("draws", 1, len(weights))).cast("int").alias("shard"), winner(F.col("draws")).cast("int").alias("grown_shard"))
     return with_slots(placed).select("doc_id", "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), "grown_shard")
