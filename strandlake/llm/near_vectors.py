@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from strandlake.llm.common import Forest, connected_components, written
 from strandlake.session import ship
 
-BLOCK = 512
+BLOCK = 2048
 CELL_ROWS = 2000
 RECALL = 0.998
 SEED = 20240229
@@ -35,7 +35,7 @@ SEED = 20240229
 
 def tables_for(threshold: float, largest: int, recall: float = RECALL) -> tuple[int, int]:
     """(bits a signature, tables): a pair at the threshold shares one of the tables with probability ``recall``."""
-    bits = min(28, max(10, math.ceil(math.log2(max(largest, 2))) + 2))
+    bits = min(62, max(10, math.ceil(math.log2(max(largest, 2))) + 2))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - same))
 

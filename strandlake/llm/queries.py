@@ -12,43 +12,53 @@ from strandlake.llm.common import table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences of 2048 tokens along the Hilbert curve."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after five standing edits, from its pre-token tree."""
     return edit_counts.apply_edits(edit_counts.standing_edits(table(spark, sf_dir, "documents")))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of ids, and digests of the ids and of the decoded text, of every document."""
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical turns of every conversation, parsed from its transcript's lines alone."""
     return chat.parse(table(spark, sf_dir, "conversations"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3-word shingle sets of every document, linked at a Jaccard similarity of 0.9: size and smallest id reached."""
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, from trees that no held-out label has seen."""
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 largest integer inner products of every hundredth vector with all others."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk_search.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard by rendezvous hashing, its slot there, and its shard once there is one more."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, from machines that no held-out document has trained."""
     return langid.told(table(spark, sf_dir, "documents"))
 
 
 def op10_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, smallest id reached and whether it stays, of every vector, at a cosine of 0.98 within its label."""
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
@@ -75,7 +85,7 @@ OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score FROM v q JOIN v d ON q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id AND len(q.e) = len(d.e))
+), q AS (SELECT DISTINCT * FROM v WHERE vec_id % 100 = 0), s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score FROM q JOIN v d ON d.vec_id <> q.vec_id AND len(q.e) = len(d.e))
 SELECT query_id, rank, vec_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10
 """
 

@@ -514,6 +514,13 @@ def test_near_vectors(spark, sf1, monkeypatch):
     assert sum(r.n_links for r in got.values()) >= 0.99 * sum(links.values())
     assert np.mean([r.component_id == (root(i) if i in up else i) for i, r in got.items()]) > 0.99
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
+    # longer signatures, as for labels of a quarter of a million and of sixty million vectors
+    tables_for = near_vectors.tables_for
+    for largest, bits in ((1 << 18, 20), (1 << 26, 28)):
+        monkeypatch.setattr(near_vectors, "tables_for", lambda t, n, r, largest=largest: tables_for(t, largest, r))
+        assert tables_for(0.98, largest)[0] == bits
+        more = near_vectors.near_duplicates(v).collect()
+        assert sum(r.n_links for r in more) >= 0.99 * sum(links.values()) and all(r.n_links <= links[r.vec_id] for r in more)
     assert near_vectors.near_duplicates(v.limit(0)).count() == 0
 
 
