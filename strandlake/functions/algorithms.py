@@ -10,46 +10,56 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.functions.seq import CODE_1
+from strandlake.functions.seq import CODE_1, count_of
 
-#: pK values of side chains and termini, and residue masses: fixed values.
+#: pK values of side chains, of a chain's first and last residue, and residue masses: fixed values.
 PK_POSITIVE = {"K": 10.0, "R": 12.0, "H": 5.98}
 PK_NEGATIVE = {"D": 4.05, "E": 4.45, "C": 9.0, "Y": 10.0}
-PK_NTERM, PK_CTERM = 7.5, 3.55
+PK_FIRST = {"A": 7.59, "E": 7.7, "M": 7.0, "P": 8.36, "S": 6.93, "T": 6.82, "V": 7.44}
+PK_LAST = {"D": 4.55, "E": 4.75}
+PK_FIRST_ELSE, PK_LAST_ELSE = 7.5, 3.55
+PI_PRECISION = 0.0001
 MASS = {"A": 71.0788, "R": 156.1875, "N": 114.1038, "D": 115.0886, "C": 103.1388, "E": 129.1155, "Q": 128.1307, "G": 57.0519, "H": 137.1411, "I": 113.1594, "L": 113.1594, "K": 128.1741, "M": 131.1926, "F": 147.1766, "P": 97.1167, "S": 87.0782, "T": 101.1051, "W": 186.2132, "Y": 163.1760, "V": 99.1326, "U": 150.0388}
 WATER = 18.01528
 
 
-def net_charge(counts: dict[str, Column], ph: Column) -> Column:
-    """Henderson-Hasselbalch sum over the charged residues and both termini."""
+def net_charge(seq: Column, ph: Column) -> Column:
+    """Henderson-Hasselbalch sum over the charged residues and both ends; null without a residue."""
     plus = lambda n, pk: n / (1 + F.pow(F.lit(10.0), ph - pk))
     minus = lambda n, pk: -n / (1 + F.pow(F.lit(10.0), pk - ph))
-    total = plus(F.lit(1.0), PK_NTERM) + minus(F.lit(1.0), PK_CTERM)
+    pk_of = lambda residue, known, other: F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in known.items() for v in kv]), residue), F.lit(other))
+    total = plus(F.lit(1.0), pk_of(F.substring(seq, 1, 1), PK_FIRST, PK_FIRST_ELSE)) + minus(F.lit(1.0), pk_of(F.substring(seq, -1, 1), PK_LAST, PK_LAST_ELSE))
     for aa, pk in PK_POSITIVE.items():
-        total = total + plus(counts[aa], pk)
+        total = total + plus(count_of(seq, aa), F.lit(pk))
     for aa, pk in PK_NEGATIVE.items():
-        total = total + minus(counts[aa], pk)
-    return total
-
-
-def charge_of(seq: str, ph: float) -> float:
-    total = 1 / (1 + 10 ** (ph - PK_NTERM)) - 1 / (1 + 10 ** (PK_CTERM - ph))
-    total += sum(seq.count(a) / (1 + 10 ** (ph - pk)) for a, pk in PK_POSITIVE.items())
-    return total - sum(seq.count(a) / (1 + 10 ** (pk - ph)) for a, pk in PK_NEGATIVE.items())
-
-
-def isoelectric(seq: str) -> float:
-    """pH at which the charge is nil, by bisection over 0 to 14."""
-    low, high = 0.0, 14.0
-    while high - low > 1e-6:
+        total = total + minus(count_of(seq, aa), F.lit(pk))
+    return F.when(F.length(seq) > 0, total)
+
+
+def isoelectric_points(seqs: list[str]) -> np.ndarray:
+    """pH at which each chain's charge is nil, by bisection over 0 to 14 for all chains at once; NaN without a residue."""
+    n = len(seqs)
+    counts = np.array([[s.count(a) for a in (*PK_POSITIVE, *PK_NEGATIVE)] for s in seqs], np.float64).reshape(n, -1)
+    first = np.array([PK_FIRST.get(s[:1], PK_FIRST_ELSE) for s in seqs])
+    last = np.array([PK_LAST.get(s[-1:], PK_LAST_ELSE) for s in seqs])
+    pos, neg = np.array(list(PK_POSITIVE.values())), np.array(list(PK_NEGATIVE.values()))
+    low, high = np.zeros(n), np.full(n, 14.0)
+    mid = (low + high) / 2
+    width = 14.0
+    while width > PI_PRECISION and n:
         mid = (low + high) / 2
-        low, high = (mid, high) if charge_of(seq, mid) > 0 else (low, mid)
-    return (low + high) / 2
+        charge = 1 / (1 + 10 ** (mid - first)) - 1 / (1 + 10 ** (last - mid))
+        charge += (counts[:, : len(pos)] / (1 + 10 ** (mid[:, None] - pos))).sum(1) - (counts[:, len(pos) :] / (1 + 10 ** (neg - mid[:, None]))).sum(1)
+        low, high = np.where(charge > 0, mid, low), np.where(charge > 0, high, mid)
+        width /= 2
+    return np.where([len(s) > 0 for s in seqs], mid, np.nan)
 
 
 @F.pandas_udf(T.DoubleType())
 def isoelectric_point(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else isoelectric(x))
+    """Isoelectric point to a precision of 0.0001; null without a residue."""
+    p = isoelectric_points([x or "" for x in s])
+    return pd.Series(p).astype(object).where(~np.isnan(p), None)
 
 
 def molecular_weight(seq: Column) -> Column:

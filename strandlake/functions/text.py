@@ -26,10 +26,15 @@ def content_words(c: Column) -> Column:
 
 
 def hash17(c: Column) -> Column:
-    """h = 17 h + c over the code points, modulo 2^61 so that it stays in a long."""
-    codes = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.ascii(x).cast("decimal(38,0)"))
-    mod = F.lit(1 << 61).cast("decimal(38,0)")
-    return F.aggregate(codes, F.lit(0).cast("decimal(38,0)"), lambda h, x: ((h * 17 + x) % mod).cast("decimal(38,0)")).cast("long")
+    """h = 17 h + c over the UTF-8 bytes as signed characters, modulo 2^64, as a signed long."""
+    digits = F.hex(F.encode(c, "UTF-8"))
+    byte = lambda i: F.conv(F.substr(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    signed = lambda i: F.when(byte(i) > 127, byte(i) - 256).otherwise(byte(i)).cast("decimal(38,0)")
+    mod, half = F.lit(1 << 64).cast("decimal(38,0)"), F.lit(1 << 63).cast("decimal(38,0)")
+    n = (F.length(digits) / 2).cast("int")
+    places = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).when(n == 0, F.array().cast("array<int>"))
+    step = lambda h, i: F.pmod(h * 17 + signed(i), mod).cast("decimal(38,0)")
+    return F.aggregate(places, F.lit(0).cast("decimal(38,0)"), step, lambda h: F.when(h >= half, h - mod).otherwise(h)).cast("long")
 
 
 def jaccard(a: Column, b: Column) -> Column:

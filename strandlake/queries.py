@@ -324,7 +324,7 @@ def text_edit_distance_all(spark, d):
     return pairs.select("a", "b", F.levenshtein("ka", "kb").cast("long").alias("dist"))
 
 
-@query("SELECT c_custkey, CAST(list_reduce(list_transform(string_split(c_name, ''), lambda x: CAST(ascii(x) AS HUGEINT)), lambda h, x: (h * 17 + x) % 2305843009213693952, CAST(0 AS HUGEINT)) AS BIGINT) AS h FROM customer")
+@query("WITH h AS (SELECT c_custkey, list_reduce(list_transform(string_split(c_name, ''), lambda x: CAST(ascii(x) AS HUGEINT)), lambda h, x: (h * 17 + x) % CAST(18446744073709551616 AS HUGEINT), CAST(0 AS HUGEINT)) AS h FROM customer) SELECT c_custkey, CAST(CASE WHEN h > 9223372036854775807 THEN h - CAST(18446744073709551616 AS HUGEINT) ELSE h END AS BIGINT) AS h FROM h")
 def text_hash17(spark, d):
     return t(spark, d, "customer").select("c_custkey", X.hash17(F.col("c_name")).alias("h"))
 

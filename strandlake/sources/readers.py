@@ -1,75 +1,153 @@
 """Readers of delimited and record formats, all by Spark's own text sources.
 
-Every reader returns typed columns; a line that can't be read keeps its text in
-``bad_line`` and has nulls elsewhere (``permissive``), or is an error (``failfast``).
+Every reader of lines has a parser of the same name, which takes lines from
+wherever they are (column ``value``). A line that can't be read, because it has too
+few fields or one that isn't of its column's type, keeps its text in ``bad_line`` and
+has nulls elsewhere (``permissive``), or is an error whatever columns are looked at
+(``failfast``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _fields(spark: SparkSession, path: str, columns: list[tuple[str, str]], skip: str, sep: str = "\t", least: int | None = None, mode: str = "permissive") -> DataFrame:
-    lines = spark.read.text(path).where((F.length(F.trim("value")) > 0) & ~F.col("value").rlike(skip))
+def _either(tests: list[Column]) -> Column:
+    out = F.lit(False)
+    for test in tests:
+        out = out | test
+    return out
+
+
+def _fields(lines: DataFrame, columns: list[tuple[str, str]], skip: str, sep: str = "\t", least: int | None = None, mode: str = "permissive", rest: str | None = None, none: str | None = ".") -> DataFrame:
+    """Typed columns of delimited lines, ``none`` being the field that stands for null; ``rest`` names an array of the fields after them."""
+    lines = lines.where((F.length(F.trim("value")) > 0) & ~F.col("value").rlike(skip))
     parts = F.split("value", sep)
-    bad = F.size(parts) < (least or len(columns))
-    out, typed = [], lines.select("value", parts.alias("p"), bad.alias("bad"))
-    for k, (name, kind) in enumerate(columns):
-        raw = F.when(~F.col("bad"), F.nullif(F.get("p", F.lit(k)), F.lit(".")))
-        out.append(raw.try_cast(kind).alias(name))
-    bad_line = F.when(F.col("bad"), F.col("value"))
-    if mode == "failfast":
-        bad_line = F.when(F.col("bad"), F.raise_error(F.concat(F.lit("bad line: "), F.col("value"))))
-    return typed.select(*out, bad_line.cast("string").alias("bad_line"))
+    raw = [F.get("p", F.lit(k)) if none is None else F.nullif(F.get("p", F.lit(k)), F.lit(none)) for k in range(len(columns))]
+    cast = [r.try_cast(kind) for r, (_, kind) in zip(raw, columns)]
+    bad = (F.size("p") < (least or len(columns))) | _either([r.isNotNull() & c.isNull() for r, c, (_, kind) in zip(raw, cast, columns) if kind != "string"])
+    rows = lines.select("value", parts.alias("p")).withColumn("bad", bad)
+    if mode == "failfast":  # a filter, so that no choice of columns leaves it out
+        rows = rows.where(F.when(F.col("bad"), F.raise_error(F.concat(F.lit("bad line: "), F.col("value"))).cast("boolean")).otherwise(F.lit(True)))
+    out = [F.when(~F.col("bad"), c).alias(name) for c, (name, _) in zip(cast, columns)]
+    if rest:
+        n = len(columns)
+        out.append(F.when(~F.col("bad"), F.when(F.size("p") > n, F.slice("p", F.lit(n + 1), F.greatest(F.size("p") - n, F.lit(1)))).otherwise(F.array().cast("array<string>"))).alias(rest))
+    return rows.select(*out, F.when(F.col("bad"), F.col("value")).alias("bad_line"))
+
+
+def _map_of(pairs: Column, decode: Callable[[Column], Column] = lambda c: c) -> Column:
+    """Map of ``key=value`` texts; a key that repeats has its values joined by commas, one without value has the empty text."""
+    at = lambda kv: F.locate("=", kv)
+    key = lambda kv: decode(F.trim(F.when(at(kv) > 0, F.substr(kv, F.lit(1), at(kv) - 1)).otherwise(kv)))
+    value = lambda kv: decode(F.when(at(kv) > 0, F.substr(kv, at(kv) + 1)).otherwise(F.lit("")))
+    own = F.filter(pairs, lambda kv: F.trim(kv) != "")
+    keys = F.array_distinct(F.transform(own, key))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.array_join(F.transform(F.filter(own, lambda kv: key(kv) == k), value), ",")))
+
+
+def percent_decoded(c: Column) -> Column:
+    """Text with its percent codes resolved; a percent sign that begins none stays."""
+    plain = F.regexp_replace(F.replace(c, F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.when(F.locate("%", c) > 0, F.coalesce(F.try_url_decode(plain), c)).otherwise(c)
+
+
+def percent_encoded(c: Column) -> Column:
+    """Text with the characters that structure an attribute column as percent codes."""
+    for raw in "%;=&,\t\n\r":
+        c = F.replace(c, F.lit(raw), F.lit(f"%{ord(raw):02X}"))
+    return c
 
 
 GFF = [("seqid", "string"), ("source", "string"), ("type", "string"), ("start", "long"), ("stop", "long"), ("score", "double"), ("strand", "string"), ("phase", "int"), ("attributes", "string")]
 
 
+def parse_gff3(lines: DataFrame, mode: str = "permissive") -> DataFrame:
+    df = _fields(lines, GFF, "^#", mode=mode)
+    return df.withColumn("attrs", _map_of(F.split("attributes", ";"), percent_decoded))
+
+
 def read_gff3(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
-    """GFF3 rows with ``attrs``, a map of the attributes; gene structure is a join of Parent to ID."""
-    df = _fields(spark, path, GFF, "^#", mode=mode)
-    return df.withColumn("attrs", F.str_to_map("attributes", F.lit(";"), F.lit("=")))
+    """GFF3 rows with ``attrs``, a map of the attributes; gene structure is a join of Parent to ID. A file's sequence section is left out."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id")).alias("at"))
+    section = rows.where(F.col("value").startswith("##FASTA") | F.col("value").startswith(">")).groupBy("file").agg(F.min("at").alias("from"))
+    rows = rows.join(section, "file", "left").where("from is null or at < from")
+    return parse_gff3(rows.select("value"), mode)
 
 
-def read_gtf(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
-    df = _fields(spark, path, GFF, "^#", mode=mode)
+def parse_gtf(lines: DataFrame, mode: str = "permissive") -> DataFrame:
+    df = _fields(lines, GFF, "^#", mode=mode)
     value = lambda key: F.nullif(F.regexp_extract("attributes", f'{key} "([^"]*)"', 1), F.lit(""))
     return df.withColumns({"gene_id": value("gene_id"), "transcript_id": value("transcript_id")})
 
 
+def read_gtf(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
+    return parse_gtf(spark.read.text(path), mode)
+
+
+BED = [("chrom", "string"), ("start", "long"), ("stop", "long"), ("name", "string"), ("score", "double"), ("strand", "string"), ("thick_start", "long"), ("thick_stop", "long"), ("item_rgb", "string"), ("block_count", "int"), ("block_sizes", "string"), ("block_starts", "string")]
+
+
+def parse_bed(lines: DataFrame, mode: str = "permissive") -> DataFrame:
+    df = _fields(lines, BED, "^(#|track|browser)", least=3, mode=mode)
+    numbers = lambda c: F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: x.try_cast("long"))
+    return df.withColumns({"block_sizes": numbers("block_sizes"), "block_starts": numbers("block_starts")})
+
+
 def read_bed(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
-    cols = [("chrom", "string"), ("start", "long"), ("stop", "long"), ("name", "string"), ("score", "double"), ("strand", "string")]
-    return _fields(spark, path, cols, "^(#|track|browser)", least=3, mode=mode)
+    """BED rows of three to twelve columns; absent ones are null."""
+    return parse_bed(spark.read.text(path), mode)
 
 
-def read_vcf(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
-    """VCF rows: alt as an array, info as a map (flags have empty values), genotypes as an array of maps by FORMAT."""
-    cols = [("chrom", "string"), ("pos", "long"), ("id", "string"), ("ref", "string"), ("alts", "string"), ("qual", "double"), ("filters", "string"), ("info_text", "string"), ("format", "string")]
-    lines = spark.read.text(path).where((F.length("value") > 0) & ~F.col("value").startswith("#"))
-    p = F.split("value", "\t")
-    bad = F.size(p) < 8
-    out = [F.when(~bad, F.nullif(F.get(p, F.lit(k)), F.lit("."))).try_cast(t).alias(n) for k, (n, t) in enumerate(cols)]
-    calls = F.when(F.size(p) > 9, F.slice(p, F.lit(10), F.greatest(F.size(p) - 9, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    df = lines.select(*out, calls.alias("calls"), F.when(bad, F.raise_error(F.col("value")) if mode == "failfast" else F.col("value")).cast("string").alias("bad_line"))
-    info = F.map_from_entries(F.transform(F.split("info_text", ";"), lambda kv: F.struct(F.split_part(kv, F.lit("="), F.lit(1)), F.split_part(kv, F.lit("="), F.lit(2)))))
+VCF = [("chrom", "string"), ("pos", "long"), ("id", "string"), ("ref", "string"), ("alts", "string"), ("qual", "double"), ("filters", "string"), ("info_text", "string"), ("format", "string")]
+
+
+def parse_vcf(lines: DataFrame, mode: str = "permissive") -> DataFrame:
+    df = _fields(lines, VCF, "^#", least=8, mode=mode, rest="calls")
     genotypes = F.transform("calls", lambda c: F.map_from_arrays(F.slice(F.split("format", ":"), F.lit(1), F.size(F.split(c, ":"))), F.split(c, ":")))
+    info = _map_of(F.split("info_text", ";"))
     return df.select("chrom", "pos", "id", "ref", F.split("alts", ",").alias("alt"), "qual", F.split("filters", ";").alias("filter"), info.alias("info"), genotypes.alias("genotypes"), "bad_line")
 
 
-def read_agp(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
-    """AGP rows; of a gap row (type N or U) columns 6 to 9 are length, gap type, linkage and evidence."""
+def read_vcf(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
+    """VCF rows: alt as an array, info as a map (flags have empty values), genotypes as an array of maps by FORMAT."""
+    return parse_vcf(spark.read.text(path), mode)
+
+
+def read_vcf_specs(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, id, number, type, description) of the INFO, FORMAT and FILTER declarations of a header."""
+    head = spark.read.text(path).where(F.col("value").rlike("^##(INFO|FORMAT|FILTER)=<"))
+    own = lambda key: F.nullif(F.regexp_extract("value", rf'[<,]{key}=("[^"]*"|[^,>]*)', 1), F.lit(""))
+    return head.select(F.regexp_extract("value", "^##([A-Z]+)=", 1).alias("kind"), own("ID").alias("id"), own("Number").alias("number"), own("Type").alias("type"), F.trim(own("Description"), F.lit('"')).alias("description"))
+
+
+def parse_agp(lines: DataFrame, mode: str = "permissive") -> DataFrame:
     cols = [("object", "string"), ("obj_beg", "long"), ("obj_end", "long"), ("part", "int"), ("type", "string"), ("f6", "string"), ("f7", "string"), ("f8", "string"), ("f9", "string")]
-    df = _fields(spark, path, cols, "^#", least=8, mode=mode)
+    df = _fields(lines, cols, "^#", least=8, mode=mode)
     gap = F.col("type").isin("N", "U")
-    own = lambda c, kind="string": F.when(~gap, F.col(c)).cast(kind)
+    own = lambda c, kind="string": F.when(~gap, F.col(c)).try_cast(kind)
     return df.select(
         "object", "obj_beg", "obj_end", "part", "type", own("f6").alias("component"), own("f7", "long").alias("comp_beg"), own("f8", "long").alias("comp_end"), own("f9").alias("orientation"),
-        F.when(gap, F.col("f6")).cast("long").alias("gap_length"), F.when(gap, F.col("f7")).alias("gap_type"), F.when(gap, F.col("f8")).alias("linkage"), F.when(gap, F.col("f9")).alias("evidence"), "bad_line",
+        F.when(gap, F.col("f6")).try_cast("long").alias("gap_length"), F.when(gap, F.col("f7")).alias("gap_type"), F.when(gap, F.col("f8")).alias("linkage"), F.when(gap, F.col("f9")).alias("evidence"), "bad_line",
     )
 
 
+def read_agp(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
+    """AGP rows; of a gap row (type N or U) columns 6 to 9 are length, gap type, linkage and evidence."""
+    return parse_agp(spark.read.text(path), mode)
+
+
+def agp_against_sequences(agp: DataFrame, seqs: DataFrame) -> DataFrame:
+    """Components (component, used, length, problem) whose rows and sequences (id, seq) disagree: one without the other, or a row that ends beyond it."""
+    used = agp.where(F.col("component").isNotNull()).groupBy("component").agg(F.max("comp_end").alias("used"))
+    have = seqs.select(F.col("id").alias("component"), F.length("seq").cast("long").alias("length"))
+    problem = F.when(F.col("length").isNull(), "no sequence").when(F.col("used").isNull(), "not placed").when(F.col("used") > F.col("length"), "ends beyond its sequence")
+    return used.join(have, "component", "full_outer").withColumn("problem", problem).where("problem is not null")
+
+
 def agp_problems(agp: DataFrame) -> DataFrame:
     """Rule violations as (object, part, problem)."""
     gap = F.col("type").isin("N", "U")
@@ -88,14 +166,36 @@ def agp_problems(agp: DataFrame) -> DataFrame:
 M8 = [("query", "string"), ("subject", "string"), ("identity", "float"), ("length", "int"), ("mismatches", "int"), ("gaps", "int"), ("q_start", "int"), ("q_end", "int"), ("s_start", "int"), ("s_end", "int"), ("evalue", "double"), ("score", "float")]
 
 
+def parse_hits(lines: DataFrame, mode: str = "permissive") -> DataFrame:
+    return _fields(lines, M8, "^#", mode=mode)
+
+
 def read_hits(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
     """Tabular hits of twelve columns."""
-    return _fields(spark, path, M8, "^#", mode=mode)
+    return parse_hits(spark.read.text(path), mode)
+
+
+SAM = [("qname", "string"), ("flag", "int"), ("rname", "string"), ("pos", "long"), ("mapq", "int"), ("cigar", "string"), ("rnext", "string"), ("pnext", "long"), ("tlen", "int"), ("seq", "string"), ("qual", "string")]
+
+
+def parse_sam(lines: DataFrame, mode: str = "permissive") -> DataFrame:
+    df = _fields(lines, SAM, "^@[A-Z][A-Z](\\t|$)", mode=mode, rest="optional", none=None)
+    part = lambda x, k: F.regexp_extract(x, r"^([A-Za-z][A-Za-z0-9]):([A-Za-z]):(.*)$", k)
+    tags = F.transform(F.filter("optional", lambda x: part(x, 1) != ""), lambda x: F.struct(part(x, 1).alias("tag"), part(x, 2).alias("type"), part(x, 3).alias("value")))
+    return df.withColumn("tags", tags).select(*[n for n, _ in SAM], "tags", "bad_line")
 
 
 def read_sam(spark: SparkSession, path: str, mode: str = "permissive") -> DataFrame:
-    cols = [("qname", "string"), ("flag", "int"), ("rname", "string"), ("pos", "long"), ("mapq", "int"), ("cigar", "string"), ("rnext", "string"), ("pnext", "long"), ("tlen", "int"), ("seq", "string"), ("qual", "string")]
-    return _fields(spark, path, cols, "^@", mode=mode)
+    """Alignment rows with ``tags``, an array of (tag, type, value) of the optional fields."""
+    return parse_sam(spark.read.text(path), mode)
+
+
+def read_sam_header(spark: SparkSession, path: str) -> DataFrame:
+    """(kind, fields, value) of header lines: fields are a map, of comments (CO) an empty one."""
+    head = spark.read.text(path).where(F.col("value").rlike("^@[A-Z][A-Z](\\t|$)"))
+    kind = F.substring("value", 2, 2)
+    pairs = F.when(kind == "CO", F.array().cast("array<string>")).otherwise(F.slice(F.split("value", "\t"), 2, 1000))
+    return head.select(kind.alias("kind"), _map_of(F.transform(pairs, lambda x: F.regexp_replace(x, "^([A-Za-z][A-Za-z0-9]):", "$1="))).alias("fields"), "value")
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -165,7 +265,7 @@ def read_bed15(spark: SparkSession, path: str, mode: str = "permissive") -> Data
     """Microarray rows: twelve columns of blocks, then experiments and their scores as arrays."""
     text = ["name", "strand", "item_rgb", "block_sizes", "block_starts", "exp_ids", "exp_scores"]
     names = ["chrom", "start", "stop", "name", "score", "strand", "thick_start", "thick_stop", "item_rgb", "block_count", "block_sizes", "block_starts", "exp_count", "exp_ids", "exp_scores"]
-    df = _fields(spark, path, [(n, "string" if n in text or n == "chrom" else "double" if n == "score" else "long") for n in names], "^(#|track|browser)", mode=mode)
+    df = _fields(spark.read.text(path), [(n, "string" if n in text or n == "chrom" else "double" if n == "score" else "long") for n in names], "^(#|track|browser)", mode=mode)
     numbers = lambda c, kind: F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: x.try_cast(kind))
     return df.withColumns({"block_sizes": numbers("block_sizes", "long"), "block_starts": numbers("block_starts", "long"), "exp_ids": numbers("exp_ids", "int"), "exp_scores": numbers("exp_scores", "double")})
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.sources.readers import text_or_dot
+from strandlake.sources.readers import BED, SAM, percent_encoded, text_or_dot
 
 
 def _line(*cols: Column) -> Column:
@@ -15,13 +15,15 @@ def _line(*cols: Column) -> Column:
 
 
 def bed_lines(df: DataFrame) -> DataFrame:
-    """(chrom, start, stop, name, score, strand) as BED rows; columns that the frame lacks are left out from the right."""
-    have = [c for c in ("chrom", "start", "stop", "name", "score", "strand") if c in df.columns]
-    return df.select(_line(*map(F.col, have)))
+    """The columns of ``readers.BED`` as BED rows; columns that the frame lacks, and a row's nulls at its end, are left out."""
+    lists = ("block_sizes", "block_starts")
+    cells = F.array(*[F.array_join(F.col(c).cast("array<string>"), ",") if c in lists else F.col(c).cast("string") for c, _ in BED if c in df.columns])
+    last = F.array_max(F.transform(cells, lambda x, i: F.when(x.isNotNull(), i + 1)))
+    return df.select(F.array_join(F.slice(cells, F.lit(1), F.greatest(last, F.lit(3))), "\t", ".").alias("value"))
 
 
 def gff3_lines(df: DataFrame) -> DataFrame:
-    attrs = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    attrs = F.array_join(F.transform(F.array_sort(F.map_entries("attrs")), lambda e: F.concat(percent_encoded(e["key"]), F.lit("="), percent_encoded(e["value"]))), ";")
     return df.select(_line(*[F.col(c) for c in ("seqid", "source", "type", "start", "stop", "score", "strand", "phase")], attrs))
 
 
@@ -48,7 +50,11 @@ def wiggle_lines(df: DataFrame) -> DataFrame:
 
 
 def sam_lines(df: DataFrame) -> DataFrame:
-    return df.select(_line(*[F.col(c) for c in ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")]))
+    """Alignment rows; ``tags`` (tag, type, value), where the frame has them, follow the fixed fields."""
+    fixed = F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("*" if kind == "string" else "0")) for c, kind in SAM])
+    if "tags" not in df.columns:
+        return df.select(fixed.alias("value"))
+    return df.select(F.concat_ws("\t", fixed, F.transform("tags", lambda x: F.concat_ws(":", x["tag"], x["type"], x["value"]))).alias("value"))
 
 
 def agp_lines(df: DataFrame) -> DataFrame:

@@ -76,6 +76,48 @@ def test_wiggle(spark, put):
     assert values(W.wiggle_lines(df))[1] == "variableStep chrom=c2 span=3\n7 0.5"
 
 
+def test_bad_fields_and_failfast(spark, put):
+    """A field of another type makes a line bad, and an error whatever columns are read."""
+    path = put("x.bed", "c1\tXX\t10\nc2\t5\t9\n")
+    rows = R.read_bed(spark, path).collect()
+    assert [(r.chrom, r.start, r.bad_line) for r in rows] == [(None, None, "c1\tXX\t10"), ("c2", 5, None)]
+    for look in (lambda d: d.count(), lambda d: d.select("chrom").collect(), lambda d: d.select("stop").collect()):
+        with pytest.raises(Exception, match="bad line"):
+            look(R.read_bed(spark, path, mode="failfast"))
+    assert R.read_bed(spark, put("y.bed", "c2\t5\t9\n"), mode="failfast").count() == 1
+
+
+def test_gff3_repeats_codes_and_sequences(spark, put):
+    text = "##gff-version 3\nc1\ts\tgene\t1\t9\t.\t+\t.\tID=g1;Alias=a;Alias=b%2Cc;Note=a%3Bb+c %zz;;flag\n##FASTA\n>c1\nACGT\nACGT\n"
+    (r,) = R.read_gff3(spark, put("a.gff3", text)).collect()
+    assert r.attrs == {"ID": "g1", "Alias": "a,b,c", "Note": "a;b+c %zz", "flag": ""} and r.bad_line is None
+    (line,) = values(W.gff3_lines(R.read_gff3(spark, put("b.gff3", text))))
+    assert line.endswith("Alias=a%2Cb%2Cc;ID=g1;Note=a%3Bb+c %25zz;flag=")
+    vcf = "1\t7\t.\tA\tC\t50\tPASS\tDP=3;DP=4;DB\n"
+    assert R.read_vcf(spark, put("a.vcf", vcf)).first().info == {"DP": "3,4", "DB": ""}
+    head = '##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth, total">\n##FILTER=<ID=q10,Description="low">\n#CHROM\n' + vcf
+    assert sorted(map(tuple, R.read_vcf_specs(spark, put("h.vcf", head)).collect())) == [("FILTER", "q10", None, None, "low"), ("INFO", "DP", "1", "Integer", "Depth, total")]
+
+
+def test_sam_tags_headers_and_bed12(spark, put):
+    rows = "@HD\tVN:1.0\tSO:queryname\n@SQ\tSN:c\tLN:90\n@CO\tfree text: x\n"
+    line = "r\t0\tc\t5\t60\t3M\t*\t0\t0\tACG\t.II\tRG:Z:a:b\tNM:i:0"
+    path = put("t.sam", rows + line + "\n")
+    sam = R.read_sam(spark, path)
+    assert [tuple(t) for t in sam.first().tags] == [("RG", "Z", "a:b"), ("NM", "i", "0")] and values(W.sam_lines(sam)) == [line]
+    head = {r.kind: r.fields for r in R.read_sam_header(spark, path).collect()}
+    assert head == {"HD": {"VN": "1.0", "SO": "queryname"}, "SQ": {"SN": "c", "LN": "90"}, "CO": {}}
+    bed = "c1\t0\t50\tn\t1.0\t+\t5\t40\t0,0,0\t2\t10,20\t0,30"
+    df = R.read_bed(spark, put("b.bed", bed + "\n"))
+    assert (df.first().block_sizes, df.first().thick_stop) == ([10, 20], 40) and values(W.bed_lines(df)) == [bed]
+
+
+def test_agp_against_sequences(spark, put):
+    agp = R.read_agp(spark, put("a.agp", "o\t1\t10\t1\tF\ta\t1\t10\t+\no\t11\t20\t2\tF\tb\t5\t14\t+\no\t21\t25\t3\tF\tc\t1\t5\t+\n"))
+    seqs = spark.createDataFrame([("a", "A" * 10), ("b", "C" * 13), ("d", "G")], "id string, seq string")
+    assert sorted((r.component, r.problem) for r in R.agp_against_sequences(agp, seqs).collect()) == [("b", "ends beyond its sequence"), ("c", "no sequence"), ("d", "not placed")]
+
+
 @pytest.mark.parametrize(
     ("kind", "text"),
     [("vcf", "##fileformat=VCFv4\n"), ("gff3", "##gff-version 3\n"), ("fasta", ">a\nA\n"), ("fastq", "@a\nA\n+\nI\n"), ("sam", "@HD\tVN:1\n"), ("wiggle", "fixedStep chrom=1\n1\n"), ("bed", "c\t1\t2\n"), ("json", '{"a": 1}\n'), ("text", "plain\n"), ("agp", "o\t1\t2\t1\tF\tc\t1\t2\t+\n"), ("gtf", 'c\ts\te\t1\t2\t.\t+\t.\tgene_id "g";\n')],
