@@ -30,7 +30,7 @@ def hash17(c: Column) -> Column:
     digits = F.hex(F.encode(c, "UTF-8"))
     byte = lambda i: F.conv(F.substr(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
     signed = lambda i: F.when(byte(i) > 127, byte(i) - 256).otherwise(byte(i)).cast("decimal(38,0)")
-    mod, half = F.lit(1 << 64).cast("decimal(38,0)"), F.lit(1 << 63).cast("decimal(38,0)")
+    mod, half = F.lit(str(1 << 64)).cast("decimal(38,0)"), F.lit(str(1 << 63)).cast("decimal(38,0)")
     n = (F.length(digits) / 2).cast("int")
     places = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).when(n == 0, F.array().cast("array<int>"))
     step = lambda h, i: F.pmod(h * 17 + signed(i), mod).cast("decimal(38,0)")

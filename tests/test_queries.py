@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from strandlake import domain_queries, queries as own, read_queries  # noqa: F401  the others register their own
+from strandlake import coding_queries, domain_queries, lookup_queries, queries as own, read_queries  # noqa: F401  the others register their own
 from strandlake.functions import cells as C
 from strandlake.functions import seq as S
 from strandlake.functions import text as X
@@ -61,6 +61,10 @@ def test_cells(spark):
 
 def test_text(spark):
     assert one(spark, X.hash17(F.lit("ab")), X.jaccard(arr("a", "b"), arr("b", "c")), X.divergence(F.lit("abcd"), F.lit("abxy"))) == [1747, 1 / 3, 0.5]
+    h = lambda raw: (lambda v: v - 2**64 if v >= 2**63 else v)(sum((b - 256 if b > 127 else b) * 17 ** (len(raw) - 1 - k) for k, b in enumerate(raw)) % 2**64)
+    texts = ["Customer#000000001", "", "é", "日本 x" * 9, "z" * 40]
+    assert h(b"Customer#000000001") == 3782830818561783542
+    assert one(spark, *[X.hash17(F.lit(x)) for x in texts], X.hash17(F.lit(None).cast("string"))) == [*[h(x.encode()) for x in texts], None]
     assert one(spark, X.title_modifiers(F.lit("x [organism=a b] [n=1]"))) == [{"organism": "a b", "n": "1"}]
     assert one(spark, X.html_escape(F.lit('<a b="&">'))) == ["&lt;a b=&quot;&amp;&quot;&gt;"]
     words = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "hopeful": "hope", "goodness": "good", "adoption": "adopt", "effective": "effect", "rate": "rate", "controlling": "control"}
