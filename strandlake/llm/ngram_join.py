@@ -12,7 +12,7 @@ Documents are sets of word shingles. Two documents link when
 3. Similar representatives are partitioned into groups: all that share their
    most popular prefix token, cut at a bounded number of tokens. Those without a
    token of more than ``POPULAR`` documents are groups of one. Where a token's
-   documents had to be cut into several groups, links within them are found first,
+   documents had to be cut into many groups, links within them are found first,
    and one document of each local component is compared with those of the
    token's other groups, level by level; groups that so turn out to lie in one
    component form a team, and no member of that component asks it.
@@ -52,7 +52,9 @@ SKETCH_BITS = 20
 SLICES = 64
 BINS = 64
 #: Tokens of a group's members, and of the queries that one task counts against them.
-GROUP_TOKENS = 40_000
+GROUP_TOKENS = 100_000
+#: Groups of one token beyond which their links are contracted before any asks; up to here asks are few.
+MANY_GROUPS = 4
 #: Documents that may share a prefix token before they are grouped by it.
 POPULAR = 32
 
@@ -276,18 +278,20 @@ def _opened(num: int, den: int):
 
 
 def _stars(num: int, den: int):
-    """Each member of a group that links with others, and its local component's first member."""
+    """For each member of a group: the first member of its local component (``dst``), or, for that one, its set."""
     opened = _opened(num, den)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep", ignore_index=True)
         found = opened(pdf.assign(query=False))
-        reps = sorted({*found["src"].tolist(), *found["dst"].tolist()})
+        reps = pdf["rep"].tolist()
         at, forest = {r: k for k, r in enumerate(reps)}, Forest(len(reps))
         for a, b in zip(found["src"].tolist(), found["dst"].tolist()):
             forest.join(at[a], at[b])
-        root = [reps[forest.root(k)] for k in range(len(reps))]
-        pairs = [(r, t) for r, t in zip(reps, root) if r != t]
-        return pd.DataFrame({"src": np.array([r for r, _ in pairs], np.int64), "dst": np.array([t for _, t in pairs], np.int64)})
+        root = np.array([forest.root(k) for k in range(len(reps))], np.int64)
+        first = root == np.arange(len(reps))
+        dst = pd.Series(pdf["rep"].to_numpy()[root]).where(~first).astype("Int64")
+        return pd.DataFrame({"rep": pdf["rep"], "dst": dst, "home": pdf["home"], "n": pdf["n"], "set": pdf["set"].where(first, None)})
 
     return run
 
@@ -310,27 +314,27 @@ def _contracted(docs: DataFrame, cut: DataFrame, width: int, num: int, den: int)
     and deals those of a token out anew; a token stays while that halves them.
     """
     sets, bits = _needed_sets(docs, cut, width)
-    sets = written(cut.select("rep", "class_id").join(sets, "class_id").select("rep", "set"), "join-near-sets")
-    bits.destroy()
-    level, edges, k = cut.select("rep", "home", "n", "grp"), [], 0
+    level, edges, k = cut.join(sets, "class_id").select("rep", "home", "n", "grp", "set"), [], 0
+    sizes = cut.groupBy("home").agg(F.count("*").alias("before"), F.countDistinct("grp").alias("groups"))
     while True:
-        found = written(level.join(sets, "rep").groupBy("grp").applyInPandas(_stars(num, den), "src long, dst long"), "join-stars")
-        edges.append(found)
-        before = level.groupBy("home").agg(F.count("*").alias("before"), F.countDistinct("grp").alias("groups"))
-        rest = level.join(found.select(F.col("src").alias("rep")), "rep", "left_anti").select("rep", "home", "n")
+        stars = level.groupBy("grp").applyInPandas(_stars(num, den), "rep long, dst long, home long, n int, set binary")
+        stars = written(stars, "join-stars")
+        if not k:
+            bits.destroy()
+        edges.append(stars)
+        rest = stars.where("dst is null")
         left = rest.groupBy("home").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
-        more = left.join(before, "home").where("groups > 1 and c > 1 and c <= before / 2").select("home", "w")
-        k += 1
-        last, level = level, written(rest.join(more, "home").select("rep", "home", "n", _group(F.col("w"), k).alias("grp")), "join-level")
-        if k > 1:
-            released(last)
-        if level.isEmpty():
+        more = left.join(sizes, "home").where("groups > 1 and c > 1 and c <= before / 2")
+        more = written(more.select("home", "w", F.col("c").alias("before"), F.ceil(F.col("w") / GROUP_TOKENS).alias("groups")), "join-more")
+        if more.isEmpty():
             break
-    released(sets)
+        k += 1
+        sizes = more
+        level = rest.join(more.select("home", "w"), "home").select("rep", "home", "n", _group(F.col("w"), k).alias("grp"), "set")
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    out = written(out, "join-near")
+    out = written(out.where("dst is not null").select(F.col("rep").alias("src"), "dst"), "join-near")
     released(*edges)
     return out, written(connected_components(out).withColumnRenamed("node", "rep"), "join-near-components")
 
@@ -372,9 +376,9 @@ def _classified(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     home = home.select("rep", "n", F.col("top.token").alias("home"))
     weight = written(home.where("home is not null").groupBy("home").agg(F.sum("n").alias("w")), "join-weight")
     grp = F.when(F.col("w").isNull(), F.concat(F.lit("="), F.col("rep").cast("string"))).otherwise(_group(F.col("w"), 0))
-    home = written(home.join(weight, "home", "left").select("rep", "n", "home", grp.alias("grp"), F.coalesce(F.col("w") > GROUP_TOKENS, F.lit(False)).alias("cut")), "join-groups")
+    home = written(home.join(weight, "home", "left").select("rep", "n", "home", grp.alias("grp"), F.coalesce(F.col("w") > MANY_GROUPS * GROUP_TOKENS, F.lit(False)).alias("cut")), "join-groups")
     near, teams = None, home.select("rep", "n", "grp", "cut", F.col("grp").alias("team"), F.lit(None).cast("string").alias("own"))
-    if not weight.where(F.col("w") > GROUP_TOKENS).isEmpty():
+    if not weight.where(F.col("w") > MANY_GROUPS * GROUP_TOKENS).isEmpty():
         cut = written(home.where("cut").join(reps.select("rep", "class_id"), "rep"), "join-cut")
         near, parent = _contracted(docs, cut, width, num, den)
         own = home.where("cut").join(parent, "rep", "left").withColumn("own", F.concat(F.lit("c"), F.coalesce("component", "rep").cast("string")))

@@ -215,6 +215,7 @@ def test_jaccard_classes(spark, docs, rows, sf1, width, num):
 def test_jaccard_small_groups(spark, monkeypatch):
     """The same with groups cut to a few documents, so that nearly every link crosses groups."""
     monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 200)
+    monkeypatch.setattr(ngram_join, "MANY_GROUPS", 1000)
     rng = random.Random(8)
     base = [f"w{k}" for k in range(60)]
     near = []
@@ -267,6 +268,7 @@ def test_repeated_ids_of_different_texts_stay(spark):
 def test_jaccard_contraction(spark, monkeypatch):
     """Clusters cut into many groups, some of one component and some of several, and outsiders that link to a few members."""
     monkeypatch.setattr(ngram_join, "GROUP_TOKENS", 600)
+    monkeypatch.setattr(ngram_join, "MANY_GROUPS", 1)
     rng, rows = random.Random(12), []
     for c in range(3):
         base = [f"c{c}w{k}" for k in range(60)]
