@@ -1,11 +1,27 @@
-"""Transforms of cells (arrays): all are built-in expressions, evaluated per row without a shuffle."""
+"""Transforms of cells (arrays), per row and without a shuffle: built-in expressions, and running ones by Arrow batches in linear time."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def flat(cells: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """All elements of a batch's cells behind each other (null elements are NaN), and where each cell starts, with the end; a null cell is empty."""
+    parts = [np.zeros(0, np.int64) if c is None else np.asarray(c) for c in cells]
+    at = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
+    data = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return (data.astype(np.float64) if data.dtype == object else data), at
+
+
+def cells_of(data: np.ndarray, at: np.ndarray, like: pd.Series) -> pd.Series:
+    """The batch's cells again; those that were null are null."""
+    return pd.Series([None if c is None else data[a:b] for a, b, c in zip(at[:-1].tolist(), at[1:].tolist(), like)], dtype=object)
 
 
 def deriv(c: Column) -> Column:
@@ -13,11 +29,15 @@ def deriv(c: Column) -> Column:
     return F.transform(c, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(c, i - 1)))
 
 
-def integral(c: Column) -> Column:
-    """Running sums within the cell."""
-    zero = F.struct(F.lit(0).cast("long").alias("s"), F.array().cast("array<long>").alias("a"))
-    step = lambda acc, x: F.struct((acc["s"] + x).cast("long").alias("s"), F.concat(acc["a"], F.array((acc["s"] + x).cast("long"))).alias("a"))
-    return F.aggregate(c, zero, step, lambda acc: acc["a"])
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def integral(c: pd.Series) -> pd.Series:
+    """Running sums within the cell; from a null element on all are null."""
+    data, at = flat(c)
+    if data.dtype.kind == "f":
+        sums = [None if x is None else np.cumsum(np.asarray(x, np.float64)) for x in c]
+        return pd.Series([None if x is None else [None if np.isnan(v) else int(v) for v in x] for x in sums], dtype=object)
+    total = np.concatenate(([0], np.cumsum(data.astype(np.int64))))
+    return cells_of(total[1:] - np.repeat(total[at[:-1]], np.diff(at)), at, c)
 
 
 def clip(c: Column, lower, upper) -> Column:
@@ -84,14 +104,16 @@ def bit_or(a: Column, b: Column, align: int = 0) -> Column:
 
 def outlier_encode(c: Column, outlier: int) -> Column:
     """Ordinary y becomes 2 y; the outlier becomes 1, or 2 y + 1 of the last ordinary y before it."""
-    zero = F.struct(F.lit(1).cast("long").alias("last"), F.array().cast("array<long>").alias("a"))
 
-    def step(acc: Column, x: Column) -> Column:
-        code = F.when(x == outlier, acc["last"]).otherwise(F.shiftleft(x, 1)).cast("long")
-        last = F.when(x == outlier, acc["last"]).otherwise(F.shiftleft(x, 1).bitwiseOR(F.lit(1))).cast("long")
-        return F.struct(last.alias("last"), F.concat(acc["a"], F.array(code)).alias("a"))
+    def run(cells: pd.Series) -> pd.Series:
+        data, at = flat(cells)
+        data = data.astype(np.int64)
+        place = np.arange(len(data))
+        last = np.maximum.accumulate(np.where(data != outlier, place, -1)) if len(data) else place
+        known = last >= np.repeat(at[:-1], np.diff(at))  # an ordinary one within the cell
+        return cells_of(np.where(data != outlier, 2 * data, np.where(known, 2 * data[np.maximum(last, 0)] + 1, 1)), at, cells)
 
-    return F.aggregate(c.cast("array<long>"), zero, step, lambda acc: acc["a"])
+    return F.pandas_udf(run, "array<long>")(c.cast("array<long>"))
 
 
 def outlier_decode(c: Column, outlier: int) -> Column:
@@ -118,12 +140,23 @@ def echo(value, n: Column) -> Column:
 
 
 def restore_quality(quality: Column, mismatch: Column, matched: int) -> Column:
-    """Stored qualities where the read differs from the reference, ``matched`` elsewhere."""
-    zero = F.struct(F.lit(0).alias("k"), F.array().cast("array<int>").alias("a"))
-    step = lambda acc, m: F.struct(
-        (acc["k"] + m.cast("int")).alias("k"), F.concat(acc["a"], F.array(F.when(m, F.get(quality, acc["k"])).otherwise(F.lit(matched)).cast("int"))).alias("a")
-    )
-    return F.aggregate(mismatch, zero, step, lambda acc: acc["a"])
+    """Stored qualities where the read differs from the reference, ``matched`` elsewhere; null where too few are stored."""
+
+    def run(stored: pd.Series, differs: pd.Series) -> pd.Series:
+        q, q_at = flat(stored)
+        m, at = flat(differs)
+        m = m.astype(bool)
+        nth = np.cumsum(m) - np.repeat(np.concatenate(([0], np.cumsum(m)))[at[:-1]], np.diff(at)) - 1
+        have = np.repeat(np.diff(q_at), np.diff(at))
+        place = np.repeat(q_at[:-1], np.diff(at)) + nth
+        found = m & (nth < have)
+        out = np.full(len(m), matched, np.int64)
+        out[found] = q[place[found]]
+        if (m & ~found).any():
+            out = np.where(m & ~found, None, out)
+        return cells_of(out, at, differs)
+
+    return F.pandas_udf(run, "array<int>")(quality, mismatch)
 
 
 def cosine(a: Column, b: Column) -> Column:

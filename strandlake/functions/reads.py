@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from strandlake.functions.cells import flat
+
 #: Letters of the sixteen sets of bases, each at the place that its bit mask gives: fixed values.
 IUPAC = "ACMGRSVTWYHKDBN"
 #: Flag bits of alignment records: fixed values.
@@ -36,13 +40,19 @@ def color_from_dna(seq: Column, primer: str = "A") -> Column:
 
 def dna_from_color(colors: Column, primer: str = "A") -> Column:
     """Bases of colours; from a colour of 4 on, all are N."""
-    zero = F.struct(base_code(F.lit(primer)).cast("int").alias("at"), F.lit("").alias("s"))
-
-    def step(acc: Column, c: Column) -> Column:
-        at = F.when((c == 4) | (acc["at"] == 4), 4).otherwise(acc["at"].bitwiseXOR(c)).cast("int")
-        return F.struct(at.alias("at"), F.concat(acc["s"], F.substring(F.lit("ACGTN"), at + 1, F.lit(1))).alias("s"))
-
-    return F.aggregate(colors, zero, step, lambda acc: acc["s"])
+    start = "ACGT".find(primer.upper())
+    letter = np.frombuffer(b"ACGTN", np.uint8)
+
+    def run(cells: pd.Series) -> pd.Series:
+        c, at = flat(cells)
+        c = c.astype(np.int64)
+        lost = np.cumsum((c > 3) | (start < 0))
+        lost = lost - np.repeat(np.concatenate(([0], lost))[at[:-1]], np.diff(at)) > 0
+        seen = np.concatenate(([0], np.bitwise_xor.accumulate(c & 3))) if len(c) else np.zeros(1, np.int64)
+        bases = letter[np.where(lost, 4, seen[1:] ^ np.repeat(seen[at[:-1]], np.diff(at)) ^ max(start, 0))].tobytes().decode()
+        return pd.Series([None if x is None else bases[a:b] for a, b, x in zip(at[:-1].tolist(), at[1:].tolist(), cells)], dtype=object)
+
+    return F.pandas_udf(run, "string")(colors)
 
 
 def sam_flags(**bits: Column) -> Column:

@@ -16,9 +16,13 @@ from pyspark.sql import types as T
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with")
 
 
+#: What stands between words: anything but letters and digits of any script.
+NO_WORD = r"[^\p{L}\p{N}]+"
+
+
 def words(c: Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(c), NO_WORD), lambda w: w != "")
 
 
 def content_words(c: Column) -> Column:

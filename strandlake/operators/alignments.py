@@ -43,23 +43,28 @@ def pileup(alignments: DataFrame, refs: DataFrame, width: int = 5000) -> DataFra
     and the mapping quality come before a read's first call, ``$`` after its last. Calls are in order of start and name.
     """
     a = alignments.where(F.col("flag").bitwiseAND(F.lit(4)) == 0).withColumn("cols", aligned_columns(F.col("cigar"))).where(F.size("cols") > 0)
-    c = a.select(
-        "ref", F.col("pos").alias("start"), "name", "mapq", "seq", "qual", (F.col("flag").bitwiseAND(F.lit(16)) != 0).alias("back"), F.element_at("cols", 1)["r"].alias("r0"),
-        F.element_at("cols", -1)["r"].alias("r1"), F.explode("cols").alias("c"),
-    )
-    base = F.upper(F.substring("seq", F.col("c.q") + 1, F.lit(1)))
-    c = c.select(
-        "ref", (F.col("start") + F.col("c.r")).alias("pos"), "start", "name", "back", base.alias("b"), F.substring("qual", F.col("c.q") + 1, F.lit(1)).alias("ql"),
-        F.when(F.col("c.r") == F.col("r0"), F.concat(F.lit("^"), F.char(F.col("mapq") + 33))).otherwise("").alias("head"), F.when(F.col("c.r") == F.col("r1"), "$").otherwise("").alias("tail"),
-    )
-    sites = c.groupBy("ref", "pos").agg(F.array_sort(F.collect_list(F.struct("start", "name", "back", "b", "ql", "head", "tail"))).alias("s"))
-    sites = sites.withColumn("chunk", F.floor((F.col("pos") - 1) / width).cast("int")).join(chunked_reference(refs, width), ["ref", "chunk"])
-    site = F.upper(F.substring("bases", ((F.col("pos") - 1) % width + 1).cast("int"), F.lit(1)))
-    sites = sites.withColumn("base", site)
-    letter = lambda x: F.when(x["b"].isNull(), "*").when(x["b"] == F.col("base"), F.when(x["back"], ",").otherwise(".")).otherwise(F.when(x["back"], F.lower(x["b"])).otherwise(x["b"]))
+    r0, r1 = F.element_at("cols", 1)["r"], F.element_at("cols", -1)["r"]
+    chunk_of = lambda r: F.floor((F.col("pos") + r - 1) / width).cast("int")
+    # a read meets the chunks of the reference that it lies on before it is taken apart, and its calls are made there
+    a = a.select(
+        "ref", F.col("pos").alias("start"), "name", "mapq", "seq", "qual", (F.col("flag").bitwiseAND(F.lit(16)) != 0).alias("back"), "cols", r0.alias("r0"), r1.alias("r1"),
+        F.explode(F.sequence(chunk_of(r0), chunk_of(r1))).alias("chunk"),
+    ).join(chunked_reference(refs, width), ["ref", "chunk"])
+
+    def call(x: Column) -> Column:
+        pos, known = F.col("start") + x["r"], x["q"].isNotNull()
+        base = F.upper(F.substr("bases", (F.pmod(pos - 1, F.lit(width)) + 1).cast("int"), F.lit(1)))
+        b = F.upper(F.substr("seq", x["q"] + 1, F.lit(1)))
+        letter = F.when(~known, "*").when(b == base, F.when(F.col("back"), ",").otherwise(".")).otherwise(F.when(F.col("back"), F.lower(b)).otherwise(b))
+        head = F.when(x["r"] == F.col("r0"), F.concat(F.lit("^"), F.char(F.col("mapq") + 33))).otherwise("")
+        text = F.concat(head, letter, F.when(x["r"] == F.col("r1"), "$").otherwise(""))
+        return F.struct(pos.alias("pos"), base.alias("base"), text.alias("call"), F.when(known, F.substr("qual", x["q"] + 1, F.lit(1))).otherwise("~").alias("ql"))
+
+    here = F.filter("cols", lambda x: F.floor((F.col("start") + x["r"] - 1) / width) == F.col("chunk"))
+    c = a.select("ref", "start", "name", "back", F.explode(F.transform(here, call)).alias("c"))
+    sites = c.groupBy("ref", F.col("c.pos").alias("pos")).agg(F.first("c.base").alias("base"), F.array_sort(F.collect_list(F.struct("start", "name", "back", "c.call", "c.ql"))).alias("s"))
     return sites.select(
-        "ref", "pos", "base", F.size("s").alias("depth"), F.array_join(F.transform("s", lambda x: F.concat(x["head"], letter(x), x["tail"])), "").alias("calls"),
-        F.array_join(F.transform("s", lambda x: F.coalesce(x["ql"], F.lit("~"))), "").alias("quals"),
+        "ref", "pos", "base", F.size("s").alias("depth"), F.array_join(F.transform("s", lambda x: x["call"]), "").alias("calls"), F.array_join(F.transform("s", lambda x: x["ql"]), "").alias("quals")
     )
 
 

@@ -44,18 +44,29 @@ def islands(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi", gap: int =
     return _merged(rows, [key], gap)
 
 
-def coverage(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Depth by sweep line: (key, lo, hi, depth) of every stretch with constant depth above 0."""
+def coverage(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi", width: int | None = None) -> DataFrame:
+    """Depth by sweep line: (key, lo, hi, depth) of every stretch with constant depth above 0.
+
+    With ``width``, sums run within ranges of so many places, each a task, and only the ranges' totals by key: for keys that hold many rows.
+    """
     ends = df.select(key, F.col(lo).alias("at"), F.lit(1).alias("d")).unionByName(df.select(key, (F.col(hi) + 1).alias("at"), F.lit(-1).alias("d")))
     steps = ends.groupBy(key, "at").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(key).orderBy("at")
-    return steps.select(key, F.col("at").alias("lo"), (F.lead("at").over(w) - 1).alias("hi"), F.sum("d").over(w).alias("depth")).where("depth > 0")
-
-
-def complement(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    """Gaps between the islands of a key."""
+    if width is None:
+        w = Window.partitionBy(key).orderBy("at")
+        return steps.select(key, F.col("at").alias("lo"), (F.lead("at").over(w) - 1).alias("hi"), F.sum("d").over(w).alias("depth")).where("depth > 0")
+    steps = steps.withColumn("_range", F.floor(F.col("at") / width))
+    whole = Window.partitionBy(key).orderBy("_range")
+    totals = steps.groupBy(key, "_range").agg(F.sum("d").alias("_d"), F.min("at").alias("_first"))
+    totals = totals.select(key, "_range", (F.sum("_d").over(whole) - F.col("_d")).alias("_before"), F.lead("_first").over(whole).alias("_next"))
+    w = Window.partitionBy(key, "_range").orderBy("at")
+    inside = steps.select(key, "_range", F.col("at").alias("lo"), F.lead("at").over(w).alias("_at"), F.sum("d").over(w).alias("_depth")).join(totals, [key, "_range"])
+    return inside.select(key, "lo", (F.coalesce("_at", "_next") - 1).alias("hi"), (F.col("_depth") + F.col("_before")).alias("depth")).where("depth > 0")
+
+
+def complement(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi", width: int | None = None) -> DataFrame:
+    """Gaps between the islands of a key; ``width`` as for ``islands``."""
     w = Window.partitionBy(key).orderBy("lo")
-    return islands(df, key, lo, hi).select(key, (F.col("hi") + 1).alias("gap_lo"), (F.lead("lo").over(w) - 1).alias("gap_hi")).where("gap_lo <= gap_hi")
+    return islands(df, key, lo, hi, width=width).select(key, (F.col("hi") + 1).alias("gap_lo"), (F.lead("lo").over(w) - 1).alias("gap_hi")).where("gap_lo <= gap_hi")
 
 
 def smallest_container(loc: DataFrame, feat: DataFrame, key: str, loc_id: str, feat_id: str, width: int) -> DataFrame:

@@ -13,7 +13,7 @@ from strandlake.functions import text as X
 from strandlake.operators import intervals as I
 from strandlake.operators import rows as R
 from strandlake.plans.query import predicate
-from strandlake.session import ship
+from strandlake.session import ship, spread
 from strandlake.streaming import jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,7 +44,8 @@ def oracle_sql() -> dict[str, str]:
 
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,8 +121,8 @@ def cell_deriv(spark, d):
 
 @query(f"SELECT l_orderkey, array_to_string(list_transform(range(1, len(c) + 1), lambda i: CAST(list_sum(c[1:i]) AS BIGINT)), ',') AS s, array_to_string(c, ',') AS back FROM {C_SQL}")
 def cell_integral(spark, d):
-    s = C.integral(F.col("c"))
-    return order_cells(spark, d).select("l_orderkey", text_of(s).alias("s"), text_of(C.deriv(s)).alias("back"))
+    x = order_cells(spark, d).select("l_orderkey", C.integral("c").alias("sums"))
+    return x.select("l_orderkey", text_of(F.col("sums")).alias("s"), text_of(C.deriv(F.col("sums"))).alias("back"))
 
 
 @query(f"SELECT l_orderkey, array_to_string(list_transform(c, lambda x: greatest(10, least(30, x))), ',') AS clipped, array_to_string(list_transform(c, lambda x: greatest(x, 25)), ',') AS most, concat_ws(',', c[2], c[1]) AS cut FROM {C_SQL}")
@@ -256,12 +257,12 @@ def interval_islands(spark, d):
 
 @query(f"SELECT * FROM (SELECT o_custkey, hi + 1 AS gap_lo, lead(lo) OVER (PARTITION BY o_custkey ORDER BY lo) - 1 AS gap_hi FROM {ISLAND_SQL}) WHERE gap_lo <= gap_hi")
 def interval_complement(spark, d):
-    return I.complement(spans(spark, d), "o_custkey")
+    return I.complement(spans(spark, d), "o_custkey", width=128)
 
 
 @query(f"SELECT o_custkey, lo, hi, depth FROM (SELECT o_custkey, p AS lo, lead(p) OVER w - 1 AS hi, CAST(sum(d) OVER w AS BIGINT) AS depth FROM (SELECT o_custkey, p, sum(d) AS d FROM (SELECT o_custkey, lo AS p, 1 AS d FROM {S_SQL} UNION ALL SELECT o_custkey, hi + 1, -1 FROM {S_SQL}) GROUP BY 1, 2) WINDOW w AS (PARTITION BY o_custkey ORDER BY p)) WHERE depth > 0")
 def interval_coverage(spark, d):
-    return I.coverage(spans(spark, d), "o_custkey")
+    return I.coverage(spans(spark, d), "o_custkey", width=128)
 
 
 @query(f"SELECT a, b, extra FROM (SELECT x.o_orderkey AS a, y.o_orderkey AS b, (y.hi - y.lo) - (x.hi - x.lo) AS extra, row_number() OVER (PARTITION BY x.o_orderkey ORDER BY (y.hi - y.lo) - (x.hi - x.lo), y.o_orderkey) AS k FROM {S_SQL} x JOIN {S_SQL} y ON x.o_custkey = y.o_custkey AND y.lo <= x.lo AND y.hi >= x.hi) WHERE k = 1")
@@ -287,18 +288,21 @@ def hits_compartments(spark, d):
 
 # --- text -----------------------------------------------------------------------
 
-WORD_SQL = "(SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS w FROM documents)"
+WORD_SQL = "(SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS w FROM documents)"
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + ")"
 
 
 def _terms(spark, d):
-    return t(spark, d, "documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("w"))
+    return t(spark, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), X.NO_WORD)).alias("w")).where("w <> ''")
 
 
 @query(f"SELECT w, count(*) AS n, count(DISTINCT doc_id) AS docs FROM {WORD_SQL} WHERE w NOT IN {STOP_SQL} GROUP BY 1 HAVING count(DISTINCT doc_id) > 5")
 def text_word_frequencies(spark, d):
-    tf = _terms(spark, d).where(~F.col("w").isin(*X.STOP_WORDS)).groupBy("w", "doc_id").agg(F.count("*").alias("n"))
-    return tf.groupBy("w").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).where("docs > 5")
+    """Words by occurrences and by documents; both are added up before anything is shuffled, a row for each word and partition."""
+    words = t(spark, d, "documents").select(F.split(F.lower("text"), X.NO_WORD).alias("w"))
+    once = words.select(F.explode(F.array_distinct("w")).alias("w")).groupBy("w").agg(F.count("*").alias("docs"))
+    all_ = words.select(F.explode("w").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return all_.join(once.where("docs > 5"), "w").where((F.col("w") != "") & ~F.col("w").isin(*X.STOP_WORDS)).select("w", "n", "docs")
 
 
 @query(f"SELECT doc_id, rank, w, n FROM (SELECT doc_id, w, count(*) AS n, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, w) AS INTEGER) AS rank FROM {WORD_SQL} GROUP BY doc_id, w) WHERE rank <= 5")

@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -30,6 +30,12 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as run at once, where its files are cut in fewer; large inputs stay as they are read."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     """A ``local[cpus]`` session as the tests and the benchmark use it."""
     return (
