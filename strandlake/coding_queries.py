@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.domain_queries import near_words
+from strandlake.functions import algorithms as A
 from strandlake.functions import coding as K
+from strandlake.functions import masking as M
 from strandlake.functions import seq as S
 from strandlake.operators import intervals as I
 from strandlake.operators import rows as R
@@ -250,6 +252,78 @@ def ranked_filters(spark, d):
     return x.withColumn("rank", rank).where("rank is not null").select("l_orderkey", "l_linenumber", "rank")
 
 
+# --- frames, points and masks over whole sequences ------------------------------
+
+_RC = "reverse(translate(seq, 'ACGT', 'TGCA'))"
+
+
+@query(
+    f"WITH s AS (SELECT item_id, '+' AS strand, seq FROM {G_SQL} UNION ALL SELECT item_id, '-', {_RC} FROM {G_SQL}), c AS (SELECT item_id, strand, n, i, substr(seq, CAST(i + 1 AS INTEGER), 3) AS codon FROM (SELECT item_id, strand, seq, length(seq) AS n, unnest(range(0, length(seq) - 2)) AS i FROM s)), "
+    "g AS (SELECT *, coalesce(sum(CASE WHEN codon IN ('TAA', 'TAG', 'TGA') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id, strand, i % 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM c), "
+    "o AS (SELECT item_id, strand, n, min(i) FILTER (codon = 'ATG') AS b, max(i) FILTER (codon IN ('TAA', 'TAG', 'TGA')) AS e FROM g GROUP BY item_id, strand, n, i % 3, part) "
+    "SELECT item_id, CAST(CASE WHEN strand = '+' THEN b ELSE n - 3 - e END AS INTEGER) AS lo, CAST(CASE WHEN strand = '+' THEN e + 2 ELSE n - 1 - b END AS INTEGER) AS hi, strand FROM o WHERE e - b >= 3"
+)
+def open_reading_frames(spark, d):
+    return A.orf_table(genome(spark, d), "seq", "item_id")
+
+
+_COUNT = "length(p) - length(replace(p, '{}', ''))"
+_PLUS = " + ".join(f"({_COUNT.format(a)}) / (1 + pow(10, ph - {pk}))" for a, pk in A.PK_POSITIVE.items())
+_MINUS = " + ".join(f"({_COUNT.format(a)}) / (1 + pow(10, {pk} - ph))" for a, pk in A.PK_NEGATIVE.items())
+_END = lambda known, other, letter: f"CASE {letter} " + " ".join(f"WHEN '{a}' THEN {pk}" for a, pk in known.items()) + f" ELSE {other} END"
+_CHARGE = f"1 / (1 + pow(10, ph - ({_END(A.PK_FIRST, A.PK_FIRST_ELSE, 'p[1]')}))) - 1 / (1 + pow(10, ({_END(A.PK_LAST, A.PK_LAST_ELSE, 'p[-1]')}) - ph)) + {_PLUS} - ({_MINUS})"
+_MASSES = " + ".join(f"({_COUNT.format(a)}) * {m}" for a, m in A.MASS.items())
+_ACIDS = "string_agg(" + _ACID.format(code=K.CODES[1]) + ", '' ORDER BY i)"
+
+
+@query(
+    f"WITH RECURSIVE a AS (SELECT item_id, replace({_ACIDS}, '*', '') AS p FROM (SELECT item_id, seq, unnest(range(0, length(seq) // 3)) AS i FROM {G_SQL}) GROUP BY 1), "
+    f"b AS (SELECT item_id, p, CAST(0 AS DOUBLE) AS low, CAST(14 AS DOUBLE) AS high, CAST(7 AS DOUBLE) AS ph, 0 AS k FROM a UNION ALL SELECT item_id, p, CASE WHEN charge > 0 THEN ph ELSE low END, CASE WHEN charge > 0 THEN high ELSE ph END, (CASE WHEN charge > 0 THEN ph ELSE low END + CASE WHEN charge > 0 THEN high ELSE ph END) / 2, k + 1 FROM (SELECT *, {_CHARGE} AS charge FROM b) WHERE k < 17) "
+    f"SELECT item_id, CAST(round(18.01528 + {_MASSES}, 3) AS DOUBLE) AS weight, round(ph, 6) AS pi FROM b WHERE k = 17"
+)
+def protein_points(spark, d):
+    """Weight and isoelectric point of each sequence's translation."""
+    p = genome(spark, d).select("item_id", F.replace(S.translate_dna(F.col("seq")), F.lit("*"), F.lit("")).alias("protein"))
+    return p.select("item_id", F.round(A.molecular_weight(F.col("protein")), 3).alias("weight"), F.round(A.isoelectric_point("protein"), 6).alias("pi"))
+
+
+def _merged(spans_sql: str) -> str:
+    """SQL that joins spans (item_id, lo, hi) which overlap or touch."""
+    w = "PARTITION BY item_id ORDER BY lo, hi"
+    return f"SELECT item_id, CAST(min(lo) AS INTEGER) AS lo, CAST(max(hi) AS INTEGER) AS hi FROM (SELECT *, sum(o) OVER ({w}) AS run FROM (SELECT *, CASE WHEN lo <= 1 + max(hi) OVER ({w} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM ({spans_sql}))) GROUP BY item_id, run"
+
+
+def _windows(n: int) -> str:
+    return f"(SELECT item_id, i, substr(seq, CAST(i + 1 AS INTEGER), {n}) AS w FROM (SELECT item_id, seq, unnest(range(0, length(seq) - {n - 1})) AS i FROM {G_SQL}))"
+
+
+_BITS12 = f"(SELECT item_id, i, -sum(c / 12.0 * log2(c / 12.0)) AS bits FROM (SELECT item_id, i, unnest([{', '.join(_COUNT.format(x).replace('(p', '(w') for x in 'ACGT')}]) AS c FROM {_windows(12)} x, (SELECT 1)) WHERE c > 0 GROUP BY 1, 2)".replace("replace(p,", "replace(w,")
+
+
+@query(_merged(f"SELECT item_id, min(i) AS lo, max(i) + 11 AS hi FROM (SELECT *, i - row_number() OVER (PARTITION BY item_id ORDER BY i) AS g FROM {_BITS12} WHERE bits <= 1.4 + 1e-9) GROUP BY item_id, g HAVING min(bits) <= 1.1 + 1e-9"))
+def low_complexity_spans(spark, d):
+    return M.span_table(genome(spark, d), "item_id", "seq", M.low_complexity, window=12, locut=1.1, hicut=1.4)
+
+
+@query(_merged(f"SELECT item_id, i AS lo, i + 63 AS hi FROM (SELECT item_id, i, sum(c * (c - 1)) / (2.0 * 61) AS score FROM (SELECT item_id, i, t, count(*) AS c FROM (SELECT item_id, i, unnest(list_transform(range(1, 63), lambda k: substr(w, CAST(k AS INTEGER), 3))) AS t FROM {_windows(64)}) GROUP BY 1, 2, 3) GROUP BY 1, 2) WHERE score > 1.5"))
+def triplet_mask_spans(spark, d):
+    """Stretches of windows of 64 bases whose triplets repeat; all sequences are longer."""
+    return M.span_table(genome(spark, d).where("length(seq) >= 64"), "item_id", "seq", M.triplet_mask, window=64, level=1.5)
+
+
+_P_SQL = f"(SELECT item_id, translate(seq, 'ACGT', 'AVLG') AS seq FROM {G_SQL})"
+_PROP = "CASE x " + " ".join(f"WHEN '{a}' THEN {M.PROPENSITY[a]}" for a in "AVLG") + " END"
+
+
+@query(
+    f"WITH r AS (SELECT item_id, i, {_PROP} AS v FROM (SELECT item_id, i, seq[i + 1] AS x FROM (SELECT item_id, seq, unnest(range(0, length(seq))) AS i FROM {_P_SQL}))), m AS (SELECT item_id, least(avg(v), 1.0) AS m, count(*) AS n FROM r GROUP BY 1), "
+    "l AS (SELECT item_id, i, avg(v) OVER (PARTITION BY item_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS a FROM r) "
+    "SELECT item_id, CAST(min(i) AS INTEGER) AS lo, CAST(max(i) AS INTEGER) AS hi FROM (SELECT item_id, i, i - row_number() OVER (PARTITION BY item_id ORDER BY i) AS g FROM l JOIN m USING (item_id) WHERE i >= 3 AND i < n - 3 AND a >= m) GROUP BY item_id, g HAVING count(*) >= 6"
+)
+def antigenic_sites(spark, d):
+    return M.span_table(genome(spark, d).withColumn("protein", F.translate("seq", "ACGT", "AVLG")), "item_id", "protein", M.antigenic, least=6)
+
+
 # --- formats, written and read back ---------------------------------------------
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandlake.functions import algorithms as A
-from strandlake.functions import masking as M
 from strandlake.functions import reads as Q
 from strandlake.functions import seq as S
 from strandlake.functions import text as X
@@ -205,22 +204,7 @@ def global_alignments(spark, d):
     return x.join(y, "p_partkey").select("p_partkey", A.global_cigar("seq", "next").alias("g")).select("p_partkey", "g.*")
 
 
-# --- masks ----------------------------------------------------------------------
-
-
-@query()
-def low_complexity_spans(spark, d):
-    return M.span_table(dna(spark, d), "p_partkey", "seq", M.low_complexity, window=12, locut=1.6, hicut=1.8)
-
-
-@query()
-def triplet_mask_spans(spark, d):
-    return M.span_table(dna(spark, d), "p_partkey", "seq", M.triplet_mask, window=16, level=0.3)
-
-
-@query()
-def antigenic_sites(spark, d):
-    return M.span_table(dna(spark, d).withColumn("protein", F.translate("seq", "ACGT", "AVLG")), "p_partkey", "protein", M.antigenic, least=4)
+# --- sparse sets ----------------------------------------------------------------
 
 
 @query("SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank FROM (SELECT DISTINCT o_custkey * 37 AS id FROM orders)")

@@ -32,9 +32,6 @@ def test_query_gives_the_rows_of_its_sql(spark, sf, db, name):
     assert got == sorted(repr(tuple(dict(zip(names, x))[c] for c in cols)) for x in r.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(own.queries()) - set(own.oracle_sql())))
-def test_query_without_sql_has_rows(spark, sf, name):
-    assert own.queries()[name](spark, sf).count() > 0
 
 
 def one(spark, *cols):
