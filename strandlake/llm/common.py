@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.session import ship
+from strandlake.session import ship, spread
 
 #: Text bytes that one vectorised step handles; a longer text is a step alone.
 STEP_BYTES = 1 << 18
@@ -76,8 +76,9 @@ def _clean() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, over as many tasks as run at once at least."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def held_out(doc_id: F.Column) -> F.Column:

@@ -458,15 +458,24 @@ def keep_one_of_each_group(docs: DataFrame, width: int = 5, num: int = 80, den:
     rows = written(rows, "join-drop")
     dropped = rows.where("not kept").select("doc_id", "dig").distinct()
     again = written(rows.where("kept").groupBy("doc_id", "dig").count().where("count > 1").select("doc_id", "dig"), "join-again")
+    keys = written(dropped.unionByName(again).select(F.xxhash64("doc_id", "dig").alias("key")), "join-keys")
     own = docs.withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_dig": F.xxhash64(F.coalesce("text", F.lit("")))})
+    # rows that a Bloom filter of the keys lets through are settled by joins; all others stay where they are
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(keys, keys.count()))
+
+    @F.pandas_udf(T.BooleanType())
+    def touched(key: pd.Series) -> pd.Series:
+        return pd.Series(_held(np.frombuffer(bits.value, np.uint8), key.to_numpy(np.int64).view(np.uint64)))
+
+    own = own.withColumn("_touched", touched(F.xxhash64("_own_id", "_own_dig")))
 
     def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
         right = right.select(F.col("doc_id").alias("_id"), F.col("dig").alias("_dig"))
         return left.join(right, left["_own_id"].eqNullSafe(right["_id"]) & (left["_own_dig"] == right["_dig"]), how)
 
-    kept = joined(own, dropped, "left_anti")
+    kept = joined(own.where("_touched"), dropped, "left_anti")
     if not again.isEmpty():
         nth = F.row_number().over(Window.partitionBy("_own_id", "_own_dig").orderBy(F.xxhash64(*docs.columns)))
         one = joined(kept, again, "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
         kept = joined(kept, again, "left_anti").unionByName(one)
-    return kept.drop("_own_id", "_own_dig")
+    return own.where("not _touched").unionByName(kept).drop("_own_id", "_own_dig", "_touched")

@@ -70,6 +70,30 @@ def test_packing(spark, docs, rows, tk):
     assert packing.pack(empty(spark)).count() == 0
 
 
+def test_packing_follows_the_curve(docs, rows, tk):
+    """Documents lie in the stream by their keys, worked out one at a time; texts of nearly the same words are neighbours."""
+    text = dict(rows)
+    got = sorted((r.sequence_id * 2048 + r.offset, r.doc_id) for r in packing.pack(docs).where("start = 0").collect() if r.doc_id is not None)
+    size = max(tk.get_vocab().values()) + 1
+    mixed = [packing.mix64(np.array([i + 1], np.uint64))[0] % np.uint64(packing.BINS) for i in range(size)]
+
+    def key(i):
+        counts = np.zeros((1, packing.BINS))
+        for t in [*ids_of(tk, text[i]), 1]:
+            counts[0, int(mixed[t])] += 1
+        return int(packing.curve_keys(counts)[0])
+
+    keys = [key(i) for _, i in got]
+    assert keys == sorted(keys) and len(set(keys)) > len(keys) / 2
+
+
+def test_packing_runs_are_bounded_by_bytes():
+    sizes = np.array([10, 10, 5000, 1, 0, 0, 900, 900])
+    got = list(packing.runs(sizes, most=3, reach=1000))
+    assert [list(range(a, b)) for a, b in got] == [[0, 1], [2], [3, 4, 5], [6], [7]] and list(packing.runs(np.zeros(0))) == []
+    assert [len(r) for r in bpe.steps(["x" * 10] * 5 + ["y" * 400] + ["z"] * 2, chars=25)] == [2, 2, 1, 1, 2]
+
+
 def test_hilbert_curve_steps_to_neighbours():
     bits, dims = 3, 3
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dims, indexing="ij"), -1).reshape(-1, dims)
@@ -635,6 +659,38 @@ def test_pipeline(spark, sf):
     assert {r.doc_id for r in out} == {r.doc_id for r in near.collect()}
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf, docs):
+    """Null, empty, long and repeated texts, repeated and null ids, clashing columns, and an empty table, in every stage."""
+    import corpus_pipeline as p
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    trees = quality.train(docs, labels)
+    rows = docs.collect()
+    texts = [(r.text or "").encode() for r in rows]
+    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    scores = trees.scores(quality.statistics(np.frombuffer(b"".join(texts), np.uint8), off))
+    good = p.quality_stage(spark, docs, sf)
+    same = lambda df: Counter(map(tuple, df.collect()))
+    assert good.columns == docs.columns and same(good) == Counter(tuple(r) for r, s in zip(rows, scores) if s >= p.QUALITY)
+    model = langid.train(docs)
+    lang, sure = model.predict(np.frombuffer(b"".join(texts), np.uint8), off)
+    told = p.language_stage(spark, docs, sf)
+    want = Counter(tuple(r) for r, v, s in zip(rows, lang, sure) if s >= p.LANGUAGE and any(map(str.isalpha, r.text or "")))
+    assert told.columns == docs.columns and same(told) == want
+    near = p.near_duplicate_stage(spark, docs, sf)
+    assert near.columns == docs.columns
+    wordless = Counter((r.doc_id, r.text) for r in rows if not (r.text or "").split())
+    kept = Counter((r.doc_id, r.text) for r in near.collect())
+    assert all(kept[k] == n for k, n in wordless.items()) and all(n == 1 for k, n in kept.items() if k not in wordless)
+    packed = p.packing_stage(spark, docs, sf)
+    assert Counter(r.doc_id for r in packed.where("start = 0").collect()) == Counter(r.doc_id for r in rows)
+    for stage in (p.quality_stage, p.language_stage, p.near_duplicate_stage, p.packing_stage):
+        assert stage(spark, docs.limit(0), sf).count() == 0
+    nothing = docs.withColumn("text", F.lit(None).cast("string"))
+    assert p.language_stage(spark, nothing, sf).count() == 0 and p.near_duplicate_stage(spark, nothing, sf).count() == len(rows)
+    assert p.quality_stage(spark, nothing, sf).count() in (0, len(rows))
+
+
 def test_held_out(spark):
     got = spark.range(500).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == held_out_py(r.id) for r in got)
