@@ -218,11 +218,13 @@ def hgvs(c: Column) -> Column:
     return F.struct(g(1).alias("accession"), g(2).alias("kind"), g(3).cast("long").alias("start"), F.coalesce(g(4), g(3)).cast("long").alias("stop"), g(5).alias("ref"), F.coalesce(g(6), g(8)).alias("alt"), F.coalesce(g(7), F.when(g(6).isNotNull(), F.lit("sub"))).alias("op"))
 
 
-#: Read names of three platforms, with their coordinates as groups: fixed patterns.
+#: Read names of five platforms, with their coordinates as groups: fixed patterns.
 SPOT_NAMES = {
     "illumina": (r"^(.*?)[:_](\d+)[:_](\d+)[:_](-?\d+)[:_](-?\d+)(?:[#/ ].*)?$", ("name", "lane", "tile", "x", "y")),
     "abi": (r"^(?:(.*)_)?(\d+)_(\d+)_(\d+)$", ("name", "panel", "x", "y")),
     "ion_torrent": (r"^([A-Z0-9]+):(\d+):(\d+)$", ("name", "row", "col")),
+    "454": (r"^(.{7})([0-9]{2})([A-Z0-9]{5})$", ("name", "region", "xy")),
+    "helicos": (r"^(.+)-([0-9]+)-([0-9]+)-([0-9]+)-([0-9]+)$", ("name", "channel", "field", "camera", "position")),
 }
 
 

@@ -306,9 +306,24 @@ def text_approximate_search(spark, d):
     return t(spark, d, "documents").select("doc_id", X.agrep(F.col("text"), "tokens", 2).alias("at")).where("at is not null")
 
 
-@query("SELECT c_custkey, regexp_extract(c_name, '^([A-Za-z]+)', 1) AS name, CAST(length(c_name) AS BIGINT) AS n FROM customer")
+#: Names of reads of a customer's number (k) and nation (n), and the tokens that they have.
+_SPOTS = {
+    "illumina": ("concat('Run', k, ':3:17:', n, ':-5')", "concat('name=Run', k, ';lane=3;tile=17;x=', n, ';y=-5')"),
+    "abi": ("concat('r_', n, '_', k, '_7')", "concat('name=r;panel=', n, ';x=', k, ';y=7')"),
+    "ion_torrent": ("concat('RUN5:', n, ':', k)", "concat('name=RUN5;row=', n, ';col=', k)"),
+    "454": ("concat('ABCDEFG', lpad(n, 2, '0'), 'A1B2C')", "concat('name=ABCDEFG;region=', lpad(n, 2, '0'), ';xy=A1B2C')"),
+    "helicos": ("concat('r-1-', n, '-3-', k, '-8')", "concat('name=r-1;channel=', n, ';field=3;camera=', k, ';position=8')"),
+}
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS platform, c_custkey, {want} AS tokens FROM (SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS n, CAST(c_custkey AS VARCHAR) AS k FROM customer)" for p, (_, want) in _SPOTS.items()))
 def spot_name_tokens(spark, d):
-    """Coordinates of read names, taken apart and put together again."""
-    name = F.concat(F.regexp_extract("c_name", "^([A-Za-z]+)", 1), F.lit(":3:17:"), F.length("c_name").cast("string"), F.lit(":-5"))
-    x = t(spark, d, "customer").withColumn("spot", name).withColumn("tok", X.spot_tokens(F.col("spot"), "illumina"))
-    return x.select("c_custkey", X.extract_token(F.col("spot"), F.col("tok"), 0).alias("name"), X.rewrite_name(F.col("spot"), F.col("tok"), "$x").cast("long").alias("n"))
+    """Coordinates of the read names of five platforms, as tokens of the names."""
+    out = None
+    for platform, (made, _) in _SPOTS.items():
+        x = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("n"), F.col("c_custkey").cast("string").alias("k")).select("c_custkey", F.expr(made).alias("spot"))
+        x = x.withColumn("tok", X.spot_tokens(F.col("spot"), platform))
+        text = F.array_join(F.transform("tok", lambda p: F.concat(p["name"], F.lit("="), F.substr("spot", p["start"] + 1, p["length"]))), ";")
+        x = x.select(F.lit(platform).alias("platform"), "c_custkey", text.alias("tokens"))
+        out = x if out is None else out.unionByName(x)
+    return out
