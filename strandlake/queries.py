@@ -311,13 +311,12 @@ def text_top_terms(spark, d):
     return R.top_k(tf, ["doc_id"], [F.desc("n"), "w"], 5).select("doc_id", "rank", "w", "n")
 
 
-@query("SELECT a.item_id AS a, b.item_id AS b, levenshtein(a.k, b.k) AS dist FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS k FROM benchmark) a JOIN (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS k FROM benchmark) b ON a.item_id < b.item_id AND substr(a.k, 1, 2) = substr(b.k, 1, 2)")
+@query("WITH k AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '', 'g') AS k FROM conversations) SELECT a.conv_id, a.turn, levenshtein(a.k, b.k) AS dist FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1")
 def text_edit_distance(spark, d):
-    """Distances of items with the same first two characters, on printable ASCII; ``text_edit_distance_all`` has neither bound."""
-    b = t(spark, d, "benchmark").select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("k"))
-    x, y = b.select(F.col("item_id").alias("a"), F.col("k").alias("ka")), b.select(F.col("item_id").alias("b"), F.col("k").alias("kb"))
-    pairs = x.join(y, (F.substring("ka", 1, 2) == F.substring("kb", 1, 2)) & (F.col("a") < F.col("b")))
-    return pairs.select("a", "b", F.levenshtein("ka", "kb").cast("long").alias("dist"))
+    """Distance of each turn of a conversation and the next, by their printable ASCII; ``text_edit_distance_all`` is on whole texts of all benchmark items."""
+    k = t(spark, d, "conversations").select("conv_id", "turn", F.regexp_replace("text", "[^ -~]", "").alias("k"))
+    after = k.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("k").alias("next"))
+    return k.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.levenshtein("k", "next").cast("long").alias("dist"))
 
 
 @query()
@@ -356,11 +355,13 @@ def text_stems(spark, d):
     return _terms(spark, d).groupBy("w").agg(F.count("*").alias("n")).withColumn("stem", X.stem("w")).groupBy("stem").agg(F.sum("n").alias("n"))
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + 10")
+@query("WITH m AS (SELECT label, list(m ORDER BY k) AS m FROM (SELECT label, k, avg(x) AS m FROM (SELECT label, unnest(range(1, len(embedding) + 1)) AS k, unnest(CAST(embedding AS DOUBLE[])) AS x FROM embeddings) GROUP BY 1, 2) GROUP BY 1) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), m), 6) AS cosine FROM embeddings JOIN m USING (label)")
 def vector_cosine(spark, d):
+    """Cosine of every vector and its label's mean vector."""
     v = t(spark, d, "embeddings")
-    a, b = v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("ea"), "label"), v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("eb"), F.col("label").alias("lb"))
-    return a.join(b, (F.col("b") == F.col("a") + 10) & (F.col("label") == F.col("lb"))).select("a", "b", F.round(C.cosine(F.col("ea"), F.col("eb")), 6).alias("cosine"))
+    mean = v.select("label", F.posexplode("embedding").alias("k", "x")).groupBy("label", "k").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    mean = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("k", "m"))).alias("s")).select("label", F.col("s.m").alias("m"))
+    return v.join(mean, "label").select("vec_id", F.round(C.cosine(F.col("embedding"), F.col("m")), 6).alias("cosine"))
 
 
 # --- sequences ------------------------------------------------------------------

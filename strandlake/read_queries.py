@@ -253,11 +253,11 @@ def column_id_range(spark, d):
     return B.id_range(t(spark, d, "orders").withColumn("open", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus"))), "o_orderkey", "open")
 
 
-@query("SELECT cache_key, subkey, version, touched_us FROM (SELECT user_id AS cache_key, event_type AS subkey, event_id AS version, epoch_us(ts) AS touched_us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 AND cache_key % 7 = 3")
+@query("SELECT cache_key, subkey, version, touched_us FROM (SELECT user_id AS cache_key, event_type AS subkey, event_id AS version, epoch_us(ts) AS touched_us, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS k FROM events) WHERE k = 1 AND cache_key IN (SELECT c_custkey FROM customer)")
 def cache_newest(spark, d):
-    """Newest versions of one key in seven; ``cache_newest_all`` asks for all keys."""
+    """Newest versions of the keys that customers have; ``cache_newest_all`` asks for all keys."""
     e = t(spark, d, "events").select(F.col("user_id").alias("cache_key"), F.col("event_type").alias("subkey"), F.col("event_id").alias("version"), F.unix_micros(F.col("ts").cast("timestamp")).alias("touched_us"))
-    keys = e.select("cache_key").where("cache_key % 7 = 3").distinct()
+    keys = t(spark, d, "customer").select(F.col("c_custkey").alias("cache_key"))
     return B.cache_get(e, keys)
 
 
