@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandlake.functions import seq as S
 from strandlake.operators import lookups as L
 from strandlake.operators.intervals import islands, overlap_join
 from strandlake.plans.query import predicate
-from strandlake.queries import S_SQL, _ab_spans, query, spans, t
+from strandlake.queries import D_SQL, S_SQL, _ab_spans, dna, query, spans, t
 
 # --- lookups --------------------------------------------------------------------
 
@@ -201,3 +202,57 @@ def result_metadata(spark, d):
 def parameterised_sql(spark, d):
     """A statement with parameters over named frames."""
     return spark.sql("SELECT c_mktsegment, count(*) AS n, sum(c_nationkey) AS total FROM {customers} WHERE c_nationkey BETWEEN :low AND :high GROUP BY 1", args={"low": 3, "high": 18}, customers=t(spark, d, "customer"))
+
+
+# --- volumes, sets and titles ---------------------------------------------------
+
+
+@query("SELECT o_orderkey, coalesce(n, o_custkey) AS o_custkey FROM orders LEFT JOIN (SELECT c_custkey, c_custkey + 1000000 AS n FROM customer WHERE c_mktsegment = 'BUILDING') ON c_custkey = o_custkey")
+def mapped_ids(spark, d):
+    """Ids by a mapping that knows some of them."""
+    m = t(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") + 1_000_000).alias("to"))
+    return L.id_mapped(t(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_custkey", m)
+
+
+@query("SELECT l_partkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, max(l_orderkey) AS last, count(*) AS n FROM lineitem GROUP BY 1")
+def merged_volumes(spark, d):
+    """Three volumes of one table, merged by key."""
+    x = t(spark, d, "lineitem").select("l_partkey", F.col("l_quantity").cast("long").alias("q"), "l_orderkey", "l_returnflag")
+    volumes = [x.where(F.col("l_returnflag") == f).drop("l_returnflag") for f in "ANR"]
+    return L.merged_volumes(volumes, "l_partkey", {"quantity": F.sum("q"), "last": F.max("l_orderkey"), "n": F.count("*")})
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_discount > 0.02 ORDER BY l_quantity DESC, l_shipdate, l_orderkey, l_linenumber LIMIT 200")
+def sorted_alignments(spark, d):
+    """The first rows of a sort by several keys in both directions, after a filter; the sort itself spills and merges."""
+    x = t(spark, d, "lineitem").where("l_discount > 0.02").orderBy(F.desc("l_quantity"), "l_shipdate", "l_orderkey", "l_linenumber")
+    return x.limit(200).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT l_suppkey AS q, string_agg(s || '(' || subjects || ')', ' ' ORDER BY s) AS sets FROM (SELECT l_suppkey, l_returnflag AS s, string_agg(n, ',' ORDER BY l_linenumber) AS subjects FROM (SELECT l_suppkey, l_returnflag, l_linenumber, l_linenumber || ':' || count(*) AS n FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1")
+def assembly_sets(spark, d):
+    """Alignments of a query by assembly and subject, nested; counts stand for the alignments."""
+    n = t(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag", "l_linenumber").agg(F.count("*").alias("n"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["n"].cast("string"))), ",")
+    s = n.groupBy("l_suppkey", "l_returnflag").agg(text(F.array_sort(F.collect_list(F.struct("l_linenumber", "n")))).alias("subjects"))
+    own = F.array_sort(F.collect_list(F.struct("l_returnflag", "subjects")))
+    return s.groupBy(F.col("l_suppkey").alias("q")).agg(F.array_join(F.transform(own, lambda x: F.concat(x["l_returnflag"], F.lit("("), x["subjects"], F.lit(")"))), " ").alias("sets"))
+
+
+@query("SELECT c_custkey, trim(c_name || CASE WHEN c_nationkey < 5 THEN ' strain ' || c_nationkey ELSE '' END || CASE WHEN c_mktsegment = 'BUILDING' THEN ', partial sequence' WHEN c_acctbal > 5000 THEN ', complete sequence' ELSE '' END) AS title FROM customer")
+def definition_lines(spark, d):
+    """Titles from the fields that a record has."""
+    end = F.when(F.col("c_mktsegment") == "BUILDING", ", partial sequence").when(F.col("c_acctbal") > 5000, ", complete sequence").otherwise("")
+    strain = F.when(F.col("c_nationkey") < 5, F.concat(F.lit(" strain "), F.col("c_nationkey").cast("string"))).otherwise("")
+    return t(spark, d, "customer").select("c_custkey", F.trim(F.concat("c_name", strain, end)).alias("title"))
+
+
+@query(
+    f"WITH k AS (SELECT p_partkey, substr(seq, CAST(i AS INTEGER), 6) AS w FROM (SELECT p_partkey, seq, unnest(range(1, length(seq) - 4)) AS i FROM {D_SQL})), t AS (SELECT w FROM (SELECT w, count(*) AS n FROM k GROUP BY 1) ORDER BY n DESC, w LIMIT 5), "
+    "n AS (SELECT DISTINCT substr(w, 1, i - 1) || b || substr(w, i + 1) AS near FROM (SELECT w, CAST(unnest(range(1, 7)) AS INTEGER) AS i FROM t), (SELECT unnest(['A', 'C', 'G', 'T']) AS b)) SELECT p_partkey, count(*) AS hits FROM k JOIN n ON k.w = n.near GROUP BY 1 HAVING count(*) >= 2"
+)
+def tagged_reads(spark, d):
+    """Reads with at least two words that are, but for one letter, among the five most frequent ones."""
+    k = dna(spark, d).select("p_partkey", F.explode(S.kmers(F.col("seq"), 6)).alias("kmer"))
+    top = k.groupBy(F.col("kmer").alias("word")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(5)
+    return L.tagged_reads(k, L.with_near_words(top.select("word")), "p_partkey", 2)

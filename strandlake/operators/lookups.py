@@ -185,3 +185,28 @@ def key_values(df: DataFrame, modules: dict[str, dict[str, Column]]) -> DataFram
     row = df.agg(*[c.cast("string").alias(f"v{i}") for i, (_, _, c) in enumerate(flat)])
     entries = F.array(*[F.struct(F.lit(m).alias("module"), F.lit(k).alias("key"), F.col(f"v{i}").alias("value")) for i, (m, k, _) in enumerate(flat)])
     return row.select(F.explode(entries).alias("x")).select("x.*")
+
+
+def id_mapped(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
+    """``df`` with the ids of a column by a mapping (id, to); those without one stay."""
+    return df.join(mapping.select(F.col("id").alias(column), F.col("to").alias("_to")), column, "left").withColumn(column, F.coalesce("_to", column)).drop("_to")
+
+
+def merged_volumes(volumes: Sequence[DataFrame], key: str, merge: dict[str, Column]) -> DataFrame:
+    """One row for each key of several volumes, its columns merged by aggregates; volumes are neither sorted nor read in order."""
+    out = volumes[0]
+    for v in volumes[1:]:
+        out = out.unionByName(v)
+    return out.groupBy(key).agg(*[c.alias(n) for n, c in merge.items()])
+
+
+def with_near_words(words: DataFrame, letters: str = "ACGT") -> DataFrame:
+    """(word, near): every word of the column ``word`` with itself and the words that differ from it in one letter."""
+    w = F.col("word")
+    near = F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.transform(F.array(*map(F.lit, letters)), lambda x: F.concat(F.substr(w, F.lit(1), i - 1), x, F.substr(w, i + 1))))
+    return words.select("word", F.explode(F.array_distinct(F.flatten(near))).alias("near"))
+
+
+def tagged_reads(kmers: DataFrame, words: DataFrame, read: str, least: int) -> DataFrame:
+    """(read, hits): reads of whose words (read, kmer) at least so many are among ``words`` (column near), each place counted."""
+    return kmers.join(words.select(F.col("near").alias("kmer")).distinct(), "kmer", "left_semi").groupBy(read).agg(F.count("*").alias("hits")).where(F.col("hits") >= least)
