@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_folders: list[tempfile.TemporaryDirectory] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -23,7 +24,8 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     top = Path(__file__).resolve().parent
-    path = os.path.join(tempfile.mkdtemp(prefix="strandlake-py-"), f"{top.name}.zip")
+    _folders.append(tempfile.TemporaryDirectory(prefix="strandlake-py-"))  # goes when the driver ends
+    path = os.path.join(_folders[-1].name, f"{top.name}.zip")
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
