@@ -86,6 +86,7 @@ def statistics(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     if len(data) > 1:
         spaced = np.isin(data[1:], (32, 10))
         after[:-1] = spaced & np.isin(_KIND[data[:-1]], (7, 8, 9))
+        after[off[1:][size > 0] - 1] = False  # what follows there is another text
     letters = np.maximum(kinds[:, 1] + kinds[:, 2], 1e-9)
     return np.column_stack((
         np.log1p(size), np.log1p(words), kinds, kinds[:, 2] / letters, (size - kinds[:, 4] * size) / some, distinct / some, most / some,

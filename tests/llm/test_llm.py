@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -372,6 +373,55 @@ def test_quality_trees_and_walk():
     assert ((t.scores(x) > 0.5) == y).mean() > 0.95
 
 
+def naive_statistics(t):
+    """The statistics of one text, counted one at a time."""
+    kinds = (b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,;:?'\"-()", b"!", b"|", b"#$%&*@+=~^_/\\<>[]{}`")
+    size = len(t)
+    share = lambda chars: sum(b in chars for b in t) / max(size, 1)
+    shares = [share(k) for k in kinds]
+    shares = [1 - sum(shares) if size else 0.0, *shares]
+    words = t.translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))).split()
+    pairs, lines = list(zip(words, words[1:])), [x for x in re.split(b"(?<=\n)", t) if x]
+    most = lambda v: max(Counter(v).values(), default=0)
+    some, n = max(len(words), 1), len(lines)
+    odd = sum(a in kinds[6] + kinds[7] + kinds[8] and b in b" \n" for a, b in zip(t, t[1:]))
+    return [
+        math.log1p(size), math.log1p(len(words)), *shares, shares[2] / max(shares[1] + shares[2], 1e-9), (size - shares[4] * size) / some, len(set(words)) / some, most(words) / some,
+        len(set(pairs)) / some, most(pairs) / some, math.log1p(n), len(set(lines)) / max(n, 1), most(lines) / max(n, 1), len(words) / max(n, 1), odd / some, sum(b & 0xC0 == 0x80 for b in t) / max(size, 1),
+    ]
+
+
+def test_statistics_against_plain_counts(rows):
+    texts = [(t or "").encode() for _, t in rows if len(t or "") < 50_000]
+    texts += [b"wow!", b" yes | no\n", b"a # b\na # b\nA # B", b"\n\n", b"x!\n", b"\t! \x0b|", "é é É".encode(), b"w" * 70 + b" " + b"W" * 70]
+    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    whole = quality.statistics(np.frombuffer(b"".join(texts), np.uint8), off)
+    for t, got in zip(texts, whole):
+        assert np.allclose(got, naive_statistics(t)), t[:60]
+
+
+def test_growing_against_a_plain_tree():
+    """The first split of the first tree is the one of largest gain among all features and cuts."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (600, 4)).astype(float)
+    y = (x[:, 2] + rng.integers(0, 3, 600) > 5).astype(float)
+    tree = quality.grow(x, y, trees=1, depth=1)
+    p = y.mean()
+    g, h = p - y, np.full(len(y), p * (1 - p))
+
+    def gain(f, cut):
+        low = x[:, f] <= cut
+        if min(h[low].sum(), h[~low].sum()) < quality.LEAST / 4:
+            return -1.0
+        return sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (low, ~low))
+
+    best = max((gain(f, c), -f, -c) for f in range(4) for c in np.unique(x[:, f]))
+    assert (tree.feature[0, 0], tree.limit[0, 0]) == (-best[1], -best[2])
+    for side in (0, 1):
+        m = (x[:, tree.feature[0, 0]] > tree.limit[0, 0]) == bool(side)
+        assert math.isclose(tree.value[0, side], -quality.RATE * g[m].sum() / (h[m].sum() + 1))
+
+
 def test_statistics_do_not_depend_on_neighbours(rows):
     texts = [(t or "").encode() for _, t in rows]
     off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
