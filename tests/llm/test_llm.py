@@ -741,6 +741,26 @@ def test_pipeline_stages_on_odd_rows(spark, sf, docs):
     assert p.quality_stage(spark, nothing, sf).count() in (0, len(rows))
 
 
+def test_texts_of_four_megabytes(spark, tk):
+    """One very long text among short ones, in the operators that read texts."""
+    rng = random.Random(1)
+    words = [f"{rng.choice('abcdefgh')}{k % 9973}" for k in range(700_000)]
+    long = " ".join(words)
+    rows = [(1, "a short text", "en"), (2, long, "en"), (3, long + " end", "de"), (4, "das ist kurz", "de"), (5, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    got = {r.doc_id: r for r in bpe.digests(df).collect()}
+    ids = ids_of(tk, long)
+    assert got[2].n_tokens == len(ids) and got[2].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and got[2].decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    pieces = packing.pack(df).where("doc_id = 2").orderBy("start").collect()
+    assert pieces[-1].start + pieces[-1].length == len(ids) + 1 == pieces[0].doc_tokens
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_classes(df).collect()} == {1: 1, 2: 2, 3: 2, 4: 4, 5: 5}
+    edits = edit_counts.apply_edits(edit_counts.standing_edits(df)).where("doc_id = 2").first()
+    assert edits.tokens_before == len(ids) and edits.chars_encoded < 1000
+    scores = {r.doc_id: r.score for r in quality.with_scores(df, quality.grow(np.zeros((0, 1)), np.zeros(0))).collect()}
+    assert set(scores.values()) == {0.5} and len(scores) == 5
+    assert {r.doc_id for r in langid.told(df).where("lang_pred <> 'und'").collect()} == {1, 2, 3, 4}
+
+
 def test_held_out(spark):
     got = spark.range(500).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == held_out_py(r.id) for r in got)
