@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -173,32 +174,45 @@ def in_blocks(rows: DataFrame, span: int) -> DataFrame:
     return rows.select("conv", F.struct("range", "own", "sub").alias("block"), "at", "tie", "role", "raw")
 
 
-def _raw_lines(pdf: pd.DataFrame) -> list[str]:
-    """Lines of a block in order."""
-    pdf = pdf.sort_values(["at", "tie", "role", "raw"], kind="stable")
-    return "\n".join(pdf["raw"]).split("\n")
+class Block(NamedTuple):
+    """A block's rows in order, of one conversation; ``ahead``, ``entry`` and ``leave`` are None where they aren't known yet."""
 
+    conv: str
+    nth: int
+    raw: list[str]
+    roles: list[str | None]
+    ahead: bool
+    entry: int | None
+    leave: int | None
 
-def _truth(pdf: pd.DataFrame) -> np.ndarray:
-    """The state that each line of a block was written from; a role is known for all rows."""
-    pdf = pdf.sort_values(["at", "tie", "role", "raw"], kind="stable")
-    n = pdf["raw"].str.count("\n").to_numpy() + 1
-    first = 2 * pdf["role"].map(ROLES.index).to_numpy()
-    out = np.repeat(first + 1, n)
-    out[np.cumsum(n) - n] -= 1
-    return out
+    def lines(self) -> list[str]:
+        return "\n".join(self.raw).split("\n")
+
+    def truth(self) -> np.ndarray | None:
+        """The state that each line was written from; None where a role isn't known."""
+        if None in self.roles:
+            return None
+        n = np.array([r.count("\n") + 1 for r in self.raw])
+        out = np.repeat([2 * ROLES.index(r) + 1 for r in self.roles], n)
+        out[np.cumsum(n) - n] -= 1
+        return out
 
 
-def _each(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+def _each(pdf: pd.DataFrame) -> Iterator[Block]:
     """The blocks of a share."""
-    for _, own in pdf.groupby(["conv", "nth"], sort=False):
-        yield own
+    pdf = pdf.sort_values(["conv", "nth", "at", "tie", "role", "raw"], kind="stable", ignore_index=True)
+    cells = {c: pdf[c].tolist() for c in ("conv", "nth", "raw", "role", "ahead")}
+    known = {c: [None if pd.isna(x) else int(x) for x in pdf[c]] if c in pdf else [None] * len(pdf) for c in ("entry", "leave")}
+    starts = [k for k in range(len(pdf)) if not k or (cells["conv"][k], cells["nth"][k]) != (cells["conv"][k - 1], cells["nth"][k - 1])]
+    for a, b in zip(starts, [*starts[1:], len(pdf)]):
+        roles = [None if r is None or r != r else r for r in cells["role"][a:b]]
+        yield Block(cells["conv"][a], int(cells["nth"][a]), cells["raw"][a:b], roles, bool(cells["ahead"][a]), known["entry"][a], known["leave"][a])
 
 
 def _counted(pdf: pd.DataFrame) -> pd.DataFrame:
     codes = []
     for own in _each(pdf):
-        truth, obs = _truth(own), observe(_raw_lines(own), bool(own["ahead"].iloc[0]))
+        truth, obs = own.truth(), observe(own.lines(), own.ahead)
         codes += [truth * SYMBOLS + obs, STATES * SYMBOLS + truth[:-1] * STATES + truth[1:], [STATES * (SYMBOLS + STATES) + truth[0]]]
     k, n = np.unique(np.concatenate(codes).astype(np.int64), return_counts=True)
     return pd.DataFrame({"code": k, "n": n.astype(np.int64)})
@@ -240,9 +254,9 @@ def _parsed(rows: DataFrame, spans: DataFrame, hmm: Hmm) -> DataFrame:
     def scored(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for own in _each(pdf):
-            obs, nth = observe(_raw_lines(own), bool(own["ahead"].iloc[0])), int(own["nth"].iloc[0])
-            best = hmm.first_block(obs) if nth == 1 else hmm.block(obs)
-            out.append((own["conv"].iloc[0], nth, best.tobytes()))
+            obs = observe(own.lines(), own.ahead)
+            best = hmm.first_block(obs) if own.nth == 1 else hmm.block(obs)
+            out.append((own.conv, own.nth, best.tobytes()))
         return pd.DataFrame(out, columns=["conv", "nth", "best"])
 
     def chained(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -269,16 +283,15 @@ def _parsed(rows: DataFrame, spans: DataFrame, hmm: Hmm) -> DataFrame:
     def traced(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for own in _each(pdf):
-            lines = _raw_lines(own)
-            truth = _truth(own) // 2 if own["role"].notna().all() else None
-            conv, nth, one = own["conv"].iloc[0], int(own["nth"].iloc[0]), pd.isna(own["leave"].iloc[0])
-            states = hmm.trace(observe(lines, bool(own["ahead"].iloc[0])), None if nth == 1 else int(own["entry"].iloc[0]), None if one else int(own["leave"].iloc[0]))
+            lines, truth = own.lines(), own.truth()
+            truth = None if truth is None else truth // 2
+            states = hmm.trace(observe(lines, own.ahead), None if own.nth == 1 else own.entry, own.leave)
             cuts = [k for k, s in enumerate(states) if s % 2 == 0 or k == 0] + [len(states)]
             for part, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 opens = states[a] % 2 == 0
                 body = body_of(lines[a:b], opens)
                 right = None if truth is None else int((truth[a:b] == states[a] // 2).sum())
-                out.append((conv, nth, part, ROLES[states[a] // 2], opens, b - a, len(body), "\n".join(body), right))
+                out.append((own.conv, own.nth, part, ROLES[states[a] // 2], opens, b - a, len(body), "\n".join(body), right))
         return pd.DataFrame(out, columns=["conv", "nth", "part", "role", "opens", "n_lines", "n_body", "body", "right"]).astype({"right": "Int64"})
 
     schema = "conv string, nth int, part int, role string, opens boolean, n_lines int, n_body int, body string, right int"
