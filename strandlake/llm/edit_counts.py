@@ -24,6 +24,10 @@ encoded. Other columns stay; columns named tree or after are replaced.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -128,6 +132,18 @@ class PretokenTree:
             toks += t
         return "".join(words), list(map(len, words)), toks
 
+    def text(self) -> str:
+        return "".join(w for leaf in range(self.size) for w in self.words(leaf)[0]) if self.own else self.base
+
+    def apply(self, edits) -> int:
+        """Apply edits in order; how many there were."""
+        n = 0
+        for e in edits if edits is not None else ():
+            if e is not None and e["offset"] is not None:
+                self.edit(int(e["offset"]), int(e["removed"] or 0), e["added"] or "")
+                n += 1
+        return n
+
     def find(self, offset: int) -> tuple[int, int]:
         """Leaf that holds the character at ``offset``, and the characters before it."""
         node, before = 1, 0
@@ -247,7 +263,7 @@ def with_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
     def tree(texts: pd.Series) -> pd.DataFrame:
         counter = counter_of(path)
         words = [counter.split(t or "") for t in texts]
-        return pd.DataFrame({"chars": [list(map(len, w)) for w in words], "toks": [counter.tokens(w) for w in words]})
+        return pd.DataFrame({"chars": [np.array(list(map(len, w)), np.int32) for w in words], "toks": [np.array(counter.tokens(w), np.int32) for w in words]})
 
     return docs.withColumn("tree", tree("text"))
 
@@ -264,25 +280,35 @@ def edited(docs: DataFrame, path: str | None = None, edits: str = "edits") -> Da
             text = text or ""
             fits = chars is not None and toks is not None and len(chars) == len(toks) and sum(chars.tolist()) == len(text)
             tree = PretokenTree(text, chars.tolist(), toks.tolist(), counter) if fits else PretokenTree.of(text, counter)
-            tree.encoded, before, n = 0 if fits else len(text), tree.n_tokens, 0
-            for e in own if own is not None else ():
-                if e is not None and e["offset"] is not None:
-                    tree.edit(int(e["offset"]), int(e["removed"] or 0), e["added"] or "")
-                    n += 1
-            rows.append((*tree.leaves(), n, before, tree.n_tokens, tree.n_chars, tree.encoded))
+            tree.encoded, before = 0 if fits else len(text), tree.n_tokens
+            n = tree.apply(own)
+            text, *cells = tree.leaves()
+            rows.append((text, *(np.array(c, np.int32) for c in cells), n, before, tree.n_tokens, tree.n_chars, tree.encoded))
         return pd.DataFrame(rows, columns=["text", "chars", "toks", "n_edits", "tokens_before", "tokens_after", "chars_after", "chars_encoded"])
 
     return docs.withColumn("after", after(F.col("text"), F.col("tree"), F.col(edits)))
 
 
 def apply_edits(docs: DataFrame, path: str | None = None, edits: str = "edits") -> DataFrame:
-    """Counts before and after the edits of each row (doc_id, text, edits).
+    """Counts before and after the edits of each row (doc_id, text, edits), in one pass that makes each row's tree, edits it and lets it go.
 
     (doc_id, n_edits, tokens_before, tokens_after, chars_after, chars_encoded, text_sha256)
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(edits).alias("edits"))
-    counts = [F.col(f"after.{c}").alias(c) for c in ("n_edits", "tokens_before", "tokens_after", "chars_after", "chars_encoded")]
-    return edited(with_trees(own, path), path).select("doc_id", *counts, F.sha2(F.col("after.text").cast("binary"), 256).alias("text_sha256"))
+    path = path or V.default_path()
+    ship(docs.sparkSession)
+    schema = "doc_id long, n_edits long, tokens_before long, tokens_after long, chars_after long, chars_encoded long, text_sha256 string"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counter = counter_of(path)
+        for pdf in frames:
+            rows = []
+            for doc_id, text, own in zip(pdf["doc_id"], pdf["text"], pdf["edits"]):
+                tree = PretokenTree.of(text or "", counter)
+                before, n = tree.n_tokens, tree.apply(own)
+                rows.append((doc_id, n, before, tree.n_tokens, tree.n_chars, tree.encoded, hashlib.sha256(tree.text().encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(edits).alias("edits")).mapInPandas(run, schema)
 
 
 def standing_edits(docs: DataFrame) -> DataFrame:
