@@ -127,6 +127,9 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Bytes between terms: ASCII but digits and letters.
+NOT_IN_TERMS = np.arange(256) < 128
+NOT_IN_TERMS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _BASE = 0x5851F42D4C957F2D
 #: Bytes of a word that the polynomial hash takes; it has known collisions among much longer ones, which are digested instead.
 LONG_WORD = 64
@@ -145,11 +148,11 @@ def _hashed(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return h
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^ \\t-\\r]+`` (A-Z lower-cased) of all texts, and word offsets by text."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (A-Z lower-cased) of all texts, ``[^ \\t-\\r]+`` unless other bytes are ``between``, and word offsets by text."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    word = ~_SPACE[data]
+    word = ~between[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     begin = word.copy()
