@@ -130,7 +130,7 @@ class Best:
         item, place = q.pairs(term[rare])
         own = slot[item] >= 0
         item, place = slot[item[own]], rare[place[own]]
-        bound = np.bincount(item * n + row[place], value[place].astype(np.float64), len(some) * n).reshape(len(some), n)
+        bound = np.bincount(item * n + row[place], value[place].astype(np.float64), len(some) * n).reshape(len(some), n).astype(np.float64)  # counts of nothing are integers
         bound += often[None, :] * np.sqrt(q.often[some])[:, None]
         passes = (bound * (1 + SLACK) >= self.least[some][:, None]) & (bound > 0)
         self.rescored += int(passes.sum())
