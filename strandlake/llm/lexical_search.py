@@ -229,10 +229,17 @@ def _group(docs: DataFrame, rows: pa.Table, k: int) -> DataFrame:
     items = Items(ids, item, term, weights, common)
     vectors = held.where(F.size("terms") > 0).mapInArrow(_valued(weights, common, docs_n, max(total, 1)), VECTORS).where("norm > 0")
     order = [F.desc("norm"), F.asc("doc_id")]
-    sorted_ = written(vectors.repartitionByRange(*order).sortWithinPartitions(*order), "lex-vectors")
+    sorted_ = written(vectors.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "lex-vectors")
     released(held)
     none = np.zeros(len(ids))
-    first = sorted_.orderBy(*order).limit(FIRST).mapInArrow(_searched(items, k, none), FOUND).where("item_id is not null")
+    # the first partitions that hold FIRST rows together; a row a partition
+    seen, parts = 0, []
+    for r in sorted_.groupBy("part").count().orderBy("part").collect():
+        parts.append(r["part"])
+        if (seen := seen + r["count"]) >= FIRST:
+            break
+    sorted_, top = sorted_.drop("part"), sorted_.where(F.col("part") <= max(parts, default=0)).drop("part")
+    first = top.orderBy(*order).limit(FIRST).mapInArrow(_searched(items, k, none), FOUND).where("item_id is not null")
     kth = Window.partitionBy("item_id").orderBy(F.desc("score"))
     for r in first.select("item_id", "score", F.row_number().over(kth).alias("rank")).where(F.col("rank") == k).collect():  # a row an item
         none[np.searchsorted(ids, r["item_id"])] = r["score"]
