@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandlake.domain_queries import near_words
 from strandlake.functions import algorithms as A
 from strandlake.functions import coding as K
 from strandlake.functions import masking as M
 from strandlake.functions import seq as S
 from strandlake.operators import intervals as I
-from strandlake.operators import rows as R
+from strandlake.operators import words as N
 from strandlake.plans.query import predicate
 from strandlake.queries import C_SQL, S_SQL, WORD_SQL, _terms, order_cells, query, spans, t, text_of
 from strandlake.sources import readers as P
@@ -150,13 +149,23 @@ def soundex_keys(spark, d):
     return _terms(spark, d).select("w").distinct().where(F.col("w").rlike("^[a-z]+$")).select("w", F.soundex("w").alias("key"))
 
 
+def _by_documents(spark, d):
+    return _terms(spark, d).groupBy("w").agg(F.countDistinct("doc_id").alias("docs"))
+
+
 @query()
 def dictionary_suggestions(spark, d):
-    """For the words that only one document has, the three best words of several documents within two edits, by edits and phonetic keys."""
-    n = _terms(spark, d).where(F.length("w") > 3).groupBy("w").agg(F.countDistinct("doc_id").alias("docs"))
-    near = near_words(n).join(n.where("docs = 1").select("w"), "w").join(n.where("docs > 1").select(F.col("w").alias("alternate")), "alternate")
-    scored = near.select("w", F.col("alternate").alias("suggestion"), K.word_score(F.col("w"), F.col("alternate")).alias("score"))
-    return R.top_k(scored, ["w"], [F.desc("score"), "suggestion"], 3).select("w", "suggestion", "score", "rank")
+    """For the words that only one document has, the three best words of several documents within two edits, by edits and phonetic keys; words of any length."""
+    n = _by_documents(spark, d)
+    return N.suggestions(n.where("docs = 1"), n.where("docs > 1"), K.word_score)
+
+
+@query(f"SELECT doc_id, count(*) AS words, count(*) FILTER (w NOT IN (SELECT w FROM {WORD_SQL} GROUP BY 1 HAVING count(DISTINCT doc_id) > 1)) AS unknown FROM (SELECT DISTINCT doc_id, w FROM {WORD_SQL}) GROUP BY 1")
+def dictionary_check(spark, d):
+    """How many of each document's distinct words no other document has."""
+    own = _terms(spark, d).select("doc_id", "w").distinct()
+    told = N.checked(own, _by_documents(spark, d).where("docs > 1"))
+    return own.join(told, "w").groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(~F.col("there")).alias("unknown"))
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN contains(trim(o_orderpriority), ' ') THEN 'phrase' ELSE 'word' END AS kind FROM orders) GROUP BY 1")
@@ -307,8 +316,8 @@ def low_complexity_spans(spark, d):
 
 @query(_merged(f"SELECT item_id, i AS lo, i + 63 AS hi FROM (SELECT item_id, i, sum(c * (c - 1)) / (2.0 * 61) AS score FROM (SELECT item_id, i, t, count(*) AS c FROM (SELECT item_id, i, unnest(list_transform(range(1, 63), lambda k: substr(w, CAST(k AS INTEGER), 3))) AS t FROM {_windows(64)}) GROUP BY 1, 2, 3) GROUP BY 1, 2) WHERE score > 1.5"))
 def triplet_mask_spans(spark, d):
-    """Stretches of windows of 64 bases whose triplets repeat; all sequences are longer."""
-    return M.span_table(genome(spark, d).where("length(seq) >= 64"), "item_id", "seq", M.triplet_mask, window=64, level=1.5)
+    """Stretches of windows of 64 bases whose triplets repeat; a shorter sequence is one window."""
+    return M.span_table(genome(spark, d), "item_id", "seq", M.triplet_mask, window=64, level=1.5)
 
 
 _P_SQL = f"(SELECT item_id, translate(seq, 'ACGT', 'AVLG') AS seq FROM {G_SQL})"

@@ -196,12 +196,12 @@ def location_clipped(c: Column, lo: Column, hi: Column) -> Column:
 
 # --- words ----------------------------------------------------------------------
 
-#: Rules of a phonetic key in order, on upper-case words: fixed patterns. Codes are in lower case until the end, so that no rule meets them again.
+#: Rules of a phonetic key in order, on upper-case words: fixed patterns, of those that begin alike the longer first. Codes are in lower case until the end, so that no rule meets them again.
 _METAPHONE = (
     (r"[^A-Z]", ""), (r"([A-BD-Z])\1+", "$1"), (r"^(?:AE|GN|KN|PN|WR)", lambda m: m), (r"^X", "s"), (r"^WH", "w"), (r"MB$", "m"),
-    (r"SCH", "sk"), (r"C(?=IA)", "x"), (r"CH", "x"), (r"SC(?=[IEY])", "s"), (r"C(?=[IEY])", "s"), (r"CK", "k"), (r"[CQ]", "k"), (r"DG(?=[EYI])", "j"), (r"D", "t"), (r"GH(?=[^AEIOU]|$)", ""), (r"GN(?:ED)?$", "n"),
-    (r"G(?=[IEY])", "j"), (r"G", "k"), (r"PH", "f"), (r"S(?:H|(?=I[OA]))", "x"), (r"TH", "0"), (r"T(?=I[OA])", "x"), (r"TCH", "x"), (r"V", "f"), (r"X", "ks"), (r"Z", "s"),
-    (r"(?<=[AEIOU])H(?![AEIOU])", ""), (r"(?<=[sxkt0jfPGRT])H", ""), (r"[WY](?![AEIOU])", ""), (r"^[AEIOU]", "a"), (r"[AEIOU]", ""),
+    (r"SCH", "sk"), (r"TCH", "x"), (r"C(?=IA)", "x"), (r"CH", "x"), (r"SC(?=[IEY])", "s"), (r"C(?=[IEY])", "s"), (r"CK", "k"), (r"[CQ]", "k"), (r"DG(?=[EYI])", "j"), (r"D", "t"),
+    (r"GH(?=[^AEIOU]|$)", ""), (r"GN(?:ED)?$", "n"), (r"G(?=[IEY])", "j"), (r"G", "k"), (r"PH", "f"), (r"S(?:H|(?=I[OA]))", "x"), (r"TH(?=M)", "t"), (r"TH", "0"), (r"T(?=I[OA])", "x"),
+    (r"V", "f"), (r"X", "ks"), (r"Z", "s"), (r"(?<=[AEIOU])H(?![AEIOU])", ""), (r"(?<=[sxkt0jfPGRT])H", ""), (r"[WY](?![AEIOU])", ""), (r"^[AEIOU]", "a"), (r"[AEIOU]", ""),
 )
 
 

@@ -176,12 +176,15 @@ def fetched_jobs(spark, d):
     return L.next_jobs(e, 25, ["7", "9"]).select("job", "user_id", "us")
 
 
-@query("SELECT n_regionkey, count(*) FILTER (c_mktsegment = 'BUILDING') AS building, count(*) FILTER (c_mktsegment = 'MACHINERY') AS machinery FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
+#: The subjects of the hit matrix: market segments are a fixed list in these tables.
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("SELECT n_regionkey, " + ", ".join(f"count(*) FILTER (c_mktsegment = '{s}') AS {s.lower()}" for s in SEGMENTS) + f", count(*) FILTER (c_mktsegment IS NULL OR c_mktsegment NOT IN {SEGMENTS}) AS other FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1")
 def hit_matrix(spark, d):
-    """Hits by query and subject, subjects as columns."""
+    """Hits by query and subject, each subject a column; subjects beyond the list, and null, are counted together."""
     x = t(spark, d, "customer").join(t(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
-    m = x.groupBy("n_regionkey").pivot("c_mktsegment", ["BUILDING", "MACHINERY"]).count()
-    return m.select("n_regionkey", F.coalesce("BUILDING", F.lit(0)).alias("building"), F.coalesce("MACHINERY", F.lit(0)).alias("machinery"))
+    return L.count_matrix(x, "n_regionkey", "c_mktsegment", SEGMENTS)
 
 
 @query("SELECT 'reads' AS module, 'count' AS key, CAST(count(*) AS VARCHAR) AS value FROM documents UNION ALL SELECT 'reads', 'bases', CAST(sum(length(text)) AS VARCHAR) FROM documents UNION ALL SELECT 'reads', 'shortest', CAST(min(length(text)) AS VARCHAR) FROM documents UNION ALL SELECT 'reads', 'longest', CAST(max(length(text)) AS VARCHAR) FROM documents UNION ALL SELECT 'spots', 'first', CAST(min(doc_id) AS VARCHAR) FROM documents UNION ALL SELECT 'spots', 'last', CAST(max(doc_id) AS VARCHAR) FROM documents")
@@ -222,13 +225,6 @@ def merged_volumes(spark, d):
     return L.merged_volumes(volumes, "l_partkey", {"quantity": F.sum("q"), "last": F.max("l_orderkey"), "n": F.count("*")})
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_discount > 0.02 ORDER BY l_quantity DESC, l_shipdate, l_orderkey, l_linenumber LIMIT 200")
-def sorted_alignments(spark, d):
-    """The first rows of a sort by several keys in both directions, after a filter; the sort itself spills and merges."""
-    x = t(spark, d, "lineitem").where("l_discount > 0.02").orderBy(F.desc("l_quantity"), "l_shipdate", "l_orderkey", "l_linenumber")
-    return x.limit(200).select("l_orderkey", "l_linenumber", "l_quantity")
-
-
 @query("SELECT l_suppkey AS q, string_agg(s || '(' || subjects || ')', ' ' ORDER BY s) AS sets FROM (SELECT l_suppkey, l_returnflag AS s, string_agg(n, ',' ORDER BY l_linenumber) AS subjects FROM (SELECT l_suppkey, l_returnflag, l_linenumber, l_linenumber || ':' || count(*) AS n FROM lineitem GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1")
 def assembly_sets(spark, d):
     """Alignments of a query by assembly and subject, nested; counts stand for the alignments."""

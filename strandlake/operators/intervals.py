@@ -36,12 +36,19 @@ def islands(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi", gap: int =
     """Union of closed intervals by key; those at most ``gap`` apart are joined. (key, lo, hi, n)
 
     Intervals of one start are one row before any window. With ``width``, those that start in one range of so many
-    places are merged first, each range a task, and only the ranges' islands by key: for keys that hold many rows.
+    places are merged first, each range a task; of these only islands that another range may touch, and one row a
+    range, are merged by key: for keys that hold many rows.
     """
     rows = df.groupBy(key, F.col(lo).alias("lo")).agg(F.max(hi).alias("hi"), F.count("*").alias("n"))
-    if width is not None:
-        rows = _merged(rows.withColumn("_range", F.floor(F.col("lo") / width)), [key, "_range"], gap).drop("_range")
-    return _merged(rows, [key], gap)
+    if width is None:
+        return _merged(rows, [key], gap)
+    rows = _merged(rows.withColumn("_range", F.floor(F.col("lo") / width)), [key, "_range"], gap)
+    w = Window.partitionBy(key).orderBy("_range")
+    ends = rows.groupBy(key, "_range").agg(F.max("hi").alias("_hi"), F.min("lo").alias("_lo"))
+    ends = ends.select(key, "_range", F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.lead("_lo").over(w).alias("_next"))
+    touched = F.coalesce(F.col("lo") <= F.col("_before") + gap, F.lit(False)) | F.coalesce(F.col("hi") + gap >= F.col("_next"), F.lit(False))
+    rows = rows.join(ends.withColumnRenamed(key, "_key"), rows[key].eqNullSafe(F.col("_key")) & (rows["_range"] == ends["_range"])).select(rows[key].alias(key), "lo", "hi", "n", touched.alias("_touched"))
+    return rows.where("not _touched").drop("_touched").unionByName(_merged(rows.where("_touched").drop("_touched"), [key], gap))
 
 
 def coverage(df: DataFrame, key: str, lo: str = "lo", hi: str = "hi", width: int | None = None) -> DataFrame:

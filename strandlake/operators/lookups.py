@@ -87,17 +87,17 @@ def representatives(items: DataFrame, pairs: DataFrame, item: str, score: str) -
     return items.join(beaten.select(item), item, "left_anti")
 
 
-def shared_blocks(blocks: DataFrame, key: str, row: str) -> DataFrame:
-    """Stretches (key, lo, hi) that the blocks of all of a key's rows cover; a row's own blocks may overlap."""
-    own = islands(blocks.withColumn("_row", F.struct(key, row)), "_row").select(F.col(f"_row.{key}").alias(key), "lo", "hi")
+def shared_blocks(blocks: DataFrame, key: str, row: str, width: int = 1 << 20) -> DataFrame:
+    """Stretches (key, lo, hi) that the blocks of all of a key's rows cover; a row's own blocks may overlap. Places meet within ranges of ``width`` first."""
+    own = islands(blocks.withColumn("_row", F.struct(key, row)), "_row", width=width).select(F.col(f"_row.{key}").alias(key), "lo", "hi")
     rows = blocks.groupBy(key).agg(F.countDistinct(row).alias("_rows"))
-    return coverage(own, key).join(rows, key).where("depth = _rows").select(key, "lo", "hi")
+    return coverage(own, key, width=width).join(rows, key).where("depth = _rows").select(key, "lo", "hi")
 
 
-def merged_on_diagonals(alignments: DataFrame, keys: Sequence[str], gap: int = 0) -> DataFrame:
-    """Ungapped alignments (keys, q_lo, q_hi, s_lo) of one diagonal that meet, as one: (keys, q_lo, q_hi, s_lo, n)."""
+def merged_on_diagonals(alignments: DataFrame, keys: Sequence[str], gap: int = 0, width: int = 1 << 20) -> DataFrame:
+    """Ungapped alignments (keys, q_lo, q_hi, s_lo) of one diagonal that meet, as one: (keys, q_lo, q_hi, s_lo, n). Places meet within ranges of ``width`` first."""
     own = alignments.select(F.struct(*keys, (F.col("s_lo") - F.col("q_lo")).alias("_d")).alias("_k"), F.col("q_lo").alias("lo"), F.col("q_hi").alias("hi"))
-    found = islands(own, "_k", gap=gap)
+    found = islands(own, "_k", gap=gap, width=width)
     return found.select(*[F.col(f"_k.{k}").alias(k) for k in keys], F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"), (F.col("lo") + F.col("_k._d")).alias("s_lo"), "n")
 
 
@@ -161,10 +161,9 @@ def ids_of_bitsets(sets: DataFrame, key: str) -> DataFrame:
 
 
 def count_runs(counts: DataFrame, key: str, n: str, width: int = 1 << 20) -> DataFrame:
-    """(first, last, n): stretches of successive ids of one count, merged within ranges of ``width`` ids first."""
-    rows = counts.groupBy(key).agg(F.sum(n).alias("_c")).select(F.struct("_c", F.floor(F.col(key) / width).alias("_b")).alias("_k"), F.col(key).alias("lo"), F.col(key).alias("hi"))
-    inside = islands(rows, "_k", gap=1).select(F.col("_k._c").alias("_c"), "lo", "hi")
-    return islands(inside, "_c", gap=1).select(F.col("lo").alias("first"), F.col("hi").alias("last"), F.col("_c").alias("n"))
+    """(first, last, n): stretches of successive ids of one count, merged within ranges of ``width`` ids first, so that a count that most ids share is many tasks."""
+    rows = counts.groupBy(key).agg(F.sum(n).alias("_c")).select("_c", F.col(key).alias("lo"), F.col(key).alias("hi"))
+    return islands(rows, "_c", gap=1, width=width).select(F.col("lo").alias("first"), F.col("hi").alias("last"), F.col("_c").alias("n"))
 
 
 def next_jobs(jobs: DataFrame, n: int, preferred: Sequence[str] = (), only_preferred: bool = False) -> DataFrame:
@@ -174,6 +173,12 @@ def next_jobs(jobs: DataFrame, n: int, preferred: Sequence[str] = (), only_prefe
     return rows.withColumn("_own", F.coalesce(first, F.lit(False))).orderBy(F.desc("_own"), F.desc("priority"), "job").limit(n).drop("_own")
 
 
+def count_matrix(hits: DataFrame, query: str, subject: str, subjects: Sequence[str]) -> DataFrame:
+    """(query, a column of each subject in lower case, other): hits by query and subject; other subjects, and null, count together."""
+    each = [F.count_if(F.col(subject) == s).alias(s.lower()) for s in subjects]
+    return hits.groupBy(query).agg(*each, F.count_if(~F.coalesce(F.col(subject).isin(*subjects), F.lit(False))).alias("other"))
+
+
 def schema_table(df: DataFrame) -> DataFrame:
     """(place, name, type, nullable) of a frame's columns."""
     return df.sparkSession.createDataFrame([(k, f.name, f.dataType.simpleString(), f.nullable) for k, f in enumerate(df.schema.fields)], "place int, name string, type string, nullable boolean")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -38,6 +39,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as one run gives it, kept in the checkpoint folder that the session names: all that is drawn from it later agrees, whatever executors are lost."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="strandlake-", dir="/tmp")
+        sc.setCheckpointDir(root)
+    return df.checkpoint()
+
+
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
     """A ``local[cpus]`` session as the tests and the benchmark use it."""
     return (

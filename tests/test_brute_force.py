@@ -5,7 +5,8 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from strandlake import coding_queries, domain_queries, lookup_queries, queries as own, read_queries  # noqa: F401  the others register their own
+from strandlake import coding_queries, domain_queries, lookup_queries, queries as own, read_queries, restore_queries, search_queries  # noqa: F401  the others register their own
+from strandlake.functions import coding as K
 from strandlake.functions import text as X
 
 
@@ -62,8 +63,20 @@ def test_alternates_and_suggestions(spark, sf):
     for w in some:
         near = sorted((d, v) for v in docs if v != w and abs(len(v) - len(w)) <= 2 and (d := distance(w, v)) <= 2)
         assert sorted(got[w]) == near[:20]
+    got = defaultdict(list)
     for r in own.queries()["dictionary_suggestions"](spark, sf).collect():
-        assert len(docs[r.w]) == 1 and len(docs[r.suggestion]) > 1 and distance(r.w, r.suggestion) <= 2 and r.rank <= 3
+        got[r.w].append((r.rank, r.suggestion, r.score))
+    words = spark.createDataFrame([(w,) for w in docs], "w string")
+    key = {r.w: r.k for r in words.select("w", K.metaphone(F.col("w")).alias("k")).collect()}
+    asked = sorted(w for w in docs if len(docs[w]) == 1)
+    known = defaultdict(list)
+    for v in docs:
+        if len(docs[v]) > 1:
+            known[len(v)].append(v)
+    for w in asked[::200] + [w for w in asked if len(w) < 3][:20]:
+        near = [(-(max(len(w), len(v)) - d - distance(key[w], key[v])), v) for n in range(len(w) - 2, len(w) + 3) for v in known[n] if (d := distance(w, v)) <= 2]
+        assert sorted(got[w]) == [(k, v, -s) for k, (s, v) in enumerate(sorted(near)[:3], 1)]
+    assert set(got) <= set(asked)
 
 
 def test_approximate_search(spark, sf):
@@ -117,35 +130,6 @@ def test_global_alignments(spark, sf):
         assert {(i, j), (j, i)} & {(len(a), len(b))} and total == score
 
 
-def test_seeded_similarity(spark, sf):
-    seqs = sequences(spark, sf)
-
-    def seeds(a, b):
-        at = defaultdict(list)
-        for i in range(len(b) - 5):
-            at[b[i : i + 6]].append(i)
-        return max(Counter(i - j for i in range(len(a) - 5) for j in at[a[i : i + 6]]).values(), default=0)
-
-    def local(a, b):
-        n, best = len(b), 0
-        h, e = [0] * (n + 1), [-(10**6)] * (n + 1)
-        for x in a:
-            new, f = [0], -(10**6)
-            for j, y in enumerate(b):
-                e[j + 1] = max(e[j + 1] - 2, h[j + 1] - 5)
-                f = max(f - 2, new[j] - 5)
-                new.append(max(0, h[j] + (1 if x == y else -1), e[j + 1], f))
-            h, best = new, max(best, *new)
-        return best
-
-    got = defaultdict(list)
-    for r in own.queries()["seeded_similarity"](spark, sf).collect():
-        got[r.q].append((-r.score, r.s))
-    for q in sorted(seqs)[:8]:
-        want = sorted((-local(seqs[q], seqs[s]), s) for s in seqs if s > q and seeds(seqs[q], seqs[s]) >= 2)
-        assert sorted(got[q]) == want[:3]
-
-
 def test_annotation_compare_counts_all(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     both = orders.groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o")).where("f > 0 and o > 0").count()

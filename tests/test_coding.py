@@ -51,9 +51,9 @@ def test_residues(spark):
 
 def test_words(spark):
     # keys of well-known words: consonants by sound, silent letters gone
-    keys = {"Thompson": "tmsn", "phone": "fn", "knight": "nt", "which": "wx", "school": "skl", "judge": "jj", "wrack": "rk", "xylophone": "slfn", "apple": "apl", "cat": "kt", "nation": "nxn", "thing": "0nk"}
+    keys = {"Thompson": "tmpsn", "match": "mx", "watch": "wx", "kitchen": "kxn", "bathmat": "btmt", "edge": "aj", "back": "bk", "phone": "fn", "knight": "nt", "which": "wx", "school": "skl", "judge": "jj", "wrack": "rk", "xylophone": "slfn", "apple": "apl", "cat": "kt", "nation": "nxn", "thing": "0nk"}
     got = dict(zip(keys, one(spark, *[K.metaphone(F.lit(w)) for w in keys])))
-    assert {w for w in keys if got[w] != keys[w]} <= {"Thompson"}, got
+    assert got == keys
     assert one(spark, K.word_score(F.lit("phone"), F.lit("fone")) > K.word_score(F.lit("phone"), F.lit("stone")))[0]
     assert one(spark, K.joined("-", F.lit("a"), F.lit(None).cast("string"), F.lit(""), F.lit("b"))) == ["a-b"]
     assert one(spark, K.name_at(arr("x", "Y"), F.lit("y")), K.name_at(arr("x", "Y"), F.lit("y"), True), K.names_sorted(arr("b", "A", "a"), True)) == [-1, 1, ["A", "a", "b"]]
