@@ -28,11 +28,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from strandlake.llm import vocab as V
+from strandlake.llm.common import text_steps
 from strandlake.session import ship
 
 KEPT = 150_000
@@ -40,6 +42,7 @@ CONTEXT = 2
 FULL = 64
 
 TREE = "struct<chars:array<int>,toks:array<int>>"
+AFTER_NAMES = ["text", "chars", "toks", "n_edits", "tokens_before", "tokens_after", "chars_after", "chars_encoded"]
 AFTER = "struct<text:string,chars:array<int>,toks:array<int>,n_edits:bigint,tokens_before:bigint,tokens_after:bigint,chars_after:bigint,chars_encoded:bigint>"
 
 
@@ -254,43 +257,66 @@ class PretokenTree:
         return bool(new) and bool(old) and new[0] == old[0] and not new[0].isspace()
 
 
+def _texts(part: pa.RecordBatch) -> list[str]:
+    return [t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()]
+
+
+def _trees_of(part: pa.RecordBatch, texts: list[str], counter: Counter) -> Iterator[tuple[PretokenTree, bool]]:
+    """The tree of each text, from the column ``tree`` where it is there and fits, and whether it did."""
+    place = part.schema.get_field_index("tree")
+    if place < 0:
+        yield from ((PretokenTree.of(t, counter), False) for t in texts)
+        return
+    trees = part.column(place)
+    for text, chars, toks in zip(texts, trees.field("chars"), trees.field("toks")):
+        own = [v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in (chars, toks)]
+        fits = own[0] is not None and own[1] is not None and len(own[0]) == len(own[1]) and int(own[0].sum()) == len(text)
+        yield (PretokenTree(text, own[0].tolist(), own[1].tolist(), counter), True) if fits else (PretokenTree.of(text, counter), False)
+
+
 def with_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with ``tree``: characters and tokens of every pre-token of ``text``."""
     path = path or V.default_path()
     ship(docs.sparkSession)
+    docs = docs.drop("tree")
 
-    @F.pandas_udf(TREE)
-    def tree(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path)
-        words = [counter.split(t or "") for t in texts]
-        return pd.DataFrame({"chars": [np.array(list(map(len, w)), np.int32) for w in words], "toks": [np.array(counter.tokens(w), np.int32) for w in words]})
+        for batch in batches:
+            for part, _, _ in text_steps(batch):
+                words = [counter.split(t) for t in _texts(part)]
+                cells = [(np.array(list(map(len, w)), np.int32), np.array(counter.tokens(w), np.int32)) for w in words]
+                tree = pa.StructArray.from_arrays([pa.array([c[k] for c in cells], pa.list_(pa.int32())) for k in (0, 1)], ["chars", "toks"])
+                yield pa.RecordBatch.from_arrays([*part.columns, tree], names=[*part.schema.names, "tree"])
 
-    return docs.withColumn("tree", tree("text"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("tree", docs.select(F.lit(None).cast(TREE)).schema[0].dataType)]))
 
 
 def edited(docs: DataFrame, path: str | None = None, edits: str = "edits") -> DataFrame:
     """``docs`` (text, tree, edits: array<struct<offset,removed,added>>) with ``after``: the new text and tree, counts, and characters encoded."""
     path = path or V.default_path()
     ship(docs.sparkSession)
+    docs = docs.drop("after")
 
-    @F.pandas_udf(AFTER)
-    def after(texts: pd.Series, trees: pd.DataFrame, todo: pd.Series) -> pd.DataFrame:
-        counter, rows = counter_of(path), []
-        for text, chars, toks, own in zip(texts, trees["chars"], trees["toks"], todo):
-            text = text or ""
-            fits = chars is not None and toks is not None and len(chars) == len(toks) and sum(chars.tolist()) == len(text)
-            tree = PretokenTree(text, chars.tolist(), toks.tolist(), counter) if fits else PretokenTree.of(text, counter)
-            tree.encoded, before = 0 if fits else len(text), tree.n_tokens
-            n = tree.apply(own)
-            text, *cells = tree.leaves()
-            rows.append((text, *(np.array(c, np.int32) for c in cells), n, before, tree.n_tokens, tree.n_chars, tree.encoded))
-        return pd.DataFrame(rows, columns=["text", "chars", "toks", "n_edits", "tokens_before", "tokens_after", "chars_after", "chars_encoded"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = counter_of(path)
+        for batch in batches:
+            for part, _, _ in text_steps(batch):
+                texts, rows = _texts(part), []
+                for (tree, kept), text, own in zip(_trees_of(part, texts, counter), texts, part.column(part.schema.get_field_index(edits)).to_pylist()):
+                    tree.encoded, before = 0 if kept else len(text), tree.n_tokens
+                    n = tree.apply(own)
+                    whole, *cells = tree.leaves()
+                    rows.append((whole, *(np.array(c, np.int32) for c in cells), n, before, tree.n_tokens, tree.n_chars, tree.encoded))
+                kinds = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int64()] * 5]
+                after = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], AFTER_NAMES)
+                yield pa.RecordBatch.from_arrays([*part.columns, after], names=[*part.schema.names, "after"])
 
-    return docs.withColumn("after", after(F.col("text"), F.col("tree"), F.col(edits)))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("after", docs.select(F.lit(None).cast(AFTER)).schema[0].dataType)]))
 
 
 def apply_edits(docs: DataFrame, path: str | None = None, edits: str = "edits") -> DataFrame:
-    """Counts before and after the edits of each row (doc_id, text, edits), in one pass that makes each row's tree, edits it and lets it go.
+    """Counts before and after the edits of each row (doc_id, text, edits), from its kept ``tree`` if there is that column; else each row's tree is made, edited and let go.
 
     (doc_id, n_edits, tokens_before, tokens_after, chars_after, chars_encoded, text_sha256)
     """
@@ -298,17 +324,21 @@ def apply_edits(docs: DataFrame, path: str | None = None, edits: str = "edits")
     ship(docs.sparkSession)
     schema = "doc_id long, n_edits long, tokens_before long, tokens_after long, chars_after long, chars_encoded long, text_sha256 string"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = counter_of(path)
-        for pdf in frames:
-            rows = []
-            for doc_id, text, own in zip(pdf["doc_id"], pdf["text"], pdf["edits"]):
-                tree = PretokenTree.of(text or "", counter)
-                before, n = tree.n_tokens, tree.apply(own)
-                rows.append((doc_id, n, before, tree.n_tokens, tree.n_chars, tree.encoded, hashlib.sha256(tree.text().encode()).hexdigest()))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(edits).alias("edits")).mapInPandas(run, schema)
+        for batch in batches:
+            for part, _, _ in text_steps(batch):
+                texts, rows = _texts(part), []
+                made = "tree" in part.schema.names
+                for (tree, kept), text, own in zip(_trees_of(part, texts, counter), texts, part.column(part.schema.get_field_index(edits)).to_pylist()):
+                    tree.encoded, before = 0 if kept or not made else len(text), tree.n_tokens
+                    n = tree.apply(own)
+                    rows.append((n, before, tree.n_tokens, tree.n_chars, tree.encoded, hashlib.sha256(tree.text().encode("utf-8", "surrogatepass")).hexdigest()))
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.int64()] * 5, pa.string()])]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[c.split()[0] for c in schema.split(", ")])
+
+    trees = ["tree"] if "tree" in docs.columns else []
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(edits).alias(edits), *trees).mapInArrow(run, schema)
 
 
 def standing_edits(docs: DataFrame) -> DataFrame:

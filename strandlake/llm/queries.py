@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandlake.llm import bloom_lm, bpe, centroids, chat, edit_counts, langid, lexical_search, near_vectors, ngram_join, packing, quality, sharding, topk_search
-from strandlake.llm.common import table
+from strandlake.llm.common import table, written
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,8 +17,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of every document before and after five standing edits, from its pre-token tree."""
-    return edit_counts.apply_edits(edit_counts.standing_edits(table(spark, sf_dir, "documents")))
+    """Token counts of every document before and after five standing edits: pre-token trees are made and written, and edited from there."""
+    kept = written(edit_counts.with_trees(table(spark, sf_dir, "documents").select("doc_id", "text")), "edit-trees")
+    return edit_counts.apply_edits(edit_counts.standing_edits(kept))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

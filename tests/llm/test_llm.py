@@ -169,6 +169,10 @@ def test_trees_are_kept(spark, docs, tk, tmp_path):
         assert r.after.text == want and r.after.tokens_before == r.n == len(ids_of(tk, r.text)) and r.after.tokens_after == len(ids_of(tk, want)) == sum(r.after.toks)
         if len(want) > 3000 and max(map(len, want.split())) < 200:
             assert r.after.chars_encoded < len(want) / 2
+    # the registered way: counts from kept trees are those of whole encoding
+    plain = {(r.doc_id, r.text_sha256): r for r in edit_counts.apply_edits(edit_counts.standing_edits(spark.read.parquet(f"{tmp_path}/one").drop("tree"))).collect()}
+    for r in edit_counts.apply_edits(edit_counts.standing_edits(spark.read.parquet(f"{tmp_path}/one"))).collect():
+        assert plain[r.doc_id, r.text_sha256] == r
     # a tree that doesn't fit is made anew
     bad = spark.read.parquet(f"{tmp_path}/two").withColumn("text", F.concat("text", F.lit("!"))).withColumn("edits", F.lit(None).cast("array<struct<offset:int,removed:int,added:string>>"))
     assert all(r.after.tokens_after == len(ids_of(tk, r.text)) and r.after.n_edits == 0 for r in edit_counts.edited(bad).collect())
