@@ -8,9 +8,11 @@ read back with column pruning.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import re
 import tempfile
+import time
 import uuid
 import zlib
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from strandlake.session import ship, spread
 
-#: Text bytes that one vectorised step handles; a longer text is a step alone.
-STEP_BYTES = 1 << 18
+#: Text bytes, and texts, that one vectorised step handles at most; a longer text is a step alone.
+STEP_BYTES, STEP_ROWS = 1 << 18, 1024
 
 _written: dict[str, SparkSession] = {}
 
@@ -90,8 +92,21 @@ def held_out_py(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
+_rest_at = [0.0]
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+
+
+def rest() -> None:
+    """Give memory that a batch or group has left free back to the machine, a few times a second at most: idle workers hold no more than they need."""
+    if time.monotonic() - _rest_at[0] > 0.3:
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+        _rest_at[0] = time.monotonic()
+
+
 def text_steps(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYTES):
-    """Slices of a record batch of about ``step`` text bytes: (slice, bytes, offsets).
+    """Slices of a record batch of about ``step`` text bytes and ``STEP_ROWS`` rows at most: (slice, bytes, offsets).
 
     bytes is a uint8 array, offsets int64 with one entry more than rows; null
     texts are empty.
@@ -109,9 +124,11 @@ def text_steps(batch: pa.RecordBatch, column: str = "text", step: int = STEP_BYT
     start = 0
     while start < n:
         stop = max(start + 1, int(np.searchsorted(off, off[start] + step, "right")) - 1)
-        stop = min(stop, n)
+        stop = min(stop, start + STEP_ROWS, n)
         yield batch.slice(start, stop - start), data[off[start] : off[stop]], off[start : stop + 1] - off[start]
         start = stop
+    del texts, off, data
+    rest()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -5,8 +5,8 @@ linear support vector machine for each family tells it from the others; within a
 family one machine for each pair of languages votes, and the language with most
 votes, then the largest sum of margins, wins. Machines are trained here, by
 accelerated gradient descent on the squared hinge loss, from a bounded sample of
-labelled documents: ``PER_LANG`` at most of each of the ``MAX_LANGS`` languages that
-most rows name. Every machine is fitted in a task of its own from the rows that it
+labelled documents: ``PER_LANG`` at most of each language. More languages than
+``MAX_LANGS``, of which weights would no longer fit in a worker, are an error; so none is left out unsaid. Every machine is fitted in a task of its own from the rows that it
 tells apart (of other families a share, about as many as its own); only weights
 reach the driver.
 
@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import held_out, released, text_steps, written
+from strandlake.llm.common import held_out, released, rest, text_steps, written
 from strandlake.session import ship
 
-PER_LANG, MAX_LANGS = 500, 100
+PER_LANG, MAX_LANGS = 500, 4000
 BITS = 12
 GRAMS = (2, 3, 4)
 SHARP = 4.0
@@ -179,7 +179,9 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Machines from ``per_lang`` documents at most of each language, none of them held out."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
+    if len(counts) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages: give MAX_LANGS a larger value, or merge names of the same language")
     if not counts:
         return Model([])
     # hash draws of somewhat more than wanted, of which the lowest stay; rows of one draw in order of their texts
@@ -213,6 +215,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["side", "x"], ignore_index=True)  # the same machine in whatever order rows arrive
+        rest()
         w, b = fit_machine(np.frombuffer(b"".join(pdf["x"]), np.float32).reshape(len(pdf), -1), pdf["side"].to_numpy())
         return pd.DataFrame({"machine": [int(pdf["machine"].iloc[0])], "w": [w.tobytes()], "b": [b]})
 

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import Forest, connected_components, mix64, released, shingle_sets, text_steps, written
+from strandlake.llm.common import Forest, connected_components, mix64, released, rest, shingle_sets, text_steps, written
 from strandlake.session import ship
 
 SKETCH_BITS = 20
@@ -247,6 +247,7 @@ def _opened(num: int, den: int):
     """Links of one group: members against each other, and queries whose bound opens it against its members; a forest of them."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rest()
         pdf = pdf.sort_values(["query", "rep"], ignore_index=True)
         sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
         m = int((~pdf["query"]).sum())

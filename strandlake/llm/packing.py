@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.llm import vocab as V
-from strandlake.llm.common import STEP_BYTES, mix64, released, written
+from strandlake.llm.common import mix64, released, rest, STEP_BYTES, written
 from strandlake.session import ship
 
 DIMS, BITS, BINS = 4, 14, 256
@@ -108,6 +108,8 @@ def _encoded(path: str, end: int):
                     names=["doc_id", "row", "key", "n", "ids"],
                 )
                 row += len(run_ids)
+            del texts, ids
+            rest()
 
     return run
 
@@ -139,6 +141,7 @@ def _cut(length: int):
                     at += take
             names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (doc, start, size, crc, whole, seq, off)], names=list(names))
+            rest()
 
     return run
 

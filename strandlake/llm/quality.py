@@ -8,7 +8,8 @@ documents and all trees.
 
 Null and empty texts get the score of their statistics, all zero. Labels that
 are null, and rows of labels without a document, are not learned from; of
-several labels of a document one counts. Repeated rows are scored each. With no
+several labels of a document the largest counts, and of several texts of one id one is learned from.
+Repeated rows are scored each. With no
 label, or one kind only, every score is the share of label 1, or 0.5.
 """
 
@@ -153,7 +154,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, data, off in text_steps(batch):
             x = statistics(data, off)
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("quality")), pa.array([r.tobytes() for r in x], pa.binary())], names=["quality", "x"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(part.schema.get_field_index("quality")), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
@@ -161,8 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees:
     ship(docs.sparkSession)
     known = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)  # at most `rows` narrow rows, so small enough to broadcast
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("quality", "text")
-    got = chosen.mapInArrow(_features, "quality int, x binary").limit(2 * rows).collect()
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
+    # one row an id, so at most `rows`; of an id's texts the one of least statistics, whatever order rows arrive in
+    got = chosen.mapInArrow(_features, "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("m")).select("m.*").collect()
     if not got:
         return grow(np.zeros((0, 1)), np.zeros(0))
     x = np.array([np.frombuffer(r["x"]) for r in got])
