@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,8 @@ from strandlake.functions import genes as GM
 from strandlake.operators import genes as GN
 from strandlake.operators import restore as R
 from strandlake.queries import query, t
+from strandlake.session import shared_folder
+from strandlake.sources import bam
 
 _SPAN = 160
 #: The parts of the stand-in alignments by line number: lengths of clip, match, insertion, match, deletion, match, gap, match and clip; 0 leaves a part out.
@@ -116,6 +119,25 @@ def sorted_alignments(spark, d):
     return R.dense_ids(x, [F.desc("l_quantity"), "l_shipdate", "l_orderkey", "l_linenumber"], "place").drop("l_shipdate")
 
 
+@query(f"SELECT ref, CAST(count(*) AS BIGINT) AS reads, CAST(sum(length(read)) AS BIGINT) AS bases, CAST(sum(edit_distance) AS BIGINT) AS edits FROM {_ALN_SQL} WHERE pos <= 30 GROUP BY 1")
+def bam_round_trip(spark, d):
+    """Alignments written as BAM files to the shared folder, and those of the first places read back by filter and column."""
+    bam.register(spark)
+    refs = _refs(spark, d)
+    made = R.restored_reads(R.held_reads(alignments(spark, d), refs, "aln"), refs, "aln")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = made.select(
+        F.col("aln").cast("string").alias("qname"), F.lit(0).alias("flag"), F.col("ref").cast("string").alias("rname"), F.col("pos").cast("long").alias("pos"), F.lit(60).alias("mapq"), "cigar", none("string").alias("rnext"),
+        F.lit(0).cast("long").alias("pnext"), F.lit(0).alias("tlen"), "seq", none("string").alias("qual"), F.array(F.struct(F.lit("NM").alias("tag"), F.lit("i").alias("type"), F.col("edit_distance").cast("string").alias("value"))).alias("tags"),
+    )
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ref", F.length("seq").alias("n")))), lambda x: F.concat(F.lit("@SQ\tSN:"), x["ref"].cast("string"), F.lit("\tLN:"), x["n"].cast("string"))), "\n")
+    header = refs.agg(names.alias("h")).first()["h"]  # a line a reference, as the format asks
+    path = f"{shared_folder(spark)}/bam-{uuid.uuid4().hex}"
+    rows.repartition("rname").write.format("bam").option("header", f"@HD\tVN:1.6\n{header}\n").mode("append").save(path)
+    x = spark.read.format("bam").schema("rname string, pos long, seq string, tags array<struct<tag:string,type:string,value:string>>").load(path).where("pos <= 30")
+    return x.groupBy(F.col("rname").cast("long").alias("ref")).agg(F.count("*").alias("reads"), F.sum(F.length("seq")).alias("bases"), F.sum(F.element_at("tags", 1)["value"].cast("long")).alias("edits"))
+
+
 # --- transcripts and genes ------------------------------------------------------
 
 _MET_SQL = f"(SELECT ref, CASE WHEN l_linenumber = 2 THEN pos + 29 ELSE pos + 36 END AS a, CASE WHEN l_linenumber = 2 THEN pos + 58 ELSE pos + 47 END AS b, pos AS lo, CASE WHEN l_linenumber = 2 THEN pos + 66 ELSE pos + 61 END AS hi FROM (SELECT l_linenumber, item_id AS ref, pos FROM {_POS_SQL} JOIN {G_SQL} g USING (item_id) WHERE length(seq) >= {_SPAN} AND l_linenumber IN (2, 4)))"

@@ -39,16 +39,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as one run gives it, kept in the checkpoint folder that the session names: all that is drawn from it later agrees, whatever executors are lost."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; one of its own only where none is named and driver and executors are one process."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="strandlake-", dir="/tmp")
     if not sc.getCheckpointDir():
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            root = tempfile.mkdtemp(prefix="strandlake-", dir="/tmp")
         sc.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as one run gives it, kept in the shared folder: all that is drawn from it later agrees, whatever executors are lost."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
