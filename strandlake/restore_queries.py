@@ -14,7 +14,8 @@ from strandlake.operators import genes as GN
 from strandlake.operators import restore as R
 from strandlake.queries import query, t
 from strandlake.session import shared_folder
-from strandlake.sources import bam
+from strandlake.sources import bam, store
+from strandlake.streaming import jobs, registry
 
 _SPAN = 160
 #: The parts of the stand-in alignments by line number: lengths of clip, match, insertion, match, deletion, match, gap, match and clip; 0 leaves a part out.
@@ -138,6 +139,40 @@ def bam_round_trip(spark, d):
     return x.groupBy(F.col("rname").cast("long").alias("ref")).agg(F.count("*").alias("reads"), F.sum(F.length("seq")).alias("bases"), F.sum(F.element_at("tags", 1)["value"].cast("long")).alias("edits"))
 
 
+@query("SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM (SELECT c_mktsegment, c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT c_mktsegment, -c_custkey FROM customer WHERE c_nationkey < 5) GROUP BY 1")
+def store_of_files(spark, d):
+    """A store of lines of files: customers by segment, then one segment's files gone and files with some customers added; each file is read once."""
+    root = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    c = t(spark, d, "customer")
+    kept = store.Store(spark, f"{root}/store", store.lines)
+    line = lambda key: F.concat_ws(",", "c_mktsegment", key.cast("string")).alias("value")
+    c.select("c_mktsegment", line(F.col("c_custkey"))).repartition("c_mktsegment").write.partitionBy("c_mktsegment").text(f"{root}/in")
+    kept.update(f"{root}/in", "part-*")
+    jvm = spark.sparkContext._jvm
+    gone = jvm.org.apache.hadoop.fs.Path(f"{root}/in/c_mktsegment=BUILDING")
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    c.where("c_nationkey < 5").select("c_mktsegment", line(-F.col("c_custkey"))).write.mode("append").partitionBy("c_mktsegment").text(f"{root}/in")
+    kept.update(f"{root}/in", "part-*")
+    part = F.split("line", ",")
+    return kept.rows().groupBy(part[0].alias("segment")).agg(F.count("*").alias("n"), F.sum(part[1].cast("long")).alias("keys"))
+
+
+@query()
+def job_registry(spark, d):
+    """Jobs by affinity and state after a stream of all events: views submit jobs, clicks fetch them; what isn't done within an hour falls back once, then fails."""
+    registry.with_state_store(spark)
+    root = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    e = spark.readStream.schema(schema).parquet(f"{d}/event[s].parquet")  # a pattern may name a file or a folder
+    op = F.when(F.col("event_type") == "view", "submit").when(F.col("event_type") == "click", "fetch").when(F.col("event_type") == "purchase", "cancel")
+    user = F.col("user_id").cast("string")
+    rows = e.select((F.col("user_id") % 8).cast("string").alias("affinity"), F.col("event_id").alias("job"), op.alias("op"), user.alias("client"), F.col("ts").cast("timestamp").alias("ts")).where("op is not null")
+    out = registry.changes(rows, timeout_s=3600, tries=2)
+    q = out.writeStream.outputMode("update").foreachBatch(jobs.append_once(f"{root}/out")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return registry.counts(spark.read.parquet(f"{root}/out"))
+
+
 # --- transcripts and genes ------------------------------------------------------
 
 _MET_SQL = f"(SELECT ref, CASE WHEN l_linenumber = 2 THEN pos + 29 ELSE pos + 36 END AS a, CASE WHEN l_linenumber = 2 THEN pos + 58 ELSE pos + 47 END AS b, pos AS lo, CASE WHEN l_linenumber = 2 THEN pos + 66 ELSE pos + 61 END AS hi FROM (SELECT l_linenumber, item_id AS ref, pos FROM {_POS_SQL} JOIN {G_SQL} g USING (item_id) WHERE length(seq) >= {_SPAN} AND l_linenumber IN (2, 4)))"
