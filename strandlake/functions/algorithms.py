@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlake.functions.batch import linear_ops
 from strandlake.functions.seq import CODE_1, count_of
 
 #: pK values of side chains, of a chain's first and last residue, and residue masses: fixed values.
@@ -99,11 +101,6 @@ def global_alignment(a: str, b: str, match: int = 1, mismatch: int = -1, gap: in
     return int(row[-1])
 
 
-@F.pandas_udf(T.LongType())
-def local_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([local_alignment(x, y) for x, y in zip(a, b)], dtype="int64")
-
-
 def orfs(seq: str, least: int = 3, starts: tuple[str, ...] = ("ATG",), code: str = CODE_1) -> list[tuple[int, int, str]]:
     """(from, to, strand) of open reading frames on both strands, inclusive places on the given strand; to includes the stop."""
     out = []
@@ -207,7 +204,15 @@ def traceback(a: str, b: str, match: int = 1, mismatch: int = -1, gap: int = -2)
 
 @F.pandas_udf(T.StructType().add("score", T.LongType()).add("cigar", T.StringType()))
 def global_cigar(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([traceback(x, y) for x, y in zip(a, b)], columns=["score", "cigar"])
+    """Score and CIGAR of a best global alignment; long pairs by halves, in memory linear in their lengths."""
+
+    def one(x: str, y: str) -> tuple[int, str]:
+        if len(x) * len(y) <= 1 << 20:
+            return traceback(x, y)
+        score, ops = linear_ops(x, y)
+        return score, "".join(f"{len(list(own))}{op}" for op, own in groupby(ops))
+
+    return pd.DataFrame([one(x, y) for x, y in zip(a, b)], columns=["score", "cigar"])
 
 
 def length_adjustment(query: int, subjects: int, count: int, k: float = 0.711, h: float = 1.31) -> int:

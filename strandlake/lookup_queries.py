@@ -145,7 +145,7 @@ def segment_switches(spark, d):
 @query("SELECT id, lag(id) OVER (ORDER BY id) AS before, lead(id) OVER (ORDER BY id) AS after, max(id) OVER (PARTITION BY g) + 1 AS gap FROM (SELECT id, id - row_number() OVER (ORDER BY id) AS g FROM (SELECT DISTINCT l_partkey * 7 + l_linenumber AS id FROM lineitem))")
 def sparse_neighbours(spark, d):
     """Ids before and after each id of a sparse set, and the next free one."""
-    return L.neighbours(t(spark, d, "lineitem").select((F.col("l_partkey") * 7 + F.col("l_linenumber")).alias("id")), "id", 256)
+    return L.neighbours(t(spark, d, "lineitem").select((F.col("l_partkey") * 7 + F.col("l_linenumber")).alias("id")), "id")
 
 
 @query("SELECT DISTINCT id FROM (SELECT o_custkey AS id FROM orders UNION ALL SELECT l_partkey * 40 FROM lineitem UNION ALL SELECT 0)")
@@ -160,7 +160,7 @@ def merged_id_blobs(spark, d):
 def id_count_runs(spark, d):
     """Stretches of ids with one count each."""
     x = t(spark, d, "orders").select("o_custkey", F.lit(1).alias("one"))
-    return L.count_runs(x, "o_custkey", "one", 64)
+    return L.count_runs(x, "o_custkey", "one")
 
 
 # --- reports and jobs -----------------------------------------------------------

@@ -13,36 +13,39 @@ from strandlake.operators.alignments import chunked_reference
 from strandlake.session import settled, ship
 
 
-def with_window(alignments: DataFrame, refs: DataFrame, key: str, span: Column, width: int = 5000) -> DataFrame:
-    """``alignments`` (key, ref, pos from 1, ..) with ``window``: the ``span`` bases of the reference from pos on.
+def with_window(alignments: DataFrame, refs: DataFrame, span: Column, width: int = 5000) -> DataFrame:
+    """``alignments`` (ref, pos from 1, ..) with ``window``: the ``span`` bases of the reference from pos on.
 
-    Alignments meet the reference in rows of ``width`` bases, each those that it lies on; what is beyond the
-    reference's end isn't in the window. Alignments of no known reference, or with a null place, have a null window.
+    Each window that alignments share is made once, from rows of ``width`` bases of the reference; what is beyond the
+    reference's end isn't in it. Alignments of no known reference, or with a null place, have a null window.
     """
-    at, last = F.floor((F.col("pos") - 1) / width), F.floor((F.col("pos") - 2 + F.greatest(span, F.lit(1))) / width)
-    places = alignments.select(key, "ref", F.explode(F.sequence(at, last)).alias("chunk"))
+    a = alignments.withColumns({"_span": span.cast("int"), "pos": F.col("pos").cast("long")})
+    own = ["ref", "pos", "_span"]
+    at, last = F.floor((F.col("pos") - 1) / width), F.floor((F.col("pos") - 2 + F.greatest(F.col("_span"), F.lit(1))) / width)
+    places = a.select(*own).dropna().distinct().select(*own, F.explode(F.sequence(at, last)).alias("chunk"))
     met = places.join(chunked_reference(refs, width).withColumn("chunk", F.col("chunk").cast("long")), ["ref", "chunk"])
-    bases = met.groupBy(key).agg(F.min("chunk").alias("_first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "bases"))), lambda x: x["bases"]), "").alias("_bases"))
-    whole = alignments.join(bases, key, "left")
+    bases = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "bases"))), lambda x: x["bases"]), "")
+    made = met.groupBy(*own).agg(F.min("chunk").alias("_first"), bases.alias("_bases"))
     start = (F.col("pos") - F.col("_first") * width).cast("int")
-    return whole.withColumn("window", F.substring("_bases", start, span.cast("int"))).drop("_first", "_bases")
+    made = made.select(*own, F.substring("_bases", start, F.col("_span")).alias("window"))
+    return a.join(made, own, "left").drop("_span")
 
 
 def held_reads(alignments: DataFrame, refs: DataFrame, key: str, width: int = 5000) -> DataFrame:
     """(key, ref, pos, held) from alignments (key, ref, pos, cigar, seq); those whose reference isn't known, or with a null, are left out.
 
-    ``key`` names one alignment. A read of which the reference lacks everything has an empty window.
+    Repeated keys are alignments each. A read of which the reference lacks everything has an empty window.
     """
     ship(alignments.sparkSession)
     a = alignments.select(key, "ref", "pos", "cigar", "seq").dropna()
-    w = with_window(a, refs, key, reference_span(F.col("cigar")), width).where("window is not null")
+    w = with_window(a, refs, reference_span(F.col("cigar")), width).where("window is not null")
     return w.select(key, "ref", "pos", D.held(F.upper("seq"), F.col("cigar"), F.upper("window")).alias("held"))
 
 
 def restored_reads(held: DataFrame, refs: DataFrame, key: str, width: int = 5000) -> DataFrame:
     """(key, ref, pos, seq, cigar, exact_cigar, clipped_cigar, left_clip, right_clip, edit_distance, mismatch_read) from held reads and the reference."""
     ship(held.sparkSession)
-    w = with_window(held, refs, key, F.col("held.ref_len"), width)
+    w = with_window(held, refs, F.col("held.ref_len"), width)
     told = w.select(key, "ref", "pos", D.restored(F.col("held"), F.upper("window")).alias("seq"), D.described(F.col("held")).alias("d"))
     return told.select(key, "ref", "pos", "seq", "d.*")
 

@@ -209,7 +209,7 @@ def global_alignments(spark, d):
 
 @query("SELECT id, row_number() OVER (ORDER BY id) - 1 AS rank FROM (SELECT DISTINCT o_custkey * 37 AS id FROM orders)")
 def sparse_rank(spark, d):
-    return R.sparse_rank(t(spark, d, "orders").select((F.col("o_custkey") * 37).alias("id")), "id", 1 << 10)
+    return R.sparse_rank(t(spark, d, "orders").select((F.col("o_custkey") * 37).alias("id")), "id")
 
 
 @query("SELECT o_custkey, k, CAST(coalesce(a, 0) + coalesce(b, 0) AS BIGINT) AS added, a IS NOT NULL AND b IS NULL AS only_a FROM (SELECT o_custkey, o_orderpriority AS k, count(*) AS a FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2) FULL JOIN (SELECT o_custkey, o_orderpriority AS k, count(*) AS b FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2) USING (o_custkey, k)")

@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from strandlake import coding_queries, domain_queries, lookup_queries, queries as own, read_queries, restore_queries, search_queries  # noqa: F401  the others register their own
+from strandlake import coding_queries, domain_queries, format_queries, lookup_queries, queries as own, read_queries, restore_queries, search_queries  # noqa: F401  the others register their own
 from strandlake.functions import coding as K
 from strandlake.functions import text as X
 
@@ -130,14 +130,74 @@ def test_global_alignments(spark, sf):
         assert {(i, j), (j, i)} & {(len(a), len(b))} and total == score
 
 
-def test_annotation_compare_counts_all(spark, sf):
-    orders = spark.read.parquet(f"{sf}/orders.parquet")
-    both = orders.groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "O").alias("o")).where("f > 0 and o > 0").count()
-    assert sum(n for _, n in rows(spark, sf, "annotation_compare")) == both
-
-
-def test_label_tree_joins_all_labels(spark, sf):
-    labels = {str(r[0]) for r in table(spark, sf, "embeddings", "label")}
-    edges = rows(spark, sf, "label_tree")
-    assert {c for _, c, _ in edges if not c.startswith("node")} >= labels - {p for p, _, _ in edges}
-    assert len(edges) == 2 * len(labels) - 3
+def merged(spans_):
+    out = []
+    for lo, hi in sorted(spans_):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def kind_of(a, b):
+    """How b lies to a on the forward strand, told rule by rule."""
+    if a[-1][1] < b[0][0] or b[-1][1] < a[0][0]:
+        return "missing"
+    if a == b:
+        return "same"
+    if len(a) == len(b):
+        if [(0, a[0][1]), *a[1:]] == [(0, b[0][1]), *b[1:]]:
+            return "5'_extension"
+        if [*a[:-1], (a[-1][0], 0)] == [*b[:-1], (b[-1][0], 0)]:
+            return "3'_extension"
+    shared, extra, missing = set(a) & set(b), [e for e in b if e not in a], [e for e in a if e not in b]
+    if shared and not extra:
+        return "missing_exon"
+    if shared and not missing and extra:
+        if all(e[1] < a[0][0] for e in extra):
+            return "5'_extra_exon"
+        if all(e[0] > a[-1][1] for e in extra):
+            return "3'_extra_exon"
+    if all(any(x[0] <= y[0] and x[1] >= y[1] for x in a) for y in b):
+        return "subset"
+    if shared:
+        return "complex"
+    return "overlap" if any(x[0] <= y[1] and y[0] <= x[1] for x in a for y in b) else "region_overlap"
+
+
+def test_annotation_compare(spark, sf):
+    status = dict(table(spark, sf, "orders", "o_orderkey", "o_orderstatus"))
+    sides = defaultdict(lambda: ([], []))
+    for r in own.spans(spark, sf).collect():
+        if status[r.o_orderkey] in "FO":
+            sides[r.o_custkey][status[r.o_orderkey] == "O"].append((r.lo, r.hi))
+    want = Counter(kind_of(merged(a), merged(b)) for a, b in sides.values() if a and b)
+    assert len(want) > 1 and dict(rows(spark, sf, "annotation_compare")) == dict(want)
+
+
+def test_label_tree(spark, sf):
+    """The whole tree against neighbour joining by dictionaries, one sum at a time."""
+    sums = defaultdict(lambda: [0, None])
+    for label, v in table(spark, sf, "embeddings", "label", "embedding"):
+        n, s = sums[str(label)]
+        sums[str(label)] = [n + 1, [float(x) for x in v] if s is None else [x + y for x, y in zip(s, v)]]
+    mean = {k: [x / n for x in s] for k, (n, s) in sums.items()}
+    d = {(a, b): sum((x - y) ** 2 for x, y in zip(mean[a], mean[b])) ** 0.5 for a in mean for b in mean}
+    live, want, made = sorted(mean, key=int), [], 0
+    while len(live) > 2:
+        total = {a: sum(d[a, b] for b in live) for a in live}
+        _, a, b = min(((len(live) - 2) * d[a, b] - total[a] - total[b], a, b) for i, a in enumerate(live) for b in live[i + 1 :])
+        half = d[a, b] / 2 + (total[a] - total[b]) / (2 * (len(live) - 2))
+        new, made = f"node{made}", made + 1
+        want += [(new, a, half), (new, b, d[a, b] - half)]
+        rest_ = [c for c in live if c not in (a, b)]
+        for c in rest_:
+            d[new, c] = d[c, new] = (d[a, c] + d[b, c] - d[a, b]) / 2
+        d[new, new] = 0.0
+        live = rest_ + [new]
+    want.append((live[1], live[0], d[live[0], live[1]]))
+    got = rows(spark, sf, "label_tree")
+    assert {(p, c) for p, c, _ in got} == {(p, c) for p, c, _ in want}
+    length = {(p, c): n for p, c, n in want}
+    assert all(abs(length[p, c] - n) < 1e-6 for p, c, n in got)

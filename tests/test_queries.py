@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from strandlake import coding_queries, domain_queries, lookup_queries, queries as own, read_queries, restore_queries, search_queries  # noqa: F401  the others register their own
+from strandlake import coding_queries, domain_queries, format_queries, lookup_queries, queries as own, read_queries, restore_queries, search_queries  # noqa: F401  the others register their own
 from strandlake.functions import cells as C
 from strandlake.functions import seq as S
 from strandlake.functions import text as X
