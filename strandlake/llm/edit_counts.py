@@ -58,14 +58,18 @@ class Counter:
         return [w for piece, special in self.v.pieces(text) for w in ([piece] if special else self.v.pretokens(piece))]
 
     def tokens(self, words: list[str]) -> list[int]:
-        known, out = self.known, []
-        for w in words:
-            n = known.get(w)
-            if n is None:
-                if len(known) >= KEPT:
-                    known.clear()
-                n = known[w] = len(self.v.encode(w))
-            out.append(n)
+        known, out = self.known, list(map(self.known.get, words))
+        if None in out:
+            fast, special = self.v.fast, self.v.special
+            for k, w in enumerate(words):
+                if out[k] is None:
+                    n = known.get(w)
+                    if n is None:
+                        if len(known) >= KEPT:
+                            known.clear()
+                        # a pre-token holds no special token unless it is one
+                        n = known[w] = len(fast.encode_ordinary(w)) if fast is not None and w not in special else len(self.v.encode(w))
+                    out[k] = n
         return out
 
 
@@ -81,7 +85,7 @@ def counter_of(path: str) -> Counter:
 class PretokenTree:
     """Segment tree over the pre-tokens of one document, from its text and the leaves' arrays."""
 
-    def __init__(self, text: str, chars: list[int], toks: list[int], counter: Counter):
+    def __init__(self, text: str, chars, toks, counter: Counter):
         self.counter, self.encoded = counter, 0  # characters encoded again by edits
         self._lay(text, chars, toks)
 
@@ -90,23 +94,21 @@ class PretokenTree:
         words = counter.split(text)
         return cls(text, list(map(len, words)), counter.tokens(words), counter)
 
-    def _lay(self, text: str, chars: list[int], toks: list[int]) -> None:
+    def _lay(self, text: str, chars, toks) -> None:
         self.base, self.size = text, max(1, len(chars))
         self.width = 1 << (self.size - 1).bit_length()
-        self.start, at = [], 0
-        for n in chars:
-            self.start.append(at)
-            at += n
+        self.start = [0, *np.cumsum(chars, dtype=np.int64).tolist()] if len(chars) else [0, 0]
         self.chars, self.toks = self._sums(chars), self._sums(toks)
         self.own: dict[int, tuple[list[str], list[int]]] = {}  # leaves that edits have changed
 
-    def _sums(self, leaves: list[int]) -> list[int]:
-        level = [*leaves, *[0] * (self.width - len(leaves))]
-        levels = [level]
-        while len(level) > 1:
-            level = [a + b for a, b in zip(level[::2], level[1::2])]
-            levels.append(level)
-        return [0, *(n for level in reversed(levels) for n in level)]
+    def _sums(self, leaves) -> list[int]:
+        """Sums by node, the root at 1 and a node's children at twice its place and after."""
+        out, w = np.zeros(2 * self.width, np.int64), self.width
+        out[w : w + len(leaves)] = leaves
+        while w > 1:
+            out[w // 2 : w] = out[w : 2 * w : 2] + out[w + 1 : 2 * w : 2]
+            w //= 2
+        return out.tolist()
 
     @property
     def n_chars(self) -> int:
@@ -136,7 +138,12 @@ class PretokenTree:
         return "".join(words), list(map(len, words)), toks
 
     def text(self) -> str:
-        return "".join(w for leaf in range(self.size) for w in self.words(leaf)[0]) if self.own else self.base
+        out, at = [], 0
+        for leaf in sorted(self.own):  # what lies between them stands in the text as it was
+            out.append(self.base[at : self.start[leaf]])
+            out += self.own[leaf][0]
+            at = self.start[leaf + 1]
+        return "".join((*out, self.base[at:]))
 
     def apply(self, edits) -> int:
         """Apply edits in order; how many there were."""
@@ -271,7 +278,7 @@ def _trees_of(part: pa.RecordBatch, texts: list[str], counter: Counter) -> Itera
     for text, chars, toks in zip(texts, trees.field("chars"), trees.field("toks")):
         own = [v.values.to_numpy(zero_copy_only=False) if v.is_valid else None for v in (chars, toks)]
         fits = own[0] is not None and own[1] is not None and len(own[0]) == len(own[1]) and int(own[0].sum()) == len(text)
-        yield (PretokenTree(text, own[0].tolist(), own[1].tolist(), counter), True) if fits else (PretokenTree.of(text, counter), False)
+        yield (PretokenTree(text, own[0], own[1], counter), True) if fits else (PretokenTree.of(text, counter), False)
 
 
 def with_trees(docs: DataFrame, path: str | None = None) -> DataFrame:
