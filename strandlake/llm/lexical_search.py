@@ -7,9 +7,10 @@ falling norm and cut into buckets of ``BUCKET``. By Cauchy-Schwarz no document o
 a bucket scores more than the bucket's largest norm times the root of the item's
 number of terms; an item opens only buckets where that reaches its threshold,
 the least of the k best scores known. Within an opened bucket the coordinates of
-an item's rarer terms are added up exactly, and the common ones (in more than one
-of ``COMMON`` documents) are bounded by the norm over common coordinates times
-the root of the item's number of them. What passes is scored anew in 64-bit
+an item's rarer terms are added up exactly, and those of its c common ones (in
+more than one of ``COMMON`` documents) are bounded by the document's c largest
+common coordinates and, by Cauchy-Schwarz, by the norm over common coordinates
+times the root of c. What passes is scored anew in 64-bit
 integers. Bounds are doubles, let through from a little below.
 
 The ``FIRST`` documents of largest norm give the items' first thresholds; then
@@ -43,7 +44,9 @@ from strandlake.session import ship
 #: Terms of a group of items; documents of a bucket; documents that give first thresholds; items bounded at once.
 TERMS, BUCKET, FIRST, ITEMS = 20_000, 512, 4096, 1024
 #: A term in more than one of so many documents is common.
-COMMON = 16
+COMMON = 4
+#: Largest common coordinates of a document that are added up; items with more common terms have the other bound alone.
+LARGEST = 256
 SLACK = 1e-9
 
 
@@ -117,21 +120,33 @@ class Best:
         q, n = self.items, len(ids)
         self.pairs += n * len(q.ids)
         open_ = np.flatnonzero(norm.max() * np.sqrt(q.size) * (1 + SLACK) >= self.least)
+        if not len(open_):
+            return
+        value = q.weights[term] * impact
+        # sums of each document's largest common coordinates, by how many
+        own = np.flatnonzero(q.common[term])
+        own = own[np.lexsort((-value[own], row[own]))]
+        nth = np.arange(len(own)) - np.searchsorted(row[own], row[own])
+        own, nth = own[nth < LARGEST], nth[nth < LARGEST]
+        largest = np.zeros((n, LARGEST + 1))
+        largest[row[own], nth + 1] = value[own]
+        largest = np.cumsum(largest, axis=1)
         for at in range(0, len(open_), ITEMS):
-            self._opened(open_[at : at + ITEMS], ids, often, row, term, impact)
+            self._opened(open_[at : at + ITEMS], ids, often, largest, row, term, value)
 
-    def _opened(self, some: np.ndarray, ids: list, often: np.ndarray, row: np.ndarray, term: np.ndarray, impact: np.ndarray) -> None:
+    def _opened(self, some: np.ndarray, ids: list, often: np.ndarray, largest: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray) -> None:
         q, n = self.items, len(ids)
         self.opened += n * len(some)
         slot = np.full(len(q.ids), -1)
         slot[some] = np.arange(len(some))
-        value = q.weights[term] * impact
         rare = np.flatnonzero(~q.common[term])
         item, place = q.pairs(term[rare])
         own = slot[item] >= 0
         item, place = slot[item[own]], rare[place[own]]
         bound = np.bincount(item * n + row[place], value[place].astype(np.float64), len(some) * n).reshape(len(some), n).astype(np.float64)  # counts of nothing are integers
-        bound += often[None, :] * np.sqrt(q.often[some])[:, None]
+        many = q.often[some].astype(np.int64)
+        most = np.where(many <= LARGEST, largest[:, np.minimum(many, LARGEST)], np.inf).T
+        bound += np.minimum(most, often[None, :] * np.sqrt(q.often[some])[:, None])
         passes = (bound * (1 + SLACK) >= self.least[some][:, None]) & (bound > 0)
         self.rescored += int(passes.sum())
         if not passes.any():
