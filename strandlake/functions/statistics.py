@@ -114,18 +114,33 @@ def target_frequencies(q: np.ndarray, rows: np.ndarray, cols: np.ndarray, entrop
     return lean((low + high) / 2)
 
 
+def _gamma_below(r: int, z: np.ndarray) -> np.ndarray:
+    """Chance that a gamma variate of shape r is at most z, by its series; 1 far above r."""
+    z = np.minimum(z, r + 12 * np.sqrt(r) + 60)
+    term = np.exp(r * np.log(np.maximum(z, 1e-300)) - z - lgamma(r + 1))
+    total = term.copy()
+    for k in range(r + 1, r + 2000):
+        term = term * z / k
+        total += term
+        if (term <= 1e-16 * total).all():
+            break
+    return np.minimum(total, 1.0)
+
+
 @lru_cache(maxsize=65536)
 def sum_tail(r: int, s: float) -> float:
-    """Chance that the sum of the r best normalised scores is s or more, by the double integral of Karlin and Altschul (1993)."""
-    if s < -60:
+    """Chance that the sum of the r best normalised scores is s or more (Karlin and Altschul 1993).
+
+    The r-th best is -ln of a gamma variate of shape r, and what the better ones have above it is another of shape r - 1, so one
+    integral over the latter is left.
+    """
+    if s < -60 * r:
         return 1.0
     if r == 1:
         return float(-np.expm1(-np.exp(-s)))
-    y = np.linspace(0, max(60.0, 3 * s + 60), 4001)
-    t = np.linspace(s, max(s, 0) + 80, 2001)
-    inner = np.trapezoid(np.exp((r - 2) * np.log(np.maximum(y, 1e-300)) - np.exp(np.minimum((y[None, :] - t[:, None]) / r, 700))), y, axis=1)
-    log_front = -lgamma(r + 1) - lgamma(r - 1)
-    return float(min(1.0, np.exp(log_front) * np.trapezoid(np.exp(-t) * inner, t)))
+    g = np.linspace(0, max(s, 0) + r + 12 * np.sqrt(r) + 60, 4001)
+    density = np.exp((r - 2) * np.log(np.maximum(g, 1e-300)) - g - lgamma(r - 1))
+    return float(min(1.0, np.trapezoid(density * _gamma_below(r, np.exp(np.minimum((g - s) / r, 50.0))), g)))
 
 
 def linked_expect(r: int, total: float, space: float, link: float, decay: float = 0.5) -> float:
