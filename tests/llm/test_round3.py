@@ -152,6 +152,13 @@ def test_language_model(spark, docs, rows):
     assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
 
 
+def test_model_is_the_same_by_filter_and_by_joins(spark, docs):
+    """Scores don't depend on whether the filter is within what may be broadcast, to the last bit; few bits change nothing either."""
+    want = sorted(map(repr, bloom_lm.scored(docs, broadcast=0).collect()))
+    assert sorted(map(repr, bloom_lm.scored(docs).collect())) == want
+    assert sorted(map(repr, bloom_lm.scored(docs, bits=2).collect())) == want
+
+
 def test_model_orders(spark, docs):
     """Every order's probabilities are below one and add up to about one over all words after a history."""
     for order in (1, 2, 3):
