@@ -14,11 +14,12 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, width: int, a_lo: str = "
     """Pairs of rows with equal ``key`` whose closed intervals meet, by an equi-join on bins.
 
     A pair is kept in the first bin that it shares, so nothing needs to be made distinct.
-    Choose ``width`` near the usual length of intervals.
+    Choose ``width`` near the usual length of intervals. Both sides are shuffled: rows by bin, and often the intervals themselves,
+    come of ``explode``, whose rows Spark's estimate doesn't count, so that it would send far more than it thinks to the driver.
     """
     left, right = _binned(a, a_lo, a_hi, width, "_bin"), _binned(b, b_lo, b_hi, width, "_bin")
     first = F.floor(F.greatest(a_lo, b_lo) / width)
-    return left.join(right, [key, "_bin"]).where((F.col(a_lo) <= F.col(b_hi)) & (F.col(b_lo) <= F.col(a_hi)) & (F.col("_bin") == first)).drop("_bin")
+    return left.join(right.hint("merge"), [key, "_bin"]).where((F.col(a_lo) <= F.col(b_hi)) & (F.col(b_lo) <= F.col(a_hi)) & (F.col("_bin") == first)).drop("_bin")
 
 
 def _merged(df: DataFrame, keys: list[str], gap: int) -> DataFrame:
