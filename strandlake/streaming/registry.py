@@ -3,7 +3,7 @@
 Every affinity has its jobs in a map state (state, client, tries, deadline) and the clients that wait for one in a list state.
 Events are ``submit`` (a job comes, Pending), ``fetch`` (a client asks for a job), ``done`` and ``fail`` (of a Running job) and ``cancel``.
 A fetch gives out the pending job of smallest number, or else the client waits, and the next job that is submitted, or that
-falls back, is given to the client that has waited longest. A job given out has a timer: if the watermark passes its deadline, it
+falls back, is given to the client that has waited longest. An affinity has a timer at the earliest deadline of the jobs given out: if the watermark passes a job's deadline, it
 falls back to Pending, or fails once it has been tried ``tries`` times; that comes before the events of the next micro-batch.
 
 Rows of one micro-batch and affinity apply in order of time, job and operation, however they arrive; events later than the
@@ -14,6 +14,7 @@ nothing. A job that has ended is forgotten, so that states hold live jobs alone;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, Row
@@ -37,18 +38,24 @@ def _at(ms: int) -> datetime:
 class Registry:
     """The rules, over any map of jobs and list of waiting clients; times are milliseconds.
 
-    ``jobs`` maps a number to (state, client, tries, deadline).
+    ``jobs`` maps a number to (state, client, tries, deadline). Pending jobs by number and running ones by deadline are heaps
+    from which entries that hold no longer are dropped when they come up, so that an event costs the logarithm of the jobs;
+    clients wait in a dict, in order.
     """
 
     def __init__(self, jobs, waiting: list[str], timeout: int, tries: int):
-        self.jobs, self.waiting, self.timeout, self.tries = jobs, waiting, timeout, tries
+        self.jobs, self.waiting, self.timeout, self.tries = jobs, dict.fromkeys(waiting), timeout, tries
         self.changes: list[tuple] = []
+        self._pending = [j for j, v in jobs.items() if v[0] == "Pending"]
+        self._running = [(v[3], j) for j, v in jobs.items() if v[0] == "Running"]
+        heapify(self._pending), heapify(self._running)
 
     def _put(self, job: int, state: str, client: str | None, tries: int, deadline: int, at: int, cause: str) -> None:
         if state in ENDED:
             self.jobs.pop(job, None)
         else:
             self.jobs[job] = (state, client, tries, deadline)
+            heappush(*((self._pending, job) if state == "Pending" else (self._running, (deadline, job))))
         self.changes.append((job, state, client, tries, at, cause))
 
     def _give(self, job: int, client: str, at: int, cause: str) -> None:
@@ -56,7 +63,17 @@ class Registry:
 
     def _offer(self, job: int, at: int) -> None:
         if self.waiting:
-            self._give(job, self.waiting.pop(0), at, "waited")
+            client = next(iter(self.waiting))
+            del self.waiting[client]
+            self._give(job, client, at, "waited")
+
+    def _first(self) -> int | None:
+        """The pending job of smallest number."""
+        while self._pending:
+            if self.jobs.get(self._pending[0], ("",))[0] == "Pending":
+                return self._pending[0]
+            heappop(self._pending)
+        return None
 
     def event(self, op: str, job: int | None, client: str | None, at: int) -> None:
         own = self.jobs.get(job) if job is not None else None
@@ -64,11 +81,10 @@ class Registry:
             self._put(job, "Pending", None, 0, 0, at, "submit")
             self._offer(job, at)
         elif op == "fetch" and client is not None:
-            pending = sorted(j for j, v in self.jobs.items() if v[0] == "Pending")
-            if pending:
-                self._give(pending[0], client, at, "fetch")
-            elif client not in self.waiting:
-                self.waiting.append(client)
+            if (first := self._first()) is not None:
+                self._give(first, client, at, "fetch")
+            else:
+                self.waiting.setdefault(client)
         elif op in ("done", "fail") and own is not None and own[0] == "Running" and own[1] == client:
             self._put(job, "Done" if op == "done" else "Failed", client, own[2], 0, at, op)
         elif op == "cancel" and own is not None:
@@ -76,9 +92,12 @@ class Registry:
 
     def late(self, now: int) -> None:
         """What the passing of time does: jobs past their deadline fall back or fail, the earliest first, until none is left."""
-        while past := [(v[3], j) for j, v in self.jobs.items() if v[0] == "Running" and v[3] <= now]:
-            deadline, job = min(past)
-            _, client, tries, _ = self.jobs[job]
+        while self._running and self._running[0][0] <= now:
+            deadline, job = heappop(self._running)
+            own = self.jobs.get(job)
+            if own is None or own[0] != "Running" or own[3] != deadline:
+                continue
+            _, client, tries, _ = own
             if tries >= self.tries:
                 self._put(job, "Failed", client, tries, 0, deadline, "timeout")
             else:
@@ -97,17 +116,19 @@ class _Processor(StatefulProcessor):
 
     def _held(self) -> Registry:
         jobs = {k[0]: tuple(v) for k, v in self.jobs.iterator()}
+        self.stored = set(jobs)
         return Registry(jobs, [r[0] for r in self.waiting.get()] if self.waiting.exists() else [], self.timeout, self.tries)
 
     def _kept(self, key, held: Registry) -> Iterator[Row]:
         for job in dict.fromkeys(c[0] for c in held.changes):
             if job in held.jobs:
                 self.jobs.updateValue((job,), held.jobs[job])
-            elif self.jobs.containsKey((job,)):
+            elif job in self.stored:
                 self.jobs.removeKey((job,))
         self.waiting.put([(c,) for c in held.waiting]) if held.waiting else self.waiting.clear()
         old = set(self.handle.listTimers())
-        now = {v[3] for v in held.jobs.values() if v[0] == "Running"}
+        # one timer, of the earliest deadline: what it wakes sees to all that have passed
+        now = {min(deadlines)} if (deadlines := [v[3] for v in held.jobs.values() if v[0] == "Running"]) else set()
         for at in now - old:
             self.handle.registerTimer(at)
         for at in old - now:
