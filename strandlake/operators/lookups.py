@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandlake.operators.intervals import coverage, islands, overlap_join
+from strandlake.session import dealt
 
 
 def with_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -97,7 +98,8 @@ def shared_blocks(blocks: DataFrame, key: str, row: str, width: int = 1 << 20) -
 def merged_on_diagonals(alignments: DataFrame, keys: Sequence[str], gap: int = 0, width: int = 1 << 20) -> DataFrame:
     """Ungapped alignments (keys, q_lo, q_hi, s_lo) of one diagonal that meet, as one: (keys, q_lo, q_hi, s_lo, n). Places meet within ranges of ``width`` first."""
     own = alignments.select(F.struct(*keys, (F.col("s_lo") - F.col("q_lo")).alias("_d")).alias("_k"), F.col("q_lo").alias("lo"), F.col("q_hi").alias("hi"))
-    found = islands(own, "_k", gap=gap, width=width)
+    # starts are few of one place, so rows are dealt before they are grouped: a task holds a bounded table, whatever a split of the input has
+    found = islands(dealt(own, "_k", "lo", rows=1 << 19), "_k", gap=gap, width=width)
     return found.select(*[F.col(f"_k.{k}").alias(k) for k in keys], F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"), (F.col("lo") + F.col("_k._d")).alias("s_lo"), "n")
 
 
