@@ -85,14 +85,15 @@ def _side(q: np.ndarray, q_at: np.ndarray, s: np.ndarray, s_at: np.ndarray, step
     return best, length
 
 
-def extended(q: Sequence[str], s: Sequence[str], q_pos: np.ndarray, s_pos: np.ndarray, word: int, match: int = 1, mismatch: int = -2, drop: int = 10) -> np.ndarray:
-    """(q_lo, q_hi, s_lo, s_hi, score) by row: each exact word's ungapped extension to both sides, places from 0 and inclusive."""
+def extended(q: Sequence[str], s: Sequence[str], q_pos: np.ndarray, s_pos: np.ndarray, word: int, match: int = 1, mismatch: int = -2, drop: int = 10, row: np.ndarray | None = None) -> np.ndarray:
+    """(q_lo, q_hi, s_lo, s_hi, score) by word: each exact word's ungapped extension to both sides, places from 0 and inclusive. ``row`` tells the pair of texts of each word, where there isn't one each."""
     fq, aq = codes(q)
     fs, as_ = codes(s)
     q_pos, s_pos = np.asarray(q_pos, np.int64), np.asarray(s_pos, np.int64)
-    right = np.minimum(np.diff(aq) - q_pos, np.diff(as_) - s_pos) - word
-    up, far = _side(fq, aq[:-1] + q_pos + word, fs, as_[:-1] + s_pos + word, 1, right, match, mismatch, drop)
-    down, back = _side(fq, aq[:-1] + q_pos - 1, fs, as_[:-1] + s_pos - 1, -1, np.minimum(q_pos, s_pos), match, mismatch, drop)
+    row = np.arange(len(q_pos)) if row is None else row
+    right = np.minimum(np.diff(aq)[row] - q_pos, np.diff(as_)[row] - s_pos) - word
+    up, far = _side(fq, aq[row] + q_pos + word, fs, as_[row] + s_pos + word, 1, right, match, mismatch, drop)
+    down, back = _side(fq, aq[row] + q_pos - 1, fs, as_[row] + s_pos - 1, -1, np.minimum(q_pos, s_pos), match, mismatch, drop)
     return np.column_stack((q_pos - back, q_pos + word - 1 + far, s_pos - back, s_pos + word - 1 + far, word * match + up + down))
 
 
