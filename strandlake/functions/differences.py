@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +24,11 @@ _IN_REF[[ord(c) for c in "MDN=X"]] = True
 
 def parsed(cigars: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, n, op) of all parts of all CIGAR strings, in order; H and P, and parts of no base, are left out."""
-    raw = np.frombuffer("".join(cigars).encode("ascii"), np.uint8)
-    size = np.array([len(c) for c in cigars], np.int64)
+    at = np.concatenate(([0], np.cumsum([len(c) for c in cigars]))).astype(np.int64)
+    return _parts(np.frombuffer("".join(cigars).encode("ascii"), np.uint8), at)
+
+
+def _parts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     op_at = np.flatnonzero((raw < 48) | (raw > 57))
     before = np.concatenate(([-1], op_at[:-1]))
     n, value = np.zeros(len(op_at), np.int64), 1
@@ -33,7 +36,7 @@ def parsed(cigars: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         there = op_at - k > before
         n[there] += value * (raw[op_at[there] - k].astype(np.int64) - 48)
         value *= 10
-    row, op = np.searchsorted(np.cumsum(size), op_at, "right"), raw[op_at]
+    row, op = np.searchsorted(at[1:], op_at, "right"), raw[op_at]
     keep = (n > 0) & (_IN_READ[op] | _IN_REF[op])
     return row[keep], n[keep], op[keep]
 
@@ -59,16 +62,25 @@ def differences(reads: Sequence[str], cigars: Sequence[str], windows: Sequence[s
     A CIGAR that asks for other bases than read and window have is an error. A gap at the end of a read has no base to
     stand before: it counts in ref_len only. Next to each other, D and N are one offset of the last one's kind.
     """
-    base, base_at = codes(reads)
-    under, under_at = codes(windows)
-    row, n, op = parsed(cigars)
+    base_at = codes(reads)[1]
+    differs, letters, cut, has_offset, offsets, kind, at, ref_len = _differences(*codes(reads), *parsed(cigars), *codes(windows), lambda k: cigars[k])
+    held = letters.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    kinds = kind.tobytes().decode("ascii")
+    return {
+        "has_mismatch": _split(differs, base_at), "mismatch": [held[a:b] for a, b in zip(cut, cut[1:])], "has_offset": _split(has_offset, base_at),
+        "offsets": _split(offsets, at), "kinds": [kinds[a:b] for a, b in zip(at, at[1:])], "ref_len": ref_len.tolist(),
+    }
+
+
+def _differences(base: np.ndarray, base_at: np.ndarray, row: np.ndarray, n: np.ndarray, op: np.ndarray, under: np.ndarray, under_at: np.ndarray, cigar) -> tuple[np.ndarray, ...]:
+    """The values of ``differences`` in flat arrays: flags by base, mismatches and their ends by row, flags by base, offsets, their kinds and ends by row, lengths by row."""
+    rows = len(base_at) - 1
     _reordered(row, n, op)
-    rows = len(reads)
     ref_len = np.bincount(row, n * _IN_REF[op], rows).astype(np.int64)
     bad = (np.bincount(row, n * _IN_READ[op], rows).astype(np.int64) != np.diff(base_at)) | (ref_len > np.diff(under_at))
     if bad.any():
         k = int(np.flatnonzero(bad)[0])
-        raise ValueError(f"CIGAR {cigars[k]} does not fit a read of {len(reads[k])} and {len(windows[k])} bases of reference")
+        raise ValueError(f"CIGAR {cigar(k)} does not fit a read of {base_at[k + 1] - base_at[k]} and {under_at[k + 1] - under_at[k]} bases of reference")
     new = np.ones(len(row), bool)
     new[1:] = row[1:] != row[:-1]
     # what a gap skips belongs to the next part of the read
@@ -93,13 +105,8 @@ def differences(reads: Sequence[str], cigars: Sequence[str], windows: Sequence[s
     differs = absent.copy()
     differs[~absent] = under[reach[~absent]] != base[~absent]
     cut = np.searchsorted(np.flatnonzero(differs), base_at)
-    held = base[differs].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
     at = np.searchsorted(np.flatnonzero(has_offset), base_at)
-    kinds = kind[some].astype(np.uint8).tobytes().decode("ascii")
-    return {
-        "has_mismatch": _split(differs, base_at), "mismatch": [held[a:b] for a, b in zip(cut, cut[1:])], "has_offset": _split(has_offset, base_at),
-        "offsets": _split(offset[some].astype(np.int32), at), "kinds": [kinds[a:b] for a, b in zip(at, at[1:])], "ref_len": ref_len.astype(np.int32).tolist(),
-    }
+    return differs, base[differs], cut, has_offset, offset[some].astype(np.int32), kind[some].astype(np.uint8), at, ref_len.astype(np.int32)
 
 
 def _places(step: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -118,11 +125,17 @@ class Held:
     """Reads of a batch as they are held."""
 
     def __init__(self, has_mismatch: Sequence, mismatch: Sequence[str], has_offset: Sequence, offsets: Sequence, kinds: Sequence[str]):
-        self.differs, self.at = _flat(has_mismatch, bool)
-        self.has_offset, other = _flat(has_offset, bool)
-        self.offsets, per_row = _flat(offsets, np.int64)
-        self.letters, letters_at = codes(mismatch)
-        self.kinds = np.frombuffer("".join(kinds).encode("ascii"), np.uint8)
+        self._told(*_flat(has_mismatch, bool), *codes(mismatch), *_flat(has_offset, bool), *_flat(offsets, np.int64), np.frombuffer("".join(kinds).encode("ascii"), np.uint8))
+
+    @classmethod
+    def of(cls, h: pa.StructArray) -> Held:
+        """From a column of structs of ``FIELDS``."""
+        out = cls.__new__(cls)
+        out._told(*_values(h.field("has_mismatch")), *_text(h.field("mismatch")), *_values(h.field("has_offset")), *_values(h.field("offsets")), _text(h.field("kinds"))[0].astype(np.uint8))
+        return out
+
+    def _told(self, differs: np.ndarray, at: np.ndarray, letters: np.ndarray, letters_at: np.ndarray, has_offset: np.ndarray, other: np.ndarray, offsets: np.ndarray, per_row: np.ndarray, kinds: np.ndarray) -> None:
+        self.differs, self.at, self.has_offset, self.offsets, self.letters, self.kinds = differs, at, has_offset, offsets.astype(np.int64), letters, kinds
         told = np.concatenate(([0], np.cumsum(self.has_offset)))
         missed = np.concatenate(([0], np.cumsum(self.differs)))
         if not (np.array_equal(self.at, other) and np.array_equal(told[self.at], per_row) and np.array_equal(missed[self.at], letters_at) and len(self.kinds) == len(self.offsets)):
@@ -141,7 +154,10 @@ class Held:
 
     def reads(self, windows: Sequence[str]) -> list[str]:
         """The bases again; one that is said to agree where the window has none is an error."""
-        under, under_at = codes(windows)
+        whole = self._bases(*codes(windows)).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return [whole[a:b] for a, b in zip(self.at, self.at[1:])]
+
+    def _bases(self, under: np.ndarray, under_at: np.ndarray) -> np.ndarray:
         place = _places(self.step, self.at, self.text)
         out = np.zeros(len(self.differs), np.uint32)
         out[self.differs] = self.letters
@@ -149,11 +165,15 @@ class Held:
         if ((place < 0) | (place >= np.diff(under_at)[self.text]))[same].any():
             raise ValueError("a base agrees with a place beyond the reference")
         out[same] = under[under_at[self.text[same]] + place[same]]
-        whole = out.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-        return [whole[a:b] for a, b in zip(self.at, self.at[1:])]
+        return out
 
     def cigars(self, exact: bool = False, clipped: bool = False) -> list[str]:
         """CIGAR strings, with = and X for M where ``exact``, without clips where ``clipped``."""
+        raw, at = self._cigars(exact, clipped)
+        whole = raw.tobytes().decode("ascii")
+        return [whole[a:b] for a, b in zip(at, at[1:])]
+
+    def _cigars(self, exact: bool = False, clipped: bool = False) -> tuple[np.ndarray, np.ndarray]:
         state = np.where(self.absent > 0, self.absent, np.where(self.differs, 88, 61) if exact else 77)
         new = np.ones(len(state), bool)
         new[1:] = (state[1:] != state[:-1]) | (self.text[1:] != self.text[:-1]) | (self.step[1:] != 0)
@@ -168,9 +188,16 @@ class Held:
         if clipped:
             keep = op != 83
             n, op, row = n[keep], op[keep], row[keep]
-        parts = [f"{a}{chr(b)}" for a, b in zip(n.tolist(), op.tolist())]
-        cut = np.searchsorted(row, np.arange(len(self.at)))
-        return ["".join(parts[a:b]) for a, b in zip(cut, cut[1:])]
+        digits = np.ones(len(n), np.int64)
+        while (more := n >= 10**digits).any():
+            digits[more] += 1
+        end = np.cumsum(digits + 1)
+        raw = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
+        raw[end - 1] = op
+        for k in range(int(digits.max(initial=0))):
+            there = digits > k
+            raw[end[there] - 2 - k] = 48 + n[there] // 10**k % 10
+        return raw, np.concatenate(([0], end))[np.searchsorted(row, np.arange(len(self.at)))]
 
     def summary(self) -> dict[str, list]:
         """left_clip, right_clip and edit_distance: bases that differ outside clips, and those deleted; gaps N cost nothing."""
@@ -186,44 +213,96 @@ class Held:
         edits = np.bincount(self.text, (self.differs & ~clip) + deleted, len(size)).astype(np.int64)
         return {"left_clip": left.tolist(), "right_clip": right.tolist(), "edit_distance": edits.tolist()}
 
-    def mismatch_reads(self) -> list[str]:
-        """The reads with = where they agree with the reference."""
+    def _mismatch_reads(self) -> np.ndarray:
         out = np.full(len(self.differs), ord("="), np.uint32)
         out[self.differs] = self.letters
-        whole = out.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return out
+
+    def mismatch_reads(self) -> list[str]:
+        """The reads with = where they agree with the reference."""
+        whole = self._mismatch_reads().astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
         return [whole[a:b] for a, b in zip(self.at, self.at[1:])]
 
 
+def _text(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of a text column behind each other, and offsets by row; a null is an error."""
+    if c.null_count:
+        raise ValueError("a text is null")
+    c = c.cast(pa.string())
+    if not len(c):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64)
+    raw = np.frombuffer(c.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return (raw, at - at[0]) if raw.max(initial=0) < 128 else codes(c.to_pylist())
+
+
+def _upper(c: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``_text`` in upper case."""
+    raw, at = _text(c)
+    if raw.dtype != np.uint8:
+        return codes([t.upper() for t in c.to_pylist()])
+    return np.where((raw > 96) & (raw < 123), raw - 32, raw), at
+
+
+def _values(c: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a column of lists behind each other, and offsets by row."""
+    at = c.offsets.to_numpy().astype(np.int64)
+    return c.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False), at - at[0]
+
+
+def _texts(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    if values.max(initial=0) < 128:
+        return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(values.astype(np.uint8)))
+    whole = values.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return pa.array([whole[a:b] for a, b in zip(at, at[1:])], pa.string())
+
+
+def _lists(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+
+
 def held(read: Column, cigar: Column, window: Column) -> Column:
-    """The differences of a read from the reference under it, a struct of ``FIELDS``; see ``differences``."""
+    """The differences of a read from the reference under it, both in upper case, a struct of ``FIELDS``; see ``differences``."""
+
+    def run(read: pa.Array, cigar: pa.Array, window: pa.Array) -> pa.Array:
+        base, base_at = _upper(read)
+        differs, letters, cut, has_offset, offsets, kind, at, ref_len = _differences(base, base_at, *_parts(*_text(cigar)), *_upper(window), lambda k: cigar[k].as_py())
+        columns = {
+            "has_mismatch": _lists(differs, base_at), "mismatch": _texts(letters, cut), "has_offset": _lists(has_offset, base_at),
+            "offsets": _lists(offsets, at), "kinds": _texts(kind, at), "ref_len": pa.array(ref_len, pa.int32()),
+        }
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+    return F.arrow_udf(run, f"struct<{FIELDS.replace(', ', ',').replace(' ', ':')}>")(read, cigar, window)
 
-    def run(read: pd.Series, cigar: pd.Series, window: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(differences(read.tolist(), cigar.tolist(), window.tolist()))
 
-    return F.pandas_udf(run, f"struct<{FIELDS.replace(', ', ',').replace(' ', ':')}>")(read, cigar, window)
+_DESCRIBED = "cigar:string,exact_cigar:string,clipped_cigar:string,left_clip:int,right_clip:int,edit_distance:int,mismatch_read:string"
 
 
-def _held(h: pd.DataFrame) -> Held:
-    return Held(h["has_mismatch"].tolist(), h["mismatch"].tolist(), h["has_offset"].tolist(), h["offsets"].tolist(), h["kinds"].tolist())
+def _described(x: Held) -> dict[str, pa.Array]:
+    clips = {k: pa.array(v, pa.int32()) for k, v in x.summary().items()}
+    return {"cigar": _texts(*x._cigars()), "exact_cigar": _texts(*x._cigars(exact=True)), "clipped_cigar": _texts(*x._cigars(clipped=True))} | clips | {"mismatch_read": _texts(x._mismatch_reads(), x.at)}
 
 
 def restored(h: Column, window: Column) -> Column:
-    """A read from its differences and the reference under it."""
+    """A read from its differences and the reference under it in upper case, with all that ``described`` tells: a struct of seq and that."""
 
-    def run(h: pd.DataFrame, window: pd.Series) -> pd.Series:
-        return pd.Series(_held(h).reads(window.tolist()), dtype=object)
+    def run(h: pa.Array, window: pa.Array) -> pa.Array:
+        x = Held.of(h)
+        columns = {"seq": _texts(x._bases(*_upper(window)), x.at)} | _described(x)
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
-    return F.pandas_udf(run, "string")(h, window)
+    return F.arrow_udf(run, f"struct<seq:string,{_DESCRIBED}>")(h, window)
 
 
 def described(h: Column) -> Column:
     """CIGARs, clips, edit distance and mismatches of a read, from its differences alone."""
 
-    def run(h: pd.DataFrame) -> pd.DataFrame:
-        x = _held(h)
-        return pd.DataFrame({"cigar": x.cigars(), "exact_cigar": x.cigars(exact=True), "clipped_cigar": x.cigars(clipped=True)} | x.summary() | {"mismatch_read": x.mismatch_reads()})
+    def run(h: pa.Array) -> pa.Array:
+        columns = _described(Held.of(h))
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
-    return F.pandas_udf(run, "struct<cigar:string,exact_cigar:string,clipped_cigar:string,left_clip:int,right_clip:int,edit_distance:int,mismatch_read:string>")(h)
+    return F.arrow_udf(run, f"struct<{_DESCRIBED}>")(h)
 
 
 def kept_quality(quality: Column, has_mismatch: Column, fill: str = "?") -> Column:

@@ -65,4 +65,4 @@ def cigar_ops(c: Column) -> Column:
 
 def reference_span(c: Column) -> Column:
     """Reference positions that a CIGAR string covers."""
-    return F.aggregate(F.filter(cigar_ops(c), lambda o: o["op"].isin("M", "D", "N", "=", "X")), F.lit(0), lambda s, o: s + o["n"])
+    return F.aggregate(F.regexp_extract_all(c, F.lit(r"(\d+)[MDN=X]"), F.lit(1)), F.lit(0), lambda s, n: s + n.cast("int"))

@@ -27,11 +27,11 @@ def aligned_columns(cigar: Column) -> Column:
     return F.flatten(F.transform(F.filter(parts, lambda p: p["op"].isin("M", "=", "X", "D") & (p["n"] > 0)), places))
 
 
-def chunked_reference(refs: DataFrame, width: int = 5000) -> DataFrame:
-    """(ref, chunk, bases): a reference in rows of ``width`` bases, so that none is carried whole by a join."""
+def chunked_reference(refs: DataFrame, width: int = 5000, size: int | None = None) -> DataFrame:
+    """(ref, chunk, bases): a reference in rows that begin every ``width`` bases, and hold so many or ``size``, so that none is carried whole by a join."""
     n = F.greatest(F.ceil(F.length("seq") / width).cast("int"), F.lit(1))
     return refs.select("ref", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk"), "seq").select(
-        "ref", "chunk", F.substring("seq", (F.col("chunk") * width + 1).cast("int"), F.lit(width)).alias("bases")
+        "ref", "chunk", F.substring("seq", (F.col("chunk") * width + 1).cast("int"), F.lit(size or width)).alias("bases")
     )
 
 

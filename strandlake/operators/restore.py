@@ -16,13 +16,23 @@ from strandlake.session import settled, ship
 def with_window(alignments: DataFrame, refs: DataFrame, span: Column, width: int = 5000) -> DataFrame:
     """``alignments`` (ref, pos from 1, ..) with ``window``: the ``span`` bases of the reference from pos on.
 
-    Each window that alignments share is made once, from rows of ``width`` bases of the reference; what is beyond the
-    reference's end isn't in it. Alignments of no known reference, or with a null place, have a null window.
+    Up to ``width`` bases are taken from one row of twice as many of the reference, in which the alignment begins. Each longer
+    window that alignments share is made once, from rows of ``width`` bases; what is beyond the reference's end isn't in it.
+    Alignments of no known reference, or with a null place or one before its start, have a null window.
     """
     a = alignments.withColumns({"_span": span.cast("int"), "pos": F.col("pos").cast("long")})
+    short = a.where(F.coalesce("_span", F.lit(0)) <= width).withColumn("_chunk", F.floor((F.col("pos") - 1) / width))
+    rows = chunked_reference(refs, width, 2 * width).select("ref", F.col("chunk").cast("long").alias("_chunk"), "bases")
+    window = F.substring("bases", (F.col("pos") - F.col("_chunk") * width).cast("int"), F.col("_span")).alias("window")
+    short = short.join(rows, ["ref", "_chunk"], "left").select(*alignments.columns, window)
+    return short.unionByName(_long_windows(a.where(F.col("_span") > width), refs, width).select(*alignments.columns, "window"))
+
+
+def _long_windows(a: DataFrame, refs: DataFrame, width: int) -> DataFrame:
+    """The step of ``with_window`` for windows of more than ``width`` bases."""
     own = ["ref", "pos", "_span"]
     at, last = F.floor((F.col("pos") - 1) / width), F.floor((F.col("pos") - 2 + F.greatest(F.col("_span"), F.lit(1))) / width)
-    places = a.select(*own).dropna().distinct().select(*own, F.explode(F.sequence(at, last)).alias("chunk"))
+    places = a.select(*own).where("pos > 0").dropna().distinct().select(*own, F.explode(F.sequence(at, last)).alias("chunk"))
     met = places.join(chunked_reference(refs, width).withColumn("chunk", F.col("chunk").cast("long")), ["ref", "chunk"])
     bases = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "bases"))), lambda x: x["bases"]), "")
     made = met.groupBy(*own).agg(F.min("chunk").alias("_first"), bases.alias("_bases"))
@@ -32,22 +42,22 @@ def with_window(alignments: DataFrame, refs: DataFrame, span: Column, width: int
 
 
 def held_reads(alignments: DataFrame, refs: DataFrame, key: str, width: int = 5000) -> DataFrame:
-    """(key, ref, pos, held) from alignments (key, ref, pos, cigar, seq); those whose reference isn't known, or with a null, are left out.
+    """(key, ref, pos, ref_len, held) from alignments (key, ref, pos, cigar, seq); those whose reference isn't known, or with a null, are left out.
 
-    Repeated keys are alignments each. A read of which the reference lacks everything has an empty window.
+    ``ref_len`` is the one of ``held`` by built-ins, so that rows are told by it before differences are. Repeated keys are alignments each. A read of which the reference lacks everything has an empty window.
     """
     ship(alignments.sparkSession)
     a = alignments.select(key, "ref", "pos", "cigar", "seq").dropna()
     w = with_window(a, refs, reference_span(F.col("cigar")), width).where("window is not null")
-    return w.select(key, "ref", "pos", D.held(F.upper("seq"), F.col("cigar"), F.upper("window")).alias("held"))
+    return w.select(key, "ref", "pos", reference_span(F.col("cigar")).alias("ref_len"), D.held(F.col("seq"), F.col("cigar"), F.col("window")).alias("held"))
 
 
 def restored_reads(held: DataFrame, refs: DataFrame, key: str, width: int = 5000) -> DataFrame:
     """(key, ref, pos, seq, cigar, exact_cigar, clipped_cigar, left_clip, right_clip, edit_distance, mismatch_read) from held reads and the reference."""
     ship(held.sparkSession)
-    w = with_window(held, refs, F.col("held.ref_len"), width)
-    told = w.select(key, "ref", "pos", D.restored(F.col("held"), F.upper("window")).alias("seq"), D.described(F.col("held")).alias("d"))
-    return told.select(key, "ref", "pos", "seq", "d.*")
+    w = with_window(held, refs, F.col("ref_len" if "ref_len" in held.columns else "held.ref_len"), width)
+    told = w.select(key, "ref", "pos", D.restored(F.col("held"), F.col("window")).alias("d"))
+    return told.select(key, "ref", "pos", "d.*")
 
 
 def dense_ids(rows: DataFrame, order: Sequence, out: str, start: int = 1) -> DataFrame:

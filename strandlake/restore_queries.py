@@ -13,7 +13,7 @@ from strandlake.functions import genes as GM
 from strandlake.operators import genes as GN
 from strandlake.operators import restore as R
 from strandlake.queries import query, t
-from strandlake.session import shared_folder
+from strandlake.session import shared_folder, spread
 from strandlake.sources import bam, store
 from strandlake.streaming import jobs, registry
 
@@ -62,13 +62,31 @@ _CASE = lambda i, quote=False: "CASE l_linenumber " + " ".join(f"WHEN {k} THEN "
 _POS_SQL = f"(SELECT l_orderkey * 8 + l_linenumber AS aln, l_linenumber, CAST(l_partkey % (SELECT count(*) FROM benchmark) AS BIGINT) AS item_id, 1 + l_suppkey % 40 AS pos FROM lineitem)"
 
 
+def _parts(shape: tuple) -> list[tuple[str, int, int]]:
+    """(kind, place after the start, length) of the parts of a shape that a read has."""
+    out, at = [], 0
+    for op, size in zip(_OPS, shape):
+        if size and op in "MSI":
+            out.append((op, at, size))
+        at += size if op in "MDN" else 0
+    return out
+
+
+def _read(shape, seq, pos):
+    """The read of ``_texts`` from the parts of its shape: a small expression, as code of a case a shape is too long to be compiled by the JVM."""
+    kinds = F.array(*[F.array(*[F.struct(F.lit(op).alias("op"), F.lit(at).alias("at"), F.lit(size).alias("size")) for op, at, size in _parts(SHAPES[k])]) for k in sorted(SHAPES)])
+    bases = lambda p, k, n: F.substr(seq, (pos + p["at"] + k).cast("int"), n)
+    match = lambda p: F.concat(bases(p, 0, F.lit(1)), F.translate(bases(p, 1, F.lit(1)), "ACGT", "TGCA"), bases(p, 2, p["size"] - 2))
+    return F.array_join(F.transform(F.get(kinds, shape - 1), lambda p: F.when(p["op"] == "M", match(p)).otherwise(F.substr(F.lit("ACGTACGTAC"), F.lit(1), p["size"]))), "")
+
+
 def alignments(spark, d):
     """An alignment a line: on a benchmark sequence, at a place and in a shape that the line tells."""
     g = genome(spark, d)
     items = t(spark, d, "benchmark").agg(F.count("*").alias("items"))
-    x = t(spark, d, "lineitem").crossJoin(F.broadcast(items)).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("aln"), "l_linenumber", (F.col("l_partkey") % F.col("items")).alias("item_id"), (1 + F.col("l_suppkey") % 40).alias("pos"))  # one row
+    x = spread(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).crossJoin(F.broadcast(items)).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("aln"), "l_linenumber", (F.col("l_partkey") % F.col("items")).alias("item_id"), (1 + F.col("l_suppkey") % 40).alias("pos"))  # one row
     both = x.join(g, "item_id").where(F.length("seq") >= _SPAN)
-    return both.select("aln", F.col("item_id").alias("ref"), "pos", F.expr(_CASE(1, True)).alias("cigar"), F.expr(_CASE(0).replace("pos +", "CAST(pos AS INT) +")).alias("seq"))
+    return both.select("aln", F.col("item_id").alias("ref"), "pos", F.expr(_CASE(1, True)).alias("cigar"), _read(F.col("l_linenumber"), F.col("seq"), F.col("pos")).alias("seq"))
 
 
 def _refs(spark, d):
