@@ -14,6 +14,7 @@ from strandlake.operators import rows as R
 from strandlake.plans import registry as G
 from strandlake.queries import D_SQL, S_SQL, dna, query, spans, t, text_of
 from strandlake.sources import tables as B
+from strandlake.session import dealt
 
 B_SQL = f"(SELECT p_partkey, p_brand, seq, i, substr(seq, i, 1) AS b FROM (SELECT p_partkey, p_brand, seq, CAST(unnest(range(1, length(seq) + 1)) AS INTEGER) AS i FROM {D_SQL}))"
 
@@ -201,7 +202,10 @@ def global_alignments(spark, d):
     """Score and CIGAR of each part's sequence against the next part's."""
     x = dna(spark, d)
     y = x.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("seq").alias("next"))
-    return x.join(y, "p_partkey").select("p_partkey", A.global_cigar("seq", "next").alias("g")).select("p_partkey", "g.*")
+    pairs = x.join(y, "p_partkey").select("p_partkey", "seq", "next")
+    # parts of one name share their sequence: each pair of sequences is aligned once; nulls meet as before
+    made = dealt(pairs.select("seq", "next").distinct(), "seq", "next", rows=512).select(F.col("seq").alias("_a"), F.col("next").alias("_b"), A.global_cigar("seq", "next").alias("g"))
+    return pairs.join(made, F.col("seq").eqNullSafe(F.col("_a")) & F.col("next").eqNullSafe(F.col("_b"))).select("p_partkey", "g.*")
 
 
 # --- sparse sets ----------------------------------------------------------------
