@@ -9,6 +9,7 @@ from strandlake.operators import lookups as L
 from strandlake.operators.intervals import islands, overlap_join
 from strandlake.plans.query import predicate
 from strandlake.queries import D_SQL, S_SQL, _ab_spans, dna, query, spans, t
+from strandlake.session import dealt
 
 # --- lookups --------------------------------------------------------------------
 
@@ -60,6 +61,11 @@ def taxids(spark, d):
     return t(spark, d, "orders").join(owner, "o_custkey", "left").join(names, "taxid", "left").select(F.col("o_orderkey").alias("gi"), "taxid", "name")
 
 
+def _customers(spark, d):
+    """Keys that some fifty rows are made of each: their file is small and one task or two, so they are dealt before."""
+    return dealt(t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", rows=1 << 14)
+
+
 SEG_SQL = "(SELECT c_custkey AS o_custkey, 8000 + k * 40 AS src_lo, 8000 + k * 40 + 29 AS src_hi, c_custkey * 100 + k AS dst, 1000 AS dst_lo, k % 2 = 0 AS forward FROM customer, (SELECT unnest(range(0, 66)) AS k))"
 
 
@@ -70,7 +76,7 @@ SEG_SQL = "(SELECT c_custkey AS o_custkey, 8000 + k * 40 AS src_lo, 8000 + k * 4
 def mapped_features(spark, d):
     """Features on the coordinates of the segments that their places are mapped to, half of them in reverse."""
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(65).cast("long"))).alias("k")
-    seg = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), k)
+    seg = _customers(spark, d).select("o_custkey", k)
     seg = seg.select("o_custkey", (F.col("k") * 40 + 8000).alias("src_lo"), (F.col("k") * 40 + 8029).alias("src_hi"), (F.col("o_custkey") * 100 + F.col("k")).alias("dst"), F.lit(1000).alias("dst_lo"), (F.col("k") % 2 == 0).alias("forward"))
     f = spans(spark, d).select("o_custkey", F.col("o_orderkey").alias("f"), "lo", "hi", F.when(F.col("o_orderkey") % 2 == 0, "+").otherwise("-").alias("strand"))
     return L.mapped(f, seg, "o_custkey", 64)
@@ -97,7 +103,7 @@ MODEL_SQL = "(SELECT c_custkey AS o_custkey, k AS model, 8000 + k * 55 AS m_lo,
 @query(f"SELECT hit, model, overlap FROM (SELECT s.o_orderkey AS hit, m.model, least(s.hi, m.m_hi) - greatest(s.lo, m.m_lo) + 1 AS overlap, row_number() OVER (PARTITION BY s.o_orderkey ORDER BY least(s.hi, m.m_hi) - greatest(s.lo, m.m_lo) DESC, m.model) AS k FROM {S_SQL} s JOIN {MODEL_SQL} m ON s.o_custkey = m.o_custkey AND s.lo <= m.m_hi AND m.m_lo <= s.hi) WHERE k = 1")
 def hits_distribution(spark, d):
     k = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(45).cast("long"))).alias("model")
-    models = t(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), k).withColumns({"m_lo": F.col("model") * 55 + 8000, "m_hi": F.col("model") * 55 + 8070})
+    models = _customers(spark, d).select("o_custkey", k).withColumns({"m_lo": F.col("model") * 55 + 8000, "m_hi": F.col("model") * 55 + 8070})
     return L.shared_out(spans(spark, d).withColumnRenamed("o_orderkey", "hit"), models, "o_custkey", "hit", "model", 64)
 
 
