@@ -231,18 +231,20 @@ SPOT_NAMES = {
 def spot_tokens(c: Column, platform: str) -> Column:
     """(name, start, length) of each coordinate of a read's name, in order; none of a name in another form."""
     pattern, names = SPOT_NAMES[platform]
-    whole, at, out = F.regexp_extract(c, pattern, 0), F.lit(0), []
-    for k, n in enumerate(names, 1):
-        g = F.regexp_extract(c, pattern, k)
-        start = F.when(F.length(g) == 0, at).otherwise(F.position(g, c) - 1) if k == 1 else _locate_from(c, g, at)
-        out.append(F.struct(F.lit(n).alias("name"), start.alias("start"), F.length(g).alias("length")))
-        at = start + F.length(g)
-    return F.when(whole == "", F.array().cast("array<struct<name:string,start:int,length:int>>")).otherwise(F.array(*out))
-
-
-def _locate_from(c: Column, what: Column, at: Column) -> Column:
-    """Place from 0 of a text at or after a place."""
-    return at + F.position(what, F.substr(c, at + 1)) - 1
+    kind = "array<struct<name:string,start:int,length:int>>"
+    groups = F.array(*[F.struct(F.lit(n).alias("name"), F.regexp_extract(c, pattern, k).alias("g")) for k, n in enumerate(names, 1)])
+
+    def step(acc: Column, x: Column) -> Column:
+        start = (acc["at"] + F.position(x["g"], F.substr(c, acc["at"] + 1)) - 1).alias("start")
+        return F.struct(start, F.length(x["g"]).alias("length"), x["name"].alias("name"), acc["out"].alias("out"))
+
+    def kept(x: Column) -> Column:  # places are told once a group, so no group's expression holds those before it
+        return F.struct((x["start"] + x["length"]).alias("at"), F.concat(x["out"], F.array(F.struct(x["name"].alias("name"), x["start"].alias("start"), x["length"].alias("length")))).alias("out"))
+
+    let = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    out = F.aggregate(groups, zero, lambda acc, x: let(step(acc, x), kept), lambda acc: acc["out"])
+    return F.when(~F.regexp_like(c, F.lit(pattern)), F.array().cast(kind)).otherwise(out)
 
 
 def extract_token(c: Column, tokens: Column, k: int) -> Column:

@@ -324,8 +324,9 @@ _SPOTS = {
 def spot_name_tokens(spark, d):
     """Coordinates of the read names of five platforms, as tokens of the names."""
     out = None
+    own = dealt(t(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
     for platform, (made, _) in _SPOTS.items():
-        x = t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("n"), F.col("c_custkey").cast("string").alias("k")).select("c_custkey", F.expr(made).alias("spot"))
+        x = own.select("c_custkey", F.col("c_nationkey").cast("string").alias("n"), F.col("c_custkey").cast("string").alias("k")).select("c_custkey", F.expr(made).alias("spot"))
         x = x.withColumn("tok", X.spot_tokens(F.col("spot"), platform))
         text = F.array_join(F.transform("tok", lambda p: F.concat(p["name"], F.lit("="), F.substr("spot", p["start"] + 1, p["length"]))), ";")
         x = x.select(F.lit(platform).alias("platform"), "c_custkey", text.alias("tokens"))
