@@ -22,14 +22,20 @@ def _either(tests: list[Column]) -> Column:
     return out
 
 
+def _once(df: DataFrame, *cols: Column) -> DataFrame:
+    """These columns, worked out once a row: made as the one row of an array, so that no filter or later column puts their expressions in its own place."""
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
 def _fields(lines: DataFrame, columns: list[tuple[str, str]], skip: str, sep: str = "\t", least: int | None = None, mode: str = "permissive", rest: str | None = None, none: str | None = ".") -> DataFrame:
     """Typed columns of delimited lines, ``none`` being the field that stands for null; ``rest`` names an array of the fields after them."""
-    lines = lines.where((F.length(F.trim("value")) > 0) & ~F.col("value").rlike(skip))
-    parts = F.split("value", sep)
+    lines = _once(lines, F.col("value")).where((F.length(F.trim("value")) > 0) & ~F.col("value").rlike(skip))
+    rows = _once(lines, F.col("value"), F.split("value", sep).alias("p"))
     raw = [F.get("p", F.lit(k)) if none is None else F.nullif(F.get("p", F.lit(k)), F.lit(none)) for k in range(len(columns))]
-    cast = [r.try_cast(kind) for r, (_, kind) in zip(raw, columns)]
+    rows = _once(rows, F.col("value"), F.col("p"), *[r.try_cast(kind).alias(f"_{k}") for k, (r, (_, kind)) in enumerate(zip(raw, columns))])
+    cast = [F.col(f"_{k}") for k in range(len(columns))]
     bad = (F.size("p") < (least or len(columns))) | _either([r.isNotNull() & c.isNull() for r, c, (_, kind) in zip(raw, cast, columns) if kind != "string"])
-    rows = lines.select("value", parts.alias("p")).withColumn("bad", bad)
+    rows = _once(rows, F.col("value"), F.col("p"), *cast, bad.alias("bad"))
     if mode == "failfast":  # a filter, so that no choice of columns leaves it out
         rows = rows.where(F.when(F.col("bad"), F.raise_error(F.concat(F.lit("bad line: "), F.col("value"))).cast("boolean")).otherwise(F.lit(True)))
     out = [F.when(~F.col("bad"), c).alias(name) for c, (name, _) in zip(cast, columns)]
