@@ -35,34 +35,42 @@ def chunked_reference(refs: DataFrame, width: int = 5000, size: int | None = Non
     )
 
 
-def pileup(alignments: DataFrame, refs: DataFrame, width: int = 5000) -> DataFrame:
+def windowed_reference(refs: DataFrame, width: int) -> DataFrame:
+    """``chunked_reference`` in rows of few bases: cut of rows of a hundred times as many, so that no long sequence is gone through once a row."""
+    long = chunked_reference(refs, width * 100)
+    n = F.greatest(F.ceil(F.length("bases") / width).cast("int"), F.lit(1))
+    k = F.explode(F.sequence(F.lit(0), n - 1)).alias("k")
+    return long.select("ref", "chunk", "bases", k).select("ref", (F.col("chunk") * 100 + F.col("k")).alias("chunk"), F.substring("bases", (F.col("k") * width + 1).cast("int"), F.lit(width)).alias("bases"))
+
+
+def pileup(alignments: DataFrame, refs: DataFrame, width: int = 50, rows: int = 1 << 18) -> DataFrame:
     """(ref, pos, base, depth, calls, quals) of every covered place, pos from 1.
 
     ``alignments``: name, flag, ref, pos (from 1), mapq, cigar, seq, qual. A call is ``.`` (``,`` in reverse) where
     the read has the reference's base, the base itself (lower case in reverse) where not, and ``*`` in a deletion; ``^``
     and the mapping quality come before a read's first call, ``$`` after its last. Calls are in order of start and name.
+    Reads are dealt by the ``width`` places of the reference that they lie on, over tasks of about ``rows`` of them, and taken apart there: no call is shuffled.
     """
-    a = alignments.where(F.col("flag").bitwiseAND(F.lit(4)) == 0).withColumn("cols", aligned_columns(F.col("cigar"))).where(F.size("cols") > 0)
+    cols, own = aligned_columns(F.col("cigar")), ["ref", "start", "name", "mapq", "cigar", "seq", "qual", "back"]
+    a = alignments.where(F.col("flag").bitwiseAND(F.lit(4)) == 0).withColumns({"start": F.col("pos"), "back": F.col("flag").bitwiseAND(F.lit(16)) != 0})
+    # made as the one row of an array: a filter and each later use would work them out again
+    a = a.select(F.inline(F.array(F.struct(*own, cols.alias("cols"))))).where(F.size("cols") > 0)
     r0, r1 = F.element_at("cols", 1)["r"], F.element_at("cols", -1)["r"]
-    chunk_of = lambda r: F.floor((F.col("pos") + r - 1) / width).cast("int")
-    # a read meets the chunks of the reference that it lies on before it is taken apart, and its calls are made there
-    a = a.select(
-        "ref", F.col("pos").alias("start"), "name", "mapq", "seq", "qual", (F.col("flag").bitwiseAND(F.lit(16)) != 0).alias("back"), "cols", r0.alias("r0"), r1.alias("r1"),
-        F.explode(F.sequence(chunk_of(r0), chunk_of(r1))).alias("chunk"),
-    ).join(chunked_reference(refs, width), ["ref", "chunk"])
-
-    def call(x: Column) -> Column:
-        pos, known = F.col("start") + x["r"], x["q"].isNotNull()
-        base = F.upper(F.substr("bases", (F.pmod(pos - 1, F.lit(width)) + 1).cast("int"), F.lit(1)))
-        b = F.upper(F.substr("seq", x["q"] + 1, F.lit(1)))
-        letter = F.when(~known, "*").when(b == base, F.when(F.col("back"), ",").otherwise(".")).otherwise(F.when(F.col("back"), F.lower(b)).otherwise(b))
-        head = F.when(x["r"] == F.col("r0"), F.concat(F.lit("^"), F.char(F.col("mapq") + 33))).otherwise("")
-        text = F.concat(head, letter, F.when(x["r"] == F.col("r1"), "$").otherwise(""))
-        return F.struct(pos.alias("pos"), base.alias("base"), text.alias("call"), F.when(known, F.substr("qual", x["q"] + 1, F.lit(1))).otherwise("~").alias("ql"))
-
-    here = F.filter("cols", lambda x: F.floor((F.col("start") + x["r"] - 1) / width) == F.col("chunk"))
-    c = a.select("ref", "start", "name", "back", F.explode(F.transform(here, call)).alias("c"))
-    sites = c.groupBy("ref", F.col("c.pos").alias("pos")).agg(F.first("c.base").alias("base"), F.array_sort(F.collect_list(F.struct("start", "name", "back", "c.call", "c.ql"))).alias("s"))
+    chunk_of = lambda r: F.floor((F.col("start") + r - 1) / width).cast("int")
+    # a read meets the places of the reference that it lies on before it is taken apart, and its calls are made there
+    tasks = max(alignments.sparkSession.sparkContext.defaultParallelism, -(-alignments.count() // rows))
+    a = a.select(*own, r0.alias("r0"), r1.alias("r1"), F.explode(F.sequence(chunk_of(r0), chunk_of(r1))).alias("chunk")).repartition(tasks, "ref", "chunk")
+    here = F.filter(cols, lambda x: chunk_of(x["r"]) == F.col("chunk"))
+    a = a.join(windowed_reference(refs, width).hint("merge"), ["ref", "chunk"]).select(*own, "r0", "r1", "chunk", "bases", F.explode(here).alias("x"))
+    a = a.select("*", (F.col("start") + F.col("x.r")).alias("at"), F.col("x.q").isNotNull().alias("known"))
+    base = F.upper(F.substr("bases", (F.pmod(F.col("at") - 1, F.lit(width)) + 1).cast("int"), F.lit(1)))
+    a = a.select("*", base.alias("base"), F.upper(F.substr("seq", F.col("x.q") + 1, F.lit(1))).alias("b"))
+    letter = F.when(~F.col("known"), "*").when(F.col("b") == F.col("base"), F.when(F.col("back"), ",").otherwise(".")).otherwise(F.when(F.col("back"), F.lower("b")).otherwise(F.col("b")))
+    head = F.when(F.col("x.r") == F.col("r0"), F.concat(F.lit("^"), F.char(F.col("mapq") + 33))).otherwise("")
+    call = F.concat(head, letter, F.when(F.col("x.r") == F.col("r1"), "$").otherwise("")).alias("call")
+    ql = F.when(F.col("known"), F.substr("qual", F.col("x.q") + 1, F.lit(1))).otherwise("~").alias("ql")
+    c = a.select("ref", "chunk", "at", "base", F.struct("start", "name", "back", call, ql).alias("c"))
+    sites = c.groupBy("ref", "chunk", F.col("at").alias("pos")).agg(F.first("base").alias("base"), F.sort_array(F.collect_list("c")).alias("s"))
     return sites.select(
         "ref", "pos", "base", F.size("s").alias("depth"), F.array_join(F.transform("s", lambda x: x["call"]), "").alias("calls"), F.array_join(F.transform("s", lambda x: x["ql"]), "").alias("quals")
     )
