@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandlake.session import dealt
+
 
 def row_ranges(text: str) -> list[tuple[int, int]]:
     """Sorted, disjoint, inclusive ranges of an expression such as ``1-100,205,90-120``."""
@@ -93,11 +95,17 @@ def copy_matching(df: DataFrame, target: T.StructType) -> DataFrame:
     return df.select(*[(F.col(f"`{have[f.name.lower()]}`").try_cast(f.dataType) if f.name.lower() in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in target.fields])
 
 
-def text_index(df: DataFrame, row_id: str, key: str) -> DataFrame:
-    """(key, first, n) of runs of rows, consecutive by id, with one key."""
-    by_key = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(row_id).alias("id"))
-    w = Window.partitionBy("key").orderBy("id")
-    runs = by_key.withColumn("_run", F.col("id") - F.row_number().over(w))
+def text_index(df: DataFrame, row_id: str, key: str, width: int = 1 << 18) -> DataFrame:
+    """(key, first, n) of runs of rows, consecutive by id, with one key.
+
+    Rows are numbered within ranges of ``width`` ids; only the ranges' counts, a row for each, go through a window of the key, which may hold most rows.
+    """
+    by_key = df.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(row_id).alias("id")).withColumn("_range", F.coalesce(F.floor(F.col("id") / width), F.lit(-(1 << 62))))
+    by_key = dealt(by_key, "key", "_range", rows=1 << 19)
+    counts = by_key.groupBy("key", "_range").agg(F.count("*").alias("_n"))
+    counts = counts.select("key", "_range", (F.sum("_n").over(Window.partitionBy("key").orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("key", "_range").orderBy("id"))
+    runs = by_key.withColumn("_in", inside).join(counts, ["key", "_range"]).withColumn("_run", F.col("id") - F.col("_before") - F.col("_in"))
     return runs.groupBy("key", "_run").agg(F.min("id").alias("first"), F.count("*").alias("n")).drop("_run")
 
 
