@@ -14,6 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandlake.session import dealt
+
 
 def _either(tests: list[Column]) -> Column:
     out = F.lit(False)
@@ -223,6 +225,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line")
     )
+    rows = dealt(rows, "file", "block", rows=1 << 18)  # paths take far more room sorted than shuffled
     base = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = rows.groupBy("file", "block").agg(F.count("*").alias("lines")).select("file", "block", base.alias("base"))
     inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1

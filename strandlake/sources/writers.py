@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandlake.session import dealt
 from strandlake.sources.readers import BED, SAM, percent_encoded, text_or_dot
 
 
@@ -42,9 +43,10 @@ def fasta_lines(df: DataFrame, width: int = 60) -> DataFrame:
     return df.select(F.concat(F.lit(">"), F.trim(F.concat_ws(" ", "id", "title")), F.when(F.length("seq") > 0, F.concat(F.lit("\n"), body)).otherwise("")).alias("value"))
 
 
-def wiggle_lines(df: DataFrame) -> DataFrame:
-    """variableStep blocks of (chrom, span), rows in order of position within a block."""
-    block = df.groupBy("chrom", "span").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("v"))
+def wiggle_lines(df: DataFrame, width: int = 1 << 20) -> DataFrame:
+    """variableStep blocks of (chrom, span), rows in order of position within a block; a block holds one range of ``width`` positions."""
+    rows = df.select("chrom", "span", "pos", "value", F.floor(F.col("pos") / width).alias("_range"))
+    block = dealt(rows, "chrom", "span", "_range", rows=1 << 18).groupBy("chrom", "span", "_range").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("v"))
     head = F.concat(F.lit("variableStep chrom="), F.col("chrom"), F.lit(" span="), F.col("span").cast("string"))
     return block.select(F.concat_ws("\n", head, F.array_join(F.transform("v", lambda x: F.concat_ws(" ", x["pos"].cast("string"), x["value"].cast("string"))), "\n")).alias("value"))
 
