@@ -11,7 +11,8 @@ from strandlake.functions import seq as S
 from strandlake.operators import intervals as I
 from strandlake.operators import words as N
 from strandlake.plans.query import predicate
-from strandlake.queries import C_SQL, S_SQL, WORD_SQL, _terms, order_cells, query, spans, t, text_of
+from strandlake.queries import C_SQL, S_SQL, WORD_SQL, _term_counts, _terms, order_cells, query, spans, t, text_of
+from strandlake.session import settled
 from strandlake.sources import readers as P
 from strandlake.sources import writers as W
 
@@ -150,7 +151,9 @@ def soundex_keys(spark, d):
 
 
 def _by_documents(spark, d):
-    return _terms(spark, d).groupBy("w").agg(F.countDistinct("doc_id").alias("docs"))
+    """(w, docs): whether none, one or several (2) documents have a word; kept, as its key is made in several ways."""
+    n = _terms(spark, d).groupBy("w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    return settled(n.select("w", F.when(F.col("a").isNull(), 0).when(F.col("a") == F.col("b"), 1).otherwise(2).alias("docs")))
 
 
 @query()
@@ -163,9 +166,10 @@ def dictionary_suggestions(spark, d):
 @query(f"SELECT doc_id, count(*) AS words, count(*) FILTER (w NOT IN (SELECT w FROM {WORD_SQL} GROUP BY 1 HAVING count(DISTINCT doc_id) > 1)) AS unknown FROM (SELECT DISTINCT doc_id, w FROM {WORD_SQL}) GROUP BY 1")
 def dictionary_check(spark, d):
     """How many of each document's distinct words no other document has."""
-    own = _terms(spark, d).select("doc_id", "w").distinct()
-    told = N.checked(own, _by_documents(spark, d).where("docs > 1"))
-    return own.join(told, "w").groupBy("doc_id").agg(F.count("*").alias("words"), F.count_if(~F.col("there")).alias("unknown"))
+    own = _term_counts(spark, d).select("doc_id", "w")
+    lone = N.lone_words(own, "doc_id").withColumnRenamed("doc_id", "_doc")
+    counts = own.groupBy("doc_id").agg(F.count("*").alias("words"))
+    return counts.join(lone, F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select("doc_id", "words", F.coalesce("unknown", F.lit(0).cast("long")).alias("unknown"))
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN contains(trim(o_orderpriority), ' ') THEN 'phrase' ELSE 'word' END AS kind FROM orders) GROUP BY 1")

@@ -60,3 +60,15 @@ def checked(words: DataFrame, known: DataFrame) -> DataFrame:
     """(w, there): whether each distinct word is among ``known``; null words are left out."""
     own = words.select("w").where("w is not null").distinct()
     return own.join(known.select("w", F.lit(True).alias("_there")).distinct(), "w", "left").select("w", F.coalesce("_there", F.lit(False)).alias("there"))
+
+
+def lone_words(own: DataFrame, doc: str) -> DataFrame:
+    """(doc, unknown): of how many words each document is the only one; ``own`` has a row (doc, w) for each document and word.
+
+    Rows without a document count the words that at most one has. A word is one row by its least and greatest document, so no set of them is kept.
+    """
+    known = F.col("_a").isNotNull()
+    words = own.groupBy("w").agg(F.min(doc).alias("_a"), F.max(doc).alias("_b"), F.max(F.col(doc).isNull()).alias("_bare")).where("_a = _b or _a is null")
+    none = F.lit(None).cast(own.schema[doc].dataType)
+    of = F.explode(F.array_compact(F.array(F.when(known, F.struct(F.col("_a").alias("d"))), F.when(F.col("_bare"), F.struct(none.alias("d"))))))
+    return words.select(of.alias("_x")).groupBy(F.col("_x.d").alias(doc)).agg(F.count("*").alias("unknown"))
