@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -159,6 +160,20 @@ def test_model_is_the_same_by_filter_and_by_joins(spark, docs):
     assert sorted(map(repr, bloom_lm.scored(docs, bits=2).collect())) == want
 
 
+def test_model_travels_in_parts(spark, docs, monkeypatch):
+    """No worker holds filter and words whole, and scores don't depend on how they are cut, nor on how many tokens are asked about at once."""
+    want = {order: sorted(map(repr, bloom_lm.scored(docs, order=order).collect())) for order in (1, 2, 3)}
+    sent, send = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, x: sent.append(len(pickle.dumps(x))) or send(sc, x))
+    monkeypatch.setattr(bloom_lm, "RANGE_BYTES", 20_000)
+    monkeypatch.setattr(bloom_lm, "PART", 40_000, raising=False)
+    monkeypatch.setattr(bloom_lm, "ASKED", 3_000, raising=False)
+    for order in want:
+        sent.clear()
+        assert sorted(map(repr, bloom_lm.scored(docs, order=order).collect())) == want[order]
+        assert len(sent) > 1 and max(sent) < sum(sent) / 2
+
+
 def test_model_orders(spark, docs):
     """Every order's probabilities are below one and add up to about one over all words after a history."""
     for order in (1, 2, 3):
