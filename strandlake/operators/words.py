@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strandlake.operators.rows import top_k
 
 #: Words of up to so many letters meet by their deletions, longer ones by their pieces.
-SHORT_WORD = 14
+SHORT_WORD = 24
 
 
 def _keys(w: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
