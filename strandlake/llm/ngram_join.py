@@ -8,7 +8,9 @@ Documents are sets of word shingles. Two documents link when
    rare-first one keeps hot passages out of the prefixes.
 2. Equal sets form a class with its smallest document as representative.
    Linked sets share a token in their prefixes of that order, at positions that
-   leave room for the overlap needed.
+   leave room for the overlap needed. Prefixes are longer by one token in
+   ``SPARE``, so that linked sets share as many tokens more: long texts that have
+   one rare passage in common by chance are told apart by that.
 3. Similar representatives are partitioned into groups: all that share their
    most popular prefix token, cut at a bounded number of tokens. Those without a
    token of more than ``POPULAR`` documents are groups of one. Where a token's
@@ -17,9 +19,10 @@ Documents are sets of word shingles. Two documents link when
    token's other groups, level by level; groups that so turn out to lie in one
    component form a team, and no member of that component asks it.
 4. Rows of the matrix: a group's (or team's) prefix tokens and, for every token
-   bin, the largest count among its members. A query goes to a group only if a
-   shared prefix token leaves room and the sum of bin minima reaches the overlap
-   needed; to a team's groups only if the team let it through.
+   bin, the largest count among its members. A query goes to a group only if
+   enough shared prefix tokens leave room and the sum of bin minima reaches the overlap
+   needed; to a team's groups only if the team let it through. Of two groups of one
+   whose documents have equally many tokens one asks the other.
 5. Inside the group's task the union of all its tokens bounds the overlap
    again; only if the bound holds is the group opened and the query counted
    against every member. A spanning forest of the links found is returned, never
@@ -45,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandlake.llm.common import Forest, connected_components, mix64, released, rest, shingle_sets, text_steps, written
+from strandlake.llm.common import Forest, connected_components, mix64, released, rest, shingle_sets, shuffles_dropped, text_steps, written
 from strandlake.session import ship
 
 SKETCH_BITS = 20
@@ -57,6 +60,8 @@ GROUP_TOKENS = 100_000
 MANY_GROUPS = 4
 #: Documents that may share a prefix token before they are grouped by it.
 POPULAR = 32
+#: Tokens of a document for each of which its prefix has one more than one shared token needs.
+SPARE = 50
 
 SETS = "doc_id long, dig long, n_shingles int, class_id binary, tokens array<long>, roomy int, bins binary"
 
@@ -91,10 +96,9 @@ def _levels(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def token_levels(docs: DataFrame, width: int) -> np.ndarray:
     """Rarity level of each of 2^SKETCH_BITS token bins over all documents: a fixed 1 MB, whatever the corpus."""
-    rows = (
-        docs.select("text").mapInArrow(_sketch(width), "slice int, counts binary").repartition(SLICES, "slice")
-        .mapInPandas(_levels, "slice int, levels binary").collect()
-    )
+    rows = docs.select("text").mapInArrow(_sketch(width), "slice int, counts binary").repartition(SLICES, "slice").mapInPandas(_levels, "slice int, levels binary")
+    with shuffles_dropped(docs.sparkSession):
+        rows = rows.collect()
     out = np.zeros((SLICES, (1 << SKETCH_BITS) // SLICES), np.uint8)
     for r in rows:
         out[r["slice"]] = np.frombuffer(r["levels"], np.uint8)
@@ -116,12 +120,12 @@ def _prefixes(width: int, num: int, den: int, levels):
                 for s in shingle_sets(data, off, width):
                     n = len(s)
                     ranked = np.sort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] << np.uint64(56) | (mix64(s) >> np.uint64(8)))
-                    take = n - -(-num * n // den) + 1 if n else 0
+                    take = n - -(-num * n // den) + 1 + n // SPARE if n else 0
                     rows["n_shingles"].append(n)
                     rows["class_id"].append(_class_id(s))
                     rows["tokens"].append(ranked[:take].view(np.int64))
-                    # positions at which a set of at least this size may share its first token with this one
-                    rows["roomy"].append(n - needed_with(n, n, num, den) + 1 if n else 0)
+                    # positions at which a set of at least this size may share its first tokens with this one
+                    rows["roomy"].append(n - needed_with(n, n, num, den) + 1 + n // SPARE if n else 0)
                     bins = np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 65535)
                     rows["bins"].append(bins.astype(np.uint16).tobytes())
                 kinds = (pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary())
@@ -191,7 +195,10 @@ def _bitmap(keys: DataFrame, n: int) -> bytes:
 
     marked = keys.mapInPandas(mark, "part int, bits binary")
     out = np.zeros((size >> 16, 1 << 13), np.uint8)
-    for r in marked.repartition(max(1, min(64, size >> 16)), "part").mapInPandas(merge, "part int, bits binary").collect():
+    merged = marked.repartition(max(1, min(64, size >> 16)), "part").mapInPandas(merge, "part int, bits binary")
+    with shuffles_dropped(keys.sparkSession):
+        rows = merged.collect()
+    for r in rows:
         out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     return out.tobytes()
 
@@ -390,11 +397,14 @@ def _classified(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     tagged = written(shared.join(teams.select("rep", "team", "own"), "rep"), "join-tagged")
     released(shared)
     matrix = tagged.where("pos < roomy").groupBy("token", "team").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"))
-    size = "greatest(least_n, cast(ceil(n * {0} / {1}) as int))".format(num, den)
-    room = f"n - pos >= ceil({num} * (n + {size}) / {num + den}) and n >= least_n and most_n * {den} >= n * {num}"
+    least = f"cast(ceil(n * {num} / {den}) as int)"
+    # a linked set of m tokens, {least} <= m <= n, shares its first tokens with the query: one, and one for each SPARE of the {least}
+    spare = f"{least} div {SPARE}"
+    room = f"n - pos + {spare} >= ceil({num} * (n + greatest(least_n, {least})) / {num + den}) and n >= least_n and most_n * {den} >= n * {num}"
+    once = "(n > least_n or team < from or from not like '=%' or team not like '=%')"
     asks = (
-        tagged.select("token", "rep", "n", "pos", F.col("team").alias("from"), "own").join(matrix, "token").where(f"team <> from and (own is null or team <> own) and {room}")
-        .groupBy("rep", "team").agg(F.max("n").alias("n"), F.min("least_n").alias("least_n"))
+        tagged.select("token", "rep", "n", "pos", F.col("team").alias("from"), "own").join(matrix, "token").where(f"team <> from and (own is null or team <> own) and {room} and {once}")
+        .groupBy("rep", "team").agg(F.max("n").alias("n"), F.min("least_n").alias("least_n"), F.count("*").alias("hits")).where(f"hits > {spare}").drop("hits")
     )
     lean = reps.select("rep", "bins")
     bins = written(teams.join(lean, "rep").groupBy("grp", "team").agg(_most_bins("bins").alias("most")), "join-bins")
