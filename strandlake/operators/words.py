@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.operators.rows import top_k
+from strandlake.session import kept
 
 #: Words of up to so many letters meet by their deletions, longer ones by their pieces.
 SHORT_WORD = 24
@@ -29,25 +30,28 @@ def near_words(w: DataFrame, others: DataFrame | None = None) -> DataFrame:
 
     Both words of such a pair leave the same rest after up to two deletions each; or
     else one of three pieces of the shorter stands whole in the longer, moved by no
-    more than the edits before it. Keys are hashes, and the distance decides. Null
+    more than the edits before it. Keys are hashes, and the distance decides. Rests are many
+    times the words, so the pairs are kept as a table, and the rests' shuffle goes. Null
     and empty words have none. Any two words of one or two letters are within two edits.
     """
     rests, moved, placed = _keys(w)
 
     def met(a: DataFrame, b: DataFrame, which: str) -> DataFrame:
-        return a.join(b.select(F.col("w").alias("alternate"), "key"), "key").where(which).select("w", "alternate").distinct()
+        """Words that share a key, as often as they do; the distance is told where they meet, as most such pairs are not near. Sides that are the same table are dealt once."""
+        pairs = a.alias("a").join(b.alias("b"), F.col("a.key") == F.col("b.key")).select(F.col("a.w").alias("w"), F.col("b.w").alias("alternate"))
+        return pairs.where(which).withColumn("dist", F.levenshtein("w", "alternate", 2).cast("long")).where("dist >= 0")
 
     if others is None:
         # each pair once, the longer or greater word first, then in both orders
         once = "length(w) > length(alternate) AND length(w) <= length(alternate) + 2 OR length(w) = length(alternate) AND w > alternate"
-        pairs = met(rests, rests, once).unionByName(met(moved, placed, once)).distinct()
+        near = met(rests, rests, once).unionByName(met(moved, placed, once)).distinct()
+        near = kept(near, "near-words")
         orders = F.explode(F.array(F.struct("w", "alternate"), F.struct(F.col("alternate").alias("w"), F.col("w").alias("alternate"))))
-        near = pairs.withColumn("dist", F.levenshtein("w", "alternate", 2).cast("long")).where("dist >= 0")
         return near.select(orders.alias("x"), "dist").select("x.w", "x.alternate", "dist")
     rests2, moved2, placed2 = _keys(others)
     near_by = "abs(length(w) - length(alternate)) <= 2 AND w <> alternate"
-    pairs = met(rests, rests2, near_by).unionByName(met(moved, placed2, f"{near_by} AND length(w) >= length(alternate)")).unionByName(met(placed, moved2, f"{near_by} AND length(w) < length(alternate)"))
-    return pairs.distinct().withColumn("dist", F.levenshtein("w", "alternate", 2).cast("long")).where("dist >= 0")
+    near = met(rests, rests2, near_by).unionByName(met(moved, placed2, f"{near_by} AND length(w) >= length(alternate)")).unionByName(met(placed, moved2, f"{near_by} AND length(w) < length(alternate)"))
+    return kept(near.distinct(), "near-words")
 
 
 def suggestions(words: DataFrame, known: DataFrame, score, k: int = 3) -> DataFrame:
