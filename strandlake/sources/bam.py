@@ -20,8 +20,9 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 SCHEMA = "qname string, flag int, rname string, pos long, mapq int, cigar string, rnext string, pnext long, tlen int, seq string, qual string, tags array<struct<tag:string,type:string,value:string>>"
@@ -308,20 +309,37 @@ def _bin(lo: int, hi: int) -> int:
     return 0
 
 
+#: Codes of bases by byte, as hexadecimal digits, and qualities by theirs.
+_CODES = bytes(b"0123456789abcdef"[BASES.index(chr(b)) if chr(b) in BASES else 15] for b in range(256))
+_QUALITIES = bytes((b - 33) % 256 for b in range(256))
+
+
+@lru_cache(1 << 14)
+def _cigar(text: str) -> tuple[int, bytes, int]:
+    """Parts of a CIGAR string, their bytes, and the bases of the reference that they take."""
+    ops = [(int(n), OPS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", text)]
+    return len(ops), b"".join(struct.pack("<I", n << 4 | o) for n, o in ops), sum(n for n, o in ops if OPS[o] in "MDN=X")
+
+
+def _qualities(text: str) -> bytes:
+    if not text.isascii() or min(text) < "!":
+        return bytes(ord(c) - 33 for c in text)
+    return text.encode().translate(_QUALITIES)
+
+
 def encoded(row, refs: dict[str, int]) -> bytes:
     """One record with its size."""
-    ops = [(int(n), OPS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", row["cigar"] or "")]
+    n_ops, ops, span = _cigar(row["cigar"] or "")
     ref = refs[row["rname"]] if row["rname"] not in (None, "*") else -1
     nxt = ref if row["rnext"] == "=" else refs[row["rnext"]] if row["rnext"] not in (None, "*") else -1
     name, seq = (row["qname"] or "*").encode() + b"\0", (row["seq"] or "").upper()
     if len(name) > 255:
         raise ValueError("a read name of more than 254 bytes")
-    codes = [BASES.index(c) if c in BASES else 15 for c in seq] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
-    qual = bytes(ord(c) - 33 for c in row["qual"]) if row["qual"] else b"\xff" * len(seq)
+    packed = bytes.fromhex((seq.encode("ascii", "replace").translate(_CODES) + b"0" * (len(seq) % 2)).decode())
+    qual = _qualities(row["qual"]) if row["qual"] else b"\xff" * len(seq)
     if len(qual) != len(seq):
         raise ValueError("bases and qualities of different lengths")
-    pos, span = (row["pos"] or 0) - 1, sum(n for n, o in ops if OPS[o] in "MDN=X")
+    pos = (row["pos"] or 0) - 1
     tags = b""
     for x in row["tags"] or ():
         kind, value = x["type"], x["value"]
@@ -335,8 +353,8 @@ def encoded(row, refs: dict[str, int]) -> bytes:
             tags += struct.pack(NUMBERS[kind], float(value) if kind == "f" else int(value))
         else:
             tags += value.encode() + b"\0"
-    fixed = _FIXED.pack(ref, pos, len(name), row["mapq"] or 0, _bin(max(pos, 0), max(pos, 0) + max(span, 1)), len(ops), row["flag"] or 0, len(seq), nxt, (row["pnext"] or 0) - 1, row["tlen"] or 0)
-    body = fixed + name + b"".join(struct.pack("<I", n << 4 | o) for n, o in ops) + packed + qual + tags
+    fixed = _FIXED.pack(ref, pos, len(name), row["mapq"] or 0, _bin(max(pos, 0), max(pos, 0) + max(span, 1)), n_ops, row["flag"] or 0, len(seq), nxt, (row["pnext"] or 0) - 1, row["tlen"] or 0)
+    body = fixed + name + ops + packed + qual + tags
     return struct.pack("<i", len(body)) + body
 
 
@@ -356,7 +374,7 @@ class Part(WriterCommitMessage):
     rows: int
 
 
-class BamWriter(DataSourceWriter):
+class BamWriter(DataSourceArrowWriter):
     """A file a task, under a hidden name until the job commits; a task that is tried again writes another file, and only committed ones get their name."""
 
     def __init__(self, options: dict, overwrite: bool):
@@ -364,23 +382,23 @@ class BamWriter(DataSourceWriter):
             raise ValueError("BAM files are added to a folder; use mode append")
         self.path, self.text = options["path"], options.get("header", "")
 
-    def write(self, rows) -> Part:
+    def write(self, batches) -> Part:
         store, at = _store(self.path)
         store.create_dir(at, recursive=True)
         first, refs = head(self.text)
-        name, held, n = f"part-{uuid.uuid4().hex}.bam", b"", 0
+        name, held, n = f"part-{uuid.uuid4().hex}.bam", bytearray(), 0
         with store.open_output_stream(f"{at}/.{name}", compression=None) as out:
             for k in range(0, len(first), BLOCK):
                 out.write(deflated(first[k : k + BLOCK]))
-            for row in rows:
-                r, n = encoded(row.asDict(recursive=True), refs), n + 1
+            for row in (dict(zip(b.schema.names, values)) for b in batches for values in zip(*(c.to_pylist() for c in b.columns))):
+                r, n = encoded(row, refs), n + 1
                 if held and len(held) + len(r) > BLOCK:  # a record begins a block if it doesn't fit in the one before
                     out.write(deflated(held))
-                    held = b""
+                    held.clear()
                 held += r
                 while len(held) > BLOCK:
                     out.write(deflated(held[:BLOCK]))
-                    held = held[BLOCK:]
+                    del held[:BLOCK]
             out.write(deflated(held) if held else b"")
             out.write(END_BLOCK)
         return Part(name, n)
